@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import FEATURE_VIEW_FIELDS, HOLDOUT_FRACTION, MIN_TRAIN_ROWS, granularity
 from ..functions.calendar import calendar_columns, entity_key
 from ..functions.timestamps import period_from_index, period_index
+from .common import attach
 from .windows import (BLK, DEFAULT_BLOCK, HALO, IDX, block_window, drop_halo, ema_block_size,
                       ema_local, finish_ema, with_blocks)
 
@@ -160,7 +161,7 @@ def next_step_features(df: DataFrame, gran: str = "D", series_cols=()) -> DataFr
     S = _season(gran)
     x = _indexed(df, gran)
     last = x.groupBy(*series_cols).agg(F.max(IDX).alias("_last"))
-    tail = _attach(x, last, series_cols)
+    tail = attach(x, last, series_cols)
     tail = tail.filter(F.col(IDX) >= F.col("_last") - F.lit(S + 1))
     nxt = last.select(*series_cols, (F.col("_last") + 1).alias(IDX), F.col("_last"))
     nxt = nxt.select(*series_cols, period_from_index(F.col(IDX), gran).alias("TimePeriod"),
@@ -179,15 +180,6 @@ def series_extent(df: DataFrame, gran: str, series_cols=()) -> DataFrame:
                    F.max(period_index(F.col("TimePeriod"), gran)).alias("_lastp")))
 
 
-def _attach(df: DataFrame, small: DataFrame, series_cols) -> DataFrame:
-    """Join per-series values back to rows. Without a series key ``small`` is one
-    row, joined on a constant key as a broadcast of bounded size."""
-    if series_cols:
-        return df.join(small, on=list(series_cols), how="inner")
-    return (df.withColumn("_k", F.lit(1)).join(F.broadcast(small.withColumn("_k", F.lit(1))), "_k")
-              .drop("_k"))
-
-
 def holdout_split(frame: DataFrame, gran: str, series_cols=(), fraction: float = HOLDOUT_FRACTION,
                   min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
     """Chronological split of a training frame: first floor(n*fraction) rows are
@@ -196,7 +188,7 @@ def holdout_split(frame: DataFrame, gran: str, series_cols=(), fraction: float =
     is contiguous), so no sort over a whole series is needed.
     """
     ext = series_extent(frame, gran, series_cols)
-    x = _attach(frame, ext, series_cols)
+    x = attach(frame, ext, series_cols)
     n = F.col("_lastp") - F.col("_first") + 1
     rn = period_index(F.col("TimePeriod"), gran) - F.col("_first") + 1
     split = F.floor(n.cast("double") * F.lit(fraction))

@@ -11,8 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import features as feat
-from ..operators import ingest
+from ..config import granularity
+from ..functions.risk import band_columns, clip0
+from ..operators import audit, features as feat, ingest, model, monitoring, pii, promotion, quality, risk
+from ..operators.common import attach
+from ..sources import files, sinks
+from ..streaming import incremental
 from .tidy import tidy
 
 
@@ -74,15 +78,454 @@ def q_ema_features(spark, sf_dir):
     return tidy(feat.ema_features(d, "H", ["event_type"]))
 
 
+
+
+# ------------------------------------------------------------ scans and cleaning
+
+def q_scan_raw(spark, sf_dir):
+    return tidy(files.scan_raw(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type"))
+
+
+MONTHLY_SOURCES = (("orders", "o_orderdate", "1995-01", "2001-08"),
+                   ("lineitem", "l_shipdate", "1995-01", "2001-10"))
+
+
+def q_monthly_union(spark, sf_dir):
+    srcs = [(f"{sf_dir}/{t}.parquet", c, a, b) for t, c, a, b in MONTHLY_SOURCES]
+    return tidy(files.monthly_union(spark, srcs))
+
+
+def q_coerce_timestamps(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    raw = ev.select("event_id", F.when(F.col("event_type") == "error", F.col("props"))
+                    .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("stamp"))
+    return tidy(ingest.clean_events(raw, "stamp", keep=["event_id"]))
+
+
+def q_utc_normalize(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return tidy(ingest.clean_events(ev, "ts", source_tz="America/New_York", keep=["event_id"]))
+
+
+RANGE_AS_OF = "2024-01-20 12:00:00"
+
+
+def q_range_filter(spark, sf_dir):
+    return tidy(clean(spark, sf_dir, "events", "ts", ["event_id"], as_of=RANGE_AS_OF))
+
+
+def q_recent_window(spark, sf_dir):
+    d = series(spark, sf_dir, ORDERS_DAILY)
+    return tidy(ingest.recent_window(d, "2001-08-01 00:00:00", days=7))
+
+
+def q_asof_recent60(spark, sf_dir):
+    d = series(spark, sf_dir, ORDERS_PANEL)
+    return tidy(feat.latest_periods(ingest.bound_as_of(d, "2000-06-30 00:00:00"), 60, ["o_orderpriority"]))
+
+
+def q_rollup_consistency(spark, sf_dir):
+    ev = clean(spark, sf_dir, "events", "ts", ["event_type"])
+    hourly = ingest.demand(ev, "ts", "H", ["event_type"])
+    daily = ingest.demand(ev, "ts", "D", ["event_type"])
+    return tidy(ingest.rollup_consistency(hourly, daily, ["event_type"]))
+
+
+def q_data_profile(spark, sf_dir):
+    return tidy(ingest.data_profile(series(spark, sf_dir, ORDERS_PANEL), ["o_orderpriority"]))
+
+
+# ------------------------------------------------------------------- features
+
+def q_lag_features(spark, sf_dir):
+    return tidy(feat.lag_features(series(spark, sf_dir, ORDERS_DAILY), "D"))
+
+
+def q_rolling_features(spark, sf_dir):
+    return tidy(feat.rolling_features(series(spark, sf_dir, ORDERS_DAILY), "D"))
+
+
+def q_cyclical_features(spark, sf_dir):
+    return tidy(feat.cyclical_features(series(spark, sf_dir, EVENTS_TOTAL), "H"))
+
+
+def q_training_frame(spark, sf_dir):
+    return tidy(feat.training_frame(series(spark, sf_dir, ORDERS_DAILY), "D"))
+
+
+def q_next_step_features(spark, sf_dir):
+    return tidy(feat.next_step_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"]))
+
+
+def q_nowcast_latest(spark, sf_dir):
+    f = feat.nowcast_features(series(spark, sf_dir, ORDERS_PANEL), "D", ["o_orderpriority"])
+    return tidy(feat.latest_row(f, ["o_orderpriority"]))
+
+
+def q_holdout_split(spark, sf_dir):
+    tf = feat.training_frame(series(spark, sf_dir, ORDERS_DAILY), "D")
+    return tidy(feat.holdout_split(tf, "D"))
+
+
+def q_offline_features(spark, sf_dir):
+    return tidy(feat.offline_features(series(spark, sf_dir, ORDERS_DAILY), "D"))
+
+
+def q_feature_view_daily(spark, sf_dir):
+    return tidy(feat.feature_view(feat.offline_features(series(spark, sf_dir, ORDERS_DAILY), "D"), "D"))
+
+
+ONLINE_AS_OF = "2024-01-25 00:00:00"
+
+
+def q_online_latest(spark, sf_dir):
+    f = feat.nowcast_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"])
+    return tidy(feat.online_latest(f, ONLINE_AS_OF, granularity("H").ttl_us, ["event_type"]))
+
+
+# -------------------------------------------------------------- quality and PII
+
+def q_quality_violations(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_type", F.col("ts").alias("TimePeriod"),
+                                                F.col("value").alias("Volume"))
+    return tidy(quality.quality_violations(ev, ["event_type"]))
+
+
+def q_pii_scan(spark, sf_dir):
+    return tidy(pii.pii_scan(table(spark, sf_dir, "documents")))
+
+
+def q_pii_gate(spark, sf_dir):
+    return tidy(pii.pii_scan(table(spark, sf_dir, "customer")))
+
+
+def q_pii_redact(spark, sf_dir):
+    clean_df, _ = pii.redact_pii_columns(table(spark, sf_dir, "documents"))
+    return tidy(clean_df)
+
+
+# ------------------------------------------------- seasonal-naive backtests, risk
+
+def naive_split(spark, sf_dir, spec):
+    _, _, keys, gran = spec
+    tf = feat.training_frame(series(spark, sf_dir, spec), gran, list(keys))
+    return model.seasonal_naive(feat.holdout_split(tf, gran, list(keys)))
+
+
+def naive_test_residuals(spark, sf_dir, spec):
+    sp = naive_split(spark, sf_dir, spec)
+    return model.residuals(sp.filter(F.col("role") == "test"), list(spec[2]))
+
+
+def q_backtest_metrics(spark, sf_dir):
+    sp = naive_split(spark, sf_dir, EVENTS_PANEL)
+    return tidy(model.backtest_metrics(sp.filter(F.col("role") == "test"), ["event_type"]))
+
+
+def all_residuals(spark, sf_dir, spec):
+    sp = naive_split(spark, sf_dir, spec)
+    return model.residuals(sp.filter(F.col("role") != "insufficient_data"), list(spec[2]))
+
+
+def q_conditional_sigmas(spark, sf_dir):
+    res = all_residuals(spark, sf_dir, EVENTS_PANEL)
+    fb = risk.residual_sigma(res, ["event_type"])
+    return tidy(risk.conditional_sigmas(res, fb, ["event_type"], fallback_col="resid_sigma"))
+
+
+def q_var_buffer(spark, sf_dir):
+    res = naive_test_residuals(spark, sf_dir, ORDERS_DAILY)
+    sig = risk.residual_sigma(res)
+    x = attach(res, sig)
+    return tidy(x.select("TimePeriod", *band_columns(F.col("pred"), F.col("resid_sigma"), 0.99)))
+
+
+def q_mc_var(spark, sf_dir):
+    res = naive_test_residuals(spark, sf_dir, ORDERS_DAILY)
+    x = attach(res, risk.residual_sigma(res)).select("TimePeriod", F.col("pred").alias("point"),
+                                                     F.col("resid_sigma").alias("sigma"))
+    return tidy(risk.mc_var(x, "point", "sigma", 0.99))
+
+
+def q_garch_sigma(spark, sf_dir):
+    res = naive_test_residuals(spark, sf_dir, EVENTS_PANEL)
+    fb = risk.residual_sigma(res, ["event_type"])
+    return tidy(risk.garch_sigma(res, ["event_type"], fallback=fb))
+
+
+def _versions(spark, sf_dir):
+    """Model-version rows per event type: global sigma (residual std) and the
+    per-hour sigma JSON tag, built from the seasonal-naive residuals."""
+    res = all_residuals(spark, sf_dir, EVENTS_PANEL)
+    fb = risk.residual_sigma(res, ["event_type"])
+    hs = risk.hour_sigma_json(risk.conditional_sigmas(res, fb, ["event_type"], fallback_col="resid_sigma"),
+                              ["event_type"])
+    return fb.join(hs, "event_type").select("event_type", F.col("resid_sigma").alias("garch_sigma"), "hour_sigmas")
+
+
+def q_hour_sigma_lookup(spark, sf_dir):
+    nxt = feat.next_step_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"])
+    out = risk.hour_sigma_lookup(nxt.select("event_type", "TimePeriod"), _versions(spark, sf_dir), ["event_type"])
+    return tidy(out.select("event_type", "TimePeriod", "sigma"))
+
+
+def q_next_forecast_naive(spark, sf_dir):
+    nxt = feat.next_step_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"])
+    x = risk.hour_sigma_lookup(nxt.select("event_type", "TimePeriod", F.col("LagS").alias("point")),
+                               _versions(spark, sf_dir), ["event_type"])
+    return tidy(risk.var_band(x, "point", "sigma"))
+
+
+# --------------------------------------------------------------------- GBT (R)
+
+def q_gbt_forecast(spark, sf_dir):
+    sp = naive_split(spark, sf_dir, EVENTS_PANEL).drop("prediction")
+    pred = model.gbt_holdout(sp, feat.feature_columns("H"), ["event_type"], trees=20)
+    return tidy(pred.select("event_type", "TimePeriod", "y", "prediction"))
+
+
+def q_gbt_nowcast(spark, sf_dir):
+    f = feat.nowcast_features(series(spark, sf_dir, ORDERS_DAILY), "D").withColumn("y", F.col("Volume").cast("double"))
+    cols = list(FEATURE_VIEW_D)
+    m = model.fit_gbt(f, cols, trees=20, depth=4)
+    latest = feat.latest_row(f)
+    pred = model.predict_gbt(m, latest).withColumn("sigma", F.lit(risk.fallback_sigma("D")))
+    return tidy(risk.var_band(pred.select("TimePeriod", F.col("prediction").alias("point"), "sigma"), "point", "sigma"))
+
+
+def q_next_forecast(spark, sf_dir):
+    d = series(spark, sf_dir, EVENTS_PANEL)
+    tf = feat.training_frame(d, "H", ["event_type"])
+    m = model.fit_gbt(tf, feat.feature_columns("H"), ["event_type"], trees=20)
+    nxt = feat.next_step_features(d, "H", ["event_type"])
+    pred = model.predict_gbt(m, nxt, ["event_type"])
+    x = risk.hour_sigma_lookup(pred.select("event_type", "TimePeriod", F.col("prediction").alias("point")),
+                               _versions(spark, sf_dir), ["event_type"])
+    return tidy(risk.var_band(x, "point", "sigma"))
+
+
+# ------------------------------------------------------ promotion and monitoring
+
+def _model_mae(spark, sf_dir, spec, role, pred_col):
+    keys = list(spec[2])
+    sp = naive_split(spark, sf_dir, spec).filter(F.col("role") == role)
+    err = F.abs(F.col("y") - clip0(F.col(pred_col)))
+    return sp.groupBy(*keys).agg(F.avg(err).alias("mae"))
+
+
+def q_promotion_decision(spark, sf_dir):
+    ev = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "LagS")
+    od = _model_mae(spark, sf_dir, ORDERS_PANEL, "test", "LagS")
+    cands = (ev.select(F.concat(F.lit("events:"), "event_type").alias("model"), "mae")
+             .unionByName(od.select(F.concat(F.lit("orders:"), "o_orderpriority").alias("model"), "mae"))
+             .select("model", F.lit("v2").alias("version"), F.col("mae").alias("holdout_mae")))
+    champs = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "Lag1").select(
+        F.concat(F.lit("events:"), "event_type").alias("model"), F.lit("v1").alias("champion_version"),
+        F.round("mae", 6).alias("champion_mae"))
+    return tidy(promotion.promotion_decision(cands, champs, ["model"]))
+
+
+def shadow_log(spark, sf_dir, spec=EVENTS_PANEL):
+    """Forecast log rows: seasonal-naive point and 99% band for every test period
+    plus the next period, per series."""
+    keys = list(spec[2])
+    res = naive_test_residuals(spark, sf_dir, spec)
+    sig = risk.residual_sigma(res, keys)
+    test = attach(res, sig, keys).select(*keys, "TimePeriod", F.col("pred").alias("point"),
+                                         F.col("resid_sigma").alias("sigma"))
+    nxt = feat.next_step_features(series(spark, sf_dir, spec), spec[3], keys)
+    nxt = attach(nxt.select(*keys, "TimePeriod", F.col("LagS").alias("point")),
+                 sig.select(*keys, F.col("resid_sigma").alias("sigma")), keys)
+    return risk.var_band(test.unionByName(nxt), "point", "sigma")
+
+
+def q_score_forecasts(spark, sf_dir):
+    log = shadow_log(spark, sf_dir)
+    return tidy(monitoring.score_forecasts(log, series(spark, sf_dir, EVENTS_PANEL), ["event_type"]))
+
+
+def _drift(spark, sf_dir):
+    summary = monitoring.score_forecasts(shadow_log(spark, sf_dir), series(spark, sf_dir, EVENTS_PANEL),
+                                         ["event_type"])
+    base = _model_mae(spark, sf_dir, EVENTS_PANEL, "train", "LagS").select(
+        "event_type", F.round("mae", 6).alias("baseline_mae"))
+    return monitoring.concept_drift(summary, base, ["event_type"])
+
+
+def q_concept_drift(spark, sf_dir):
+    return tidy(_drift(spark, sf_dir))
+
+
+def q_retrain_set(spark, sf_dir):
+    return tidy(monitoring.retrain_set(_drift(spark, sf_dir), ["event_type"]))
+
+
+def q_mae_degradation(spark, sf_dir):
+    sp = naive_split(spark, sf_dir, EVENTS_PANEL).filter(F.col("role") != "insufficient_data")
+    errs = sp.select("event_type", F.when(F.col("role") == "train", "reference").otherwise("current").alias("window"),
+                     F.abs(F.col("y") - clip0(F.col("prediction"))).alias("abs_err"))
+    return tidy(monitoring.mae_degradation(errs, ["event_type"]))
+
+
+DRIFT_SPLIT = "2024-01-24 00:00:00"
+DRIFT_COLUMNS = ("value", "user_id", "event_id")
+
+
+def q_data_drift(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    cut = F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
+    return tidy(monitoring.data_drift(ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut), DRIFT_COLUMNS))
+
+
+# ----------------------------------------------------------------- log upserts
+
+UPSERT_AS_OF = "2000-01-01 00:00:00"
+
+
+def q_shadow_upsert(spark, sf_dir):
+    res = naive_split(spark, sf_dir, ORDERS_DAILY).filter(F.col("role") == "test")
+    as_of = F.lit(UPSERT_AS_OF).cast("timestamp")
+    existing = res.filter(F.col("TimePeriod") <= as_of).select(
+        "TimePeriod", F.lit(UPSERT_AS_OF).cast("timestamp").alias("Inferred_At"),
+        F.round(clip0(F.col("Lag1")), 2).alias("Point_Forecast"))
+    new = res.filter(F.col("TimePeriod") > as_of - F.expr("INTERVAL 30 DAYS")).select(
+        "TimePeriod", F.lit("2000-02-01 00:00:00").cast("timestamp").alias("Inferred_At"),
+        F.round(clip0(F.col("LagS")), 2).alias("Point_Forecast"))
+    return tidy(sinks.upsert_merge(existing, new, ["TimePeriod"]))
+
+
+# ---------------------------------------------------------------- requests/audit
+
+def requests(spark, sf_dir):
+    """Requests derived from events: one request per event, client = user_id."""
+    ev = table(spark, sf_dir, "events")
+    return ev.selectExpr(
+        "event_id", "user_id", "ts",
+        "CASE WHEN event_type = 'error' THEN props "
+        "ELSE concat(CAST(CAST(ts AS DATE) AS STRING), 'T', lpad(CAST(hour(ts) AS STRING), 2, '0')) END AS time_period",
+        "CASE event_type WHEN 'view' THEN 'd' WHEN 'click' THEN 'H' WHEN 'purchase' THEN 'D' "
+        "WHEN 'signup' THEN 'DROP' ELSE 'h' END AS granularity",
+        "value / 100.0 AS confidence_level",
+        "value * 1000.0 AS point_forecast",
+        "value / 1000.0 AS latency_s")
+
+
+def q_request_validation(spark, sf_dir):
+    v = audit.request_validation(requests(spark, sf_dir))
+    return tidy(v.select("event_id", "granularity_norm", "valid", "reject_reason"))
+
+
+def q_request_audit(spark, sf_dir):
+    out = audit.request_outcomes(audit.request_validation(requests(spark, sf_dir)))
+    return tidy(audit.request_audit(out))
+
+
+def q_latency_p99(spark, sf_dir):
+    v = audit.request_validation(requests(spark, sf_dir)).withColumn(
+        "granularity", F.coalesce(F.col("granularity_norm"), F.lit("invalid")))
+    hist = audit.latency_histogram(v, "latency_s", ["granularity"])
+    return tidy(audit.histogram_quantile(hist, 0.99, ["granularity"]))
+
+
+def q_artifact_manifest(spark, sf_dir):
+    return tidy(audit.artifact_hashes(spark, f"{sf_dir}/*.parquet"))
+
+
+# ------------------------------------------------------------------- streaming
+
+def q_stream_hourly(spark, sf_dir):
+    out = incremental.run_hourly_stream(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"])
+    return tidy(spark.read.parquet(out))
+
+
+def _latest_event(batch):
+    agg = batch.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_type", "value"), F.col("ts")).alias("r"))
+    return agg.select("user_id", F.col("r.ts").cast("timestamp").alias("TimePeriod"),
+                      F.col("r.event_type").alias("event_type"), F.col("r.value").alias("value"))
+
+
+def q_stream_upsert(spark, sf_dir):
+    out = incremental.run_upsert_stream(spark, f"{sf_dir}/events.parquet", _latest_event, ["user_id"],
+                                        partition_col=None)
+    return tidy(spark.read.parquet(out))
+
+
+def q_rate_breaches(spark, sf_dir):
+    return tidy(incremental.rate_breaches(table(spark, sf_dir, "events"), "user_id", "ts", limit=1))
+
+
+# ----------------------------------------------------------------- flagship
+
 def q_capacity_plan(spark, sf_dir):
-    return q_past_only_features(spark, sf_dir)
+    """Expected demand and 99% capacity for every hour of every event type,
+    from past-only features (seasonal-naive point, residual-std band)."""
+    keys = ["event_type"]
+    sp = naive_split(spark, sf_dir, EVENTS_PANEL)
+    res = model.residuals(sp.filter(F.col("role") == "train"), keys)
+    sig = risk.residual_sigma(res, keys)
+    x = attach(sp, sig, keys).select(*keys, "TimePeriod", "y", F.col("prediction").alias("point"),
+                                     F.col("resid_sigma").alias("sigma"))
+    return tidy(risk.var_band(x, "point", "sigma"))
+
+
+FEATURE_VIEW_D = ("Volume_Lag1", "Volume_LagDelta1", "Volume_Lag7", "Volume_LagDelta7",
+                  "Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear",
+                  "Regime_0", "Regime_1", "Regime_2")
 
 
 QUERIES = {
+    "scan_raw": q_scan_raw,
+    "monthly_union": q_monthly_union,
+    "coerce_timestamps": q_coerce_timestamps,
+    "utc_normalize": q_utc_normalize,
+    "range_filter": q_range_filter,
+    "recent_window": q_recent_window,
+    "asof_recent60": q_asof_recent60,
     "demand_hourly": q_demand_hourly,
     "demand_daily": q_demand_daily,
     "demand_gapfilled": q_demand_gapfilled,
+    "rollup_consistency": q_rollup_consistency,
+    "data_profile": q_data_profile,
+    "lag_features": q_lag_features,
+    "rolling_features": q_rolling_features,
+    "ema_features": q_ema_features,
+    "cyclical_features": q_cyclical_features,
     "past_only_features": q_past_only_features,
+    "training_frame": q_training_frame,
+    "next_step_features": q_next_step_features,
     "nowcast_features": q_nowcast_features,
-    "ema_features": q_ema_features,
+    "nowcast_latest": q_nowcast_latest,
+    "holdout_split": q_holdout_split,
+    "offline_features": q_offline_features,
+    "feature_view_daily": q_feature_view_daily,
+    "online_latest": q_online_latest,
+    "quality_violations": q_quality_violations,
+    "pii_scan": q_pii_scan,
+    "pii_gate": q_pii_gate,
+    "pii_redact": q_pii_redact,
+    "backtest_metrics": q_backtest_metrics,
+    "conditional_sigmas": q_conditional_sigmas,
+    "var_buffer": q_var_buffer,
+    "mc_var": q_mc_var,
+    "garch_sigma": q_garch_sigma,
+    "hour_sigma_lookup": q_hour_sigma_lookup,
+    "next_forecast_naive": q_next_forecast_naive,
+    "gbt_forecast": q_gbt_forecast,
+    "gbt_nowcast": q_gbt_nowcast,
+    "next_forecast": q_next_forecast,
+    "promotion_decision": q_promotion_decision,
+    "score_forecasts": q_score_forecasts,
+    "concept_drift": q_concept_drift,
+    "retrain_set": q_retrain_set,
+    "mae_degradation": q_mae_degradation,
+    "data_drift": q_data_drift,
+    "shadow_upsert": q_shadow_upsert,
+    "request_validation": q_request_validation,
+    "request_audit": q_request_audit,
+    "latency_p99": q_latency_p99,
+    "artifact_manifest": q_artifact_manifest,
+    "stream_hourly": q_stream_hourly,
+    "stream_upsert": q_stream_upsert,
+    "rate_breaches": q_rate_breaches,
+    "capacity_plan": q_capacity_plan,
 }
