@@ -68,33 +68,33 @@ def data_drift(reference: DataFrame, current: DataFrame, columns, alpha: float =
     """
     def longform(df, side):
         pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-        return df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column, value)").withColumn("side", F.lit(side))
+        return df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").withColumn("side", F.lit(side))
 
     both = longform(reference, 0).unionByName(longform(current, 1))
     both = both.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = both.groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("c_ref"),
+    counts = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("c_ref"),
                                                  F.count_if(F.col("side") == 1).alias("c_cur"))
     probs = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = counts.groupBy("column").agg(F.percentile_approx("value", probs, 10000).alias("_cuts"),
+    cuts = counts.groupBy("feature").agg(F.percentile_approx("value", probs, 10000).alias("_cuts"),
                                         F.sum("c_ref").alias("N"), F.sum("c_cur").alias("M"))
     # per column: n_blocks cut points and two totals -> a broadcast of proven size
-    x = counts.join(F.broadcast(cuts), "column").withColumn(
+    x = counts.join(F.broadcast(cuts), "feature").withColumn(
         "_blk", F.size(F.filter(F.array_distinct("_cuts"), lambda b: b < F.col("value"))))
-    blk_tot = x.groupBy("column", "_blk").agg(F.sum("c_ref").alias("_br"), F.sum("c_cur").alias("_bc"))
-    wb = Window.partitionBy("column").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = blk_tot.select("column", "_blk", F.coalesce(F.sum("_br").over(wb), F.lit(0)).alias("_or"),
+    blk_tot = x.groupBy("feature", "_blk").agg(F.sum("c_ref").alias("_br"), F.sum("c_cur").alias("_bc"))
+    wb = Window.partitionBy("feature").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = blk_tot.select("feature", "_blk", F.coalesce(F.sum("_br").over(wb), F.lit(0)).alias("_or"),
                           F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_oc"))
-    wv = Window.partitionBy("column", "_blk").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (x.join(F.broadcast(offs), ["column", "_blk"])
-            .select("column", "N", "M",
+    wv = Window.partitionBy("feature", "_blk").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (x.join(F.broadcast(offs), ["feature", "_blk"])
+            .select("feature", "N", "M",
                     ((F.sum("c_ref").over(wv) + F.col("_or")) / F.col("N")).alias("F_ref"),
                     ((F.sum("c_cur").over(wv) + F.col("_oc")) / F.col("M")).alias("F_cur")))
-    stat = cum.groupBy("column").agg(F.first("N").alias("n_reference"), F.first("M").alias("n_current"),
+    stat = cum.groupBy("feature").agg(F.first("N").alias("n_reference"), F.first("M").alias("n_current"),
                                      F.max(F.abs(F.col("F_ref") - F.col("F_cur"))).alias("ks_stat"))
     c = ks_critical(alpha)
     thr = F.lit(c) * F.sqrt((F.col("n_reference") + F.col("n_current")) /
                             (F.col("n_reference") * F.col("n_current")))
-    per_col = stat.select("column", "n_reference", "n_current", "ks_stat", thr.alias("threshold"),
+    per_col = stat.select("feature", "n_reference", "n_current", "ks_stat", thr.alias("threshold"),
                           (F.col("ks_stat") > thr).alias("drifted"))
     share = F.avg(F.col("drifted").cast("double")).over(Window.partitionBy(F.lit(1)))
     return per_col.select("*", share.alias("drift_share"), (share >= F.lit(share_threshold)).alias("dataset_drift"))

@@ -3,7 +3,10 @@ that mirror the same table mapping as ``catalog``."""
 
 from __future__ import annotations
 
-from ..config import granularity
+from ..config import LATENCY_BUCKETS, granularity
+from ..functions.pii import PII_PATTERNS
+from ..functions.risk import standard_quantile
+from ..operators.monitoring import ks_critical
 from .tidy import r
 
 def MIN_TS(tbl):
@@ -99,21 +102,318 @@ def nowcast_sql(src, keys, gran, lags, rolling, spans, calendar=True, regime=Tru
     return f"SELECT {', '.join(outer)} FROM ({inner}) t{where}"
 
 
+
+
 def _with(*ctes):
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-ORACLES = {
-    "demand_hourly": _with(demand_cte("d", "events", "ts", [], "H")) + "SELECT TimePeriod, Volume FROM d",
-    "demand_daily": _with(demand_cte("d", "lineitem", "l_shipdate", [], "D")) + "SELECT TimePeriod, Volume FROM d",
-    "demand_gapfilled": _with(demand_cte("d", "events", "ts", ["event_type"], "H"))
-    + "SELECT event_type, TimePeriod, Volume FROM d",
-    "past_only_features": _with(demand_cte("d", "events", "ts", ["event_type"], "H"))
-    + "SELECT event_type, TimePeriod, Volume, " + ", ".join(
-        f"{r(c)} AS {c}" for c in ("Lag1", "LagS", "PrevDelta1", "PrevDeltaS", "RollMean", "RollStd"))
-    + ", " + calendar_sql("H") + " FROM (" + past_only_sql("d", ["event_type"], "H") + ") p",
-    "nowcast_features": _with(demand_cte("d", "orders", "o_orderdate", [], "D"))
-    + nowcast_sql("d", [], "D", (1, 7, 14, 28), (7, 14, 28), (7, 14, 28), dropna=True),
-    "ema_features": _with(demand_cte("d", "events", "ts", ["event_type"], "H"))
-    + nowcast_sql("d", ["event_type"], "H", (), (), (12, 24, 48), calendar=False, regime=False),
+Z99 = repr(standard_quantile(0.99))
+FEATS = ("Lag1", "LagS", "PrevDelta1", "PrevDeltaS", "RollMean", "RollStd")
+CAL = {"H": ("Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear", "Sin_Hour", "Cos_Hour"),
+       "D": ("Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear")}
+SPECS = {
+    "events_panel": ("events", "ts", ["event_type"], "H"),
+    "events_total": ("events", "ts", [], "H"),
+    "orders_daily": ("orders", "o_orderdate", [], "D"),
+    "orders_panel": ("orders", "o_orderdate", ["o_orderpriority"], "D"),
 }
+
+
+def cal_raw(gran, ts="TimePeriod"):
+    """Unrounded calendar columns (for intermediate steps)."""
+    parts = [f"sin(2*pi()*(isodow({ts})-1)/7) AS Sin_DayOfWeek", f"cos(2*pi()*(isodow({ts})-1)/7) AS Cos_DayOfWeek",
+             f"sin(2*pi()*weekofyear({ts})/52) AS Sin_WeekOfYear", f"cos(2*pi()*weekofyear({ts})/52) AS Cos_WeekOfYear"]
+    if gran == "H":
+        parts += [f"sin(2*pi()*hour({ts})/24) AS Sin_Hour", f"cos(2*pi()*hour({ts})/24) AS Cos_Hour"]
+    return ", " + ", ".join(parts)
+
+
+def kc(keys):
+    return "".join(f"{k}, " for k in keys)
+
+
+def split_ctes(spec_name, p=""):
+    """{p}d (demand), {p}tf (training frame), {p}sp (split + seasonal-naive prediction)."""
+    tbl, ts, keys, gran = SPECS[spec_name]
+    cols = FEATS + CAL[gran]
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    return [
+        demand_cte(f"{p}d", tbl, ts, keys, gran),
+        f"{p}po AS ({past_only_sql(f'{p}d', keys, gran, cal_raw(gran))})",
+        f"{p}tf AS (SELECT {kc(keys)}TimePeriod, {', '.join(cols)}, CAST(Volume AS DOUBLE) AS y FROM {p}po WHERE {notnull})",
+        f"""{p}sp0 AS (SELECT *, count(*) OVER ({part(keys)}) AS n_rows,
+              row_number() OVER ({part(keys)}ORDER BY TimePeriod) AS rn FROM {p}tf)""",
+        f"""{p}sp AS (SELECT *, CASE WHEN n_rows < 40 THEN 'insufficient_data'
+              WHEN rn <= floor(n_rows * 0.8) THEN 'train' ELSE 'test' END AS role, LagS AS prediction FROM {p}sp0)""",
+    ]
+
+
+def resid_ctes(keys, role_filter):
+    return [f"""res AS (SELECT {kc(keys)}TimePeriod, y, greatest(0, prediction) AS pred,
+              y - greatest(0, prediction) AS resid FROM sp WHERE {role_filter})""",
+            f"sig AS (SELECT {kc(keys)}stddev_pop(resid) AS resid_sigma FROM res GROUP BY ALL)"]
+
+
+def var_sql(point, sigma):
+    return f"greatest(0, greatest(0, {point}) + greatest({sigma}, 1e-9) * {Z99})"
+
+
+def band_sql(point, sigma):
+    v = var_sql(point, sigma)
+    return (f"{r(f'round(greatest(0, {point}), 2)')} AS Point_Forecast, {r(f'round({v}, 2)')} AS Safety_Buffer_99, "
+            f"CAST(ceil({v}) AS BIGINT) AS Capacity_Target")
+
+
+def using(keys):
+    return f" USING ({', '.join(keys)})" if keys else " ON TRUE"
+
+
+def rcols(cols):
+    return ", ".join(f"{r(c)} AS {c}" for c in cols)
+
+
+def nxt_cte(keys, gran):
+    return (f"nx AS (SELECT {kc(keys)}max(TimePeriod) + {INTERVAL[gran]} AS TimePeriod, CAST(NULL AS BIGINT) AS Volume "
+            f"FROM d GROUP BY ALL)")
+
+
+def next_step_ctes(keys, gran):
+    return [nxt_cte(keys, gran), "u AS (SELECT * FROM d UNION ALL SELECT * FROM nx)",
+            f"npo AS ({past_only_sql('u', keys, gran, cal_raw(gran))})",
+            f"ns AS (SELECT npo.* EXCLUDE (Volume) FROM npo JOIN nx{using([*keys, 'TimePeriod'])})"]
+
+
+def hour_sigma_ctes():
+    keys = ["event_type"]
+    return split_ctes("events_panel") + resid_ctes(keys, "role <> 'insufficient_data'") + [
+        """hs AS (SELECT event_type, CAST(hour(TimePeriod) AS INTEGER) AS hour, count(*) AS n,
+              stddev_pop(resid) AS s, count_if(NOT isfinite(resid)) AS bad FROM res GROUP BY ALL)""",
+        """cs AS (SELECT hs.event_type, hour, n, CASE WHEN n >= 20 AND bad = 0 THEN greatest(s, 0.5)
+              ELSE sig.resid_sigma END AS hour_sigma FROM hs LEFT JOIN sig USING (event_type))"""]
+
+
+def lookup_ctes():
+    return hour_sigma_ctes() + next_step_ctes(["event_type"], "H") + [
+        """lk AS (SELECT ns.*, coalesce(round(cs.hour_sigma, 4), sig.resid_sigma) AS sigma FROM ns
+              LEFT JOIN cs ON cs.event_type = ns.event_type AND cs.hour = hour(ns.TimePeriod)
+              LEFT JOIN sig ON sig.event_type = ns.event_type)"""]
+
+
+def mae_cte(name, spec_name, role, pred, model_prefix, key):
+    return (f"{name} AS (SELECT '{model_prefix}:' || {key} AS model, avg(abs(y - greatest(0, {pred}))) AS mae "
+            f"FROM {spec_name}_sp WHERE role = '{role}' GROUP BY ALL)")
+
+
+def shadow_log_ctes():
+    keys = ["event_type"]
+    return split_ctes("events_panel") + resid_ctes(keys, "role = 'test'") + next_step_ctes(keys, "H") + [
+        f"""lg AS (SELECT event_type, TimePeriod, pred AS point, resid_sigma AS sigma FROM res JOIN sig USING (event_type)
+              UNION ALL SELECT event_type, TimePeriod, LagS AS point, resid_sigma AS sigma FROM ns JOIN sig USING (event_type))""",
+        f"""lgb AS (SELECT event_type, TimePeriod, round(greatest(0, point), 2) AS Point_Forecast,
+              round({var_sql('point', 'sigma')}, 2) AS Safety_Buffer_99 FROM lg)""",
+        """score AS (SELECT l.event_type, count(d.Volume) AS n_matured,
+              round(avg(abs(CAST(d.Volume AS DOUBLE) - l.Point_Forecast)), 4) AS realised_mae,
+              round(avg(CASE WHEN d.Volume IS NOT NULL THEN CAST(d.Volume <= l.Safety_Buffer_99 AS DOUBLE) END) * 100, 2)
+                AS coverage_99
+              FROM lgb l LEFT JOIN d ON d.event_type = l.event_type AND d.TimePeriod = l.TimePeriod GROUP BY ALL)""",
+        """base AS (SELECT event_type, round(avg(abs(y - greatest(0, prediction))), 6) AS baseline_mae
+              FROM sp WHERE role = 'train' GROUP BY ALL)""",
+        """drift AS (SELECT score.*, base.baseline_mae, coalesce(n_matured > 0 AND baseline_mae IS NOT NULL
+              AND baseline_mae <> 0 AND realised_mae > baseline_mae * 1.15, false) AS drift_detected
+              FROM score LEFT JOIN base USING (event_type))"""]
+
+
+def requests_cte():
+    return """req AS (SELECT event_id, user_id, ts,
+  CASE WHEN event_type = 'error' THEN props
+       ELSE concat(CAST(CAST(ts AS DATE) AS VARCHAR), 'T', lpad(CAST(hour(ts) AS VARCHAR), 2, '0')) END AS time_period,
+  CASE event_type WHEN 'view' THEN 'd' WHEN 'click' THEN 'H' WHEN 'purchase' THEN 'D'
+       WHEN 'signup' THEN 'DROP' ELSE 'h' END AS granularity,
+  value / 100.0 AS confidence_level, value * 1000.0 AS point_forecast, value / 1000.0 AS latency_s FROM events),
+val AS (SELECT *, CASE WHEN upper(granularity) IN ('D', 'H') THEN upper(granularity) END AS granularity_norm,
+  CASE WHEN time_period IS NULL OR length(time_period) > 20 OR NOT regexp_matches(time_period, '^[0-9T:Z-]*$')
+         THEN 'time_period'
+       WHEN upper(granularity) IS NULL OR upper(granularity) NOT IN ('D', 'H') THEN 'granularity'
+       WHEN confidence_level IS NULL OR isnan(confidence_level) OR NOT (confidence_level BETWEEN 0.5 AND 0.9999)
+         THEN 'confidence_level' END AS reject_reason FROM req)"""
+
+
+def pii_sql(tbl, cols):
+    parts = [f"SELECT '{c}' AS column, '{p}' AS pattern, CAST(count_if(coalesce(regexp_matches({c}, '{pat}'), false)) AS BIGINT) AS n "
+             f"FROM {tbl}" for c in cols for p, pat in PII_PATTERNS.items()]
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
+
+
+def ks_sql():
+    cols = ("value", "user_id", "event_id")
+    long = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, CASE WHEN ts < TIMESTAMP '2024-01-24 00:00:00' "
+        f"THEN 0 ELSE 1 END AS side FROM events WHERE ts IS NOT NULL" for c in cols)
+    c = repr(ks_critical(0.05))
+    return f"""WITH lf AS ({long}),
+cnt AS (SELECT feature, value, count_if(side = 0) AS c_ref, count_if(side = 1) AS c_cur FROM lf
+        WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+cum AS (SELECT feature, sum(c_ref) OVER (PARTITION BY feature) AS N, sum(c_cur) OVER (PARTITION BY feature) AS M,
+        sum(c_ref) OVER w AS cr, sum(c_cur) OVER w AS cc FROM cnt
+        WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+st AS (SELECT feature, CAST(max(N) AS BIGINT) AS n_reference, CAST(max(M) AS BIGINT) AS n_current,
+       max(abs(cr / N - cc / M)) AS ks_stat FROM cum GROUP BY ALL),
+pc AS (SELECT *, {c} * sqrt((n_reference + n_current) / (n_reference * n_current)) AS threshold FROM st),
+pd AS (SELECT *, ks_stat > threshold AS drifted FROM pc)
+SELECT feature, n_reference, n_current, {r('ks_stat')} AS ks_stat, {r('threshold')} AS threshold, drifted,
+  {r('avg(CAST(drifted AS DOUBLE)) OVER ()')} AS drift_share, avg(CAST(drifted AS DOUBLE)) OVER () >= 0.1 AS dataset_drift
+FROM pd"""
+
+
+def latency_sql():
+    les = ", ".join(f"({b!r})" for b in LATENCY_BUCKETS) + ", ('inf'::DOUBLE)"
+    return _with(requests_cte(), f"""b AS (SELECT coalesce(granularity_norm, 'invalid') AS granularity, le,
+  count_if(latency_s <= le) AS n_cumulative FROM val CROSS JOIN (VALUES {les}) t(le) GROUP BY ALL)""",
+                 """x AS (SELECT *, lag(le) OVER w AS lo, lag(n_cumulative) OVER w AS prev,
+  max(n_cumulative) OVER (PARTITION BY granularity) AS tot,
+  max(CASE WHEN le <> 'inf'::DOUBLE THEN le END) OVER (PARTITION BY granularity) AS maxfin
+  FROM b WINDOW w AS (PARTITION BY granularity ORDER BY le))""",
+                 """y AS (SELECT *, CASE WHEN le = 'inf'::DOUBLE THEN maxfin ELSE coalesce(lo, 0)
+  + (le - coalesce(lo, 0)) * (0.99 * tot - coalesce(prev, 0)) / (n_cumulative - coalesce(prev, 0)) END AS v
+  FROM x WHERE n_cumulative >= 0.99 * tot AND tot > 0)""") + \
+        f"SELECT granularity, CAST(arg_min(tot, le) AS BIGINT) AS n, {r('arg_min(v, le)')} AS p99 FROM y GROUP BY ALL"
+
+
+NOWCAST_D = ((1, 7, 14, 28), (7, 14, 28), (7, 14, 28))
+NOWCAST_H = ((1, 6, 12, 24), (6, 12, 24), (12, 24, 48))
+FV_D = ("Volume_Lag1", "Volume_LagDelta1", "Volume_Lag7", "Volume_LagDelta7", "Sin_DayOfWeek", "Cos_DayOfWeek",
+        "Sin_WeekOfYear", "Cos_WeekOfYear", "Regime_0", "Regime_1", "Regime_2")
+OUTF = FEATS + ()
+
+
+def _orc():
+    ev_p = demand_cte("d", "events", "ts", ["event_type"], "H")
+    od = demand_cte("d", "orders", "o_orderdate", [], "D")
+    op = demand_cte("d", "orders", "o_orderdate", ["o_orderpriority"], "D")
+    o = {}
+    o["scan_raw"] = "SELECT event_id, ts, event_type FROM events"
+    o["monthly_union"] = ("SELECT o_orderdate AS TimePeriod FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' "
+                          "AND o_orderdate < TIMESTAMP '2001-09-01' UNION ALL SELECT l_shipdate AS TimePeriod FROM lineitem "
+                          "WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2001-11-01'")
+    o["coerce_timestamps"] = ("SELECT event_id, stamp FROM (SELECT event_id, try_cast(CASE WHEN event_type = 'error' "
+                              "THEN props ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS TIMESTAMP) AS stamp FROM events) "
+                              "WHERE stamp IS NOT NULL AND stamp >= TIMESTAMP '2009-01-01'")
+    o["utc_normalize"] = ("SELECT event_id, ts FROM (SELECT event_id, timezone('UTC', timezone('America/New_York', ts)) "
+                          "AS ts FROM events) WHERE ts IS NOT NULL AND ts >= TIMESTAMP '2009-01-01'")
+    o["range_filter"] = ("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2009-01-01' "
+                         "AND ts <= TIMESTAMP '2024-01-20 12:00:00'")
+    o["recent_window"] = _with(od) + ("SELECT TimePeriod, Volume FROM d WHERE TimePeriod >= "
+                                      "TIMESTAMP '2001-08-01' - INTERVAL 7 DAY")
+    o["asof_recent60"] = _with(op) + ("SELECT o_orderpriority, TimePeriod, Volume FROM d WHERE TimePeriod <= "
+                                      "TIMESTAMP '2000-06-30' QUALIFY row_number() OVER (PARTITION BY o_orderpriority "
+                                      "ORDER BY TimePeriod DESC) <= 60")
+    o["demand_hourly"] = _with(demand_cte("d", "events", "ts", [], "H")) + "SELECT TimePeriod, Volume FROM d"
+    o["demand_daily"] = _with(demand_cte("d", "lineitem", "l_shipdate", [], "D")) + "SELECT TimePeriod, Volume FROM d"
+    o["demand_gapfilled"] = _with(ev_p) + "SELECT event_type, TimePeriod, Volume FROM d"
+    o["rollup_consistency"] = _with(demand_cte("h", "events", "ts", ["event_type"], "H"),
+                                    demand_cte("dd", "events", "ts", ["event_type"], "D")) + """
+SELECT coalesce(h.event_type, dd.event_type) AS event_type, coalesce(h.TimePeriod, dd.TimePeriod) AS TimePeriod,
+  h.hourly_sum, dd.Volume AS daily_volume, coalesce(h.hourly_sum, -1) = coalesce(dd.Volume, -2) AS consistent
+FROM (SELECT event_type, date_trunc('day', TimePeriod) AS TimePeriod, CAST(sum(Volume) AS BIGINT) AS hourly_sum
+      FROM h GROUP BY ALL) h FULL OUTER JOIN dd ON h.event_type = dd.event_type AND h.TimePeriod = dd.TimePeriod"""
+    o["data_profile"] = _with(op) + ("SELECT o_orderpriority, count(*) AS n_rows, min(TimePeriod) AS first_period, "
+                                     "max(TimePeriod) AS last_period FROM d GROUP BY ALL")
+    o["lag_features"] = _with(od) + nowcast_sql("d", [], "D", NOWCAST_D[0], (), (), calendar=False, regime=False)
+    o["rolling_features"] = _with(od) + nowcast_sql("d", [], "D", (), NOWCAST_D[1], (), calendar=False, regime=False)
+    o["ema_features"] = _with(ev_p) + nowcast_sql("d", ["event_type"], "H", (), (), NOWCAST_H[2],
+                                                   calendar=False, regime=False)
+    o["cyclical_features"] = _with(demand_cte("d", "events", "ts", [], "H")) + \
+        f"SELECT TimePeriod, Volume, {calendar_sql('H', raw=True)} FROM d"
+    o["past_only_features"] = _with(ev_p) + "SELECT event_type, TimePeriod, Volume, " + rcols(FEATS) + ", " + \
+        calendar_sql("H") + " FROM (" + past_only_sql("d", ["event_type"], "H") + ") p"
+    tf_cols = FEATS + CAL["D"]
+    o["training_frame"] = _with(*split_ctes("orders_daily")) + f"SELECT TimePeriod, {rcols(tf_cols)}, {r('y')} AS y FROM tf"
+    o["holdout_split"] = _with(*split_ctes("orders_daily")) + \
+        f"SELECT TimePeriod, {rcols(tf_cols)}, {r('y')} AS y, n_rows, rn, role FROM sp"
+    o["next_step_features"] = _with(ev_p, *next_step_ctes(["event_type"], "H")) + \
+        f"SELECT event_type, TimePeriod, {rcols(FEATS + CAL['H'])} FROM ns"
+    o["nowcast_features"] = _with(od) + nowcast_sql("d", [], "D", *NOWCAST_D, dropna=True)
+    o["nowcast_latest"] = _with(op) + "SELECT * FROM (" + nowcast_sql("d", ["o_orderpriority"], "D", *NOWCAST_D, dropna=True) + \
+        ") QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY TimePeriod DESC) = 1"
+    off = ("SELECT *, strftime(TimePeriod, '%Y-%m-%d') AS time_period, 'D' AS granularity, "
+           "strftime(TimePeriod, '%Y-%m') AS month FROM (" + nowcast_sql("d", [], "D", *NOWCAST_D, dropna=True) + ")")
+    o["offline_features"] = _with(od) + off
+    o["feature_view_daily"] = _with(od) + f"SELECT TimePeriod, time_period, {', '.join(FV_D)} FROM ({off})"
+    o["online_latest"] = _with(ev_p) + "SELECT * FROM (" + nowcast_sql("d", ["event_type"], "H", *NOWCAST_H, dropna=True) + \
+        ") WHERE TimePeriod > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 48 HOUR AND TimePeriod <= " \
+        "TIMESTAMP '2024-01-25 00:00:00' QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY TimePeriod DESC) = 1"
+    o["quality_violations"] = """SELECT event_type, count(*) AS n_rows, CAST(count_if(ts IS NULL) AS BIGINT) AS null_period,
+  CAST(count_if(value IS NULL) AS BIGINT) AS null_volume, CAST(count_if(isnan(value)) AS BIGINT) AS nan_volume, CAST(count_if(isinf(value)) AS BIGINT) AS inf_volume,
+  CAST(count_if(value < 0) AS BIGINT) AS negative_volume, CAST(count_if(isfinite(value) AND value > 1000000.0) AS BIGINT) AS above_max_volume,
+  CAST(count_if(ts IS NULL OR value IS NULL OR isnan(value) OR isinf(value) OR value < 0
+           OR (isfinite(value) AND value > 1000000.0)) AS BIGINT) AS invalid_rows,
+  count(*) < 30 AS below_min_rows,
+  count_if(ts IS NULL OR value IS NULL OR isnan(value) OR isinf(value) OR value < 0
+           OR (isfinite(value) AND value > 1000000.0)) = 0 AND count(*) >= 30 AS passed
+FROM events GROUP BY ALL"""
+    o["pii_scan"] = pii_sql("documents", ("text", "lang", "source"))
+    o["pii_gate"] = pii_sql("customer", ("c_name", "c_mktsegment"))
+    o["pii_redact"] = "SELECT doc_id, lang, source, n_chars FROM documents"
+    ek = ["event_type"]
+    o["backtest_metrics"] = _with(*split_ctes("events_panel"), *resid_ctes(ek, "role = 'test'")) + f"""
+SELECT event_type, count(*) AS n, {r('avg(abs(resid))')} AS mae, {r('avg(abs(resid) / greatest(y, 1.0)) * 100')} AS mape,
+  {r(f"avg(CAST(y <= {var_sql('pred', 'resid_sigma')} AS DOUBLE)) * 100")} AS coverage, {r('first(resid_sigma)')} AS sigma
+FROM res JOIN sig USING (event_type) GROUP BY ALL"""
+    o["conditional_sigmas"] = _with(*hour_sigma_ctes()) + f"SELECT event_type, hour, n, {r('hour_sigma')} AS hour_sigma FROM cs"
+    o["var_buffer"] = _with(*split_ctes("orders_daily"), *resid_ctes([], "role = 'test'")) + \
+        f"SELECT TimePeriod, {band_sql('pred', 'resid_sigma')} FROM res, sig"
+    o["hour_sigma_lookup"] = _with(*lookup_ctes()) + f"SELECT event_type, TimePeriod, {r('sigma')} AS sigma FROM lk"
+    o["next_forecast_naive"] = _with(*lookup_ctes()) + f"SELECT event_type, TimePeriod, {band_sql('LagS', 'sigma')} FROM lk"
+    ctes = split_ctes("events_panel", "events_panel_") + split_ctes("orders_panel", "orders_panel_") + [
+        mae_cte("ev2", "events_panel", "test", "LagS", "events", "event_type"),
+        mae_cte("od2", "orders_panel", "test", "LagS", "orders", "o_orderpriority"),
+        mae_cte("ev1", "events_panel", "test", "Lag1", "events", "event_type"),
+        "cand AS (SELECT model, 'v2' AS version, mae FROM ev2 UNION ALL SELECT model, 'v2' AS version, mae FROM od2)",
+        "champ AS (SELECT model, 'v1' AS champion_version, round(mae, 6) AS champion_mae FROM ev1)"]
+    o["promotion_decision"] = _with(*ctes) + f"""
+SELECT model, version, {r('round(mae, 6)')} AS holdout_mae, champion_version, {r('champion_mae')} AS champion_mae,
+  CASE WHEN mae IS NULL OR isnan(mae) OR isinf(mae) THEN 'rejected' WHEN champion_version IS NULL THEN 'champion'
+       WHEN round(mae, 6) <= coalesce(champion_mae, 'inf'::DOUBLE) - 0.0 THEN 'champion' ELSE 'challenger' END AS decision,
+  CASE WHEN mae IS NULL OR isnan(mae) OR isinf(mae) THEN false WHEN champion_version IS NULL THEN true
+       ELSE round(mae, 6) <= coalesce(champion_mae, 'inf'::DOUBLE) - 0.0 END AS promoted
+FROM cand LEFT JOIN champ USING (model)"""
+    o["score_forecasts"] = _with(*shadow_log_ctes()) + \
+        f"SELECT event_type, n_matured, {r('realised_mae')} AS realised_mae, {r('coverage_99')} AS coverage_99 FROM score"
+    o["concept_drift"] = _with(*shadow_log_ctes()) + (
+        f"SELECT event_type, n_matured, {r('realised_mae')} AS realised_mae, {r('coverage_99')} AS coverage_99, "
+        f"{r('baseline_mae')} AS baseline_mae, drift_detected FROM drift")
+    o["retrain_set"] = _with(*shadow_log_ctes()) + "SELECT DISTINCT event_type FROM drift WHERE drift_detected"
+    o["mae_degradation"] = _with(*split_ctes("events_panel")) + f"""
+SELECT event_type, {r('ref')} AS reference_mae, {r('cur')} AS current_mae, {r('(cur - ref) / (ref + 1e-9)')} AS mae_degradation,
+  (cur - ref) / (ref + 1e-9) > 0.15 AS concept_drift
+FROM (SELECT event_type, avg(CASE WHEN role = 'train' THEN abs(y - greatest(0, prediction)) END) AS ref,
+             avg(CASE WHEN role = 'test' THEN abs(y - greatest(0, prediction)) END) AS cur
+      FROM sp WHERE role <> 'insufficient_data' GROUP BY ALL)"""
+    o["data_drift"] = ks_sql()
+    o["shadow_upsert"] = _with(*split_ctes("orders_daily"),
+                               """ex AS (SELECT TimePeriod, TIMESTAMP '2000-01-01 00:00:00' AS Inferred_At,
+  round(greatest(0, Lag1), 2) AS Point_Forecast FROM sp WHERE role = 'test' AND TimePeriod <= TIMESTAMP '2000-01-01')""",
+                               """nw AS (SELECT TimePeriod, TIMESTAMP '2000-02-01 00:00:00' AS Inferred_At,
+  round(greatest(0, LagS), 2) AS Point_Forecast FROM sp WHERE role = 'test'
+  AND TimePeriod > TIMESTAMP '2000-01-01' - INTERVAL 30 DAY)""") + f"""
+SELECT TimePeriod, Inferred_At, {r('Point_Forecast')} AS Point_Forecast FROM (
+  SELECT * FROM ex WHERE TimePeriod NOT IN (SELECT TimePeriod FROM nw) UNION ALL SELECT * FROM nw)"""
+    o["request_validation"] = _with(requests_cte()) + \
+        "SELECT event_id, granularity_norm, reject_reason IS NULL AS valid, reject_reason FROM val"
+    o["request_audit"] = _with(requests_cte()) + """SELECT granularity_norm AS granularity, outcome, count(*) AS n FROM (
+  SELECT *, CASE WHEN reject_reason IS NOT NULL THEN 'rejected' WHEN point_forecast > 100000 THEN 'anomalous'
+  ELSE 'ok' END AS outcome FROM val) GROUP BY ALL"""
+    o["latency_p99"] = latency_sql()
+    o["stream_hourly"] = ("SELECT event_type, date_trunc('hour', ts) AS TimePeriod, count(*) AS Volume FROM events "
+                          "GROUP BY ALL")
+    o["stream_upsert"] = (f"SELECT user_id, max(ts) AS TimePeriod, arg_max(event_type, ts) AS event_type, "
+                          f"{r('arg_max(value, ts)')} AS value FROM events GROUP BY user_id")
+    o["rate_breaches"] = ("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events "
+                          "GROUP BY ALL HAVING count(*) > 1")
+    o["capacity_plan"] = _with(*split_ctes("events_panel"), *resid_ctes(ek, "role = 'train'")) + \
+        f"SELECT event_type, TimePeriod, {r('y')} AS y, {band_sql('prediction', 'resid_sigma')} FROM sp JOIN sig USING (event_type)"
+    return o
+
+
+ORACLES = _orc()
