@@ -62,7 +62,10 @@ def window_features(df: DataFrame, gran: str, series_cols=(), lags=None, rolling
     spans = g.ema_spans if spans is None else tuple(spans)
     lookback = max([0, *lags, *[n - 1 for n in rolling]])
     if block_size is None:
-        block_size = ema_block_size(spans) if spans else DEFAULT_BLOCK
+        block_size = DEFAULT_BLOCK
+    if spans:
+        # the in-block EMA sum scales by q^-j, which must stay finite
+        block_size = min(block_size, ema_block_size(spans))
     block_size = max(block_size, lookback)
     base_cols = [c for c in df.columns]
     x = with_blocks(_indexed(df, gran), lookback, block_size)

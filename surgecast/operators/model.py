@@ -44,8 +44,14 @@ def gbt_pipeline(feature_cols, series_cols=(), trees: int = GBT_TREES, depth: in
 
 
 def fit_gbt(frame: DataFrame, feature_cols, series_cols=(), **kw):
-    data = frame.withColumn("_series", _series_key(series_cols))
-    return gbt_pipeline(feature_cols, series_cols, **kw).fit(data)
+    """Fit the panel model. The training frame is cached for the fit (the
+    indexer and the tree learner each pass over it); a lost cached block is
+    recomputed from lineage."""
+    data = frame.withColumn("_series", _series_key(series_cols)).persist()
+    try:
+        return gbt_pipeline(feature_cols, series_cols, **kw).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict_gbt(model, frame: DataFrame, series_cols=()) -> DataFrame:

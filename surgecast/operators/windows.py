@@ -55,7 +55,7 @@ def ema_block_size(spans) -> int:
 
 
 def ema_carry_terms(span: int, block_size: int) -> int:
-    """Number of previous blocks whose weight Q^k = q^(k*B) is still above the
+    """Number of previous blocks whose weight q^(k*B) is still above the
     smallest double; older blocks carry weight that rounds to exactly 0.0."""
     q = 1.0 - 2.0 / (span + 1.0)
     return max(1, math.ceil(745.0 / (block_size * -math.log(q))) + 1)
@@ -77,31 +77,29 @@ def finish_ema(df: DataFrame, series_cols, spans, local_cols, out_cols, block_si
     """Combine in-block sums with the carry from earlier blocks (adjust=True EMA).
 
     EMA_t = (L_t + q^(j+1) C_b) / ((1 - q^(t - t0 + 1)) / (1 - q)), where C_b is the
-    numerator at the end of block b-1: C_b = sum_k Q^(k-1) T_(b-k), T = block-end
-    numerator, Q = q^B. Block summaries are n_periods / B rows per series.
+    numerator at the end of block b-1: C_b = sum_k q^(B (b-1-k)) T_k over earlier
+    blocks k, T = block-end numerator. Block summaries are n_periods / B rows per
+    series; the carry window holds the last K of them, K chosen so that older
+    weights underflow to exactly 0.0.
     """
     summ = (df.groupBy(*series_cols, BLK)
               .agg(F.min(IDX).alias("_first"),
                    *[F.max_by(F.col(c), F.col(IDX)).alias(f"_T{i}") for i, c in enumerate(local_cols)]))
-    w = Window.partitionBy(*series_cols).orderBy(BLK)
-    carries = []
-    for i, span in enumerate(spans):
-        q = 1.0 - 2.0 / (span + 1.0)
-        Qb = q ** block_size
-        terms = []
-        for k in range(1, ema_carry_terms(span, block_size) + 1):
-            weight = Qb ** (k - 1)
-            if weight == 0.0:
-                break
-            prev = F.lag(f"_T{i}", k).over(w)
-            contiguous = F.lag(BLK, k).over(w) == F.col(BLK) - F.lit(k)
-            terms.append(F.when(contiguous, prev * F.lit(weight)).otherwise(F.lit(0.0)))
-        carry = terms[0]
-        for t in terms[1:]:
-            carry = carry + t
-        carries.append(F.coalesce(carry, F.lit(0.0)).alias(f"_C{i}"))
-    summ = summ.select(*series_cols, BLK, F.min("_first").over(
-        Window.partitionBy(*series_cols)).alias("_t0"), *carries)
+    K = max(ema_carry_terms(s, block_size) for s in spans)
+    w = Window.partitionBy(*series_cols).orderBy(BLK).rowsBetween(-K, -1)
+    hist = F.collect_list(F.struct(F.col(BLK).alias("b"),
+                                   *[F.col(f"_T{i}").alias(f"t{i}") for i in range(len(spans))])).over(w)
+    def carry_fn(i: int, q: float):
+        def add(acc, h):
+            dist = (F.lit(block_size) * (F.col(BLK) - 1 - h["b"])).cast("double")
+            return acc + h[f"t{i}"] * F.pow(F.lit(q), dist)
+        return add
+
+    carries = [F.aggregate(F.col("_hist"), F.lit(0.0), carry_fn(i, 1.0 - 2.0 / (span + 1.0))).alias(f"_C{i}")
+               for i, span in enumerate(spans)]
+    summ = (summ.select(*series_cols, BLK, hist.alias("_hist"),
+                        F.min("_first").over(Window.partitionBy(*series_cols)).alias("_t0"))
+                .select(*series_cols, BLK, "_t0", *carries))
     out = df.join(summ, on=[*series_cols, BLK], how="inner")
     exprs = []
     for i, span in enumerate(spans):
