@@ -16,7 +16,7 @@ from ..functions.calendar import calendar_columns, entity_key
 from ..functions.timestamps import period_from_index, period_index
 from .common import attach
 from .windows import (BLK, DEFAULT_BLOCK, HALO, IDX, block_window, drop_halo, ema_block_size,
-                      ema_local, finish_ema, with_blocks)
+                      ema_local, ema_summary, finish_ema, with_blocks)
 
 
 def _indexed(df: DataFrame, gran: str) -> DataFrame:
@@ -68,11 +68,13 @@ def window_features(df: DataFrame, gran: str, series_cols=(), lags=None, rolling
         block_size = min(block_size, ema_block_size(spans))
     block_size = max(block_size, lookback)
     base_cols = [c for c in df.columns]
-    x = with_blocks(_indexed(df, gran), lookback, block_size)
+    x = with_blocks(_indexed(df, gran), lookback, block_size, series_cols)
     cols, ema = nowcast_columns(gran, series_cols, lags, rolling, spans, block_size)
+    summary = (ema_summary(x, F.col("Volume"), series_cols, [s for _, s, _ in ema], block_size)
+               if ema else None)
     x = drop_halo(x.select("*", *cols))
     if ema:
-        x = finish_ema(x, series_cols, [s for _, s, _ in ema], [l for l, _, _ in ema],
+        x = finish_ema(x, summary, series_cols, [s for _, s, _ in ema], [l for l, _, _ in ema],
                        [o for _, _, o in ema], block_size)
     feats = [c for c in x.columns if c not in base_cols and not c.startswith("_")]
     extra: list[Column] = []
@@ -133,7 +135,7 @@ def _past_only(x: DataFrame, gran: str, series_cols, block_size: int) -> DataFra
     cols = [lag1.alias("Lag1"), F.lag(v, S).over(w).alias("LagS"), (lag1 - lag2).alias("PrevDelta1"),
             (lag1 - F.lag(v, S + 1).over(w)).alias("PrevDeltaS"),
             _full(v, S, frame, F.avg).alias("RollMean"), _full(v, S, frame, F.stddev_samp).alias("RollStd")]
-    return drop_halo(with_blocks(x, S + 1, block_size).select("*", *cols))
+    return drop_halo(with_blocks(x, S + 1, block_size, series_cols).select("*", *cols))
 
 
 def past_only_features(df: DataFrame, gran: str = "D", series_cols=(), block_size: int = DEFAULT_BLOCK) -> DataFrame:

@@ -71,12 +71,17 @@ def count_per_period(df: DataFrame, ts_col: str, gran: str, series_cols=()) -> D
 
 
 def _series_bounds(agg: DataFrame, series_cols, bounds: str) -> DataFrame:
-    b = agg.groupBy(*series_cols).agg(F.min(IDX).alias("_lo"), F.max(IDX).alias("_hi"))
+    # Bounds read the counted rows (Volume > 0 always holds there): written on the
+    # grouping key alone, Catalyst would re-aggregate the raw scan instead of
+    # reusing the count's shuffle.
+    present = F.col("Volume") > 0
+    b = agg.groupBy(*series_cols).agg(F.min(F.when(present, F.col(IDX))).alias("_lo"),
+                                      F.max(F.when(present, F.col(IDX))).alias("_hi"))
     if bounds == "series" or not series_cols:
         return b
     if bounds != "global":
         raise ValueError("bounds must be 'series' or 'global'")
-    g = agg.agg(F.min(IDX).alias("_glo"), F.max(IDX).alias("_ghi")).withColumn("_k", F.lit(1))
+    g = b.agg(F.min("_lo").alias("_glo"), F.max("_hi").alias("_ghi")).withColumn("_k", F.lit(1))
     # One-row side: broadcast is bounded by construction.
     return (b.withColumn("_k", F.lit(1)).join(F.broadcast(g), "_k")
              .select(*series_cols, F.col("_glo").alias("_lo"), F.col("_ghi").alias("_hi")))
@@ -95,11 +100,16 @@ def gap_fill(agg: DataFrame, series_cols, gran: str, value_cols=("Volume",), bou
     C = F.lit(int(chunk))
     chunks = b.select(*series_cols, "_lo", "_hi",
                       F.explode(F.sequence(F.floor(F.col("_lo") / C), F.floor(F.col("_hi") / C))).alias("_c"))
+    # spread the chunks of one long series over tasks before expanding them
+    chunks = chunks.repartition(*series_cols, "_c")
     cal = chunks.select(*series_cols, F.explode(F.sequence(
         F.greatest(F.col("_lo"), F.col("_c") * C),
         F.least(F.col("_hi"), F.col("_c") * C + C - 1))).alias(IDX))
-    filled = cal.join(agg, on=[*series_cols, IDX], how="left")
-    return filled.select(*series_cols, IDX, *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in value_cols])
+    # Union + grouped sum instead of a join: no join-inferred filters, so the
+    # count shuffle feeding both the bounds and this union stays one shared stage.
+    zeros = cal.select(*series_cols, IDX, *[F.lit(0).cast("long").alias(v) for v in value_cols])
+    both = agg.select(*series_cols, IDX, *[F.col(v).cast("long").alias(v) for v in value_cols]).unionByName(zeros)
+    return both.groupBy(*series_cols, IDX).agg(*[F.sum(v).alias(v) for v in value_cols])
 
 
 def demand(df: DataFrame, ts_col: str, gran: str, series_cols=(), fill: bool = True,

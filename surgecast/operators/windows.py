@@ -24,7 +24,7 @@ HALO = "_halo"
 DEFAULT_BLOCK = 4096
 
 
-def with_blocks(df: DataFrame, lookback: int, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+def with_blocks(df: DataFrame, lookback: int, block_size: int = DEFAULT_BLOCK, series_cols=()) -> DataFrame:
     """Add ``_blk`` and ``_halo``; rows near a block end are emitted twice."""
     if lookback > block_size:
         raise ValueError(f"lookback {lookback} exceeds block size {block_size}")
@@ -35,8 +35,12 @@ def with_blocks(df: DataFrame, lookback: int, block_size: int = DEFAULT_BLOCK) -
     else:
         tail = F.pmod(F.col(IDX), B) >= F.lit(block_size - lookback)
         blocks = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
-    return (df.withColumn(BLK, F.explode(blocks))
-              .withColumn(HALO, F.col(BLK) != F.floor(F.col(IDX) / B)))
+    out = (df.withColumn(BLK, F.explode(blocks))
+             .withColumn(HALO, F.col(BLK) != F.floor(F.col(IDX) / B)))
+    # Hash on (series, block) explicitly: a child partitioned on the series key
+    # alone would also satisfy the window's clustering and keep every block of a
+    # series (or, without a key, the whole table) in one task.
+    return out.repartition(*series_cols, BLK)
 
 
 def block_window(series_cols) -> Window:
@@ -73,22 +77,32 @@ def ema_local(value: Column, span: int, series_cols, block_size: int) -> Column:
     return F.pow(F.lit(q), j) * F.sum(scaled).over(w)
 
 
-def finish_ema(df: DataFrame, series_cols, spans, local_cols, out_cols, block_size: int) -> DataFrame:
-    """Combine in-block sums with the carry from earlier blocks (adjust=True EMA).
+def ema_summary(blocked: DataFrame, value, series_cols, spans, block_size: int) -> DataFrame:
+    """Per (series, block): carry-in numerators C_b for every span, and the series start t0.
 
-    EMA_t = (L_t + q^(j+1) C_b) / ((1 - q^(t - t0 + 1)) / (1 - q)), where C_b is the
-    numerator at the end of block b-1: C_b = sum_k q^(B (b-1-k)) T_k over earlier
-    blocks k, T = block-end numerator. Block summaries are n_periods / B rows per
-    series; the carry window holds the last K of them, K chosen so that older
-    weights underflow to exactly 0.0.
+    T_b, the EMA numerator at the end of block b, is a plain grouped sum
+    sum_k q^(end_b - k) x_k over the block's own rows (exponent < B, so it stays
+    finite), read from the blocked input rather than from the window output, so
+    the big window is evaluated once. The carry into block b is
+    C_b = sum_k q^(B (b-1-k)) T_k over the last K earlier blocks, K chosen so that
+    older weights underflow to exactly 0.0. The summary holds n_periods / B rows
+    per series.
     """
-    summ = (df.groupBy(*series_cols, BLK)
-              .agg(F.min(IDX).alias("_first"),
-                   *[F.max_by(F.col(c), F.col(IDX)).alias(f"_T{i}") for i, c in enumerate(local_cols)]))
+    # Halo rows are skipped inside the aggregates (not filtered first), so this
+    # branch reads the very same (series, block) shuffle as the window.
+    own = ~F.col(HALO)
+    end = (F.col(BLK) + 1) * F.lit(block_size) - 1
+    tails = []
+    for i, span in enumerate(spans):
+        q = 1.0 - 2.0 / (span + 1.0)
+        term = value.cast("double") * F.pow(F.lit(q), (end - F.col(IDX)).cast("double"))
+        tails.append(F.sum(F.when(own, term)).alias(f"_T{i}"))
+    summ = blocked.groupBy(*series_cols, BLK).agg(F.min(F.when(own, F.col(IDX))).alias("_first"), *tails)
     K = max(ema_carry_terms(s, block_size) for s in spans)
     w = Window.partitionBy(*series_cols).orderBy(BLK).rowsBetween(-K, -1)
     hist = F.collect_list(F.struct(F.col(BLK).alias("b"),
                                    *[F.col(f"_T{i}").alias(f"t{i}") for i in range(len(spans))])).over(w)
+
     def carry_fn(i: int, q: float):
         def add(acc, h):
             dist = (F.lit(block_size) * (F.col(BLK) - 1 - h["b"])).cast("double")
@@ -97,10 +111,15 @@ def finish_ema(df: DataFrame, series_cols, spans, local_cols, out_cols, block_si
 
     carries = [F.aggregate(F.col("_hist"), F.lit(0.0), carry_fn(i, 1.0 - 2.0 / (span + 1.0))).alias(f"_C{i}")
                for i, span in enumerate(spans)]
-    summ = (summ.select(*series_cols, BLK, hist.alias("_hist"),
+    return (summ.select(*series_cols, BLK, hist.alias("_hist"),
                         F.min("_first").over(Window.partitionBy(*series_cols)).alias("_t0"))
                 .select(*series_cols, BLK, "_t0", *carries))
-    out = df.join(summ, on=[*series_cols, BLK], how="inner")
+
+
+def finish_ema(df: DataFrame, summary: DataFrame, series_cols, spans, local_cols, out_cols,
+               block_size: int) -> DataFrame:
+    """EMA_t = (L_t + q^(j+1) C_b) / ((1 - q^(t - t0 + 1)) / (1 - q))  (adjust=True)."""
+    out = df.join(summary, on=[*series_cols, BLK], how="inner")
     exprs = []
     for i, span in enumerate(spans):
         q = 1.0 - 2.0 / (span + 1.0)
