@@ -79,7 +79,16 @@ def train_job(spark: SparkSession, agg_path: str, gran: str, as_of, series_cols=
                          list(series_cols), trees=trees)
     if model.finite_gate(model.predict_gbt(full, tf, list(series_cols))) != 0:
         raise ValueError(f"{gran} forecaster produced non-finite predictions - aborting.")
-    return full, attach(mae, g.select(*series_cols, "garch_sigma"), list(series_cols))
+    # Every series gets a row: too-short series keep the fixed fallback sigma and
+    # an infinite holdout MAE, so the promotion gate never promotes them (M6).
+    status = split.groupBy(*series_cols).agg(F.max("n_rows").alias("n_rows"))
+    out = attach(status, attach(mae, g.select(*series_cols, "garch_sigma"), list(series_cols)), list(series_cols),
+                 how="left")
+    return full, out.select(*series_cols, "n_rows",
+                            F.coalesce("holdout_mae", F.lit(float("inf"))).alias("holdout_mae"),
+                            F.coalesce("garch_sigma", F.lit(risk.fallback_sigma(gran))).alias("garch_sigma"),
+                            F.when(F.col("holdout_mae").isNull(), "insufficient_data").otherwise("trained")
+                             .alias("status"))
 
 
 def monitor_job(spark: SparkSession, log_path: str, agg_path: str, baselines: DataFrame, series_cols=()) -> DataFrame:

@@ -48,7 +48,7 @@ def test_train_job_returns_model_and_metrics(spark, agg_root):
 
     model, metrics = jobs.train_job(spark, f"{agg_root}/hourly", "H", "2024-01-30 00:00:00", ["event_type"], trees=3)
     rows = metrics.collect()
-    assert len(rows) == 5 and all(r.holdout_mae >= 0 and r.garch_sigma > 0 for r in rows)
+    assert len(rows) == 5 and all(r.holdout_mae >= 0 and r.garch_sigma > 0 and r.status == "trained" for r in rows)
 
 
 def test_stream_upsert_latest_per_key(spark):
@@ -111,3 +111,22 @@ def test_feature_view_source_and_ts_resolution(spark, tmp_path):
     assert fv.columns == ["TimePeriod", "Volume_Lag1"]
     assert resolve_ts_column(spark.createDataFrame([(1, 2)], "a int, pickup_datetime int")) == "pickup_datetime"
     assert resolve_ts_column(spark.createDataFrame([(1, 2)], "a int, b int")) == "a"
+
+
+def test_typed_aggregate_read_and_summary_sink(spark, tmp_path):
+    import datetime as dt
+
+    from surgecast.operators import monitoring
+    from surgecast.sources import files, sinks
+
+    agg = spark.createDataFrame([(dt.datetime(2024, 1, 1), 5), (dt.datetime(2024, 1, 2), 7)],
+                                "TimePeriod timestamp, Volume long")
+    sinks.write_aggregate(agg, str(tmp_path / "daily.csv"), fmt="csv")
+    back = files.read_aggregate(spark, str(tmp_path / "daily.csv"), fmt="csv")
+    assert [f.dataType.simpleString() for f in back.schema.fields] == ["timestamp", "bigint"]
+    assert sorted(r.Volume for r in back.collect()) == [5, 7]
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    rep = monitoring.data_drift(ev.filter("ts < '2024-01-20'"), ev.filter("ts >= '2024-01-20'"), ["value"])
+    sinks.write_summary(rep, str(tmp_path / "drift"))
+    sinks.write_summary(rep, str(tmp_path / "drift"))
+    assert spark.read.parquet(str(tmp_path / "drift")).count() == 2
