@@ -17,6 +17,7 @@ from ..operators import audit, features as feat, ingest, model, monitoring, pii,
 from ..operators.common import attach
 from ..sources import files, sinks
 from ..streaming import incremental
+from ..session import ensure_checkpoint_dir
 from .tidy import tidy
 
 
@@ -47,6 +48,15 @@ def series(spark, sf_dir, spec, as_of=None) -> DataFrame:
     name, ts, keys, gran = spec
     clean_df = clean(spark, sf_dir, name, ts, keys, as_of)
     return ingest.demand(clean_df, ts, gran, list(keys))
+
+
+def ingested(spark, sf_dir, spec) -> DataFrame:
+    """The demand table as the ingest job leaves it: computed once from the raw
+    events and checkpointed into the shared ``spark.checkpoint.dir`` (reliable,
+    survives executor loss). Queries that read one series several times (split,
+    next step, actuals) then scan the raw table once, not once per branch."""
+    ensure_checkpoint_dir(spark)
+    return series(spark, sf_dir, spec).checkpoint(eager=True)
     return ingest.demand(clean, ts, gran, list(keys))
 
 
@@ -206,14 +216,15 @@ def q_pii_redact(spark, sf_dir):
 
 # ------------------------------------------------- seasonal-naive backtests, risk
 
-def naive_split(spark, sf_dir, spec):
+def naive_split(spark, sf_dir, spec, demand=None):
     _, _, keys, gran = spec
-    tf = feat.training_frame(series(spark, sf_dir, spec), gran, list(keys))
+    d = demand if demand is not None else series(spark, sf_dir, spec)
+    tf = feat.training_frame(d, gran, list(keys))
     return model.seasonal_naive(feat.holdout_split(tf, gran, list(keys)))
 
 
-def naive_test_residuals(spark, sf_dir, spec):
-    sp = naive_split(spark, sf_dir, spec)
+def naive_test_residuals(spark, sf_dir, spec, demand=None):
+    sp = naive_split(spark, sf_dir, spec, demand)
     return model.residuals(sp.filter(F.col("role") == "test"), list(spec[2]))
 
 
@@ -222,8 +233,8 @@ def q_backtest_metrics(spark, sf_dir):
     return tidy(model.backtest_metrics(sp.filter(F.col("role") == "test"), ["event_type"]))
 
 
-def all_residuals(spark, sf_dir, spec):
-    sp = naive_split(spark, sf_dir, spec)
+def all_residuals(spark, sf_dir, spec, demand=None):
+    sp = naive_split(spark, sf_dir, spec, demand)
     return model.residuals(sp.filter(F.col("role") != "insufficient_data"), list(spec[2]))
 
 
@@ -253,10 +264,10 @@ def q_garch_sigma(spark, sf_dir):
     return tidy(risk.garch_sigma(res, ["event_type"], fallback=fb))
 
 
-def _versions(spark, sf_dir):
+def _versions(spark, sf_dir, demand=None):
     """Model-version rows per event type: global sigma (residual std) and the
     per-hour sigma JSON tag, built from the seasonal-naive residuals."""
-    res = all_residuals(spark, sf_dir, EVENTS_PANEL)
+    res = all_residuals(spark, sf_dir, EVENTS_PANEL, demand)
     fb = risk.residual_sigma(res, ["event_type"])
     hs = risk.hour_sigma_json(risk.conditional_sigmas(res, fb, ["event_type"], fallback_col="resid_sigma"),
                               ["event_type"])
@@ -264,15 +275,17 @@ def _versions(spark, sf_dir):
 
 
 def q_hour_sigma_lookup(spark, sf_dir):
-    nxt = feat.next_step_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"])
-    out = risk.hour_sigma_lookup(nxt.select("event_type", "TimePeriod"), _versions(spark, sf_dir), ["event_type"])
+    d = ingested(spark, sf_dir, EVENTS_PANEL)
+    nxt = feat.next_step_features(d, "H", ["event_type"])
+    out = risk.hour_sigma_lookup(nxt.select("event_type", "TimePeriod"), _versions(spark, sf_dir, d), ["event_type"])
     return tidy(out.select("event_type", "TimePeriod", "sigma"))
 
 
 def q_next_forecast_naive(spark, sf_dir):
-    nxt = feat.next_step_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"])
+    d = ingested(spark, sf_dir, EVENTS_PANEL)
+    nxt = feat.next_step_features(d, "H", ["event_type"])
     x = risk.hour_sigma_lookup(nxt.select("event_type", "TimePeriod", F.col("LagS").alias("point")),
-                               _versions(spark, sf_dir), ["event_type"])
+                               _versions(spark, sf_dir, d), ["event_type"])
     return tidy(risk.var_band(x, "point", "sigma"))
 
 
@@ -294,60 +307,62 @@ def q_gbt_nowcast(spark, sf_dir):
 
 
 def q_next_forecast(spark, sf_dir):
-    d = series(spark, sf_dir, EVENTS_PANEL)
+    d = ingested(spark, sf_dir, EVENTS_PANEL)
     tf = feat.training_frame(d, "H", ["event_type"])
     m = model.fit_gbt(tf, feat.feature_columns("H"), ["event_type"], trees=20)
     nxt = feat.next_step_features(d, "H", ["event_type"])
     pred = model.predict_gbt(m, nxt, ["event_type"])
     x = risk.hour_sigma_lookup(pred.select("event_type", "TimePeriod", F.col("prediction").alias("point")),
-                               _versions(spark, sf_dir), ["event_type"])
+                               _versions(spark, sf_dir, d), ["event_type"])
     return tidy(risk.var_band(x, "point", "sigma"))
 
 
 # ------------------------------------------------------ promotion and monitoring
 
-def _model_mae(spark, sf_dir, spec, role, pred_col):
+def _model_mae(spark, sf_dir, spec, role, pred_col, demand=None):
     keys = list(spec[2])
-    sp = naive_split(spark, sf_dir, spec).filter(F.col("role") == role)
+    sp = naive_split(spark, sf_dir, spec, demand).filter(F.col("role") == role)
     err = F.abs(F.col("y") - clip0(F.col(pred_col)))
     return sp.groupBy(*keys).agg(F.avg(err).alias("mae"))
 
 
 def q_promotion_decision(spark, sf_dir):
-    ev = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "LagS")
+    d = ingested(spark, sf_dir, EVENTS_PANEL)
+    ev = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "LagS", d)
     od = _model_mae(spark, sf_dir, ORDERS_PANEL, "test", "LagS")
     cands = (ev.select(F.concat(F.lit("events:"), "event_type").alias("model"), "mae")
              .unionByName(od.select(F.concat(F.lit("orders:"), "o_orderpriority").alias("model"), "mae"))
              .select("model", F.lit("v2").alias("version"), F.col("mae").alias("holdout_mae")))
-    champs = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "Lag1").select(
+    champs = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "Lag1", d).select(
         F.concat(F.lit("events:"), "event_type").alias("model"), F.lit("v1").alias("champion_version"),
         F.round("mae", 6).alias("champion_mae"))
     return tidy(promotion.promotion_decision(cands, champs, ["model"]))
 
 
-def shadow_log(spark, sf_dir, spec=EVENTS_PANEL):
+def shadow_log(spark, sf_dir, spec=EVENTS_PANEL, demand=None):
     """Forecast log rows: seasonal-naive point and 99% band for every test period
     plus the next period, per series."""
     keys = list(spec[2])
-    res = naive_test_residuals(spark, sf_dir, spec)
+    demand = demand if demand is not None else series(spark, sf_dir, spec)
+    res = naive_test_residuals(spark, sf_dir, spec, demand)
     sig = risk.residual_sigma(res, keys)
     test = attach(res, sig, keys).select(*keys, "TimePeriod", F.col("pred").alias("point"),
                                          F.col("resid_sigma").alias("sigma"))
-    nxt = feat.next_step_features(series(spark, sf_dir, spec), spec[3], keys)
+    nxt = feat.next_step_features(demand, spec[3], keys)
     nxt = attach(nxt.select(*keys, "TimePeriod", F.col("LagS").alias("point")),
                  sig.select(*keys, F.col("resid_sigma").alias("sigma")), keys)
     return risk.var_band(test.unionByName(nxt), "point", "sigma")
 
 
 def q_score_forecasts(spark, sf_dir):
-    log = shadow_log(spark, sf_dir)
-    return tidy(monitoring.score_forecasts(log, series(spark, sf_dir, EVENTS_PANEL), ["event_type"]))
+    d = ingested(spark, sf_dir, EVENTS_PANEL)
+    return tidy(monitoring.score_forecasts(shadow_log(spark, sf_dir, EVENTS_PANEL, d), d, ["event_type"]))
 
 
 def _drift(spark, sf_dir):
-    summary = monitoring.score_forecasts(shadow_log(spark, sf_dir), series(spark, sf_dir, EVENTS_PANEL),
-                                         ["event_type"])
-    base = _model_mae(spark, sf_dir, EVENTS_PANEL, "train", "LagS").select(
+    d = ingested(spark, sf_dir, EVENTS_PANEL)
+    summary = monitoring.score_forecasts(shadow_log(spark, sf_dir, EVENTS_PANEL, d), d, ["event_type"])
+    base = _model_mae(spark, sf_dir, EVENTS_PANEL, "train", "LagS", d).select(
         "event_type", F.round("mae", 6).alias("baseline_mae"))
     return monitoring.concept_drift(summary, base, ["event_type"])
 
