@@ -462,7 +462,7 @@ def _latest_event(batch):
 def q_stream_upsert(spark, sf_dir):
     out = incremental.run_upsert_stream(spark, f"{sf_dir}/events.parquet", _latest_event, ["user_id"],
                                         partition_col=None)
-    return tidy(spark.read.parquet(out))
+    return tidy(spark.read.parquet(out).drop("key_bucket"))
 
 
 def q_rate_breaches(spark, sf_dir):

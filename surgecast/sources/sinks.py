@@ -31,34 +31,37 @@ def upsert_merge(existing: DataFrame | None, rows: DataFrame, key_cols) -> DataF
 
 
 def upsert_log(spark: SparkSession, rows: DataFrame, path: str, key_cols=("TimePeriod",),
-               ts_col: str = "TimePeriod", partition_col: str | None = "month") -> None:
-    """Idempotent keyed upsert into a Parquet table.
+               ts_col: str = "TimePeriod", partition_col: str | None = "month", key_buckets: int = 64) -> None:
+    """Idempotent keyed upsert into a partitioned Parquet table.
 
-    With ``partition_col='month'`` (keys that contain the period) the table is
-    partitioned by the month of ``ts_col`` and only months touched by ``rows``
-    are rewritten: their merged content is staged under the shared checkpoint
-    folder, then written over those partitions with dynamic partition overwrite.
-    With ``partition_col=None`` (keys without a period, e.g. an online table
-    keyed by entity) the merged table is staged and then replaces the target.
-    Reading and overwriting the same path in one job is never done, and
-    re-running a batch gives the same table.
+    * ``partition_col='month'`` (keys containing the period): partitions are the
+      month of ``ts_col``;
+    * ``partition_col=None`` (entity keys, e.g. one row per client): partitions
+      are ``key_buckets`` hash buckets of the key.
+
+    Only partitions touched by ``rows`` are rewritten: their merged content
+    (anti-join + union) is staged under the shared checkpoint folder, then
+    written over exactly those partitions with dynamic partition overwrite. The
+    table is never read and overwritten by the same job, and re-running a batch
+    gives the same table.
     """
-    parts = [partition_col] if partition_col else []
     if partition_col:
-        rows = rows.withColumn(partition_col, F.date_format(F.col(ts_col).cast("timestamp_ntz"), "yyyy-MM"))
+        part = partition_col
+        rows = rows.withColumn(part, F.date_format(F.col(ts_col).cast("timestamp_ntz"), "yyyy-MM"))
+    else:
+        part = "key_bucket"
+        rows = rows.withColumn(part, F.pmod(F.xxhash64(*key_cols), F.lit(key_buckets)).cast("int"))
     if not path_exists(spark, path):
-        rows.write.mode("overwrite").partitionBy(*parts).parquet(path)
+        rows.write.mode("overwrite").partitionBy(part).parquet(path)
         return
     existing = spark.read.parquet(path)
-    current = existing.join(rows.select(*parts).distinct(), parts, "left_semi") if parts else existing
+    current = existing.join(rows.select(part).distinct(), part, "left_semi")
     merged = upsert_merge(current, rows, [*key_cols])
     stage = scratch_path(spark, "upsert-stage")
-    merged.write.mode("overwrite").partitionBy(*parts).parquet(stage)
+    merged.write.mode("overwrite").partitionBy(part).parquet(stage)
     staged = spark.read.parquet(stage).select(*existing.columns)
-    writer = staged.write.mode("overwrite").partitionBy(*parts)
-    if parts:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(part).parquet(path))
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -58,9 +58,19 @@ def test_stream_upsert_latest_per_key(spark):
     out = incremental.run_upsert_stream(spark, f"{SF}/events.parquet", _latest_event, ["user_id"], partition_col=None)
     got = spark.read.parquet(out)
     ev = spark.read.parquet(f"{SF}/events.parquet")
-    assert got.count() == ev.select("user_id").distinct().count()
+    n_keys = got.count()
+    assert n_keys == ev.select("user_id").distinct().count()
+    # a second batch touching one key rewrites only that key's bucket
+    one = spark.createDataFrame(got.filter("user_id = 1").drop("key_bucket").withColumn("value", F.lit(-1.0)).collect(),
+                                got.drop("key_bucket").schema)
+    from surgecast.sources.sinks import upsert_log
+
+    upsert_log(spark, one, out, ["user_id"], partition_col=None)
+    again = spark.read.parquet(out)
+    assert again.count() == n_keys
+    assert again.filter("user_id = 1").first().value == -1.0
     latest = ev.groupBy("user_id").agg(F.max("ts").alias("m"))
-    j = got.join(latest, "user_id")
+    j = again.join(latest, "user_id")
     assert j.filter(F.col("TimePeriod").cast("timestamp_ntz") != F.col("m")).count() == 0
 
 
