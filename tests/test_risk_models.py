@@ -124,3 +124,12 @@ def test_champion_without_mae_counts_as_inf(spark):
     cands = spark.createDataFrame([("m", "v2", 50.0)], "model string, version string, holdout_mae double")
     champs = spark.createDataFrame([("m", "v1", None)], "model string, champion_version string, champion_mae double")
     assert promotion.promotion_decision(cands, champs, ["model"]).first().decision == "champion"
+
+
+def test_mc_var_with_spark_draws(spark):
+    df = spark.createDataFrame([(100.0, 10.0), (0.0, 3.0)], "point double, sigma double")
+    out = risk.mc_var(df, "point", "sigma", 0.99).collect()
+    z = out[0].z_q
+    assert abs(z - standard_quantile(0.99)) < 0.15  # a different generator, same distribution
+    assert out[0].mc_buffer == pytest.approx(round(100.0 + 10.0 * z, 2))
+    assert all(r.mc_buffer >= max(r.point, 0) for r in out)
