@@ -73,7 +73,8 @@ def histogram_quantile(hist: DataFrame, q: float, group_cols=()) -> DataFrame:
 def artifact_hashes(spark, path_glob: str) -> DataFrame:
     """SHA-256 and size of every file matching ``path_glob``."""
     files = spark.read.format("binaryFile").load(path_glob)
-    return files.select(F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("sha256"))
+    return files.select(F.col("path"), F.element_at(F.split(F.col("path"), "/"), -1).alias("file"),
+                        F.col("length"), F.sha2(F.col("content"), 256).alias("sha256"))
 
 
 def verify_artifacts(hashes: DataFrame, manifest: DataFrame) -> DataFrame:

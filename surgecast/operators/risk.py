@@ -97,7 +97,10 @@ _LL = """aggregate(e, named_struct('s2', v0, 'll', 0D, 'pe2', v0),
 def _score(arrays: DataFrame, series_cols, grid_col) -> DataFrame:
     x = arrays.select(*series_cols, "e", "v0", "n_resid", F.explode(grid_col).alias("g"))
     x = x.select(*series_cols, "n_resid", "v0", "g", F.expr(_LL).alias("st"))
-    return x.groupBy(*series_cols).agg(F.max_by(F.struct("g", "st", "v0", "n_resid"), F.col("st.ll")).alias("best"))
+    # Highest likelihood; near-ties (the likelihood is flat in beta when alpha = 0)
+    # go to the smaller beta, then the smaller alpha, so the pick is deterministic.
+    key = F.struct(F.round(F.col("st.ll"), 8).alias("ll"), (-F.col("g.b")).alias("nb"), (-F.col("g.a")).alias("na"))
+    return x.groupBy(*series_cols).agg(F.max_by(F.struct("g", "st", "v0", "n_resid"), key).alias("best"))
 
 
 def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", order_col: str = "TimePeriod",

@@ -443,7 +443,7 @@ def q_latency_p99(spark, sf_dir):
 
 
 def q_artifact_manifest(spark, sf_dir):
-    return tidy(audit.artifact_hashes(spark, f"{sf_dir}/*.parquet"))
+    return tidy(audit.artifact_hashes(spark, f"{sf_dir}/*.parquet").drop("path"))
 
 
 # ------------------------------------------------------------------- streaming
