@@ -161,22 +161,26 @@ def training_frame(df: DataFrame, gran: str = "D", series_cols=(), block_size: i
 def next_step_features(df: DataFrame, gran: str = "D", series_cols=()) -> DataFrame:
     """One row per series: the past-only features of the period after its last one.
 
-    Only the last S+1 periods of each series are read into the window.
+    Only the last S+2 periods of each series are kept (a group-limited window,
+    limited per partition before its shuffle); an empty row for the next period
+    is appended and flagged, and the same past-only window as W5 runs over
+    these few rows.
     """
     S = _season(gran)
-    x = _indexed(df, gran)
-    last = x.groupBy(*series_cols).agg(F.max(IDX).alias("_last"))
-    tail = attach(x, last, series_cols)
-    tail = tail.filter(F.col(IDX) >= F.col("_last") - F.lit(S + 1))
-    nxt = last.select(*series_cols, (F.col("_last") + 1).alias(IDX), F.col("_last"))
-    nxt = nxt.select(*series_cols, period_from_index(F.col(IDX), gran).alias("TimePeriod"),
-                     F.lit(None).cast("double").alias("Volume"), IDX, "_last")
-    both = tail.select(*series_cols, "TimePeriod", F.col("Volume").cast("double").alias("Volume"), IDX, "_last") \
-               .unionByName(nxt)
+    x = _indexed(df, gran).select(*series_cols, "TimePeriod", F.col("Volume").cast("double").alias("Volume"), IDX)
+    w = Window.partitionBy(*series_cols).orderBy(F.col(IDX).desc())
+    tail = x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= S + 2)
+    # the latest row of each series also emits the (empty) next period
+    k = F.explode(F.when(F.col("_rn") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    both = tail.select("*", k.alias("_k")).select(
+        *series_cols,
+        F.when(F.col("_k") == 1, period_from_index(F.col(IDX) + 1, gran)).otherwise(F.col("TimePeriod")).alias("TimePeriod"),
+        F.when(F.col("_k") == 0, F.col("Volume")).alias("Volume"),
+        (F.col(IDX) + F.col("_k")).alias(IDX),
+        (F.col("_k") == 1).alias("_next"))
     feats = _past_only(both, gran, series_cols, block_size=max(DEFAULT_BLOCK, 2 * (S + 2)))
-    feats = feats.filter(F.col(IDX) == F.col("_last") + 1)
-    return feats.select(*series_cols, "TimePeriod", *feature_columns(gran)[:6],
-                        *calendar_columns(F.col("TimePeriod"), gran))
+    return feats.filter(F.col("_next")).select(*series_cols, "TimePeriod", *feature_columns(gran)[:6],
+                                               *calendar_columns(F.col("TimePeriod"), gran))
 
 
 def series_extent(df: DataFrame, gran: str, series_cols=()) -> DataFrame:

@@ -125,12 +125,12 @@ def q_range_filter(spark, sf_dir):
 
 
 def q_recent_window(spark, sf_dir):
-    d = series(spark, sf_dir, ORDERS_DAILY)
+    d = ingested(spark, sf_dir, ORDERS_DAILY)
     return tidy(ingest.recent_window(d, "2001-08-01 00:00:00", days=7))
 
 
 def q_asof_recent60(spark, sf_dir):
-    d = series(spark, sf_dir, ORDERS_PANEL)
+    d = ingested(spark, sf_dir, ORDERS_PANEL)
     return tidy(feat.latest_periods(ingest.bound_as_of(d, "2000-06-30 00:00:00"), 60, ["o_orderpriority"]))
 
 
@@ -142,7 +142,7 @@ def q_rollup_consistency(spark, sf_dir):
 
 
 def q_data_profile(spark, sf_dir):
-    return tidy(ingest.data_profile(series(spark, sf_dir, ORDERS_PANEL), ["o_orderpriority"]))
+    return tidy(ingest.data_profile(ingested(spark, sf_dir, ORDERS_PANEL), ["o_orderpriority"]))
 
 
 # ------------------------------------------------------------------- features
