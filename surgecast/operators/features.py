@@ -15,7 +15,7 @@ from ..config import FEATURE_VIEW_FIELDS, HOLDOUT_FRACTION, MIN_TRAIN_ROWS, gran
 from ..functions.calendar import calendar_columns, entity_key
 from ..functions.timestamps import period_from_index, period_index
 from .common import attach
-from .windows import (BLK, DEFAULT_BLOCK, HALO, IDX, block_window, drop_halo, ema_block_size,
+from .windows import (DEFAULT_BLOCK, IDX, block_window, drop_halo, ema_block_size,
                       ema_local, ema_summary, finish_ema, with_blocks)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import GBT_DEPTH, GBT_DEPTH_SMALL, GBT_MIN_INSTANCES, GBT_STEP, GBT_TREES, SMALL_TRAIN_ROWS
-from ..functions.risk import clip0, standard_quantile, var_expr
+from ..functions.risk import clip0, var_expr
 from .common import attach
 from .risk import garch_sigma, residual_sigma
 
@@ -102,7 +102,3 @@ def backtest_metrics(test_pred: DataFrame, series_cols=(), confidence: float = 0
         (F.avg(err / F.greatest(F.col("y"), F.lit(1.0))) * 100).alias("mape"),
         (F.avg((F.col("y") <= upper).cast("double")) * 100).alias("coverage"),
         F.first("resid_sigma").alias("sigma"))
-
-
-def z_quantile(confidence: float) -> float:
-    return standard_quantile(confidence)
