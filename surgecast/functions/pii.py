@@ -20,10 +20,15 @@ PII_PATTERNS = {
 REQUIRED_CHAR = {"email": "@", "ssn": "-"}
 
 
+# Java regex classes are ASCII by default; (?U) makes \d, \s, \w and \b
+# Unicode-aware, as they are in Python's re for str patterns.
+UNICODE = "(?U)"
+
+
 def matches(col: Column, pattern_name: str) -> Column:
     """True where the (non-null) value contains the pattern."""
     text = col.cast("string")
-    hit = text.rlike(PII_PATTERNS[pattern_name])
+    hit = text.rlike(UNICODE + PII_PATTERNS[pattern_name])
     need = REQUIRED_CHAR.get(pattern_name)
     if need is None:
         return hit
