@@ -450,7 +450,7 @@ def q_artifact_manifest(spark, sf_dir):
 
 def q_stream_hourly(spark, sf_dir):
     out = incremental.run_hourly_stream(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"])
-    return tidy(spark.read.parquet(out))
+    return tidy(spark.read.parquet(out).drop("month"))
 
 
 def _latest_event(batch):

@@ -30,6 +30,18 @@ def upsert_merge(existing: DataFrame | None, rows: DataFrame, key_cols) -> DataF
     return keep.unionByName(rows, allowMissingColumns=True)
 
 
+def _read_existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current table, or None when the path is missing or holds no data files."""
+    from pyspark.errors import AnalysisException
+
+    if not path_exists(spark, path):
+        return None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def upsert_log(spark: SparkSession, rows: DataFrame, path: str, key_cols=("TimePeriod",),
                ts_col: str = "TimePeriod", partition_col: str | None = "month", key_buckets: int = 64) -> None:
     """Idempotent keyed upsert into a partitioned Parquet table.
@@ -51,10 +63,12 @@ def upsert_log(spark: SparkSession, rows: DataFrame, path: str, key_cols=("TimeP
     else:
         part = "key_bucket"
         rows = rows.withColumn(part, F.pmod(F.xxhash64(*key_cols), F.lit(key_buckets)).cast("int"))
-    if not path_exists(spark, path):
+    if rows.isEmpty():  # e.g. an empty micro-batch: nothing to merge
+        return
+    existing = _read_existing(spark, path)
+    if existing is None:
         rows.write.mode("overwrite").partitionBy(part).parquet(path)
         return
-    existing = spark.read.parquet(path)
     current = existing.join(rows.select(part).distinct(), part, "left_semi")
     merged = upsert_merge(current, rows, [*key_cols])
     stage = scratch_path(spark, "upsert-stage")

@@ -46,19 +46,32 @@ def _stream(spark: SparkSession, path: str, schema, max_files: int | None = None
 
 def run_hourly_stream(spark: SparkSession, source_path: str, ts_col: str = "ts", series_cols=(),
                       out_path: str | None = None, checkpoint: str | None = None,
-                      watermark: str = "1 hour") -> str:
-    """Run T1 over everything available (``availableNow``), keeping the complete
-    result table at ``out_path`` (overwritten per micro-batch). Returns out_path."""
+                      watermark: str = "1 hour", output_mode: str = "update") -> str:
+    """Run T1 over everything available (``availableNow``). Returns out_path.
+
+    ``update`` (default): each micro-batch emits only the windows it changed and
+    upserts them on (series, hour) into the month-partitioned hourly table;
+    window state older than the watermark is dropped, so state stays bounded on
+    an endless stream while the table always holds every hour's latest count.
+    ``complete``: the whole result is rewritten each batch (state is never
+    dropped; only for short-lived streams).
+    """
     schema = spark.read.parquet(source_path).schema
     out_path = out_path or scratch_path(spark, "stream-hourly-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-hourly-ckpt")
     src = _stream(spark, source_path, schema).select(ts_col, *series_cols)
     counts = hourly_counts(src, ts_col, series_cols, watermark)
 
-    def sink(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    if output_mode == "update":
+        def sink(batch: DataFrame, _batch_id: int) -> None:
+            upsert_log(spark, batch, out_path, [*series_cols, "TimePeriod"], "TimePeriod", "month")
+    elif output_mode == "complete":
+        def sink(batch: DataFrame, _batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(out_path)
+    else:
+        raise ValueError("output_mode must be 'update' or 'complete'")
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (counts.writeStream.outputMode(output_mode).foreachBatch(sink)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
