@@ -30,7 +30,7 @@ def upsert_merge(existing: DataFrame | None, rows: DataFrame, key_cols) -> DataF
     return keep.unionByName(rows, allowMissingColumns=True)
 
 
-def _read_existing(spark: SparkSession, path: str) -> DataFrame | None:
+def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The current table, or None when the path is missing or holds no data files."""
     from pyspark.errors import AnalysisException
 
@@ -65,7 +65,7 @@ def upsert_log(spark: SparkSession, rows: DataFrame, path: str, key_cols=("TimeP
         rows = rows.withColumn(part, F.pmod(F.xxhash64(*key_cols), F.lit(key_buckets)).cast("int"))
     if rows.isEmpty():  # e.g. an empty micro-batch: nothing to merge
         return
-    existing = _read_existing(spark, path)
+    existing = read_table_or_none(spark, path)
     if existing is None:
         rows.write.mode("overwrite").partitionBy(part).parquet(path)
         return

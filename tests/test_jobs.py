@@ -140,3 +140,22 @@ def test_typed_aggregate_read_and_summary_sink(spark, tmp_path):
     sinks.write_summary(rep, str(tmp_path / "drift"))
     sinks.write_summary(rep, str(tmp_path / "drift"))
     assert spark.read.parquet(str(tmp_path / "drift")).count() == 2
+
+
+def test_online_store_incremental_equals_full(spark, tmp_path):
+    from surgecast.operators import features as feat
+    from surgecast.plans import catalog
+    from surgecast.sources.online import materialize_incremental, read_online
+
+    d = catalog.series(spark, SF, catalog.EVENTS_PANEL)
+    f = feat.past_only_features(d, "H", ["event_type"])
+    path = str(tmp_path / "online")
+    n1 = materialize_incremental(spark, f, path, ["event_type"], "2024-01-10 00:00:00")
+    n2 = materialize_incremental(spark, f, path, ["event_type"], "2024-01-20 00:00:00")
+    n3 = materialize_incremental(spark, f, path, ["event_type"], "2024-01-20 00:00:00")
+    assert n1 == 5 and n2 == 5 and n3 == 0
+    inc = read_online(spark, path, "2024-01-20 00:00:00", 48 * 3600 * 10**6)
+    full = feat.online_latest(f, "2024-01-20 00:00:00", 48 * 3600 * 10**6, ["event_type"])
+    cols = sorted(full.columns)
+    assert inc.select(cols).exceptAll(full.select(cols)).count() == 0
+    assert full.select(cols).exceptAll(inc.select(cols)).count() == 0
