@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import granularity
+from ..config import FEATURE_VIEW_FIELDS, granularity
 from ..functions.risk import band_columns, clip0
 from ..operators import audit, features as feat, ingest, model, monitoring, pii, promotion, quality, risk
 from ..operators.common import attach
@@ -299,7 +299,7 @@ def q_gbt_forecast(spark, sf_dir):
 
 def q_gbt_nowcast(spark, sf_dir):
     f = feat.nowcast_features(series(spark, sf_dir, ORDERS_DAILY), "D").withColumn("y", F.col("Volume").cast("double"))
-    cols = list(FEATURE_VIEW_D)
+    cols = list(FEATURE_VIEW_FIELDS["D"])
     m = model.fit_gbt(f, cols, trees=20, depth=4)
     latest = feat.latest_row(f)
     pred = model.predict_gbt(m, latest).withColumn("sigma", F.lit(risk.fallback_sigma("D")))
@@ -483,11 +483,6 @@ def q_capacity_plan(spark, sf_dir):
     return tidy(risk.var_band(x, "point", "sigma"))
 
 
-FEATURE_VIEW_D = ("Volume_Lag1", "Volume_LagDelta1", "Volume_Lag7", "Volume_LagDelta7",
-                  "Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear",
-                  "Regime_0", "Regime_1", "Regime_2")
-
-
 QUERIES = {
     "scan_raw": q_scan_raw,
     "monthly_union": q_monthly_union,

@@ -93,3 +93,20 @@ def run_upsert_stream(spark: SparkSession, source_path: str, transform, key_cols
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return target_path
+
+
+def run_rate_breach_stream(spark: SparkSession, source_path: str, client_col: str = "user_id", ts_col: str = "ts",
+                           limit: int = RATE_LIMIT_PER_MINUTE, out_path: str | None = None,
+                           checkpoint: str | None = None, watermark: str = "1 minute") -> str:
+    """Run T3 as a stream: per-client minute counts with a watermark, appended
+    once each minute is final (state is dropped behind the watermark).
+    Breaches are written to ``out_path`` (Parquet, append)."""
+    schema = spark.read.parquet(source_path).schema
+    out_path = out_path or scratch_path(spark, "stream-rate-out")
+    checkpoint = checkpoint or scratch_path(spark, "stream-rate-ckpt")
+    src = _stream(spark, source_path, schema).select(client_col, ts_col)
+    breaches = rate_breaches(src, client_col, ts_col, limit, watermark)
+    q = (breaches.writeStream.outputMode("append").format("parquet").option("path", out_path)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out_path
