@@ -57,7 +57,7 @@ def ks_critical(alpha: float = 0.05) -> float:
 
 
 def data_drift(reference: DataFrame, current: DataFrame, columns, alpha: float = 0.05,
-               share_threshold: float = DATA_DRIFT_SHARE, n_blocks: int = 64) -> DataFrame:
+               share_threshold: float = DATA_DRIFT_SHARE, n_blocks: int | None = None) -> DataFrame:
     """Per column two-sample Kolmogorov-Smirnov statistic, drift flag at ``alpha``
     (asymptotic critical value), and the dataset-level drifted share (P3).
 
@@ -75,6 +75,9 @@ def data_drift(reference: DataFrame, current: DataFrame, columns, alpha: float =
     both = both.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("c_ref"),
                                                   F.count_if(F.col("side") == 1).alias("c_cur"))
+    if n_blocks is None:
+        # one value range per shuffle partition: the block count follows the cluster size
+        n_blocks = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange(n_blocks, "feature", "value").withColumn("_blk", F.spark_partition_id())
     blk_tot = ranged.groupBy("feature", "_blk").agg(F.sum("c_ref").alias("_br"), F.sum("c_cur").alias("_bc"))
     wb = Window.partitionBy("feature").orderBy("_blk")

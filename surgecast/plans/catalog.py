@@ -294,6 +294,8 @@ def q_next_forecast_naive(spark, sf_dir):
 def q_gbt_forecast(spark, sf_dir):
     sp = naive_split(spark, sf_dir, EVENTS_PANEL).drop("prediction")
     pred = model.gbt_holdout(sp, feat.feature_columns("H"), ["event_type"], trees=20)
+    if model.finite_gate(pred) != 0:  # F16: never publish non-finite predictions
+        raise ValueError("gbt_forecast produced non-finite predictions")
     return tidy(pred.select("event_type", "TimePeriod", "y", "prediction"))
 
 
