@@ -97,7 +97,7 @@ def nowcast_sql(src, keys, gran, lags, rolling, spans, calendar=True, regime=Tru
     if calendar:
         outer.append(calendar_sql(gran, raw=True))
     if regime:
-        outer.append("1.0 AS Regime_0, 0.0 AS Regime_1, 0.0 AS Regime_2")
+        outer.append("CAST(1.0 AS DOUBLE) AS Regime_0, CAST(0.0 AS DOUBLE) AS Regime_1, CAST(0.0 AS DOUBLE) AS Regime_2")
     where = (" WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in names)) if dropna and names else ""
     return f"SELECT {', '.join(outer)} FROM ({inner}) t{where}"
 
