@@ -33,7 +33,7 @@ ORDERS_PANEL = ("orders", "o_orderdate", ("o_orderpriority",), "D")
 LINEITEM_DAILY = ("lineitem", "l_shipdate", (), "D")
 
 
-# Lower time bound per table: the reference's 2009 bound for event data, the
+# Lower time bound per table: the 2009 cleaning bound for event data, the
 # TPC-H calendar start for the order tables.
 MIN_TS = {"orders": "1992-01-01 00:00:00", "lineitem": "1992-01-01 00:00:00"}
 

@@ -10,7 +10,7 @@ from ..operators.monitoring import ks_critical
 from .tidy import r
 
 def MIN_TS(tbl):
-    """Lower time bound per table: the reference's 2009 bound for event data, the
+    """Lower time bound per table: the 2009 cleaning bound for event data, the
     TPC-H calendar start for the order tables."""
     return "TIMESTAMP '1992-01-01 00:00:00'" if tbl in ("orders", "lineitem") else "TIMESTAMP '2009-01-01 00:00:00'"
 TRUNC = {"H": "hour", "D": "day"}
