@@ -233,6 +233,13 @@ def q_backtest_metrics(spark, sf_dir):
     return tidy(model.backtest_metrics(sp.filter(F.col("role") == "test"), ["event_type"]))
 
 
+def q_backtest_metrics_garch(spark, sf_dir):
+    """The backtest report with the band sigma from GARCH(1,1) on the holdout
+    residuals (residual std as the fallback)."""
+    sp = naive_split(spark, sf_dir, EVENTS_PANEL)
+    return tidy(model.backtest_metrics(sp.filter(F.col("role") == "test"), ["event_type"], sigma="garch"))
+
+
 def all_residuals(spark, sf_dir, spec, demand=None):
     sp = naive_split(spark, sf_dir, spec, demand)
     return model.residuals(sp.filter(F.col("role") != "insufficient_data"), list(spec[2]))
@@ -516,6 +523,7 @@ QUERIES = {
     "pii_gate": q_pii_gate,
     "pii_redact": q_pii_redact,
     "backtest_metrics": q_backtest_metrics,
+    "backtest_metrics_garch": q_backtest_metrics_garch,
     "conditional_sigmas": q_conditional_sigmas,
     "var_buffer": q_var_buffer,
     "mc_var": q_mc_var,

@@ -280,7 +280,7 @@ def latency_sql():
         f"SELECT granularity, CAST(arg_min(tot, le) AS BIGINT) AS n, {r('arg_min(v, le)')} AS p99 FROM y GROUP BY ALL"
 
 
-def garch_sql():
+def garch_ctes():
     """GARCH(1,1) grid search as a recursive CTE (one row per series x grid point
     x step): an independent formulation of the same likelihood and grids."""
     def rec(name, grid):
@@ -324,11 +324,24 @@ def garch_sql():
               sqrt(ok.v0 * (1 - a - b) + a * pe2 + b * s2) AS gs FROM b2 JOIN ok USING (event_type))""",
     ]
     good = "fit.gs IS NOT NULL AND isfinite(fit.gs) AND fit.gs > 0"
-    return "WITH RECURSIVE " + _with(*ctes)[len("WITH "):] + f"""SELECT st.event_type, st.n_resid, {r('fit.alpha')} AS alpha, {r('fit.beta')} AS beta,
-  {r('fit.omega')} AS omega, {r('fit.loglik')} AS loglik,
-  {r(f'CASE WHEN {good} THEN fit.gs ELSE sig.resid_sigma END')} AS garch_sigma,
+    ctes.append(f"""gsig AS (SELECT st.event_type, st.n_resid, fit.alpha, fit.beta, fit.omega, fit.loglik,
+  CASE WHEN {good} THEN fit.gs ELSE sig.resid_sigma END AS garch_sigma,
   CASE WHEN {good} THEN 'garch' ELSE 'fallback' END AS sigma_source
-FROM st LEFT JOIN fit USING (event_type) LEFT JOIN sig USING (event_type)"""
+  FROM st LEFT JOIN fit USING (event_type) LEFT JOIN sig USING (event_type))""")
+    return ctes
+
+
+def garch_sql():
+    return "WITH RECURSIVE " + _with(*garch_ctes())[len("WITH "):] + f"""SELECT event_type, n_resid,
+  {r('alpha')} AS alpha, {r('beta')} AS beta, {r('omega')} AS omega, {r('loglik')} AS loglik,
+  {r('garch_sigma')} AS garch_sigma, sigma_source FROM gsig"""
+
+
+def backtest_garch_sql():
+    return "WITH RECURSIVE " + _with(*garch_ctes())[len("WITH "):] + f"""
+SELECT event_type, count(*) AS n, {r('avg(abs(resid))')} AS mae, {r('avg(abs(resid) / greatest(y, 1.0)) * 100')} AS mape,
+  {r(f"avg(CAST(y <= {var_sql('pred', 'garch_sigma')} AS DOUBLE)) * 100")} AS coverage, {r('first(garch_sigma)')} AS sigma
+FROM res JOIN gsig USING (event_type) GROUP BY event_type"""
 
 
 NOWCAST_D = ((1, 7, 14, 28), (7, 14, 28), (7, 14, 28))
@@ -443,6 +456,7 @@ FROM (SELECT event_type, avg(CASE WHEN role = 'train' THEN abs(y - greatest(0, p
       FROM sp WHERE role <> 'insufficient_data' GROUP BY ALL)"""
     o["data_drift"] = ks_sql()
     o["garch_sigma"] = garch_sql()
+    o["backtest_metrics_garch"] = backtest_garch_sql()
     o["shadow_upsert"] = _with(*split_ctes("orders_daily"),
                                """ex AS (SELECT TimePeriod, TIMESTAMP '2000-01-01 00:00:00' AS Inferred_At,
   round(greatest(0, Lag1), 2) AS Point_Forecast FROM sp WHERE role = 'test' AND TimePeriod <= TIMESTAMP '2000-01-01')""",
