@@ -272,13 +272,14 @@ def q_garch_sigma(spark, sf_dir):
 
 
 def _versions(spark, sf_dir, demand=None):
-    """Model-version rows per event type: global sigma (residual std) and the
-    per-hour sigma JSON tag, built from the seasonal-naive residuals."""
-    res = all_residuals(spark, sf_dir, EVENTS_PANEL, demand)
-    fb = risk.residual_sigma(res, ["event_type"])
-    hs = risk.hour_sigma_json(risk.conditional_sigmas(res, fb, ["event_type"], fallback_col="resid_sigma"),
-                              ["event_type"])
-    return fb.join(hs, "event_type").select("event_type", F.col("resid_sigma").alias("garch_sigma"), "hour_sigmas")
+    """Model-version rows per event type, as training leaves them: the GARCH
+    sigma of the holdout residuals (their std as fallback) and the per-hour
+    sigma JSON tag from the same residuals, with the GARCH sigma as fallback."""
+    keys = ["event_type"]
+    res = naive_test_residuals(spark, sf_dir, EVENTS_PANEL, demand)
+    g = risk.garch_sigma(res, keys, fallback=risk.residual_sigma(res, keys)).select(*keys, "garch_sigma")
+    hs = risk.hour_sigma_json(risk.conditional_sigmas(res, g, keys, fallback_col="garch_sigma"), keys)
+    return g.join(hs, keys, "left")
 
 
 def q_hour_sigma_lookup(spark, sf_dir):

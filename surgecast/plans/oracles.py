@@ -194,10 +194,17 @@ def hour_sigma_ctes():
 
 
 def lookup_ctes():
-    return hour_sigma_ctes() + next_step_ctes(["event_type"], "H") + [
-        """lk AS (SELECT ns.*, coalesce(round(cs.hour_sigma, 4), sig.resid_sigma) AS sigma FROM ns
-              LEFT JOIN cs ON cs.event_type = ns.event_type AND cs.hour = hour(ns.TimePeriod)
-              LEFT JOIN sig ON sig.event_type = ns.event_type)"""]
+    """Versions from the holdout residuals (GARCH global sigma, per-hour sigmas
+    with it as fallback), looked up for each series' next period."""
+    return garch_ctes() + [
+        """vh AS (SELECT event_type, CAST(hour(TimePeriod) AS INTEGER) AS hour, count(*) AS n,
+              stddev_pop(resid) AS s, count_if(NOT isfinite(resid)) AS bad FROM res GROUP BY ALL)""",
+        """vc AS (SELECT vh.event_type, hour, CASE WHEN n >= 20 AND bad = 0 THEN greatest(s, 0.5)
+              ELSE gsig.garch_sigma END AS hour_sigma FROM vh LEFT JOIN gsig USING (event_type))""",
+    ] + next_step_ctes(["event_type"], "H") + [
+        """lk AS (SELECT ns.*, coalesce(round(vc.hour_sigma, 4), gsig.garch_sigma) AS sigma FROM ns
+              LEFT JOIN vc ON vc.event_type = ns.event_type AND vc.hour = hour(ns.TimePeriod)
+              LEFT JOIN gsig ON gsig.event_type = ns.event_type)"""]
 
 
 def mae_cte(name, spec_name, role, pred, model_prefix, key):
@@ -427,8 +434,10 @@ FROM res JOIN sig USING (event_type) GROUP BY ALL"""
     o["conditional_sigmas"] = _with(*hour_sigma_ctes()) + f"SELECT event_type, hour, n, {r('hour_sigma')} AS hour_sigma FROM cs"
     o["var_buffer"] = _with(*split_ctes("orders_daily"), *resid_ctes([], "role = 'test'")) + \
         f"SELECT TimePeriod, {band_sql('pred', 'resid_sigma')} FROM res, sig"
-    o["hour_sigma_lookup"] = _with(*lookup_ctes()) + f"SELECT event_type, TimePeriod, {r('sigma')} AS sigma FROM lk"
-    o["next_forecast_naive"] = _with(*lookup_ctes()) + f"SELECT event_type, TimePeriod, {band_sql('LagS', 'sigma')} FROM lk"
+    o["hour_sigma_lookup"] = "WITH RECURSIVE " + _with(*lookup_ctes())[len("WITH "):] + \
+        f"SELECT event_type, TimePeriod, {r('sigma')} AS sigma FROM lk"
+    o["next_forecast_naive"] = "WITH RECURSIVE " + _with(*lookup_ctes())[len("WITH "):] + \
+        f"SELECT event_type, TimePeriod, {band_sql('LagS', 'sigma')} FROM lk"
     ctes = split_ctes("events_panel", "events_panel_") + split_ctes("orders_panel", "orders_panel_") + [
         mae_cte("ev2", "events_panel", "test", "LagS", "events", "event_type"),
         mae_cte("od2", "orders_panel", "test", "LagS", "orders", "o_orderpriority"),
