@@ -81,26 +81,37 @@ def mc_var(forecasts: DataFrame, point_col="point", sigma_col="sigma", confidenc
 
 # ------------------------------------------------------------------ GARCH(1,1)
 
-def _grid(alphas, betas):
-    return F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))
-                     for a in alphas for b in betas if a + b < 0.999])
+def _grid(points) -> F.Column:
+    return F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in points])
 
 
-_LL = """aggregate(e, named_struct('s2', v0, 'll', 0D, 'pe2', v0),
-  (acc, x) -> named_struct(
-     's2', v0 * (1 - g.a - g.b) + g.a * acc.pe2 + g.b * acc.s2,
-     'll', acc.ll - 0.5 * (ln(v0 * (1 - g.a - g.b) + g.a * acc.pe2 + g.b * acc.s2)
-                 + x * x / (v0 * (1 - g.a - g.b) + g.a * acc.pe2 + g.b * acc.s2)),
-     'pe2', x * x))"""
+COARSE_GRID = [(i * 0.02, j * 0.05) for i in range(16) for j in range(20) if i * 0.02 + j * 0.05 < 0.999]
+FINE_STEPS = [(da, db) for da in (-0.01, -0.005, 0.0, 0.005, 0.01) for db in (-0.025, -0.0125, 0.0, 0.0125, 0.025)]
 
 
-def _score(arrays: DataFrame, series_cols, grid_col) -> DataFrame:
-    x = arrays.select(*series_cols, "e", "v0", "n_resid", F.explode(grid_col).alias("g"))
-    x = x.select(*series_cols, "n_resid", "v0", "g", F.expr(_LL).alias("st"))
-    # Highest likelihood; near-ties (the likelihood is flat in beta when alpha = 0)
-    # go to the smaller beta, then the smaller alpha, so the pick is deterministic.
-    key = F.struct(F.round(F.col("st.ll"), 8).alias("ll"), (-F.col("g.b")).alias("nb"), (-F.col("g.a")).alias("na"))
-    return x.groupBy(*series_cols).agg(F.max_by(F.struct("g", "st", "v0", "n_resid"), key).alias("best"))
+def _loglik(e: F.Column, v0: F.Column, g) -> F.Column:
+    """Gaussian GARCH(1,1) recursion over the residual array with variance
+    targeting; returns the final (s2, ll, pe2) state."""
+    omega = v0 * (F.lit(1.0) - g["a"] - g["b"])
+
+    def step(acc, x):
+        s2 = omega + g["a"] * acc["pe2"] + g["b"] * acc["s2"]
+        return F.struct(s2.alias("s2"), (acc["ll"] - F.lit(0.5) * (F.log(s2) + x * x / s2)).alias("ll"),
+                        (x * x).alias("pe2"))
+
+    init = F.struct(v0.alias("s2"), F.lit(0.0).alias("ll"), v0.alias("pe2"))
+    return F.aggregate(e, init, step)
+
+
+def _best(grid: F.Column, e: F.Column, v0: F.Column) -> F.Column:
+    """Score every grid point and keep the best: highest likelihood, near-ties
+    (flat in beta when alpha = 0) to the smaller beta, then the smaller alpha."""
+    scored = F.transform(grid, lambda g: F.struct(g.alias("g"), _loglik(e, v0, g).alias("st")))
+
+    def key(x):
+        return F.struct(F.round(x["st"]["ll"], 8).alias("ll"), (-x["g"]["b"]).alias("nb"), (-x["g"]["a"]).alias("na"))
+
+    return F.aggregate(scored, F.element_at(scored, 1), lambda acc, x: F.when(key(x) > key(acc), x).otherwise(acc))
 
 
 def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", order_col: str = "TimePeriod",
@@ -110,9 +121,11 @@ def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", orde
 
     De-meaned residuals, variance targeting (omega = var * (1 - a - b)), Gaussian
     likelihood maximised on a coarse (a, b) grid and refined once around the
-    winner; each likelihood is one SQL ``aggregate`` over the series' residual
-    array (the holdout tail, bounded by the number of periods). Series with
-    fewer than ``min_resid`` or non-finite residuals get the fallback sigma.
+    winner. The whole fit is one projection over one row per series: the
+    residual array (the holdout tail, bounded by the number of periods) is
+    scored with ``transform``/``aggregate`` higher-order functions, so there is
+    no explode, shuffle or join per grid point. Series with fewer than
+    ``min_resid`` or non-finite residuals get the fallback sigma.
     """
     r = F.col(resid_col).cast("double")
     arrays = (resid.groupBy(*series_cols)
@@ -120,26 +133,22 @@ def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", orde
                         F.count(F.lit(1)).alias("n_resid"),
                         F.count_if(~F.coalesce(_finite(r), F.lit(False))).alias("_bad"),
                         F.avg(r).alias("_mu")))
-    arrays = arrays.select(*series_cols, "n_resid", "_bad",
-                           F.transform(F.col("_rs"), lambda s: s["r"] - F.col("_mu")).alias("e"))
-    arrays = arrays.withColumn("v0", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x * x) / F.col("n_resid"))
-    ok = arrays.filter((F.col("n_resid") >= min_resid) & (F.col("_bad") == 0) & (F.col("v0") > 0))
-    coarse = _grid([i * 0.02 for i in range(0, 16)], [j * 0.05 for j in range(0, 20)])
-    best = _score(ok.withColumn("_grid", coarse), series_cols, "_grid")
-    a0, b0 = F.col("best.g.a"), F.col("best.g.b")
+    x = arrays.select(*series_cols, "n_resid", "_bad",
+                      F.transform(F.col("_rs"), lambda s: s["r"] - F.col("_mu")).alias("e"))
+    x = x.withColumn("v0", F.aggregate("e", F.lit(0.0), lambda acc, v: acc + v * v) / F.col("n_resid"))
+    ok = (F.col("n_resid") >= min_resid) & (F.col("_bad") == 0) & (F.col("v0") > 0)
+    e, v0 = F.col("e"), F.col("v0")
+    x = x.withColumn("_c", F.when(ok, _best(_grid(COARSE_GRID), e, v0)))
+    a0, b0 = F.col("_c.g.a"), F.col("_c.g.b")
     fine = F.filter(F.array(*[F.struct(F.greatest(a0 + F.lit(da), F.lit(0.0)).alias("a"),
-                                       F.greatest(b0 + F.lit(db), F.lit(0.0)).alias("b"))
-                              for da in (-0.01, -0.005, 0.0, 0.005, 0.01)
-                              for db in (-0.025, -0.0125, 0.0, 0.0125, 0.025)]),
+                                       F.greatest(b0 + F.lit(db), F.lit(0.0)).alias("b")) for da, db in FINE_STEPS]),
                     lambda g: (g["a"] + g["b"]) < F.lit(0.999))
-    refined = _score(attach(ok, best.select(*series_cols, fine.alias("_grid")), series_cols),
-                     series_cols, "_grid")
+    x = x.withColumn("best", F.when(ok, _best(fine, e, v0)))
     b = F.col("best")
-    omega = b["v0"] * (1 - b["g"]["a"] - b["g"]["b"])
+    omega = v0 * (1 - b["g"]["a"] - b["g"]["b"])
     nxt = omega + b["g"]["a"] * b["st"]["pe2"] + b["g"]["b"] * b["st"]["s2"]
-    fitted = refined.select(*series_cols, b["g"]["a"].alias("alpha"), b["g"]["b"].alias("beta"),
-                            omega.alias("omega"), F.sqrt(nxt).alias("_gs"), b["st"]["ll"].alias("loglik"))
-    out = attach(arrays.select(*series_cols, "n_resid"), fitted, series_cols, how="left")
+    out = x.select(*series_cols, "n_resid", b["g"]["a"].alias("alpha"), b["g"]["b"].alias("beta"),
+                   omega.alias("omega"), b["st"]["ll"].alias("loglik"), F.sqrt(nxt).alias("_gs"))
     if fallback is not None:
         out = attach(out, fallback.select(*series_cols, F.col(fallback_col).alias("_fb")), series_cols, how="left")
     else:

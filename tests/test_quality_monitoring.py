@@ -125,3 +125,9 @@ def test_run_task_unknown_raises(spark):
 
     with pytest.raises(ValueError):
         run_task("nope", spark)
+
+
+def test_missing_columns_rejected(spark):
+    df = spark.createDataFrame([(1.0,)], "Volume double")
+    with pytest.raises(quality.DataQualityError):
+        quality.validate_demand(df)
