@@ -60,6 +60,8 @@ def window_features(df: DataFrame, gran: str, series_cols=(), lags=None, rolling
     lags = g.lags if lags is None else tuple(lags)
     rolling = g.rolling if rolling is None else tuple(rolling)
     spans = g.ema_spans if spans is None else tuple(spans)
+    if any(sp <= 1 for sp in spans):
+        raise ValueError("EMA spans must be greater than 1")
     lookback = max([0, *lags, *[n - 1 for n in rolling]])
     if block_size is None:
         block_size = DEFAULT_BLOCK
