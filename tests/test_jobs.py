@@ -159,3 +159,18 @@ def test_online_store_incremental_equals_full(spark, tmp_path):
     cols = sorted(full.columns)
     assert inc.select(cols).exceptAll(full.select(cols)).count() == 0
     assert full.select(cols).exceptAll(inc.select(cols)).count() == 0
+
+
+def test_ingest_job_redacts_pii_and_resolves_stamp(spark, tmp_path):
+    import datetime as dt
+
+    from surgecast.plans import jobs
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=20 * i), f"user{i}@example.com") for i in range(90)]
+    raw = spark.createDataFrame(rows, "trip_id long, CreatedStamp timestamp, note string")
+    raw.write.parquet(str(tmp_path / "raw.parquet"))
+    out = jobs.ingest_job(spark, str(tmp_path / "raw.parquet"), str(tmp_path / "agg"))
+    assert {(r["column"], r["pattern"]) for r in out["pii_report"]} == {("note", "email")}
+    hourly = spark.read.parquet(out["hourly"])
+    assert hourly.columns == ["TimePeriod", "Volume"] and hourly.agg(F.sum("Volume")).first()[0] == 90
+    assert hourly.count() == 30
