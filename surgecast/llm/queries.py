@@ -5,16 +5,42 @@ Each query applies its operator to its whole table and derives the digest column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash
+from ..session import scratch_path
+from . import minhash, tokenfile, tokens
 from .common import documents
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = tokens.encode(documents(spark, sf_dir), ranks)
+    return tokens.decode(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept", "set_id")
 
 
-QUERIES = {"op7_minhash_near_dedup": op7_minhash_near_dedup}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    rows = tokenfile.encoded(documents(spark, sf_dir), spec, end_id=1)
+    path = tokenfile.write(rows, scratch_path(spark, "token-files"), vocabulary=49_408)
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_token_files": op8_token_files,
+    "op9_token_counts": op9_token_counts,
+}
 
 ORACLES: dict[str, str] = {}
