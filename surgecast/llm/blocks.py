@@ -44,6 +44,40 @@ def unpack(data: bytes, dtype=None):
     return np.frombuffer(out, np.uint8).reshape(width, -1).T.copy().view(dtype).reshape(-1)
 
 
+_DIRECT, _ONCE = 230, 255
+
+
+def pack_stream(stream: np.ndarray, count: np.ndarray) -> bytes:
+    """Word numbers (frequent words low, words met once last and in text order): a
+    byte for each, two more for numbers past ``_DIRECT``.  A word met once needs its
+    mark alone: the next such mark is the next such word."""
+    repeated = int((count > 1).sum())
+    once, far = stream >= repeated, (stream >= _DIRECT) & (stream < repeated)
+    if repeated >= (_ONCE - _DIRECT) << 16:
+        raise ValueError("a block has too many words")
+    first = np.where(once, _ONCE, np.where(far, _DIRECT + (stream >> 16), stream)).astype(np.uint8)
+    a = pack(first)
+    return repeated.to_bytes(8, "little") + len(a).to_bytes(8, "little") + a + pack(stream[far].astype(np.uint16))
+
+
+def unpack_stream(data: bytes) -> np.ndarray:
+    repeated, cut = int.from_bytes(data[:8], "little"), 16 + int.from_bytes(data[8:16], "little")
+    first = unpack(data[16:cut], np.uint8)
+    out = first.astype(np.uint32)
+    far, once = np.flatnonzero((first >= _DIRECT) & (first < _ONCE)), np.flatnonzero(first == _ONCE)
+    out[far] = (out[far] - _DIRECT) << 16 | unpack(data[cut:], np.uint16)
+    out[once] = repeated + np.arange(len(once))
+    return out
+
+
+def pack_rising(numbers: np.ndarray) -> bytes:
+    return pack(np.diff(numbers, prepend=0).astype(np.uint32))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint32)).astype(np.uint32)
+
+
 def pack_words(words: list[bytes]) -> bytes:
     lengths = np.array([len(w) for w in words], np.uint32)
     return len(words).to_bytes(8, "little") + len(x := pack(lengths)).to_bytes(8, "little") + x + pack(b"".join(words))
@@ -64,7 +98,7 @@ def build(docs: DataFrame, id_col: str, text_col: str, chunks: Callable[[list[st
     """The block table ``(block, bucket, ids, numbers, data, weights)``.
 
     A block has one row of bucket -1 (its ids, words per document in ``numbers``,
-    word numbers in ``data``) and one per bucket (word numbers, words, and with
+    its stream in ``data``) and one per bucket (word numbers, words, and with
     ``weigh`` (ids -> 0/1 each) how often the word stands in documents of weight 1).
     """
 
@@ -81,25 +115,27 @@ def build(docs: DataFrame, id_col: str, text_col: str, chunks: Callable[[list[st
             lengths = np.concatenate(state["lengths"])
             stream = np.concatenate(state["stream"]) if state["stream"] else np.zeros(0, np.int64)
             words = list(state["words"])
-            order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")  # frequent words get low numbers
+            count, met = np.bincount(stream, minlength=len(words)), np.empty(len(words), np.int64)
+            met[stream[::-1]] = np.arange(len(stream) - 1, -1, -1)
+            order = np.lexsort((met, -count))  # frequent words get low numbers, then those met earlier
             number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words), dtype=np.uint32)
-            stream = number[stream]
+            stream, words = number[stream], [words[i] for i in order]
             weight = None
             if weigh is not None:
                 own = np.repeat(np.asarray(weigh(state["ids"]), bool), lengths)
                 weight = np.bincount(stream[own], minlength=len(words)).astype(np.uint32)
             block = part << 32 | state["seq"]
             state["seq"] += 1
-            yield row(block, -1, state["ids"], pack(lengths.astype(np.uint32)), pack(stream), None)
+            yield row(block, -1, state["ids"], pack(lengths.astype(np.uint32)), pack_stream(stream, count), None)
             place = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
             by = np.argsort(place, kind="stable")
             edge = np.searchsorted(place[by], np.arange(buckets + 1)).tolist()
             for k in range(buckets):
                 if edge[k] < edge[k + 1]:
                     own = by[edge[k] : edge[k + 1]]
-                    yield row(block, k, None, pack(number[own]), pack_words([words[i] for i in own]),
-                              None if weight is None else pack(weight[number[own]]))
+                    yield row(block, k, None, pack_rising(own), pack_words([words[i] for i in own]),
+                              None if weight is None else pack(weight[own]))
             fresh()
 
         def row(block, bucket, ids, numbers, data, weights):

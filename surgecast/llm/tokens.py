@@ -58,12 +58,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     answers = blocks.answer(made, reply, "block long, numbers binary, data binary, more binary")
 
     def assemble(head, rows):
-        number = np.concatenate([blocks.unpack(r["numbers"], np.uint32) for r in rows]) if rows else np.zeros(0, np.uint32)
+        number = np.concatenate([blocks.unpack_rising(r["numbers"]) for r in rows]) if rows else np.zeros(0, np.uint32)
         flat = np.concatenate([blocks.unpack(r["data"], np.uint32) for r in rows]) if rows else number
         count = np.concatenate([blocks.unpack(r["more"], np.uint32) for r in rows]).astype(np.int64) if rows else number
         size, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         size[number], begin[number] = count, np.cumsum(count) - count
-        stream, lengths = blocks.unpack(head["data"], np.uint32), blocks.unpack(head["numbers"], np.uint32).astype(np.int64)
+        stream, lengths = blocks.unpack_stream(head["data"]), blocks.unpack(head["numbers"], np.uint32).astype(np.int64)
         edge = np.concatenate(([0], np.cumsum(lengths)))
         for a, b in slices(lengths, 500_000):
             which = stream[edge[a] : edge[b]]
