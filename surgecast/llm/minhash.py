@@ -50,12 +50,12 @@ def _sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray, np.
 
 
 def signatures(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, set_id, sig)``: set_id is a hash of the whole set (null
-    if empty), sig the packed 32-bit minima (null if empty)."""
+    """``(id, key, n_shingles, set_id, sig)``: key is a hash of the text, set_id one of
+    the whole set (null if empty), sig the packed 32-bit minima (null if empty)."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             n, ids, sigs = [], [], []
             for _, value, cut in _sets(texts, width):
                 size = np.diff(cut)
@@ -71,12 +71,12 @@ def signatures(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
                 signed = own_id.view(np.int64).tolist()
                 ids.extend(x if s else None for x, s in zip(signed, size))
                 sigs.extend(low[i].tobytes() if s else None for i, s in enumerate(size))
-            yield pa.record_batch({id_col: batch.column(0), "n_shingles": pa.array(n, pa.int64()),
+            yield pa.record_batch({id_col: batch.column(0), "key": batch.column(1), "n_shingles": pa.array(n, pa.int64()),
                                    "set_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs, pa.binary())})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_bytes(text_col).alias("_b")).mapInArrow(
-        run, f"`{id_col}` {kind}, n_shingles long, set_id long, sig binary")
+    return docs.select(id_col, F.xxhash64(text_col).alias("key"), text_bytes(text_col).alias("_b")).mapInArrow(
+        run, f"`{id_col}` {kind}, key long, n_shingles long, set_id long, sig binary")
 
 
 def _agree(loads: list[bytes]):
@@ -144,8 +144,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     """Groups of near duplicates.
 
     Returns ``(id, n_shingles, set_id, component_id, kept)``, one row for each
-    row of ``docs``: set_id names the class of equal sets (null if empty),
-    component_id is the smallest id of the group.  Texts without words (null,
+    row of ``docs``: set_id names the class of equal sets and group the group (both
+    null if empty), key is ``xxhash64`` of the text, component_id the smallest id of
+    the group.  Texts without words (null,
     empty, blank) link with nothing.  Repeated rows come back repeated; rows with
     a null id link like others, but never name a group unless it has no other id.
     """
@@ -184,5 +185,5 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     least = (grouped.where("_group is not null").groupBy("_group").agg(F.min(id_col).alias("component_id")))
     out = grouped.join(least, "_group", "left").withColumn(
         "component_id", F.when(F.col("set_id").isNull(), F.col(id_col)).otherwise(F.col("component_id")))
-    return out.select(id_col, "n_shingles", "set_id", "component_id",
+    return out.select(id_col, "key", "n_shingles", "set_id", F.col("_group").alias("group"), "component_id",
                       F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
