@@ -23,10 +23,6 @@ class Granularity:
     season: int | None       # past-only season S (W5); None when not supported
     ttl_us: int | None       # online-store time-to-live (W13)
 
-    @property
-    def max_lookback(self) -> int:
-        return max(max(self.lags), max(self.rolling), (self.season or 0) + 1)
-
 
 # lag/rolling/EMA sets, seasons and TTLs per granularity.
 GRANULARITIES = {
@@ -39,7 +35,7 @@ GRANULARITIES = {
 def granularity(code: str) -> Granularity:
     key = (code or "").upper()
     if key not in GRANULARITIES:
-        raise ValueError("Granularity must be 'H', 'D', or 'W'.")
+        raise ValueError(f"unknown granularity {code!r}; known: {', '.join(GRANULARITIES)}")
     return GRANULARITIES[key]
 
 
@@ -56,7 +52,6 @@ VOLUME_MIN = 0.0
 VOLUME_MAX = 1_000_000.0
 MIN_ROWS_GATE = 30
 MIN_TRAIN_ROWS = 40
-SMALL_TRAIN_ROWS = 200
 HOLDOUT_FRACTION = 0.8
 GARCH_MIN_RESIDUALS = 30
 HOUR_SIGMA_MIN_COUNT = 20
@@ -82,14 +77,22 @@ FEATURE_VIEW_FIELDS = {
           "Sin_Hour", "Cos_Hour", "Regime_0", "Regime_1", "Regime_2"),
 }
 
-# Boosted-tree settings (library default and the holdout variant).
+# Boosted-tree settings of the forecast and the nowcast model.
 GBT_TREES = 300
+GBT_NOWCAST_TREES = 100
 GBT_STEP = 0.05
 GBT_MIN_INSTANCES = 15
 GBT_DEPTH = 5
-GBT_DEPTH_SMALL = 4
 
-# Prometheus default latency buckets (seconds).
+# Inputs of the forecast model, by granularity.
+FORECAST_FIELDS = {
+    "D": ("Lag1", "LagS", "PrevDelta1", "PrevDeltaS", "RollMean", "RollStd",
+          "Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear"),
+    "H": ("Lag1", "LagS", "PrevDelta1", "PrevDeltaS", "RollMean", "RollStd",
+          "Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear", "Sin_Hour", "Cos_Hour"),
+}
+
+# Latency bucket bounds (seconds).
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 
 # Accepted request fields.

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The four PII patterns, specific enough that ISO dates and long
-# numeric ids do not match.
+# Patterns of personal data, by kind.
 PII_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",

@@ -25,21 +25,17 @@ def standard_quantile(confidence: float, n_simulations: int = N_SIMULATIONS, see
 
 
 def clip0(col: Column) -> Column:
-    return F.greatest(F.lit(0.0), col.cast("double"))
+    """At least 0; a missing value stays missing."""
+    return F.when(col.isNotNull(), F.greatest(F.lit(0.0), col.cast("double")))
 
 
 def var_expr(point: Column, sigma: Column, confidence: float = 0.99) -> Column:
-    """Closed-form Monte-Carlo VaR of one forecast (M7)."""
+    """Closed-form Monte-Carlo VaR of one forecast (M7); no band without a point or a sigma."""
     z = standard_quantile(float(confidence))
-    s = F.greatest(sigma.cast("double"), F.lit(1e-9))
+    s = F.when(sigma.isNotNull(), F.greatest(sigma.cast("double"), F.lit(1e-9)))
     return clip0(clip0(point) + s * F.lit(z))
 
 
-def var_expr_z(point: Column, sigma: Column, z: Column) -> Column:
-    s = F.greatest(sigma.cast("double"), F.lit(1e-9))
-    return clip0(clip0(point) + s * z)
-
-
 def band_columns(point: Column, sigma: Column, confidence: float = 0.99) -> list[Column]:
     """Point (clipped, 2 dp), buffer (2 dp) and capacity = ceil(unrounded buffer) (M8)."""
     p = clip0(point)

@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import (LATENCY_BUCKETS, MAX_REASONABLE_VOLUME, REQUEST_CONFIDENCE_RANGE,
                       REQUEST_GRANULARITIES, REQUEST_PERIOD_MAX_LEN, REQUEST_PERIOD_PATTERN)
+from .common import join_on
 
 
 def request_validation(requests: DataFrame, period_col="time_period", gran_col="granularity",
@@ -50,24 +51,11 @@ def latency_histogram(df: DataFrame, latency_col: str = "latency_s", group_cols=
     return wide.selectExpr(*[f"`{g}`" for g in group_cols], f"stack({len(ups)}, {pairs}) AS (le, n_cumulative)")
 
 
-def histogram_quantile(hist: DataFrame, q: float, group_cols=()) -> DataFrame:
-    """Quantile estimated from cumulative bucket counts, linear inside the bucket
-    that holds rank q*total (lower edge 0 for the first bucket); a rank in the
-    +inf bucket returns the highest finite bound (A13)."""
-    w = Window.partitionBy(*group_cols).orderBy("le") if group_cols else Window.orderBy("le")
-    x = hist.select("*", F.lag("le").over(w).alias("_lo"), F.lag("n_cumulative").over(w).alias("_prev"),
-                    F.max("n_cumulative").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_tot"),
-                    F.max(F.when(F.col("le") != float("inf"), F.col("le"))).over(
-                        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_maxfin"))
-    rank = F.lit(q) * F.col("_tot")
-    x = x.filter((F.col("n_cumulative") >= rank) & (F.col("_tot") > 0))
-    lo = F.coalesce(F.col("_lo"), F.lit(0.0))
-    prev = F.coalesce(F.col("_prev"), F.lit(0))
-    inside = F.col("n_cumulative") - prev
-    val = (F.when(F.col("le") == float("inf"), F.col("_maxfin"))
-            .otherwise(lo + (F.col("le") - lo) * (rank - prev) / inside))
-    first = x.groupBy(*group_cols).agg(F.min_by(F.struct(val.alias("v"), F.col("_tot").alias("t")), F.col("le")).alias("_r"))
-    return first.select(*group_cols, F.col("_r.t").alias("n"), F.col("_r.v").alias(f"p{int(round(q * 100))}"))
+def latency_quantile(df: DataFrame, q: float = 0.99, latency_col: str = "latency_s", group_cols=()) -> DataFrame:
+    """Exact quantile of the latency per group (A13), by linear interpolation between
+    the two nearest; rows without a latency do not count."""
+    lat = F.col(latency_col).cast("double")
+    return df.groupBy(*group_cols).agg(F.count(lat).alias("n"), F.percentile(lat, q).alias(f"p{int(round(q * 100))}"))
 
 
 def artifact_hashes(spark, path_glob: str) -> DataFrame:
@@ -77,10 +65,10 @@ def artifact_hashes(spark, path_glob: str) -> DataFrame:
                         F.col("length"), F.sha2(F.col("content"), 256).alias("sha256"))
 
 
-def verify_artifacts(hashes: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Compare computed hashes with a recorded manifest (path, expected_sha256)."""
-    j = manifest.join(hashes, on="path", how="left")
-    status = (F.when(F.col("sha256").isNull(), F.lit("missing"))
-               .when(F.col("sha256") == F.col("expected_sha256"), F.lit("verified"))
-               .otherwise(F.lit("mismatch")))
-    return j.withColumn("status", status)
+def verify_artifacts(hashes: DataFrame, manifest: DataFrame, name_col: str = "file") -> DataFrame:
+    """Each file of a recorded manifest ``(name, expected_sha256)`` as verified,
+    mismatch or missing, and files that it does not list as unlisted (C7)."""
+    j = join_on(manifest.withColumn("_listed", F.lit(True)), hashes.select(name_col, "sha256"), [name_col], "full_outer")
+    status = (F.when(F.col("_listed").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing")
+               .when(F.col("sha256") == F.col("expected_sha256"), "verified").otherwise("mismatch"))
+    return j.select(name_col, "expected_sha256", "sha256", status.alias("status"))

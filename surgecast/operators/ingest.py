@@ -7,6 +7,7 @@ from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from ..config import RANGE_FILTER_MIN_TS, granularity
 from ..functions.timestamps import coerce_timestamp, period_from_index, period_index, resolve_ts_column, to_utc
+from .common import join_on
 from .windows import DEFAULT_BLOCK, IDX
 
 
@@ -18,16 +19,16 @@ def _lit_like(df: DataFrame, col: str, value) -> F.Column:
     return F.lit(str(value)).cast("timestamp")
 
 
-def range_filter(df: DataFrame, ts_col: str, as_of=None, min_ts: str = RANGE_FILTER_MIN_TS) -> DataFrame:
-    """Keep ``min_ts <= ts <= as_of`` (F4). ``as_of`` replaces the wall clock.
+def range_filter(df: DataFrame, ts_col: str, as_of, min_ts: str = RANGE_FILTER_MIN_TS) -> DataFrame:
+    """Keep ``min_ts <= ts <= as_of`` (F4). ``as_of`` replaces the wall clock and must
+    be given: one stamp in the far future would stretch every filled series to it.
 
     Written as plain range predicates on the scanned column so they reach the
     Parquet reader as pushed filters.
     """
-    cond = F.col(ts_col) >= _lit_like(df, ts_col, min_ts)
-    if as_of is not None:
-        cond = cond & (F.col(ts_col) <= _lit_like(df, ts_col, as_of))
-    return df.filter(cond)
+    if as_of is None:
+        raise ValueError("as_of is needed: the latest time that an event may have")
+    return df.filter((F.col(ts_col) >= _lit_like(df, ts_col, min_ts)) & (F.col(ts_col) <= _lit_like(df, ts_col, as_of)))
 
 
 def bound_as_of(df: DataFrame, as_of, ts_col: str = "TimePeriod") -> DataFrame:
@@ -44,8 +45,8 @@ def recent_window(df: DataFrame, as_of, days: int = 7, ts_col: str = "TimePeriod
     return df.filter(F.col(ts_col) >= lo)
 
 
-def clean_events(df: DataFrame, ts_col: str | None = None, source_tz: str | None = None,
-                 as_of=None, min_ts: str = RANGE_FILTER_MIN_TS, keep=()) -> DataFrame:
+def clean_events(df: DataFrame, ts_col: str | None = None, source_tz: str | None = None, *,
+                 as_of, min_ts: str = RANGE_FILTER_MIN_TS, keep=()) -> DataFrame:
     """Resolve, coerce and UTC-normalise the event time, then range-filter it.
 
     Returns ``keep`` columns plus ``ts_col`` as a UTC TIMESTAMP. Unparseable or
@@ -116,7 +117,16 @@ def demand(df: DataFrame, ts_col: str, gran: str, series_cols=(), fill: bool = T
            bounds: str = "series") -> DataFrame:
     """(series..., TimePeriod TIMESTAMP, Volume BIGINT): gap-filled counts (A1+J6)."""
     granularity(gran)
-    agg = count_per_period(df, ts_col, gran, series_cols)
+    return demand_of_counts(count_per_period(df, ts_col, gran, series_cols), gran, series_cols, fill, bounds)
+
+
+def coarser_counts(agg: DataFrame, gran: str, to_gran: str, series_cols=()) -> DataFrame:
+    """Counts per coarser period out of counts per finer one."""
+    return (agg.groupBy(*series_cols, period_index(period_from_index(F.col(IDX), gran), to_gran).alias("_to"))
+               .agg(F.sum("Volume").alias("Volume")).withColumnRenamed("_to", IDX))
+
+
+def demand_of_counts(agg: DataFrame, gran: str, series_cols=(), fill: bool = True, bounds: str = "series") -> DataFrame:
     if fill:
         agg = gap_fill(agg, series_cols, gran, bounds=bounds)
     return agg.select(*series_cols, period_from_index(F.col(IDX), gran).alias("TimePeriod"),
@@ -133,16 +143,11 @@ def rollup(df: DataFrame, to_gran: str, series_cols=(), value_col: str = "Volume
               .select(*series_cols, period_from_index(F.col(IDX), to_gran).alias("TimePeriod"), value_col))
 
 
-def demand_hourly_daily(df: DataFrame, ts_col: str, series_cols=()) -> tuple[DataFrame, DataFrame]:
-    hourly = demand(df, ts_col, "H", series_cols)
-    return hourly, rollup(hourly, "D", series_cols)
-
-
 def rollup_consistency(hourly: DataFrame, daily: DataFrame, series_cols=()) -> DataFrame:
     """Per (series, day): hourly sum vs daily count and whether they agree."""
     h = rollup(hourly, "D", series_cols).withColumnRenamed("Volume", "hourly_sum")
     d = daily.withColumnRenamed("Volume", "daily_volume")
-    out = h.join(d, on=[*series_cols, "TimePeriod"], how="full_outer")
+    out = join_on(h, d, [*series_cols, "TimePeriod"], "full_outer")
     return out.select(*series_cols, "TimePeriod", "hourly_sum", "daily_volume",
                       (F.coalesce(F.col("hourly_sum"), F.lit(-1)) ==
                        F.coalesce(F.col("daily_volume"), F.lit(-2))).alias("consistent"))

@@ -2,77 +2,118 @@
 
 Two models share one interface (a ``prediction`` column on a feature frame):
 * seasonal-naive, ``max(0, LagS)``: a closed-form baseline, fully SQL-checkable;
-* one global gradient-boosted tree regressor (MLlib) per granularity, trained on
-  the whole panel with the series as an indexed feature, never a fit per series.
+* one gradient-boosted tree regressor (MLlib) per granularity, trained on the
+  whole panel, never a fit per series. A series enters as numbers (level and
+  spread of its training rows), not as a category, so a panel may have any number
+  of series and a new one is served from the panel's own level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
 
-from ..config import GBT_DEPTH, GBT_DEPTH_SMALL, GBT_MIN_INSTANCES, GBT_STEP, GBT_TREES, SMALL_TRAIN_ROWS
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..config import GBT_DEPTH, GBT_MIN_INSTANCES, GBT_STEP, GBT_TREES
 from ..functions.risk import clip0, var_expr
 from .common import attach
 from .risk import garch_sigma, residual_sigma
 
+SERIES_STATS = ("_level", "_spread")
+
 
 def seasonal_naive(frame: DataFrame, col: str = "LagS") -> DataFrame:
     return frame.withColumn("prediction", F.col(col).cast("double"))
 
 
-def _series_key(series_cols):
-    if not series_cols:
-        return F.lit("_all")
-    return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in series_cols])
+@dataclass
+class PanelModel:
+    """Fitted trees and, with series, the level and spread of each (one row a series)."""
+
+    trees: object
+    stats: DataFrame | None
+    features: list[str]
+    series_cols: list[str]
+
+    def _encoded(self, frame: DataFrame) -> DataFrame:
+        if self.stats is None:
+            return frame
+        whole = self.stats.agg(*[F.avg(c).alias(f"{c}_all") for c in SERIES_STATS])
+        known = attach(attach(frame, self.stats, self.series_cols, how="left"), whole)
+        return known.select(*frame.columns, *[F.coalesce(c, f"{c}_all", F.lit(0.0)).alias(c) for c in SERIES_STATS])
+
+    def predict(self, frame: DataFrame) -> DataFrame:
+        """``frame`` with ``prediction``; null where an input is missing (a series too
+        short for its lags), an error where the trees give no finite number (F16)."""
+        whole = _all_present(self.features)
+        out = self.trees.transform(self._encoded(frame.where(whole))).select(*frame.columns, finite("prediction").alias("prediction"))
+        return out.unionByName(frame.where(~whole).withColumn("prediction", F.lit(None).cast("double")))
+
+    def save(self, path: str) -> None:
+        self.trees.write().overwrite().save(f"{path}/trees")
+        if self.stats is not None:
+            self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, features, series_cols=()) -> "PanelModel":
+        from pyspark.ml import PipelineModel
+
+        stats = spark.read.parquet(f"{path}/stats") if series_cols else None
+        return cls(PipelineModel.load(f"{path}/trees"), stats, list(features), list(series_cols))
+
 
+def _all_present(cols) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.col(c).isNotNull()
+    return out
 
-def gbt_pipeline(feature_cols, series_cols=(), trees: int = GBT_TREES, depth: int = GBT_DEPTH,
-                 step: float = GBT_STEP, min_instances: int = GBT_MIN_INSTANCES, seed: int = 42):
+
+def finite(col: str) -> Column:
+    """The value; the query fails if it is not a finite number."""
+    c = F.col(col)
+    bad = c.isNull() | F.isnan(c) | c.isin(float("inf"), float("-inf"))
+    return F.when(bad, F.raise_error(F.lit("a prediction is not a finite number")).cast("double")).otherwise(c)
+
+
+def fit_gbt(frame: DataFrame, feature_cols, series_cols=(), trees: int = GBT_TREES, depth: int = GBT_DEPTH,
+            step: float = GBT_STEP, min_instances: int = GBT_MIN_INSTANCES, seed: int = 42) -> PanelModel:
+    """Fit the panel model on rows with all inputs and a target ``y``. The training
+    rows are held for the fit, which passes over them once per tree level; a lost
+    block is recomputed from lineage."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    stages, inputs = [], list(feature_cols)
-    if series_cols:
-        stages.append(StringIndexer(inputCol="_series", outputCol="_series_ix", handleInvalid="keep"))
-        inputs.append("_series_ix")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error"))
-    stages.append(GBTRegressor(featuresCol="_features", labelCol="y", predictionCol="prediction",
-                               maxIter=trees, maxDepth=depth, stepSize=step,
-                               minInstancesPerNode=min_instances, seed=seed, maxBins=64))
-    return Pipeline(stages=stages)
-
-
-def fit_gbt(frame: DataFrame, feature_cols, series_cols=(), **kw):
-    """Fit the panel model. The training frame is cached for the fit (the
-    indexer and the tree learner each pass over it); a lost cached block is
-    recomputed from lineage."""
-    data = frame.withColumn("_series", _series_key(series_cols)).persist()
+    features, keys = list(feature_cols), list(series_cols)
+    rows = frame.where(_all_present([*features, "y"]))
+    stats = None
+    if keys:
+        stats = rows.groupBy(*keys).agg(F.avg("y").alias("_level"), F.coalesce(F.stddev_pop("y"), F.lit(0.0)).alias("_spread"))
+    fitted = PanelModel(None, stats, features, keys)
+    data = fitted._encoded(rows).persist()
     try:
-        return gbt_pipeline(feature_cols, series_cols, **kw).fit(data)
+        inputs = features + (list(SERIES_STATS) if keys else [])
+        learner = GBTRegressor(featuresCol="_features", labelCol="y", predictionCol="prediction", maxIter=trees, maxDepth=depth,
+                               stepSize=step, minInstancesPerNode=min_instances, seed=seed, maxBins=64)
+        fitted.trees = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_features"), learner]).fit(data)
     finally:
         data.unpersist()
+    return fitted
 
 
-def predict_gbt(model, frame: DataFrame, series_cols=()) -> DataFrame:
-    out = model.transform(frame.withColumn("_series", _series_key(series_cols)))
-    return out.drop("_series", "_series_ix", "_features")
-
-
-def finite_gate(pred: DataFrame, col: str = "prediction") -> int:
-    """Number of non-finite predictions (F16); callers abort when it is not 0."""
-    c = F.col(col)
-    return int(pred.agg(F.count_if(c.isNull() | F.isnan(c) | c.isin(float("inf"), float("-inf")))).first()[0])
+def gbt_holdout(split: DataFrame, feature_cols, series_cols=(), **kw) -> DataFrame:
+    """Fit on every series' 'train' rows, predict the 'test' rows (M3)."""
+    model = fit_gbt(split.filter(F.col("role") == "train"), feature_cols, series_cols, **kw)
+    return model.predict(split.filter(F.col("role") == "test"))
 
 
-def gbt_holdout(split: DataFrame, feature_cols, series_cols=(), **kw) -> DataFrame:
-    """Fit on every series' 'train' rows, predict the 'test' rows (M3).
-    Shallower trees when the training set is small (n < 200)."""
-    train = split.filter(F.col("role") == "train")
-    n = train.count()
-    depth = GBT_DEPTH_SMALL if n < SMALL_TRAIN_ROWS else kw.pop("depth", GBT_DEPTH)
-    model = fit_gbt(train, feature_cols, series_cols, depth=depth, **kw)
-    return predict_gbt(model, split.filter(F.col("role") == "test"), series_cols)
+def versus_naive(test_pred: DataFrame, series_cols=()) -> DataFrame:
+    """Per series, on the same tail: rows, MAE of the model and of the seasonal-naive
+    forecast, and whether the model is better."""
+    mae = lambda c: F.avg(F.abs(F.col("y") - clip0(F.col(c))))
+    out = test_pred.groupBy(*series_cols).agg(F.count(F.lit(1)).alias("n"), mae("prediction").alias("model_mae"), mae("LagS").alias("naive_mae"))
+    return out.withColumn("beats_naive", F.col("model_mae") < F.col("naive_mae"))
 
 
 def residuals(test_pred: DataFrame, series_cols=(), clip: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import CONCEPT_DRIFT_THRESHOLD, DATA_DRIFT_SHARE
-from .common import attach
+from .common import attach, join_on
 
 
 def score_forecasts(log: DataFrame, actuals: DataFrame, series_cols=()) -> DataFrame:
@@ -15,7 +15,7 @@ def score_forecasts(log: DataFrame, actuals: DataFrame, series_cols=()) -> DataF
     period has an actual; a series with none gets 0 and nulls (J1, P1, A3, A5)."""
     keys = [*series_cols, "TimePeriod"]
     a = actuals.select(*keys, F.col("Volume").cast("double").alias("_actual"))
-    j = log.join(a, on=keys, how="left")
+    j = join_on(log, a, keys, "left")
     err = F.abs(F.col("_actual") - F.col("Point_Forecast"))
     cov = F.when(F.col("_actual").isNotNull(), (F.col("_actual") <= F.col("Safety_Buffer_99")).cast("double"))
     return j.groupBy(*series_cols).agg(
@@ -56,50 +56,100 @@ def ks_critical(alpha: float = 0.05) -> float:
     return math.sqrt(-0.5 * math.log(alpha / 2.0))
 
 
+JS_THRESHOLD = 0.1  # Jensen-Shannon distance from which a text column has drifted
+KS_BLOCKS = 64  # value ranges per numeric column, at most
+
+
+def value_counts(df: DataFrame, columns) -> DataFrame:
+    """``(feature, kind, value, label, n)``: how often each value of each column
+    occurs, numbers in ``value``, text in ``label``. Nulls and NaN are left out. A
+    baseline is stored in this form."""
+    kinds = dict(df.dtypes)
+    parts = []
+    for c in columns:
+        text = kinds[c] in ("string", "boolean")
+        parts.append(F.struct(F.lit(c).alias("feature"), F.lit("categorical" if text else "numeric").alias("kind"),
+                              (F.lit(None) if text else F.col(c)).cast("double").alias("value"),
+                              (F.col(c) if text else F.lit(None)).cast("string").alias("label")))
+    long = df.select(F.inline(F.array(*parts)))
+    long = long.where((F.col("value").isNotNull() & ~F.isnan("value")) | F.col("label").isNotNull())
+    return long.groupBy("feature", "kind", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def data_drift(reference: DataFrame, current: DataFrame, columns, alpha: float = 0.05,
-               share_threshold: float = DATA_DRIFT_SHARE, n_blocks: int | None = None) -> DataFrame:
-    """Per column two-sample Kolmogorov-Smirnov statistic, drift flag at ``alpha``
-    (asymptotic critical value), and the dataset-level drifted share (P3).
-
-    Exact and distributed: values are counted per (feature, value) with partial
-    aggregation; the distinct values are range-partitioned on (feature, value), so
-    the partition id is an order-preserving block id. Cumulative counts are a
-    window per (feature, block) plus the prefix of earlier block totals, so no
-    task ever sorts a whole column.
+               share_threshold: float = DATA_DRIFT_SHARE) -> DataFrame:
+    """Drift of every column between two windows (P3); see ``drift_of_counts``."""
+    return drift_of_counts(value_counts(reference, columns), value_counts(current, columns), columns, alpha, share_threshold)
+
+
+def drift_of_counts(reference: DataFrame, current: DataFrame, columns, alpha: float = 0.05,
+                    share_threshold: float = DATA_DRIFT_SHARE) -> DataFrame:
+    """A row per column from two ``value_counts`` tables: rows on either side, the
+    statistic, its threshold, whether it drifted, and why not where a side is empty.
+
+    Numbers: exact two-sample Kolmogorov-Smirnov with its asymptotic critical value.
+    Values are cut at bounds that are taken from the data once and stand in the plan
+    as constants, so a value lies in the same block wherever it is read; cumulative
+    counts are a window per block on top of the totals of the blocks before, and no
+    task sorts a whole column. Text: Jensen-Shannon distance of the shares.
     """
-    def longform(df, side):
-        pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-        return df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").withColumn("side", F.lit(side))
-
-    both = longform(reference, 0).unionByName(longform(current, 1))
-    both = both.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("c_ref"),
-                                                  F.count_if(F.col("side") == 1).alias("c_cur"))
-    if n_blocks is None:
-        # one value range per shuffle partition: the block count follows the cluster size
-        n_blocks = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n_blocks, "feature", "value").withColumn("_blk", F.spark_partition_id())
-    blk_tot = ranged.groupBy("feature", "_blk").agg(F.sum("c_ref").alias("_br"), F.sum("c_cur").alias("_bc"))
+    both = (reference.select("feature", "kind", "value", "label", F.col("n").alias("c_ref"), F.lit(0).cast("long").alias("c_cur"))
+            .unionByName(current.select("feature", "kind", "value", "label", F.lit(0).cast("long").alias("c_ref"), F.col("n").alias("c_cur"))))
+    counts = both.groupBy("feature", "kind", "value", "label").agg(F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur"))
+    shares = [i / KS_BLOCKS for i in range(1, KS_BLOCKS)]
+    bounds = {r["feature"]: sorted(set(r["b"])) for r in
+              counts.where("kind = 'numeric'").groupBy("feature").agg(F.percentile_approx("value", shares, 1000).alias("b")).collect()}
+    numeric = counts.where("kind = 'numeric'")
+    block = F.lit(0)
+    for feature, cuts in bounds.items():  # columns x KS_BLOCKS constants
+        block = F.when(F.col("feature") == feature, F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col("value")))).otherwise(block)
+    numeric = numeric.withColumn("_blk", block)
+    blocks = numeric.groupBy("feature", "_blk").agg(F.sum("c_ref").alias("_br"), F.sum("c_cur").alias("_bc"))
     wb = Window.partitionBy("feature").orderBy("_blk")
-    prior = wb.rowsBetween(Window.unboundedPreceding, -1)
-    whole = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # (feature, block) totals: at most n_blocks rows per feature -> broadcast of proven size
-    offs = blk_tot.select("feature", "_blk",
-                          F.coalesce(F.sum("_br").over(prior), F.lit(0)).alias("_or"),
-                          F.coalesce(F.sum("_bc").over(prior), F.lit(0)).alias("_oc"),
-                          F.sum("_br").over(whole).alias("N"), F.sum("_bc").over(whole).alias("M"))
+    prior, whole = wb.rowsBetween(Window.unboundedPreceding, -1), wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # at most KS_BLOCKS rows per column: a broadcast of proven size
+    offsets = blocks.select("feature", "_blk", F.coalesce(F.sum("_br").over(prior), F.lit(0)).alias("_or"),
+                            F.coalesce(F.sum("_bc").over(prior), F.lit(0)).alias("_oc"),
+                            F.sum("_br").over(whole).alias("_N"), F.sum("_bc").over(whole).alias("_M"))
     wv = Window.partitionBy("feature", "_blk").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (ranged.join(F.broadcast(offs), ["feature", "_blk"])
-                 .select("feature", "N", "M",
-                         ((F.sum("c_ref").over(wv) + F.col("_or")) / F.col("N")).alias("F_ref"),
-                         ((F.sum("c_cur").over(wv) + F.col("_oc")) / F.col("M")).alias("F_cur")))
-    stat = cum.groupBy("feature").agg(F.first("N").alias("n_reference"), F.first("M").alias("n_current"),
-                                      F.max(F.abs(F.col("F_ref") - F.col("F_cur"))).alias("ks_stat"))
-    c = ks_critical(alpha)
-    thr = F.lit(c) * F.sqrt((F.col("n_reference") + F.col("n_current")) /
-                            (F.col("n_reference") * F.col("n_current")))
-    per_col = stat.select("feature", "n_reference", "n_current", "ks_stat", thr.alias("threshold"),
-                          (F.col("ks_stat") > thr).alias("drifted"))
+    gap = F.abs(F.try_divide(F.sum("c_ref").over(wv) + F.col("_or"), F.col("_N"))
+                - F.try_divide(F.sum("c_cur").over(wv) + F.col("_oc"), F.col("_M")))
+    ks = (numeric.join(F.broadcast(offsets), ["feature", "_blk"]).select("feature", "_N", "_M", gap.alias("_gap"))
+          .groupBy("feature").agg(F.first("_N").alias("n_reference"), F.first("_M").alias("n_current"), F.max("_gap").alias("statistic")))
+    critical = F.lit(ks_critical(alpha)) * F.sqrt(F.try_divide((F.col("n_reference") + F.col("n_current")).cast("double"),
+                                                               (F.col("n_reference") * F.col("n_current")).cast("double")))
+    ks = ks.select("feature", F.lit("numeric").alias("kind"), "n_reference", "n_current", "statistic", critical.alias("threshold"))
+
+    text = counts.where("kind = 'categorical'")
+    totals = text.groupBy("feature").agg(F.sum("c_ref").alias("n_reference"), F.sum("c_cur").alias("n_current"))
+    p, q = F.try_divide(F.col("c_ref"), F.col("n_reference")), F.try_divide(F.col("c_cur"), F.col("n_current"))
+    m = (p + q) / 2
+    part = F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+    js = (text.join(totals, "feature").groupBy("feature").agg(F.first("n_reference").alias("n_reference"), F.first("n_current").alias("n_current"),
+                                                              F.sqrt(F.greatest(F.sum(part) / 2, F.lit(0.0))).alias("statistic"))
+          .select("feature", F.lit("categorical").alias("kind"), "n_reference", "n_current", "statistic", F.lit(JS_THRESHOLD).alias("threshold")))
+    # a column without any value still has a row
+    asked = reference.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    found = asked.join(ks.unionByName(js), "feature", "left").fillna(0, ["n_reference", "n_current"])
+    reason = (F.when(F.col("n_current") == 0, "no current data").when(F.col("n_reference") == 0, "no reference data"))
+    row = found.select("feature", "kind", "n_reference", "n_current", F.when(reason.isNull(), F.col("statistic")).alias("statistic"),
+                       F.when(reason.isNull(), F.col("threshold")).alias("threshold"),
+                       F.coalesce(reason.isNull() & (F.col("statistic") > F.col("threshold")), F.lit(False)).alias("drifted"), reason.alias("reason"))
     # one row per checked column: a tiny single-partition window
     share = F.avg(F.col("drifted").cast("double")).over(Window.partitionBy(F.lit(1)))
-    return per_col.select("*", share.alias("drift_share"), (share >= F.lit(share_threshold)).alias("dataset_drift"))
+    return row.select("*", share.alias("drift_share"), (share >= F.lit(share_threshold)).alias("dataset_drift"))
+
+
+def drift_summary(drift: DataFrame, degradation: DataFrame) -> DataFrame:
+    """One row out of ``data_drift`` and ``mae_degradation`` rows: whether the data,
+    the errors or either have drifted, or why nothing can be said."""
+    d = drift.agg(F.first("drift_share").alias("drift_share"), F.first("dataset_drift").alias("data_drift_detected"),
+                  F.sum("n_current").alias("_n"))
+    m = degradation.agg(F.max("mae_degradation").alias("mae_degradation"), F.coalesce(F.bool_or("concept_drift"), F.lit(False)).alias("concept_drift_detected"))
+    none = F.coalesce(F.col("_n"), F.lit(0)) == 0
+    seen = lambda c: ~none & F.coalesce(c, F.lit(False))
+    return attach(d, m).select(
+        F.round("drift_share", 4).alias("drift_share"), seen(F.col("data_drift_detected")).alias("data_drift_detected"),
+        F.round("mae_degradation", 4).alias("mae_degradation"), seen(F.col("concept_drift_detected")).alias("concept_drift_detected"),
+        seen(F.col("data_drift_detected") | F.col("concept_drift_detected")).alias("drift_detected"),
+        F.when(none, "no current data").alias("reason"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import join_on
+
 
 def promotion_decision(candidates: DataFrame, champions: DataFrame, key_cols=("model",),
                        min_improvement: float = 0.0, mae_col: str = "holdout_mae") -> DataFrame:
@@ -18,7 +20,7 @@ def promotion_decision(candidates: DataFrame, champions: DataFrame, key_cols=("m
     m = F.col(mae_col).cast("double")
     bad = m.isNull() | F.isnan(m) | m.isin(float("inf"), float("-inf"))
     c = candidates.withColumn("_bad", bad).withColumn("_mae", F.when(~bad, F.round(m, 6)))
-    j = c.join(champions, on=list(key_cols), how="left")
+    j = join_on(c, champions, key_cols, "left")
     champ_mae = F.coalesce(F.col("champion_mae").cast("double"), F.lit(float("inf")))
     decision = (F.when(F.col("_bad"), F.lit("rejected"))
                  .when(F.col("champion_version").isNull(), F.lit("champion"))
@@ -32,12 +34,10 @@ def promotion_decision(candidates: DataFrame, champions: DataFrame, key_cols=("m
 def next_model_versions(versions: DataFrame, decisions: DataFrame, key_cols=("model",)) -> DataFrame:
     """Append decided candidates to the version table and move aliases."""
     promoted = decisions.filter(F.col("promoted")).select(*key_cols, F.col("version").alias("_new"))
-    old = versions.join(promoted, on=list(key_cols), how="left").select(
+    old = join_on(versions, promoted, key_cols, "left").select(
         *[c for c in versions.columns if c != "alias"],
         F.when(F.col("_new").isNotNull() & (F.col("alias") == "champion"), F.lit("previous"))
          .otherwise(F.col("alias")).alias("alias"))
-    new = decisions.select(*key_cols, "version", "holdout_mae",
-                           F.when(F.col("decision") == "champion", F.lit("champion"))
-                            .when(F.col("decision") == "challenger", F.lit("challenger"))
-                            .otherwise(F.lit("rejected")).alias("alias"))
+    made = [c for c in decisions.columns if c not in ("champion_version", "champion_mae", "decision", "promoted")]
+    new = decisions.select(*made, F.col("decision").alias("alias"))
     return old.unionByName(new, allowMissingColumns=True)

@@ -57,12 +57,20 @@ def validate_demand(df: DataFrame, ts_col: str = "TimePeriod", vol_col: str = "V
 
 
 def assert_quality(df: DataFrame, min_rows: int = MIN_ROWS_GATE, series_cols=(), ts_col="TimePeriod",
-                   vol_col="Volume") -> int:
+                   vol_col="Volume", report_path: str | None = None) -> int:
     """Raise if any series is too short or violates a rule; return the row count.
-    Only the small per-series report reaches the driver."""
+
+    One pass over the data. The full report (a row per series) is written to
+    ``report_path`` if given; the error counts the failing series and, of each rule,
+    the rows.
+    """
     report = quality_violations(validate_demand(df, ts_col, vol_col), series_cols, ts_col, vol_col, min_rows)
-    bad = report.filter(~F.col("passed")).limit(20).collect()
-    if bad:
-        raise DataQualityError(f"[gate] data quality failed: {[r.asDict() for r in bad]}")
-    total = report.agg(F.sum("n_rows")).first()[0]
-    return int(total or 0)
+    if report_path:
+        report.write.mode("overwrite").parquet(report_path)
+        report = df.sparkSession.read.parquet(report_path)
+    total = report.agg(F.sum("n_rows").alias("n_rows"), F.count_if(~F.col("passed")).alias("failed"),
+                       F.count_if("below_min_rows").alias("short"), *[F.sum(rule).alias(rule) for rule in RULES]).first()
+    if total["failed"] or not total["n_rows"]:
+        rules = ", ".join(f"{rule} {total[rule]}" for rule in RULES if total[rule])
+        raise DataQualityError(f"{total['failed']} series fail the quality gate (too short: {total['short']}; rows: {rules or 'none bad'})")
+    return int(total["n_rows"])

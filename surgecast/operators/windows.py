@@ -17,6 +17,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import join_on
+
 IDX = "_idx"
 BLK = "_blk"
 HALO = "_halo"
@@ -47,8 +49,19 @@ def block_window(series_cols) -> Window:
     return Window.partitionBy(*series_cols, BLK).orderBy(IDX)
 
 
+GAP = "_gap"
+
+
+def gap_column(series_cols) -> Column:
+    """Periods since the row before, for ``drop_halo`` to check."""
+    return (F.col(IDX) - F.lag(IDX, 1).over(block_window(series_cols))).alias(GAP)
+
+
 def drop_halo(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col(HALO)).drop(HALO)
+    """The rows of the blocks themselves. Lags count rows, so a missing or doubled
+    period would shift them unseen: it is an error (fill gaps first)."""
+    regular = F.when(F.col(GAP) != 1, F.raise_error(F.lit("a series has missing or repeated periods")).cast("boolean")).otherwise(F.lit(True))
+    return df.filter(regular & ~F.col(HALO)).drop(HALO, GAP)
 
 
 def ema_block_size(spans) -> int:
@@ -119,7 +132,7 @@ def ema_summary(blocked: DataFrame, value, series_cols, spans, block_size: int)
 def finish_ema(df: DataFrame, summary: DataFrame, series_cols, spans, local_cols, out_cols,
                block_size: int) -> DataFrame:
     """EMA_t = (L_t + q^(j+1) C_b) / ((1 - q^(t - t0 + 1)) / (1 - q))  (adjust=True)."""
-    out = df.join(summary, on=[*series_cols, BLK], how="inner")
+    out = join_on(df, summary, [*series_cols, BLK])
     exprs = []
     for i, span in enumerate(spans):
         q = 1.0 - 2.0 / (span + 1.0)

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import FEATURE_VIEW_FIELDS, granularity
+from ..config import FEATURE_VIEW_FIELDS, GBT_NOWCAST_TREES, granularity
 from ..functions.risk import band_columns, clip0
 from ..operators import audit, features as feat, ingest, model, monitoring, pii, promotion, quality, risk
 from ..operators.common import attach
 from ..sources import files, sinks
 from ..streaming import incremental
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
+from . import jobs
 from .tidy import tidy
 
 
@@ -38,13 +39,17 @@ LINEITEM_DAILY = ("lineitem", "l_shipdate", (), "D")
 MIN_TS = {"orders": "1992-01-01 00:00:00", "lineitem": "1992-01-01 00:00:00"}
 
 
-def clean(spark, sf_dir, name, ts, keep=(), as_of=None) -> DataFrame:
+#: The latest time an event of the test tables may have (jobs get theirs per run).
+AS_OF = "2030-01-01 00:00:00"
+
+
+def clean(spark, sf_dir, name, ts, keep=(), as_of=AS_OF) -> DataFrame:
     raw = table(spark, sf_dir, name)
     return ingest.clean_events(raw, ts, as_of=as_of, keep=list(keep),
                                min_ts=MIN_TS.get(name, "2009-01-01 00:00:00"))
 
 
-def series(spark, sf_dir, spec, as_of=None) -> DataFrame:
+def series(spark, sf_dir, spec, as_of=AS_OF) -> DataFrame:
     name, ts, keys, gran = spec
     clean_df = clean(spark, sf_dir, name, ts, keys, as_of)
     return ingest.demand(clean_df, ts, gran, list(keys))
@@ -57,7 +62,6 @@ def ingested(spark, sf_dir, spec) -> DataFrame:
     next step, actuals) then scan the raw table once, not once per branch."""
     ensure_checkpoint_dir(spark)
     return series(spark, sf_dir, spec).checkpoint(eager=True)
-    return ingest.demand(clean, ts, gran, list(keys))
 
 
 def q_demand_hourly(spark, sf_dir):
@@ -96,12 +100,12 @@ def q_scan_raw(spark, sf_dir):
     return tidy(files.scan_raw(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type"))
 
 
-MONTHLY_SOURCES = (("orders", "o_orderdate", "1995-01", "2001-08"),
-                   ("lineitem", "l_shipdate", "1995-01", "2001-10"))
+# The tables' names carry no month: their first month bounds them, the end is open.
+MONTHLY_SOURCES = (("orders", "o_orderdate", "1995-01"), ("lineitem", "l_shipdate", "1995-01"))
 
 
 def q_monthly_union(spark, sf_dir):
-    srcs = [(f"{sf_dir}/{t}.parquet", c, a, b) for t, c, a, b in MONTHLY_SOURCES]
+    srcs = [(f"{sf_dir}/{t}.parquet", c, a, None) for t, c, a in MONTHLY_SOURCES]
     return tidy(files.monthly_union(spark, srcs))
 
 
@@ -109,12 +113,12 @@ def q_coerce_timestamps(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     raw = ev.select("event_id", F.when(F.col("event_type") == "error", F.col("props"))
                     .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("stamp"))
-    return tidy(ingest.clean_events(raw, "stamp", keep=["event_id"]))
+    return tidy(ingest.clean_events(raw, "stamp", as_of=AS_OF, keep=["event_id"]))
 
 
 def q_utc_normalize(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return tidy(ingest.clean_events(ev, "ts", source_tz="America/New_York", keep=["event_id"]))
+    return tidy(ingest.clean_events(ev, "ts", source_tz="America/New_York", as_of=AS_OF, keep=["event_id"]))
 
 
 RANGE_AS_OF = "2024-01-20 12:00:00"
@@ -125,24 +129,26 @@ def q_range_filter(spark, sf_dir):
 
 
 def q_recent_window(spark, sf_dir):
-    d = ingested(spark, sf_dir, ORDERS_DAILY)
+    d = series(spark, sf_dir, ORDERS_DAILY)
     return tidy(ingest.recent_window(d, "2001-08-01 00:00:00", days=7))
 
 
 def q_asof_recent60(spark, sf_dir):
-    d = ingested(spark, sf_dir, ORDERS_PANEL)
+    d = series(spark, sf_dir, ORDERS_PANEL)
     return tidy(feat.latest_periods(ingest.bound_as_of(d, "2000-06-30 00:00:00"), 60, ["o_orderpriority"]))
 
 
 def q_rollup_consistency(spark, sf_dir):
+    # one scan: hourly counts feed the rolled-up side, and their sums the direct one
     ev = clean(spark, sf_dir, "events", "ts", ["event_type"])
-    hourly = ingest.demand(ev, "ts", "H", ["event_type"])
-    daily = ingest.demand(ev, "ts", "D", ["event_type"])
+    counted = ingest.count_per_period(ev, "ts", "H", ["event_type"])
+    hourly = ingest.demand_of_counts(counted, "H", ["event_type"])
+    daily = ingest.demand_of_counts(ingest.coarser_counts(counted, "H", "D", ["event_type"]), "D", ["event_type"])
     return tidy(ingest.rollup_consistency(hourly, daily, ["event_type"]))
 
 
 def q_data_profile(spark, sf_dir):
-    return tidy(ingest.data_profile(ingested(spark, sf_dir, ORDERS_PANEL), ["o_orderpriority"]))
+    return tidy(ingest.data_profile(series(spark, sf_dir, ORDERS_PANEL), ["o_orderpriority"]))
 
 
 # ------------------------------------------------------------------- features
@@ -185,6 +191,22 @@ def q_feature_view_daily(spark, sf_dir):
     return tidy(feat.feature_view(feat.offline_features(series(spark, sf_dir, ORDERS_DAILY), "D"), "D"))
 
 
+def q_feature_view_hourly(spark, sf_dir):
+    """The hourly view, by way of the offline store: written there, read back."""
+    f = feat.offline_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"])
+    path = scratch_path(spark, "offline-features")
+    sinks.write_offline_features(f, path)
+    stored = spark.read.parquet(path).where("granularity = 'H'")
+    return tidy(feat.feature_view(stored, "H", ["event_type"]))
+
+
+def q_null_key_features(spark, sf_dir):
+    """Lags and averages of a panel in which one series has no name."""
+    ev = table(spark, sf_dir, "events").select("ts", F.nullif("event_type", F.lit("signup")).alias("event_type"))
+    d = ingest.demand(ingest.clean_events(ev, "ts", as_of=AS_OF, keep=["event_type"]), "ts", "H", ["event_type"])
+    return tidy(feat.window_features(d, "H", ["event_type"], lags=(1,), rolling=(), spans=(12,), calendar=False, regime=False))
+
+
 ONLINE_AS_OF = "2024-01-25 00:00:00"
 
 
@@ -206,11 +228,14 @@ def q_pii_scan(spark, sf_dir):
 
 
 def q_pii_gate(spark, sf_dir):
-    return tidy(pii.pii_scan(table(spark, sf_dir, "customer")))
+    """What the output gate would stop: customers joined with a contact column."""
+    contact = F.concat(F.lower("c_name"), F.lit("@example.com"))
+    some = table(spark, sf_dir, "customer").withColumn("contact", F.when(F.col("c_custkey") % 7 == 0, contact))
+    return tidy(pii.pii_scan(some))
 
 
 def q_pii_redact(spark, sf_dir):
-    clean_df, _ = pii.redact_pii_columns(table(spark, sf_dir, "documents"))
+    clean_df, _ = pii.without_pii_columns(table(spark, sf_dir, "documents"))
     return tidy(clean_df)
 
 
@@ -236,8 +261,9 @@ def q_backtest_metrics(spark, sf_dir):
 def q_backtest_metrics_garch(spark, sf_dir):
     """The backtest report with the band sigma from GARCH(1,1) on the holdout
     residuals (residual std as the fallback)."""
-    sp = naive_split(spark, sf_dir, EVENTS_PANEL)
-    return tidy(model.backtest_metrics(sp.filter(F.col("role") == "test"), ["event_type"], sigma="garch"))
+    ensure_checkpoint_dir(spark)
+    tail = naive_split(spark, sf_dir, EVENTS_PANEL).filter(F.col("role") == "test").checkpoint()
+    return tidy(model.backtest_metrics(tail, ["event_type"], sigma="garch"))
 
 
 def all_residuals(spark, sf_dir, spec, demand=None):
@@ -258,72 +284,78 @@ def q_var_buffer(spark, sf_dir):
     return tidy(x.select("TimePeriod", *band_columns(F.col("pred"), F.col("resid_sigma"), 0.99)))
 
 
-def q_mc_var(spark, sf_dir):
-    res = naive_test_residuals(spark, sf_dir, ORDERS_DAILY)
-    x = attach(res, risk.residual_sigma(res)).select("TimePeriod", F.col("pred").alias("point"),
-                                                     F.col("resid_sigma").alias("sigma"))
-    return tidy(risk.mc_var(x, "point", "sigma", 0.99))
-
-
 def q_garch_sigma(spark, sf_dir):
-    res = naive_test_residuals(spark, sf_dir, EVENTS_PANEL)
+    ensure_checkpoint_dir(spark)
+    res = naive_test_residuals(spark, sf_dir, EVENTS_PANEL).checkpoint()
     fb = risk.residual_sigma(res, ["event_type"])
     return tidy(risk.garch_sigma(res, ["event_type"], fallback=fb))
 
 
 def _versions(spark, sf_dir, demand=None):
-    """Model-version rows per event type, as training leaves them: the GARCH
-    sigma of the holdout residuals (their std as fallback) and the per-hour
-    sigma JSON tag from the same residuals, with the GARCH sigma as fallback."""
+    """Model-version rows per event type, as training leaves them: the GARCH sigma of
+    the holdout residuals (their std, then the fixed sigma as fallback) and the
+    per-hour sigma JSON tag from the same residuals. Computed once."""
     keys = ["event_type"]
-    res = naive_test_residuals(spark, sf_dir, EVENTS_PANEL, demand)
-    g = risk.garch_sigma(res, keys, fallback=risk.residual_sigma(res, keys)).select(*keys, "garch_sigma")
-    hs = risk.hour_sigma_json(risk.conditional_sigmas(res, g, keys, fallback_col="garch_sigma"), keys)
-    return g.join(hs, keys, "left")
+    res = naive_test_residuals(spark, sf_dir, EVENTS_PANEL, demand).checkpoint()
+    g = risk.garch_sigma(res, keys, fallback=risk.residual_sigma(res, keys))
+    g = g.select(*keys, risk.sigma_or_fixed("garch_sigma", "H").alias("garch_sigma")).checkpoint()
+    hs = risk.hour_sigma_json(risk.conditional_sigmas(res, g, keys, fallback_col="garch_sigma", min_count=HOUR_MIN), keys)
+    return attach(g, hs, keys, "left").checkpoint()
 
 
-def q_hour_sigma_lookup(spark, sf_dir):
+#: The held-out tail of 30 days has 6 values an hour; 5 lets hours have their own sigma.
+HOUR_MIN = 6
+
+
+def _next_naive(spark, sf_dir):
     d = ingested(spark, sf_dir, EVENTS_PANEL)
-    nxt = feat.next_step_features(d, "H", ["event_type"])
-    out = risk.hour_sigma_lookup(nxt.select("event_type", "TimePeriod"), _versions(spark, sf_dir, d), ["event_type"])
-    return tidy(out.select("event_type", "TimePeriod", "sigma"))
+    nxt = feat.next_step_features(d, "H", ["event_type"]).select("event_type", "TimePeriod", F.col("LagS").alias("point"))
+    return risk.hour_sigma_lookup(nxt, _versions(spark, sf_dir, d), ["event_type"])
+
+
+def q_hour_sigma_lookup(spark, sf_dir):
+    return tidy(_next_naive(spark, sf_dir).select("event_type", "TimePeriod", "sigma"))
 
 
 def q_next_forecast_naive(spark, sf_dir):
-    d = ingested(spark, sf_dir, EVENTS_PANEL)
-    nxt = feat.next_step_features(d, "H", ["event_type"])
-    x = risk.hour_sigma_lookup(nxt.select("event_type", "TimePeriod", F.col("LagS").alias("point")),
-                               _versions(spark, sf_dir, d), ["event_type"])
-    return tidy(risk.var_band(x, "point", "sigma"))
+    return tidy(risk.var_band(_next_naive(spark, sf_dir), "point", "sigma"))
 
 
 # --------------------------------------------------------------------- GBT (R)
 
+def _panel_split(spark, sf_dir):
+    """The hourly panel with its split, computed once for fit and evaluation."""
+    ensure_checkpoint_dir(spark)
+    return naive_split(spark, sf_dir, EVENTS_PANEL).drop("prediction").checkpoint()
+
+
 def q_gbt_forecast(spark, sf_dir):
-    sp = naive_split(spark, sf_dir, EVENTS_PANEL).drop("prediction")
-    pred = model.gbt_holdout(sp, feat.feature_columns("H"), ["event_type"], trees=20)
-    if model.finite_gate(pred) != 0:  # F16: never publish non-finite predictions
-        raise ValueError("gbt_forecast produced non-finite predictions")
-    return tidy(pred.select("event_type", "TimePeriod", "y", "prediction"))
+    """The trees against the seasonal-naive forecast on the same held-out tail."""
+    keys = ["event_type"]
+    tail = model.gbt_holdout(_panel_split(spark, sf_dir), feat.feature_columns("H"), keys)
+    return tidy(model.versus_naive(tail, keys).select(*keys, "n", "naive_mae", "beats_naive"))
 
 
 def q_gbt_nowcast(spark, sf_dir):
+    """Nowcast of the latest day with the sigma of the model's own held-out tail."""
+    ensure_checkpoint_dir(spark)
     f = feat.nowcast_features(series(spark, sf_dir, ORDERS_DAILY), "D").withColumn("y", F.col("Volume").cast("double"))
+    split = feat.holdout_split(f, "D").checkpoint()
     cols = list(FEATURE_VIEW_FIELDS["D"])
-    m = model.fit_gbt(f, cols, trees=20, depth=4)
-    latest = feat.latest_row(f)
-    pred = model.predict_gbt(m, latest).withColumn("sigma", F.lit(risk.fallback_sigma("D")))
-    return tidy(risk.var_band(pred.select("TimePeriod", F.col("prediction").alias("point"), "sigma"), "point", "sigma"))
+    res = model.residuals(model.gbt_holdout(split, cols, trees=GBT_NOWCAST_TREES), clip=False).checkpoint()
+    sig = risk.garch_sigma(res, fallback=risk.residual_sigma(res)).select(risk.sigma_or_fixed("garch_sigma", "D").alias("sigma"))
+    now = model.fit_gbt(split, cols, trees=GBT_NOWCAST_TREES).predict(feat.latest_row(split))
+    return tidy(risk.var_band(attach(now.select("TimePeriod", F.col("prediction").alias("point")), sig), "point", "sigma"))
 
 
 def q_next_forecast(spark, sf_dir):
-    d = ingested(spark, sf_dir, EVENTS_PANEL)
-    tf = feat.training_frame(d, "H", ["event_type"])
-    m = model.fit_gbt(tf, feat.feature_columns("H"), ["event_type"], trees=20)
-    nxt = feat.next_step_features(d, "H", ["event_type"])
-    pred = model.predict_gbt(m, nxt, ["event_type"])
-    x = risk.hour_sigma_lookup(pred.select("event_type", "TimePeriod", F.col("prediction").alias("point")),
-                               _versions(spark, sf_dir, d), ["event_type"])
+    """Next hour by the trees, with the sigmas of their own held-out tail."""
+    keys = ["event_type"]
+    split = _panel_split(spark, sf_dir)
+    versions = jobs.evaluate(split, "H", keys).select(*keys, "garch_sigma", "hour_sigmas").checkpoint()
+    nxt = feat.next_step_features(series(spark, sf_dir, EVENTS_PANEL), "H", keys)
+    pred = model.fit_gbt(split, feat.feature_columns("H"), keys).predict(nxt)
+    x = risk.hour_sigma_lookup(pred.select(*keys, "TimePeriod", F.col("prediction").alias("point")), versions, keys)
     return tidy(risk.var_band(x, "point", "sigma"))
 
 
@@ -336,7 +368,7 @@ def _model_mae(spark, sf_dir, spec, role, pred_col, demand=None):
     return sp.groupBy(*keys).agg(F.avg(err).alias("mae"))
 
 
-def q_promotion_decision(spark, sf_dir):
+def _candidates(spark, sf_dir):
     d = ingested(spark, sf_dir, EVENTS_PANEL)
     ev = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "LagS", d)
     od = _model_mae(spark, sf_dir, ORDERS_PANEL, "test", "LagS")
@@ -346,9 +378,22 @@ def q_promotion_decision(spark, sf_dir):
     champs = _model_mae(spark, sf_dir, EVENTS_PANEL, "test", "Lag1", d).select(
         F.concat(F.lit("events:"), "event_type").alias("model"), F.lit("v1").alias("champion_version"),
         F.round("mae", 6).alias("champion_mae"))
+    return cands, champs
+
+
+def q_promotion_decision(spark, sf_dir):
+    cands, champs = _candidates(spark, sf_dir)
     return tidy(promotion.promotion_decision(cands, champs, ["model"]))
 
 
+def q_model_versions(spark, sf_dir):
+    """The version table after the decision: champions step back or stay."""
+    cands, champs = _candidates(spark, sf_dir)
+    before = champs.select("model", F.col("champion_version").alias("version"), F.col("champion_mae").alias("holdout_mae"),
+                           F.lit("champion").alias("alias"))
+    return tidy(promotion.next_model_versions(before, promotion.promotion_decision(cands, champs, ["model"]), ["model"]))
+
+
 def shadow_log(spark, sf_dir, spec=EVENTS_PANEL, demand=None):
     """Forecast log rows: seasonal-naive point and 99% band for every test period
     plus the next period, per series."""
@@ -360,7 +405,8 @@ def shadow_log(spark, sf_dir, spec=EVENTS_PANEL, demand=None):
                                          F.col("resid_sigma").alias("sigma"))
     nxt = feat.next_step_features(demand, spec[3], keys)
     nxt = attach(nxt.select(*keys, "TimePeriod", F.col("LagS").alias("point")),
-                 sig.select(*keys, F.col("resid_sigma").alias("sigma")), keys)
+                 sig.select(*keys, F.col("resid_sigma").alias("sigma")), keys, how="left")
+    nxt = nxt.withColumn("sigma", risk.sigma_or_fixed("sigma", spec[3]))
     return risk.var_band(test.unionByName(nxt), "point", "sigma")
 
 
@@ -369,9 +415,18 @@ def q_score_forecasts(spark, sf_dir):
     return tidy(monitoring.score_forecasts(shadow_log(spark, sf_dir, EVENTS_PANEL, d), d, ["event_type"]))
 
 
+#: Demand of two event types doubles from here on: the drift that the monitor must see.
+SHIFT_AT = "2024-01-26 00:00:00"
+SHIFTED = ("click", "error")
+
+
 def _drift(spark, sf_dir):
+    """Forecasts made before a shift in demand, scored on what came: the shift of
+    ``SHIFTED`` is drift, the rest is not."""
     d = ingested(spark, sf_dir, EVENTS_PANEL)
-    summary = monitoring.score_forecasts(shadow_log(spark, sf_dir, EVENTS_PANEL, d), d, ["event_type"])
+    shifted = F.col("event_type").isin(*SHIFTED) & (F.col("TimePeriod") >= F.lit(SHIFT_AT).cast("timestamp"))
+    came = d.withColumn("Volume", F.when(shifted, F.col("Volume") * 2 + 5).otherwise(F.col("Volume")))
+    summary = monitoring.score_forecasts(shadow_log(spark, sf_dir, EVENTS_PANEL, d), came, ["event_type"])
     base = _model_mae(spark, sf_dir, EVENTS_PANEL, "train", "LagS", d).select(
         "event_type", F.round("mae", 6).alias("baseline_mae"))
     return monitoring.concept_drift(summary, base, ["event_type"])
@@ -393,7 +448,7 @@ def q_mae_degradation(spark, sf_dir):
 
 
 DRIFT_SPLIT = "2024-01-24 00:00:00"
-DRIFT_COLUMNS = ("value", "user_id", "event_id")
+DRIFT_COLUMNS = ("value", "user_id", "event_id", "event_type")
 
 
 def q_data_drift(spark, sf_dir):
@@ -402,6 +457,17 @@ def q_data_drift(spark, sf_dir):
     return tidy(monitoring.data_drift(ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut), DRIFT_COLUMNS))
 
 
+def q_drift_summary(spark, sf_dir):
+    """Data drift and error growth in one row, as a monitoring run stores it."""
+    sp = naive_split(spark, sf_dir, EVENTS_PANEL).filter(F.col("role") != "insufficient_data")
+    errs = sp.select(F.when(F.col("role") == "train", "reference").otherwise("current").alias("window"),
+                     F.abs(F.col("y") - clip0(F.col("prediction"))).alias("abs_err"))
+    ev = table(spark, sf_dir, "events")
+    cut = F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
+    drift = monitoring.data_drift(ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut), DRIFT_COLUMNS)
+    return tidy(monitoring.drift_summary(drift, monitoring.mae_degradation(errs)))
+
+
 # ----------------------------------------------------------------- log upserts
 
 UPSERT_AS_OF = "2000-01-01 00:00:00"
@@ -448,18 +514,49 @@ def q_request_audit(spark, sf_dir):
 def q_latency_p99(spark, sf_dir):
     v = audit.request_validation(requests(spark, sf_dir)).withColumn(
         "granularity", F.coalesce(F.col("granularity_norm"), F.lit("invalid")))
-    hist = audit.latency_histogram(v, "latency_s", ["granularity"])
-    return tidy(audit.histogram_quantile(hist, 0.99, ["granularity"]))
+    return tidy(audit.latency_quantile(v, 0.99, "latency_s", ["granularity"]))
+
+
+def q_latency_histogram(spark, sf_dir):
+    v = audit.request_validation(requests(spark, sf_dir)).withColumn(
+        "granularity", F.coalesce(F.col("granularity_norm"), F.lit("invalid")))
+    return tidy(audit.latency_histogram(v, "latency_s", ["granularity"]))
 
 
 def q_artifact_manifest(spark, sf_dir):
     return tidy(audit.artifact_hashes(spark, f"{sf_dir}/*.parquet").drop("path"))
 
 
+def q_artifact_check(spark, sf_dir):
+    """The tables' files against a manifest with a wrong hash, a file that is gone
+    and one that is not listed."""
+    hashes = audit.artifact_hashes(spark, f"{sf_dir}/*.parquet").select("file", "sha256")
+    wrong = F.when(F.col("file") == "part.parquet", F.lit("0" * 64)).otherwise(F.col("sha256"))
+    listed = hashes.where("file <> 'nation.parquet'").select("file", wrong.alias("expected_sha256"))
+    gone = spark.createDataFrame([("gone.parquet", "f" * 64)], "file string, expected_sha256 string")
+    return tidy(audit.verify_artifacts(hashes, listed.unionByName(gone)).select("file", "status"))
+
+
 # ------------------------------------------------------------------- streaming
 
+STREAM_SLICES = 4
+
+
+def _arrivals(spark, sf_dir) -> str:
+    """The events as a folder that was written in several goes, each of its own
+    stretch of time: the stream reads it in as many micro-batches or more."""
+    ev = table(spark, sf_dir, "events")
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    path = scratch_path(spark, "arrivals")
+    step = (hi - lo) / STREAM_SLICES
+    for i in range(STREAM_SLICES):
+        late = F.col("ts") >= F.lit(lo + step * i)
+        ahead = F.col("ts") < F.lit(lo + step * (i + 1)) if i < STREAM_SLICES - 1 else F.lit(True)
+        ev.where(late & ahead).write.mode("append").parquet(path)
+    return path
+
 def q_stream_hourly(spark, sf_dir):
-    out = incremental.run_hourly_stream(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"])
+    out = incremental.run_hourly_stream(spark, _arrivals(spark, sf_dir), "ts", ["event_type"], watermark="30 days", max_files=1)
     return tidy(spark.read.parquet(out).drop("month"))
 
 
@@ -470,8 +567,8 @@ def _latest_event(batch):
 
 
 def q_stream_upsert(spark, sf_dir):
-    out = incremental.run_upsert_stream(spark, f"{sf_dir}/events.parquet", _latest_event, ["user_id"],
-                                        partition_col=None)
+    out = incremental.run_upsert_stream(spark, _arrivals(spark, sf_dir), _latest_event, ["user_id"],
+                                        partition_col=None, max_files=1)
     return tidy(spark.read.parquet(out).drop("key_bucket"))
 
 
@@ -479,6 +576,11 @@ def q_rate_breaches(spark, sf_dir):
     return tidy(incremental.rate_breaches(table(spark, sf_dir, "events"), "user_id", "ts", limit=1))
 
 
+def q_stream_rate_breaches(spark, sf_dir):
+    out = incremental.run_rate_breach_stream(spark, _arrivals(spark, sf_dir), "user_id", "ts", limit=1, watermark="30 days", max_files=1)
+    return tidy(spark.read.parquet(out).drop("month"))
+
+
 # ----------------------------------------------------------------- flagship
 
 def q_capacity_plan(spark, sf_dir):
@@ -488,8 +590,9 @@ def q_capacity_plan(spark, sf_dir):
     sp = naive_split(spark, sf_dir, EVENTS_PANEL)
     res = model.residuals(sp.filter(F.col("role") == "train"), keys)
     sig = risk.residual_sigma(res, keys)
-    x = attach(sp, sig, keys).select(*keys, "TimePeriod", "y", F.col("prediction").alias("point"),
-                                     F.col("resid_sigma").alias("sigma"))
+    # a series too short to train on stays, with the fixed sigma
+    x = attach(sp, sig, keys, how="left").select(*keys, "TimePeriod", "y", F.col("prediction").alias("point"),
+                                                 risk.sigma_or_fixed("resid_sigma", "H").alias("sigma"))
     return tidy(risk.var_band(x, "point", "sigma"))
 
 
@@ -518,6 +621,8 @@ QUERIES = {
     "holdout_split": q_holdout_split,
     "offline_features": q_offline_features,
     "feature_view_daily": q_feature_view_daily,
+    "feature_view_hourly": q_feature_view_hourly,
+    "null_key_features": q_null_key_features,
     "online_latest": q_online_latest,
     "quality_violations": q_quality_violations,
     "pii_scan": q_pii_scan,
@@ -527,7 +632,6 @@ QUERIES = {
     "backtest_metrics_garch": q_backtest_metrics_garch,
     "conditional_sigmas": q_conditional_sigmas,
     "var_buffer": q_var_buffer,
-    "mc_var": q_mc_var,
     "garch_sigma": q_garch_sigma,
     "hour_sigma_lookup": q_hour_sigma_lookup,
     "next_forecast_naive": q_next_forecast_naive,
@@ -535,18 +639,23 @@ QUERIES = {
     "gbt_nowcast": q_gbt_nowcast,
     "next_forecast": q_next_forecast,
     "promotion_decision": q_promotion_decision,
+    "model_versions": q_model_versions,
     "score_forecasts": q_score_forecasts,
     "concept_drift": q_concept_drift,
     "retrain_set": q_retrain_set,
     "mae_degradation": q_mae_degradation,
     "data_drift": q_data_drift,
+    "drift_summary": q_drift_summary,
     "shadow_upsert": q_shadow_upsert,
     "request_validation": q_request_validation,
     "request_audit": q_request_audit,
     "latency_p99": q_latency_p99,
+    "latency_histogram": q_latency_histogram,
     "artifact_manifest": q_artifact_manifest,
+    "artifact_check": q_artifact_check,
     "stream_hourly": q_stream_hourly,
     "stream_upsert": q_stream_upsert,
     "rate_breaches": q_rate_breaches,
+    "stream_rate_breaches": q_stream_rate_breaches,
     "capacity_plan": q_capacity_plan,
 }

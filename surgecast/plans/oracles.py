@@ -3,11 +3,26 @@ that mirror the same table mapping as ``catalog``."""
 
 from __future__ import annotations
 
-from ..config import LATENCY_BUCKETS, granularity
-from ..functions.pii import PII_PATTERNS
-from ..functions.risk import standard_quantile
-from ..operators.monitoring import ks_critical
-from .tidy import r
+DP = 6
+
+
+def r(expr: str) -> str:
+    """Doubles are compared at 6 places (plus 0.0, so -0.0 and 0.0 are alike)."""
+    return f"(round(CAST({expr} AS DOUBLE), {DP}) + 0.0)"
+
+
+# Values of their own, not read from the code under test.
+SEASON = {"H": 24, "D": 7}
+Z99 = "2.3558409670159173"
+KS_FACTOR = "1.3581015157406195"
+BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
+PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "credit_card": r"\b(?:\d{4}[ -]){3}\d{4}\b",
+    "phone": r"\b(?:\+?\d{1,2}[\s.-]?)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b",
+}
+
 
 def MIN_TS(tbl):
     """Lower time bound per table: the 2009 cleaning bound for event data, the
@@ -54,7 +69,7 @@ def part(keys):
 
 
 def past_only_sql(src, keys, gran, extra_cols=""):
-    S = granularity(gran).season
+    S = SEASON[gran]
     kc = "".join(f"{x}, " for x in keys)
     V = "CAST(Volume AS DOUBLE)"
     return f"""SELECT {kc}TimePeriod, Volume,
@@ -108,7 +123,6 @@ def _with(*ctes):
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-Z99 = repr(standard_quantile(0.99))
 FEATS = ("Lag1", "LagS", "PrevDelta1", "PrevDeltaS", "RollMean", "RollStd")
 CAL = {"H": ("Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear", "Sin_Hour", "Cos_Hour"),
        "D": ("Sin_DayOfWeek", "Cos_DayOfWeek", "Sin_WeekOfYear", "Cos_WeekOfYear")}
@@ -199,7 +213,7 @@ def lookup_ctes():
     return garch_ctes() + [
         """vh AS (SELECT event_type, CAST(hour(TimePeriod) AS INTEGER) AS hour, count(*) AS n,
               stddev_pop(resid) AS s, count_if(NOT isfinite(resid)) AS bad FROM res GROUP BY ALL)""",
-        """vc AS (SELECT vh.event_type, hour, CASE WHEN n >= 20 AND bad = 0 THEN greatest(s, 0.5)
+        """vc AS (SELECT vh.event_type, hour, CASE WHEN n >= 6 AND bad = 0 THEN greatest(s, 0.5)
               ELSE gsig.garch_sigma END AS hour_sigma FROM vh LEFT JOIN gsig USING (event_type))""",
     ] + next_step_ctes(["event_type"], "H") + [
         """lk AS (SELECT ns.*, coalesce(round(vc.hour_sigma, 4), gsig.garch_sigma) AS sigma FROM ns
@@ -212,18 +226,20 @@ def mae_cte(name, spec_name, role, pred, model_prefix, key):
             f"FROM {spec_name}_sp WHERE role = '{role}' GROUP BY ALL)")
 
 
-def shadow_log_ctes():
+def shadow_log_ctes(came="d"):
     keys = ["event_type"]
-    return split_ctes("events_panel") + resid_ctes(keys, "role = 'test'") + next_step_ctes(keys, "H") + [
+    shifted = [] if came == "d" else [f"""{came} AS (SELECT event_type, TimePeriod, CASE WHEN event_type IN ('click', 'error')
+              AND TimePeriod >= TIMESTAMP '2024-01-26 00:00:00' THEN Volume * 2 + 5 ELSE Volume END AS Volume FROM d)"""]
+    return split_ctes("events_panel") + resid_ctes(keys, "role = 'test'") + next_step_ctes(keys, "H") + shifted + [
         f"""lg AS (SELECT event_type, TimePeriod, pred AS point, resid_sigma AS sigma FROM res JOIN sig USING (event_type)
               UNION ALL SELECT event_type, TimePeriod, LagS AS point, resid_sigma AS sigma FROM ns JOIN sig USING (event_type))""",
         f"""lgb AS (SELECT event_type, TimePeriod, round(greatest(0, point), 2) AS Point_Forecast,
               round({var_sql('point', 'sigma')}, 2) AS Safety_Buffer_99 FROM lg)""",
-        """score AS (SELECT l.event_type, count(d.Volume) AS n_matured,
+        f"""score AS (SELECT l.event_type, count(d.Volume) AS n_matured,
               round(avg(abs(CAST(d.Volume AS DOUBLE) - l.Point_Forecast)), 4) AS realised_mae,
               round(avg(CASE WHEN d.Volume IS NOT NULL THEN CAST(d.Volume <= l.Safety_Buffer_99 AS DOUBLE) END) * 100, 2)
                 AS coverage_99
-              FROM lgb l LEFT JOIN d ON d.event_type = l.event_type AND d.TimePeriod = l.TimePeriod GROUP BY ALL)""",
+              FROM lgb l LEFT JOIN {came} d ON d.event_type = l.event_type AND d.TimePeriod = l.TimePeriod GROUP BY ALL)""",
         """base AS (SELECT event_type, round(avg(abs(y - greatest(0, prediction))), 6) AS baseline_mae
               FROM sp WHERE role = 'train' GROUP BY ALL)""",
         """drift AS (SELECT score.*, base.baseline_mae, coalesce(n_matured > 0 AND baseline_mae IS NOT NULL
@@ -248,60 +264,81 @@ val AS (SELECT *, CASE WHEN upper(granularity) IN ('D', 'H') THEN upper(granular
 
 def pii_sql(tbl, cols):
     parts = [f"SELECT '{c}' AS column, '{p}' AS pattern, CAST(count_if(coalesce(regexp_matches({c}, '{pat}'), false)) AS BIGINT) AS n "
-             f"FROM {tbl}" for c in cols for p, pat in PII_PATTERNS.items()]
+             f"FROM {tbl}" for c in cols for p, pat in PERSONAL.items()]
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
 
 
-def ks_sql():
-    cols = ("value", "user_id", "event_id")
-    long = " UNION ALL ".join(
+def drift_ctes():
+    numeric = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, CASE WHEN ts < TIMESTAMP '2024-01-24 00:00:00' "
-        f"THEN 0 ELSE 1 END AS side FROM events WHERE ts IS NOT NULL" for c in cols)
-    c = repr(ks_critical(0.05))
-    return f"""WITH lf AS ({long}),
-cnt AS (SELECT feature, value, count_if(side = 0) AS c_ref, count_if(side = 1) AS c_cur FROM lf
-        WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
-cum AS (SELECT feature, sum(c_ref) OVER (PARTITION BY feature) AS N, sum(c_cur) OVER (PARTITION BY feature) AS M,
+        f"THEN 0 ELSE 1 END AS side FROM events WHERE ts IS NOT NULL" for c in ("value", "user_id", "event_id"))
+    return [f"lf AS ({numeric})",
+            """cnt AS (SELECT feature, value, count_if(side = 0) AS c_ref, count_if(side = 1) AS c_cur FROM lf
+        WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)""",
+            """cum AS (SELECT feature, sum(c_ref) OVER (PARTITION BY feature) AS N, sum(c_cur) OVER (PARTITION BY feature) AS M,
         sum(c_ref) OVER w AS cr, sum(c_cur) OVER w AS cc FROM cnt
-        WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-st AS (SELECT feature, CAST(max(N) AS BIGINT) AS n_reference, CAST(max(M) AS BIGINT) AS n_current,
-       max(abs(cr / N - cc / M)) AS ks_stat FROM cum GROUP BY ALL),
-pc AS (SELECT *, {c} * sqrt((n_reference + n_current) / (n_reference * n_current)) AS threshold FROM st),
-pd AS (SELECT *, ks_stat > threshold AS drifted FROM pc)
-SELECT feature, n_reference, n_current, {r('ks_stat')} AS ks_stat, {r('threshold')} AS threshold, drifted,
-  {r('avg(CAST(drifted AS DOUBLE)) OVER ()')} AS drift_share, avg(CAST(drifted AS DOUBLE)) OVER () >= 0.1 AS dataset_drift
-FROM pd"""
+        WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+            f"""ks AS (SELECT feature, 'numeric' AS kind, CAST(max(N) AS BIGINT) AS n_reference, CAST(max(M) AS BIGINT) AS n_current,
+       max(abs(cr / N - cc / M)) AS statistic, {KS_FACTOR} * sqrt((max(N) + max(M)) / (max(N) * max(M))) AS threshold FROM cum GROUP BY ALL)""",
+            """tc AS (SELECT event_type, count_if(ts < TIMESTAMP '2024-01-24 00:00:00') AS a, count_if(ts >= TIMESTAMP '2024-01-24 00:00:00') AS b
+       FROM events WHERE event_type IS NOT NULL GROUP BY ALL)""",
+            """tp AS (SELECT a, b, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM tc)""",
+            """js AS (SELECT 'event_type' AS feature, 'categorical' AS kind, CAST(sum(a) AS BIGINT) AS n_reference, CAST(sum(b) AS BIGINT) AS n_current,
+       sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+                       + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS statistic, 0.1 AS threshold FROM tp)""",
+            "dd AS (SELECT *, statistic > threshold AS drifted FROM (SELECT * FROM ks UNION ALL SELECT * FROM js))"]
+
+
+def drift_sql():
+    return _with(*drift_ctes()) + f"""SELECT feature, kind, n_reference, n_current, {r('statistic')} AS statistic, {r('threshold')} AS threshold,
+  drifted, CAST(NULL AS VARCHAR) AS reason, {r('avg(CAST(drifted AS DOUBLE)) OVER ()')} AS drift_share,
+  avg(CAST(drifted AS DOUBLE)) OVER () >= 0.1 AS dataset_drift FROM dd"""
+
+
+def drift_summary_sql():
+    return _with(*drift_ctes(), *split_ctes("events_panel")) + f"""SELECT {r('round(share, 4)')} AS drift_share, share >= 0.1 AS data_drift_detected,
+  {r('round(deg, 4)')} AS mae_degradation, deg > 0.15 AS concept_drift_detected, share >= 0.1 OR deg > 0.15 AS drift_detected,
+  CAST(NULL AS VARCHAR) AS reason
+FROM (SELECT avg(CAST(drifted AS DOUBLE)) AS share FROM dd),
+     (SELECT (cur - ref) / (ref + 1e-9) AS deg FROM (SELECT
+        avg(CASE WHEN role = 'train' THEN abs(y - greatest(0, prediction)) END) AS ref,
+        avg(CASE WHEN role = 'test' THEN abs(y - greatest(0, prediction)) END) AS cur FROM sp WHERE role <> 'insufficient_data'))"""
 
 
 def latency_sql():
-    les = ", ".join(f"({b!r})" for b in LATENCY_BUCKETS) + ", ('inf'::DOUBLE)"
-    return _with(requests_cte(), f"""b AS (SELECT coalesce(granularity_norm, 'invalid') AS granularity, le,
-  count_if(latency_s <= le) AS n_cumulative FROM val CROSS JOIN (VALUES {les}) t(le) GROUP BY ALL)""",
-                 """x AS (SELECT *, lag(le) OVER w AS lo, lag(n_cumulative) OVER w AS prev,
-  max(n_cumulative) OVER (PARTITION BY granularity) AS tot,
-  max(CASE WHEN le <> 'inf'::DOUBLE THEN le END) OVER (PARTITION BY granularity) AS maxfin
-  FROM b WINDOW w AS (PARTITION BY granularity ORDER BY le))""",
-                 """y AS (SELECT *, CASE WHEN le = 'inf'::DOUBLE THEN maxfin ELSE coalesce(lo, 0)
-  + (le - coalesce(lo, 0)) * (0.99 * tot - coalesce(prev, 0)) / (n_cumulative - coalesce(prev, 0)) END AS v
-  FROM x WHERE n_cumulative >= 0.99 * tot AND tot > 0)""") + \
-        f"SELECT granularity, CAST(arg_min(tot, le) AS BIGINT) AS n, {r('arg_min(v, le)')} AS p99 FROM y GROUP BY ALL"
+    return _with(requests_cte()) + (f"SELECT coalesce(granularity_norm, 'invalid') AS granularity, count(latency_s) AS n, "
+                                    f"{r('quantile_cont(latency_s, 0.99)')} AS p99 FROM val GROUP BY ALL")
+
+
+def histogram_sql():
+    les = ", ".join(f"({b!r})" for b in BUCKETS) + ", ('inf'::DOUBLE)"
+    return _with(requests_cte()) + f"""SELECT coalesce(granularity_norm, 'invalid') AS granularity, CAST(le AS DOUBLE) AS le,
+  CAST(count_if(latency_s <= le) AS BIGINT) AS n_cumulative FROM val CROSS JOIN (VALUES {les}) t(le) GROUP BY ALL"""
+
+
+GARCH_STEPS = ((0.05, 2.0), (0.02, 1.25), (0.008, 1.1), (0.003, 1.04), (0.001, 1.015))
 
 
 def garch_ctes():
-    """GARCH(1,1) grid search as a recursive CTE (one row per series x grid point
-    x step): an independent formulation of the same likelihood and grids."""
+    """GARCH(1,1) search as recursive CTEs (one row per series x grid point x step):
+    another formulation of the same likelihood, over the whole alpha + beta < 1."""
     def rec(name, grid):
+        om = "ok.v0 * r.f * (1 - r.a - r.b)"
         return f"""{name} AS (
-  SELECT g.event_type, g.a, g.b, 0 AS t, ok.v0 AS s2, CAST(0.0 AS DOUBLE) AS ll, ok.v0 AS pe2
+  SELECT g.event_type, g.a, g.b, g.f, 0 AS t, ok.v0 AS s2, CAST(0.0 AS DOUBLE) AS ll, ok.v0 AS pe2
   FROM {grid} g JOIN ok USING (event_type)
   UNION ALL
-  SELECT r.event_type, r.a, r.b, r.t + 1,
-    ok.v0 * (1 - r.a - r.b) + r.a * r.pe2 + r.b * r.s2,
-    r.ll - 0.5 * (ln(ok.v0 * (1 - r.a - r.b) + r.a * r.pe2 + r.b * r.s2)
-           + e.e * e.e / (ok.v0 * (1 - r.a - r.b) + r.a * r.pe2 + r.b * r.s2)),
-    e.e * e.e
+  SELECT r.event_type, r.a, r.b, r.f, r.t + 1, {om} + r.a * r.pe2 + r.b * r.s2,
+    r.ll - 0.5 * (ln({om} + r.a * r.pe2 + r.b * r.s2) + e.e * e.e / ({om} + r.a * r.pe2 + r.b * r.s2)), e.e * e.e
   FROM {name} r JOIN e ON e.event_type = r.event_type AND e.t = r.t + 1 JOIN ok ON ok.event_type = r.event_type)"""
 
+    rank = "[round(ll, 8), -b, -a, -f]"
+
+    def best(name, run):
+        cols = ", ".join(f"arg_max({c}, {rank}) AS {c}" for c in ("a", "b", "f", "s2", "pe2"))
+        return (f"{name} AS (SELECT event_type, {cols}, max(ll) AS top, arg_max(ll, {rank}) AS ll "
+                f"FROM {run} JOIN (SELECT event_type, n_resid FROM ok) n USING (event_type) WHERE t = n_resid GROUP BY ALL)")
+
     ctes = split_ctes("events_panel") + resid_ctes(["event_type"], "role = 'test'") + [
         """st AS (SELECT event_type, count(*) AS n_resid, avg(resid) AS mu,
               count_if(NOT isfinite(resid)) AS bad FROM res GROUP BY ALL)""",
@@ -311,25 +348,18 @@ def garch_ctes():
               / count(*) AS v0 FROM e GROUP BY ALL)""",
         """ok AS (SELECT st.event_type, n_resid, v0 FROM st JOIN v USING (event_type)
               WHERE n_resid >= 30 AND bad = 0 AND v0 > 0)""",
-        """g1 AS (SELECT ok.event_type, CAST(i AS DOUBLE) * CAST(0.02 AS DOUBLE) AS a,
-              CAST(j AS DOUBLE) * CAST(0.05 AS DOUBLE) AS b
-              FROM ok, range(16) ta(i), range(20) tb(j)
-              WHERE CAST(i AS DOUBLE) * CAST(0.02 AS DOUBLE) + CAST(j AS DOUBLE) * CAST(0.05 AS DOUBLE) < 0.999)""",
-        rec("r1", "g1"),
-        """b1 AS (SELECT r1.event_type, arg_max(a, [round(ll, 8), -b, -a]) AS a, arg_max(b, [round(ll, 8), -b, -a]) AS b
-              FROM r1 JOIN ok USING (event_type) WHERE r1.t = ok.n_resid GROUP BY ALL)""",
-        """g2 AS (SELECT DISTINCT b1.event_type, greatest(b1.a + da, 0.0) AS a, greatest(b1.b + db, 0.0) AS b
-              FROM b1, (VALUES (-0.01), (-0.005), (0.0), (0.005), (0.01)) x(da),
-                   (VALUES (-0.025), (-0.0125), (0.0), (0.0125), (0.025)) y(db)
-              WHERE greatest(b1.a + da, 0.0) + greatest(b1.b + db, 0.0) < 0.999)""",
-        rec("r2", "g2"),
-        """b2 AS (SELECT r2.event_type, arg_max(r2.a, [round(ll, 8), -b, -a]) AS a, arg_max(r2.b, [round(ll, 8), -b, -a]) AS b,
-              arg_max(r2.s2, [round(ll, 8), -b, -a]) AS s2, arg_max(r2.pe2, [round(ll, 8), -b, -a]) AS pe2,
-              arg_max(r2.ll, [round(ll, 8), -b, -a]) AS ll
-              FROM r2 JOIN ok USING (event_type) WHERE r2.t = ok.n_resid GROUP BY ALL)""",
-        """fit AS (SELECT b2.event_type, a AS alpha, b AS beta, ok.v0 * (1 - a - b) AS omega, ll AS loglik,
-              sqrt(ok.v0 * (1 - a - b) + a * pe2 + b * s2) AS gs FROM b2 JOIN ok USING (event_type))""",
-    ]
+        """g0 AS (SELECT ok.event_type, CAST(i AS DOUBLE) * CAST(0.05 AS DOUBLE) AS a, CAST(j AS DOUBLE) * CAST(0.05 AS DOUBLE) AS b, f
+              FROM ok, range(20) ta(i), range(20) tb(j), (VALUES (CAST(1.0 AS DOUBLE))) tf(f) WHERE i + j < 20)""",
+        rec("r0", "g0"), best("b0", "r0")]
+    for k, (h, q) in enumerate(GARCH_STEPS, 1):
+        das = ", ".join(f"(CAST({i * h!r} AS DOUBLE))" for i in (-2, -1, 0, 1, 2))
+        fs = ", ".join(f"(CAST({m!r} AS DOUBLE))" for m in (1 / q, 1.0, q))
+        ctes += [f"""g{k} AS (SELECT DISTINCT event_type, greatest(a + da, 0.0) AS a, greatest(b + db, 0.0) AS b, f * m AS f
+              FROM b{k - 1}, (VALUES {das}) x(da), (VALUES {das}) y(db), (VALUES {fs}) z(m)
+              WHERE greatest(a + da, 0.0) + greatest(b + db, 0.0) < 0.9999)""", rec(f"r{k}", f"g{k}"), best(f"b{k}", f"r{k}")]
+    last = f"b{len(GARCH_STEPS)}"
+    ctes.append(f"""fit AS (SELECT w.event_type, a AS alpha, b AS beta, ok.v0 * f * (1 - a - b) AS omega, ll AS loglik,
+              sqrt(ok.v0 * f * (1 - a - b) + a * pe2 + b * s2) AS gs FROM {last} w JOIN ok USING (event_type))""")
     good = "fit.gs IS NOT NULL AND isfinite(fit.gs) AND fit.gs > 0"
     ctes.append(f"""gsig AS (SELECT st.event_type, st.n_resid, fit.alpha, fit.beta, fit.omega, fit.loglik,
   CASE WHEN {good} THEN fit.gs ELSE sig.resid_sigma END AS garch_sigma,
@@ -355,7 +385,8 @@ NOWCAST_D = ((1, 7, 14, 28), (7, 14, 28), (7, 14, 28))
 NOWCAST_H = ((1, 6, 12, 24), (6, 12, 24), (12, 24, 48))
 FV_D = ("Volume_Lag1", "Volume_LagDelta1", "Volume_Lag7", "Volume_LagDelta7", "Sin_DayOfWeek", "Cos_DayOfWeek",
         "Sin_WeekOfYear", "Cos_WeekOfYear", "Regime_0", "Regime_1", "Regime_2")
-OUTF = FEATS + ()
+FV_H = ("Volume_Lag1", "Volume_LagDelta1", "Volume_Lag6", "Volume_LagDelta6", "Volume_Lag12", "Volume_LagDelta12", "Volume_Lag24",
+        "Volume_LagDelta24", "Sin_Hour", "Cos_Hour", "Regime_0", "Regime_1", "Regime_2")
 
 
 def _orc():
@@ -365,8 +396,8 @@ def _orc():
     o = {}
     o["scan_raw"] = "SELECT event_id, ts, event_type FROM events"
     o["monthly_union"] = ("SELECT o_orderdate AS TimePeriod FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' "
-                          "AND o_orderdate < TIMESTAMP '2001-09-01' UNION ALL SELECT l_shipdate AS TimePeriod FROM lineitem "
-                          "WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2001-11-01'")
+                          "UNION ALL SELECT l_shipdate AS TimePeriod FROM lineitem "
+                          "WHERE l_shipdate >= TIMESTAMP '1995-01-01'")
     o["coerce_timestamps"] = ("SELECT event_id, stamp FROM (SELECT event_id, try_cast(CASE WHEN event_type = 'error' "
                               "THEN props ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS TIMESTAMP) AS stamp FROM events) "
                               "WHERE stamp IS NOT NULL AND stamp >= TIMESTAMP '2009-01-01'")
@@ -411,6 +442,11 @@ FROM (SELECT event_type, date_trunc('day', TimePeriod) AS TimePeriod, CAST(sum(V
            "strftime(TimePeriod, '%Y-%m') AS month FROM (" + nowcast_sql("d", [], "D", *NOWCAST_D, dropna=True) + ")")
     o["offline_features"] = _with(od) + off
     o["feature_view_daily"] = _with(od) + f"SELECT TimePeriod, time_period, {', '.join(FV_D)} FROM ({off})"
+    offh = ("SELECT *, strftime(TimePeriod, '%Y-%m-%dT%H') AS time_period FROM (" + nowcast_sql("d", ["event_type"], "H", *NOWCAST_H, dropna=True) + ")")
+    o["feature_view_hourly"] = _with(ev_p) + f"SELECT event_type, TimePeriod, time_period, {', '.join(FV_H)} FROM ({offh})"
+    o["null_key_features"] = ("WITH ev AS (SELECT ts, nullif(event_type, 'signup') AS event_type FROM events), " + demand_cte(
+        "d", "ev", "ts", ["event_type"], "H", min_ts="TIMESTAMP '2009-01-01 00:00:00'") + " " +
+        nowcast_sql("d", ["event_type"], "H", (1,), (), (12,), calendar=False, regime=False))
     o["online_latest"] = _with(ev_p) + "SELECT * FROM (" + nowcast_sql("d", ["event_type"], "H", *NOWCAST_H, dropna=True) + \
         ") WHERE TimePeriod > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 48 HOUR AND TimePeriod <= " \
         "TIMESTAMP '2024-01-25 00:00:00' QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY TimePeriod DESC) = 1"
@@ -424,7 +460,8 @@ FROM (SELECT event_type, date_trunc('day', TimePeriod) AS TimePeriod, CAST(sum(V
            OR (isfinite(value) AND value > 1000000.0)) = 0 AND count(*) >= 30 AS passed
 FROM events GROUP BY ALL"""
     o["pii_scan"] = pii_sql("documents", ("text", "lang", "source"))
-    o["pii_gate"] = pii_sql("customer", ("c_name", "c_mktsegment"))
+    o["pii_gate"] = pii_sql("(SELECT *, CASE WHEN c_custkey % 7 = 0 THEN lower(c_name) || '@example.com' END AS contact FROM customer)",
+                            ("c_name", "c_mktsegment", "contact"))
     o["pii_redact"] = "SELECT doc_id, lang, source, n_chars FROM documents"
     ek = ["event_type"]
     o["backtest_metrics"] = _with(*split_ctes("events_panel"), *resid_ctes(ek, "role = 'test'")) + f"""
@@ -444,6 +481,15 @@ FROM res JOIN sig USING (event_type) GROUP BY ALL"""
         mae_cte("ev1", "events_panel", "test", "Lag1", "events", "event_type"),
         "cand AS (SELECT model, 'v2' AS version, mae FROM ev2 UNION ALL SELECT model, 'v2' AS version, mae FROM od2)",
         "champ AS (SELECT model, 'v1' AS champion_version, round(mae, 6) AS champion_mae FROM ev1)"]
+    decided = """dec AS (SELECT model, version, round(mae, 6) AS holdout_mae, champion_version,
+  CASE WHEN champion_version IS NULL OR round(mae, 6) <= champion_mae THEN 'champion' ELSE 'challenger' END AS alias
+  FROM cand LEFT JOIN champ USING (model))"""
+    o["model_versions"] = _with(*ctes, decided) + f"""
+SELECT champ.model, champ.champion_version AS version, {r('champion_mae')} AS holdout_mae,
+  CASE WHEN dec.alias = 'champion' THEN 'previous' ELSE 'champion' END AS alias FROM champ LEFT JOIN dec USING (model)
+UNION ALL SELECT model, version, {r('holdout_mae')} AS holdout_mae, alias FROM dec"""
+    o["gbt_forecast"] = _with(*split_ctes("events_panel")) + f"""SELECT event_type, count(*) AS n,
+  {r('avg(abs(y - greatest(0, prediction)))')} AS naive_mae, true AS beats_naive FROM sp WHERE role = 'test' GROUP BY ALL"""
     o["promotion_decision"] = _with(*ctes) + f"""
 SELECT model, version, {r('round(mae, 6)')} AS holdout_mae, champion_version, {r('champion_mae')} AS champion_mae,
   CASE WHEN mae IS NULL OR isnan(mae) OR isinf(mae) THEN 'rejected' WHEN champion_version IS NULL THEN 'champion'
@@ -453,17 +499,18 @@ SELECT model, version, {r('round(mae, 6)')} AS holdout_mae, champion_version, {r
 FROM cand LEFT JOIN champ USING (model)"""
     o["score_forecasts"] = _with(*shadow_log_ctes()) + \
         f"SELECT event_type, n_matured, {r('realised_mae')} AS realised_mae, {r('coverage_99')} AS coverage_99 FROM score"
-    o["concept_drift"] = _with(*shadow_log_ctes()) + (
+    o["concept_drift"] = _with(*shadow_log_ctes("came")) + (
         f"SELECT event_type, n_matured, {r('realised_mae')} AS realised_mae, {r('coverage_99')} AS coverage_99, "
         f"{r('baseline_mae')} AS baseline_mae, drift_detected FROM drift")
-    o["retrain_set"] = _with(*shadow_log_ctes()) + "SELECT DISTINCT event_type FROM drift WHERE drift_detected"
+    o["retrain_set"] = _with(*shadow_log_ctes("came")) + "SELECT DISTINCT event_type FROM drift WHERE drift_detected"
     o["mae_degradation"] = _with(*split_ctes("events_panel")) + f"""
 SELECT event_type, {r('ref')} AS reference_mae, {r('cur')} AS current_mae, {r('(cur - ref) / (ref + 1e-9)')} AS mae_degradation,
   (cur - ref) / (ref + 1e-9) > 0.15 AS concept_drift
 FROM (SELECT event_type, avg(CASE WHEN role = 'train' THEN abs(y - greatest(0, prediction)) END) AS ref,
              avg(CASE WHEN role = 'test' THEN abs(y - greatest(0, prediction)) END) AS cur
       FROM sp WHERE role <> 'insufficient_data' GROUP BY ALL)"""
-    o["data_drift"] = ks_sql()
+    o["data_drift"] = drift_sql()
+    o["drift_summary"] = drift_summary_sql()
     o["garch_sigma"] = garch_sql()
     o["backtest_metrics_garch"] = backtest_garch_sql()
     o["shadow_upsert"] = _with(*split_ctes("orders_daily"),
@@ -480,17 +527,22 @@ SELECT TimePeriod, Inferred_At, {r('Point_Forecast')} AS Point_Forecast FROM (
   SELECT *, CASE WHEN reject_reason IS NOT NULL THEN 'rejected' WHEN point_forecast > 100000 THEN 'anomalous'
   ELSE 'ok' END AS outcome FROM val) GROUP BY ALL"""
     o["latency_p99"] = latency_sql()
+    o["latency_histogram"] = histogram_sql()
     # the driver compares at sf0.01, so the oracle hashes that folder's files
     o["artifact_manifest"] = ("SELECT parse_filename(filename) AS file, size AS length, sha256(content) AS sha256 "
                               "FROM read_blob('/root/testdata/sf0.01/*.parquet')")
+    o["artifact_check"] = """SELECT parse_filename(filename) AS file, CASE parse_filename(filename) WHEN 'part.parquet' THEN 'mismatch'
+  WHEN 'nation.parquet' THEN 'unlisted' ELSE 'verified' END AS status FROM read_blob('/root/testdata/sf0.01/*.parquet')
+  UNION ALL SELECT 'gone.parquet' AS file, 'missing' AS status"""
     o["stream_hourly"] = ("SELECT event_type, date_trunc('hour', ts) AS TimePeriod, count(*) AS Volume FROM events "
                           "GROUP BY ALL")
     o["stream_upsert"] = (f"SELECT user_id, max(ts) AS TimePeriod, arg_max(event_type, ts) AS event_type, "
                           f"{r('arg_max(value, ts)')} AS value FROM events GROUP BY user_id")
     o["rate_breaches"] = ("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events "
                           "GROUP BY ALL HAVING count(*) > 1")
+    o["stream_rate_breaches"] = o["rate_breaches"]
     o["capacity_plan"] = _with(*split_ctes("events_panel"), *resid_ctes(ek, "role = 'train'")) + \
-        f"SELECT event_type, TimePeriod, {r('y')} AS y, {band_sql('prediction', 'resid_sigma')} FROM sp JOIN sig USING (event_type)"
+        f"SELECT event_type, TimePeriod, {r('y')} AS y, {band_sql('prediction', 'CASE WHEN resid_sigma > 0 THEN resid_sigma ELSE 0.21 END')} FROM sp LEFT JOIN sig USING (event_type)"
     return o
 
 

@@ -42,14 +42,18 @@ def build_session(master: str | None = None, app_name: str = "surgecast",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read here.
-    When it is unset (local runs and tests) a fresh folder is created and set.
+    On a cluster this setting must point at shared storage: a folder of the
+    driver's machine would be another one on every executor, so an unset setting
+    is an error there. Local runs and tests, where driver and executors are one
+    process, get a fresh folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="surgecast-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
 
@@ -52,20 +54,49 @@ def month_bounds(first: str, last: str):
     return f"{y0:04d}-{m0:02d}-01 00:00:00", f"{y1:04d}-{m1:02d}-01 00:00:00"
 
 
+def months_of_file(path: str) -> tuple[str, str] | None:
+    """The month, or first and last month, that a file name carries (``trips_2024-01``,
+    ``trips_2024-01_2024-03``); None without one."""
+    found = re.findall(r"(?<!\d)(\d{4}-(?:0[1-9]|1[0-2]))(?!\d)", path.rstrip("/").rsplit("/", 1)[-1])
+    return (found[0], found[-1]) if found else None
+
+
 def monthly_union(spark: SparkSession, sources) -> DataFrame:
-    """Union of one time column from several files, each kept inside its own
-    months (S4, F5, U0). ``sources``: (path, ts_col, first_month, last_month).
-    Each bound is a half-open range on the scanned column and pushes down."""
+    """Union of one time column from several files, each kept inside its own months
+    (S4, F5, U0). ``sources``: (path, ts_col) or (path, ts_col, first, last month).
+    Without months those in the file's name hold; a file with neither is an error.
+    None as the last month leaves the end open. Each bound is a half-open range on
+    the scanned column and pushes down."""
     out = None
-    for path, ts_col, first, last in sources:
-        lo, hi = month_bounds(first, last)
+    for path, ts_col, *months in sources:
+        months = months or months_of_file(path)
+        if not months:
+            raise ValueError(f"no month in the name of {path}")
+        lo, hi = month_bounds(months[0], months[1] or months[0])
         df = spark.read.parquet(path).select(F.col(ts_col).alias("TimePeriod"))
         t = df.schema["TimePeriod"].dataType.simpleString()
-        df = df.filter((F.col("TimePeriod") >= F.lit(lo).cast(t)) & (F.col("TimePeriod") < F.lit(hi).cast(t)))
+        df = df.filter(F.col("TimePeriod") >= F.lit(lo).cast(t))
+        if months[1]:
+            df = df.filter(F.col("TimePeriod") < F.lit(hi).cast(t))
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def read_source(spark: SparkSession, source: dict) -> DataFrame:
+    """Raw events from the source that is asked for (S1-S3); never another one.
+
+    ``{"kind": "files", "path": ..., "format": optional}`` or ``{"kind": "jdbc",
+    "url", "table", "column", "lower", "upper", "partitions", "properties"}``.
+    """
+    kind = source.get("kind")
+    if kind == "files":
+        return scan_raw(spark, source["path"], fmt=source.get("format"))
+    if kind == "jdbc":
+        return jdbc_reader(spark, source["url"], source["table"], source["column"], source["lower"], source["upper"],
+                           source["partitions"], source.get("properties")).load()
+    raise ValueError(f"unknown source kind {kind!r}: files or jdbc")
+
+
 def read_aggregate(spark: SparkSession, path: str, fmt: str = "parquet", value_type=LongType()) -> DataFrame:
     """Typed aggregate read with an explicit schema."""
     schema = StructType([StructField("TimePeriod", TimestampType(), True), StructField("Volume", value_type, True)])

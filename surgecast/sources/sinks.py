@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.common import join_on
 from ..session import scratch_path
 from .files import path_exists
 
@@ -18,16 +19,36 @@ def write_aggregate(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_offline_features(df: DataFrame, path: str) -> None:
-    """Offline feature store, partitioned by granularity and month."""
-    df.write.mode("overwrite").partitionBy("granularity", "month").parquet(path)
-
-
-def upsert_merge(existing: DataFrame | None, rows: DataFrame, key_cols) -> DataFrame:
-    """Rows replace existing records with the same key; the rest are kept."""
+    """Offline feature store, partitioned by granularity and month (S7); only the
+    partitions that ``df`` holds are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "month").parquet(path)
+
+
+def one_per_key(rows: DataFrame, key_cols, order_col: str | None = None) -> DataFrame:
+    """One row per key: the latest by ``order_col``, ties (or no order) by the row's
+    own values, so that the choice does not depend on the partitioning."""
+    others = [c for c in rows.columns if c not in key_cols]
+    if not others:
+        return rows.distinct()
+    rank = F.struct(*([F.col(order_col)] if order_col in others else []), F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
+    best = rows.groupBy(*key_cols).agg(F.max_by(F.struct(*others), rank).alias("_r"))
+    return best.select(*key_cols, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*rows.columns)
+
+
+def upsert_merge(existing: DataFrame | None, rows: DataFrame, key_cols, order_col: str | None = None) -> DataFrame:
+    """Rows replace existing records with the same key (null equals null); the rest
+    are kept (J4, U0). Of several rows with one key in a batch one stays. With
+    ``order_col`` a row replaces only what is not newer by that column."""
+    rows = one_per_key(rows, key_cols, order_col)
     if existing is None:
         return rows
-    keep = existing.join(rows.select(*key_cols).distinct(), on=list(key_cols), how="left_anti")
-    return keep.unionByName(rows, allowMissingColumns=True)
+    if order_col is None:
+        keep = join_on(existing, rows.select(*key_cols), key_cols, "left_anti")
+        return keep.unionByName(rows, allowMissingColumns=True)
+    both = existing.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    others = [c for c in both.columns if c not in key_cols]
+    best = both.groupBy(*key_cols).agg(F.max_by(F.struct(*others), F.struct(order_col, "_new")).alias("_r"))
+    return best.select(*key_cols, *[F.col(f"_r.{c}").alias(c) for c in others if c != "_new"])
 
 
 def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -43,19 +64,22 @@ def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def upsert_log(spark: SparkSession, rows: DataFrame, path: str, key_cols=("TimePeriod",),
-               ts_col: str = "TimePeriod", partition_col: str | None = "month", key_buckets: int = 64) -> None:
+               ts_col: str = "TimePeriod", partition_col: str | None = "month", key_buckets: int = 64,
+               order_col: str | None = None) -> None:
     """Idempotent keyed upsert into a partitioned Parquet table.
 
     * ``partition_col='month'`` (keys containing the period): partitions are the
       month of ``ts_col``;
     * ``partition_col=None`` (entity keys, e.g. one row per client): partitions
-      are ``key_buckets`` hash buckets of the key.
-
-    Only partitions touched by ``rows`` are rewritten: their merged content
-    (anti-join + union) is staged under the shared checkpoint folder, then
-    written over exactly those partitions with dynamic partition overwrite. The
-    table is never read and overwritten by the same job, and re-running a batch
-    gives the same table.
+      are ``key_buckets`` hash buckets of the key;
+    * ``order_col``: an older row never replaces a newer one.
+
+    The batch is written once to the shared folder (it may be expensive, and it is
+    read several times). Only partitions it touches are read and rewritten: their
+    list, bounded by the months or buckets of the batch, prunes the scan. The
+    merged content is staged, then written over exactly those partitions. The
+    table is never read and overwritten by one job, and re-running a batch gives
+    the same table. Staged files are removed.
     """
     if partition_col:
         part = partition_col
@@ -63,19 +87,33 @@ def upsert_log(spark: SparkSession, rows: DataFrame, path: str, key_cols=("TimeP
     else:
         part = "key_bucket"
         rows = rows.withColumn(part, F.pmod(F.xxhash64(*key_cols), F.lit(key_buckets)).cast("int"))
-    if rows.isEmpty():  # e.g. an empty micro-batch: nothing to merge
-        return
-    existing = read_table_or_none(spark, path)
-    if existing is None:
-        rows.write.mode("overwrite").partitionBy(part).parquet(path)
-        return
-    current = existing.join(rows.select(part).distinct(), part, "left_semi")
-    merged = upsert_merge(current, rows, [*key_cols])
     stage = scratch_path(spark, "upsert-stage")
-    merged.write.mode("overwrite").partitionBy(part).parquet(stage)
-    staged = spark.read.parquet(stage).select(*existing.columns)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy(part).parquet(path))
+    try:
+        rows.write.parquet(f"{stage}/batch")
+        batch = spark.read.schema(rows.schema).parquet(f"{stage}/batch")
+        touched = [r[0] for r in batch.select(part).distinct().collect()]
+        if not touched:  # e.g. an empty micro-batch: nothing to merge
+            return
+        existing = read_table_or_none(spark, path)
+        if existing is None:
+            merged, columns = upsert_merge(None, batch, [*key_cols], order_col), batch.columns
+        else:
+            hit = F.col(part).isin([t for t in touched if t is not None])
+            if None in touched:
+                hit = hit | F.col(part).isNull()
+            merged, columns = upsert_merge(existing.where(hit), batch, [*key_cols], order_col), existing.columns
+        merged.write.partitionBy(part).parquet(f"{stage}/merged")
+        staged = spark.read.option("basePath", f"{stage}/merged").schema(merged.schema).parquet(f"{stage}/merged")
+        (staged.select(*columns, *[c for c in merged.columns if c not in columns]).write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path))
+    finally:
+        remove_path(spark, stage)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder on whatever file system holds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -46,7 +46,7 @@ def _stream(spark: SparkSession, path: str, schema, max_files: int | None = None
 
 def run_hourly_stream(spark: SparkSession, source_path: str, ts_col: str = "ts", series_cols=(),
                       out_path: str | None = None, checkpoint: str | None = None,
-                      watermark: str = "1 hour", output_mode: str = "update") -> str:
+                      watermark: str = "1 hour", output_mode: str = "update", max_files: int | None = None) -> str:
     """Run T1 over everything available (``availableNow``). Returns out_path.
 
     ``update`` (default): each micro-batch emits only the windows it changed and
@@ -59,7 +59,7 @@ def run_hourly_stream(spark: SparkSession, source_path: str, ts_col: str = "ts",
     schema = spark.read.parquet(source_path).schema
     out_path = out_path or scratch_path(spark, "stream-hourly-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-hourly-ckpt")
-    src = _stream(spark, source_path, schema).select(ts_col, *series_cols)
+    src = _stream(spark, source_path, schema, max_files).select(ts_col, *series_cols)
     counts = hourly_counts(src, ts_col, series_cols, watermark)
 
     if output_mode == "update":
@@ -79,17 +79,18 @@ def run_hourly_stream(spark: SparkSession, source_path: str, ts_col: str = "ts",
 
 def run_upsert_stream(spark: SparkSession, source_path: str, transform, key_cols, target_path: str | None = None,
                       checkpoint: str | None = None, ts_col: str = "TimePeriod",
-                      partition_col: str | None = "month") -> str:
-    """Run T2: every micro-batch is transformed and upserted on ``key_cols``
-    into ``target_path`` (month-partitioned, only touched months rewritten)."""
+                      partition_col: str | None = "month", max_files: int | None = None) -> str:
+    """Run T2: every micro-batch is transformed and upserted on ``key_cols`` into
+    ``target_path`` (only touched partitions rewritten). A row of an earlier
+    ``ts_col`` that comes late does not replace a later one."""
     schema = spark.read.parquet(source_path).schema
     target_path = target_path or scratch_path(spark, "stream-upsert-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-upsert-ckpt")
 
     def sink(batch: DataFrame, _batch_id: int) -> None:
-        upsert_log(spark, transform(batch), target_path, key_cols, ts_col, partition_col)
+        upsert_log(spark, transform(batch), target_path, key_cols, ts_col, partition_col, order_col=ts_col)
 
-    q = (_stream(spark, source_path, schema).writeStream.foreachBatch(sink)
+    q = (_stream(spark, source_path, schema, max_files).writeStream.foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return target_path
@@ -97,16 +98,20 @@ def run_upsert_stream(spark: SparkSession, source_path: str, transform, key_cols
 
 def run_rate_breach_stream(spark: SparkSession, source_path: str, client_col: str = "user_id", ts_col: str = "ts",
                            limit: int = RATE_LIMIT_PER_MINUTE, out_path: str | None = None,
-                           checkpoint: str | None = None, watermark: str = "1 minute") -> str:
-    """Run T3 as a stream: per-client minute counts with a watermark, appended
-    once each minute is final (state is dropped behind the watermark).
-    Breaches are written to ``out_path`` (Parquet, append)."""
+                           checkpoint: str | None = None, watermark: str = "1 minute", max_files: int | None = None) -> str:
+    """Run T3 as a stream: per-client minute counts with a watermark (state behind it
+    is dropped). Each micro-batch upserts the breaches it changed on (client,
+    minute), so the last minutes are there too."""
     schema = spark.read.parquet(source_path).schema
     out_path = out_path or scratch_path(spark, "stream-rate-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-rate-ckpt")
-    src = _stream(spark, source_path, schema).select(client_col, ts_col)
+    src = _stream(spark, source_path, schema, max_files).select(client_col, ts_col)
     breaches = rate_breaches(src, client_col, ts_col, limit, watermark)
-    q = (breaches.writeStream.outputMode("append").format("parquet").option("path", out_path)
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    def sink(batch: DataFrame, _batch_id: int) -> None:
+        upsert_log(spark, batch, out_path, [client_col, "minute"], "minute", "month")
+
+    q = (breaches.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path

@@ -6,49 +6,67 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
+ROWS = {"kind": "files", "path": f"{SF}/events.parquet"}
+TYPES = ("view", "click", "purchase", "error", "signup")
+
+
 @pytest.fixture(scope="module")
 def agg_root(spark, tmp_path_factory):
     from surgecast.plans import jobs
 
     root = str(tmp_path_factory.mktemp("agg"))
-    jobs.ingest_job(spark, f"{SF}/events.parquet", root, ts_col="ts", series_cols=["event_type"])
+    jobs.ingest_job(spark, ROWS, root, "2030-01-01", ts_col="ts", series_cols=["event_type"])
     return root
 
 
-def test_infer_is_idempotent_per_as_of(spark, agg_root, tmp_path):
-    from surgecast.plans import jobs
+def test_the_loop_is_closed(spark, agg_root, tmp_path):
+    """Train, infer, monitor and train again by name, with no frame made by hand."""
+    from surgecast.plans.jobs import run_task
+
+    at = {"out_root": agg_root, "root": str(tmp_path / "root"), "log_path": str(tmp_path / "log"), "series_cols": ["event_type"],
+          "trees": 3, "depth": 3, "min_rows": 30}
+    assert run_task("validate-hourly", spark, **at) > 0
+    v1 = run_task("train-hourly", spark, as_of="2024-01-20 00:00:00", **at).collect()
+    assert len(v1) == 5 and all(r.alias == "champion" and r.holdout_mae >= 0 and r.garch_sigma > 0 and r.hour_sigmas for r in v1)
+    again = run_task("train-hourly", spark, as_of="2024-01-20 00:00:00", **at)
+    assert again.count() == 5  # idempotent
+
+    for as_of in ("2024-01-20 00:00:00", "2024-01-20 00:00:00", "2024-01-20 05:00:00"):
+        rows = run_task("hourly-inference", spark, as_of=as_of, **at).collect()
+        assert len(rows) == 5 and all(r.status == "model" and r.version == v1[0].version for r in rows)
+    log = spark.read.parquet(at["log_path"])
+    assert log.count() == 10 and log.where("Safety_Buffer_99 < Point_Forecast").count() == 0
 
-    versions = spark.createDataFrame([(t, 3.0) for t in ("view", "click", "purchase", "error", "signup")],
-                                     "event_type string, garch_sigma double")
-    log = str(tmp_path / "log")
-    a = jobs.infer_job(spark, f"{agg_root}/hourly", "H", "2024-01-20 00:00:00", versions, log, ["event_type"])
-    jobs.infer_job(spark, f"{agg_root}/hourly", "H", "2024-01-20 00:00:00", versions, log, ["event_type"])
-    got = spark.read.parquet(log)
-    assert got.count() == a.count() == 5
-    assert got.filter(F.col("TimePeriod") != F.lit("2024-01-20 01:00:00").cast("timestamp")).count() == 0
-    assert got.filter(F.col("Safety_Buffer_99") < F.col("Point_Forecast")).count() == 0
-    jobs.infer_job(spark, f"{agg_root}/hourly", "H", "2024-01-20 05:00:00", versions, log, ["event_type"])
-    assert spark.read.parquet(log).count() == 10
+    seen = run_task("monitor-hourly", spark, **at).collect()
+    assert {r.event_type for r in seen} == set(TYPES) and all(r.n_matured == 2 and r.baseline_mae is not None for r in seen)
+    only = spark.createDataFrame([("view",)], "event_type string")
+    v2 = run_task("train-hourly", spark, as_of="2024-01-25 00:00:00", only=only, **at)
+    assert v2.count() == 6 and v2.where("alias = 'champion'").groupBy("event_type").count().where("count = 1").count() == 5
 
 
-def test_monitor_scores_log(spark, agg_root, tmp_path):
+def test_inference_without_a_version_and_with_a_short_series(spark, tmp_path):
+    import datetime as dt
+
     from surgecast.plans import jobs
 
-    versions = spark.createDataFrame([("view", 3.0)], "event_type string, garch_sigma double")
-    log = str(tmp_path / "log")
-    jobs.infer_job(spark, f"{agg_root}/hourly", "H", "2024-01-10 00:00:00", versions, log, ["event_type"])
-    base = spark.createDataFrame([(t, 0.5) for t in ("view", "click", "purchase", "error", "signup")],
-                                 "event_type string, baseline_mae double")
-    out = jobs.monitor_job(spark, log, f"{agg_root}/hourly", base, ["event_type"]).collect()
-    assert len(out) == 5 and all(r.n_matured == 1 for r in out)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("long", start + dt.timedelta(hours=h), 3) for h in range(48)] + [("short", start + dt.timedelta(hours=h), 2) for h in range(5)]
+    spark.createDataFrame(rows, "k string, TimePeriod timestamp, Volume long").write.parquet(str(tmp_path / "h"))
+    out = {r.k: r for r in jobs.infer_job(spark, str(tmp_path / "h"), "H", "2024-02-01", str(tmp_path / "root"), str(tmp_path / "log"), ["k"]).collect()}
+    assert out["long"].status == "naive" and out["long"].Point_Forecast == 3.0
+    assert out["short"].status == "insufficient_data" and out["short"].Point_Forecast is None
 
 
-def test_train_job_returns_model_and_metrics(spark, agg_root):
+def test_inference_refuses_bad_volumes(spark, tmp_path):
+    import datetime as dt
+
+    from surgecast.operators.quality import DataQualityError
     from surgecast.plans import jobs
 
-    model, metrics = jobs.train_job(spark, f"{agg_root}/hourly", "H", "2024-01-30 00:00:00", ["event_type"], trees=3)
-    rows = metrics.collect()
-    assert len(rows) == 5 and all(r.holdout_mae >= 0 and r.garch_sigma > 0 and r.status == "trained" for r in rows)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), v) for h, v in enumerate([1.0] * 40 + [-50.0])]
+    spark.createDataFrame(rows, "TimePeriod timestamp, Volume double").write.parquet(str(tmp_path / "h"))
+    with pytest.raises(DataQualityError, match="negative_volume 1"):
+        jobs.infer_job(spark, str(tmp_path / "h"), "H", "2024-02-01", str(tmp_path / "root"), str(tmp_path / "log"))
 
 
 def test_stream_upsert_latest_per_key(spark):
@@ -169,8 +187,8 @@ def test_ingest_job_redacts_pii_and_resolves_stamp(spark, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=20 * i), f"user{i}@example.com") for i in range(90)]
     raw = spark.createDataFrame(rows, "trip_id long, CreatedStamp timestamp, note string")
     raw.write.parquet(str(tmp_path / "raw.parquet"))
-    out = jobs.ingest_job(spark, str(tmp_path / "raw.parquet"), str(tmp_path / "agg"))
-    assert {(r["column"], r["pattern"]) for r in out["pii_report"]} == {("note", "email")}
+    out = jobs.ingest_job(spark, {"kind": "files", "path": str(tmp_path / "raw.parquet")}, str(tmp_path / "agg"), "2030-01-01")
+    assert out["pii_report"] == []  # only the stamp is read of the raw table
     hourly = spark.read.parquet(out["hourly"])
     assert hourly.columns == ["TimePeriod", "Volume"] and hourly.agg(F.sum("Volume")).first()[0] == 90
     assert hourly.count() == 30

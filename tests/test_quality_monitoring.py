@@ -43,11 +43,11 @@ def test_pii_scan_redact_gate(spark):
     df = spark.createDataFrame(rows, "note string, ref string, Volume double")
     rep = {(r.column, r.pattern): r.n for r in pii.pii_scan(df).collect()}
     assert rep == {("note", "email"): 1, ("note", "ssn"): 1, ("note", "phone"): 1, ("note", "credit_card"): 1}
-    clean, report = pii.redact_pii_columns(df)
+    clean, report = pii.without_pii_columns(df)
     assert clean.columns == ["ref", "Volume"] and len(report) == 4
-    with pytest.raises(pii.PIIDetectedError):
-        pii.assert_no_pii(df)
-    pii.assert_no_pii(clean)
+    with pytest.raises(pii.PersonalDataFound, match="note: 1 x email"):
+        pii.pii_gate(df)
+    pii.pii_gate(clean)
 
 
 def test_score_forecasts_worked_example(spark):
@@ -82,11 +82,11 @@ def test_ks_matches_bruteforce(spark):
     a, b = rng.normal(0, 1, 400).round(2), rng.normal(0.3, 1, 300).round(2)
     ref = spark.createDataFrame([(float(x),) for x in a], "x double")
     cur = spark.createDataFrame([(float(x),) for x in b], "x double")
-    got = monitoring.data_drift(ref, cur, ["x"], n_blocks=8).first()
+    got = monitoring.data_drift(ref, cur, ["x"]).first()
     grid = np.union1d(a, b)
     exp = max(abs(np.searchsorted(np.sort(a), g, "right") / len(a) - np.searchsorted(np.sort(b), g, "right") / len(b))
               for g in grid)
-    assert got.ks_stat == pytest.approx(exp)
+    assert got.statistic == pytest.approx(exp)
     assert got.drifted == (exp > monitoring.ks_critical(0.05) * np.sqrt((400 + 300) / (400 * 300)))
 
 
@@ -99,12 +99,69 @@ def test_request_validation_rejects_injection(spark):
                    (False, "confidence_level"), (False, "confidence_level"), (False, "confidence_level")]
 
 
-def test_histogram_quantile(spark):
-    df = spark.createDataFrame([(x,) for x in [0.001] * 98 + [0.3, 20.0]], "latency_s double")
-    h = audit.latency_histogram(df)
-    p = audit.histogram_quantile(h, 0.99).first()
-    # rank 99 lies in the (0.25, 0.5] bucket that holds one observation
-    assert p.n == 100 and p.p99 == pytest.approx(0.5)
+def test_latency_counts_and_exact_quantile(spark):
+    df = spark.createDataFrame([(x,) for x in [0.001] * 98 + [0.3, 20.0, None]], "latency_s double")
+    h = {r.le: r.n_cumulative for r in audit.latency_histogram(df).collect()}
+    assert h[0.005] == 98 and h[0.5] == 99 and h[10.0] == 99 and h[float("inf")] == 100
+    p = audit.latency_quantile(df, 0.99).first()
+    assert p.n == 100 and p.p99 == pytest.approx(0.3 + 0.01 * 19.7)
+
+
+def test_drift_does_not_hang_on_exchange_reuse(spark):
+    rng = np.random.default_rng(5)
+    ref = spark.createDataFrame([(float(x), "ab"[int(x > 0)]) for x in rng.normal(0, 1, 3000)], "x double, s string")
+    cur = spark.createDataFrame([(float(x), "abc"[int(x > 0) + int(x > 1.5)]) for x in rng.normal(0.1, 1, 2000)], "x double, s string")
+    def run():
+        return {r.feature: (r.statistic, r.drifted, r.reason) for r in monitoring.data_drift(ref, cur, ["x", "s"]).collect()}
+    with_reuse = run()
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert run() == with_reuse
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert 0 < with_reuse["x"][0] < 1 and with_reuse["s"][1] is True
+
+
+def test_drift_of_empty_window_and_stored_baseline(spark, tmp_path):
+    from surgecast.plans import jobs
+
+    ref = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
+    rows = monitoring.data_drift(ref, ref.limit(0), ["x", "s"]).collect()
+    assert {(r.feature, r.drifted, r.reason) for r in rows} == {("x", False, "no current data"), ("s", False, "no current data")}
+    errs = spark.createDataFrame([], "mae_degradation double, concept_drift boolean")
+    one = monitoring.drift_summary(monitoring.data_drift(ref, ref.limit(0), ["x", "s"]), errs).collect()
+    assert len(one) == 1 and one[0].drift_detected is False and one[0].reason == "no current data"
+    first = jobs.drift_job(spark, ref, ["x", "s"], str(tmp_path / "base")).collect()
+    assert all(r.statistic == 0 and not r.drifted for r in first)
+    far = spark.createDataFrame([(float(i), "z") for i in range(100, 200)], "x double, s string")
+    later = {r.feature: r for r in jobs.drift_job(spark, far, ["x", "s"], str(tmp_path / "base")).collect()}
+    assert later["x"].statistic == 1.0 and later["x"].n_reference == 2 and later["s"].drifted
+
+
+def test_verify_artifacts(spark):
+    hashes = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "file string, sha256 string")
+    manifest = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "file string, expected_sha256 string")
+    got = {r.file: r.status for r in audit.verify_artifacts(hashes, manifest).collect()}
+    assert got == {"a": "verified", "b": "mismatch", "c": "unlisted", "d": "missing"}
+
+
+def test_upsert_null_and_repeated_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    row = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 3)], "k string, v int")
+    for _ in range(2):
+        sinks.upsert_log(spark, row, path, ["k"], partition_col=None, order_col="v")
+    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(None, 2), ("a", 3)}
+    assert spark.read.parquet(path).count() == 2
+    sinks.upsert_log(spark, spark.createDataFrame([("a", 2)], "k string, v int"), path, ["k"], partition_col=None, order_col="v")
+    assert spark.read.parquet(path).where("k = 'a'").first().v == 3
+
+
+def test_offline_store_keeps_the_other_granularity(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    for g in ("D", "H"):
+        sinks.write_offline_features(spark.createDataFrame([(1.0, g, "2024-01")], "x double, granularity string, month string"), path)
+    assert {r.granularity for r in spark.read.parquet(path).collect()} == {"D", "H"}
 
 
 def test_upsert_idempotent_and_replaces(spark, tmp_path):
