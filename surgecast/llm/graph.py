@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import scratch_path
+from ..sources.sinks import remove_path
 from .common import keep
 
 
@@ -22,21 +24,33 @@ def components(edges: DataFrame) -> DataFrame:
     Contraction: every node moves to the smallest node of its neighbourhood, the
     edges follow, self-loops and repeats go.  Each round at least halves the
     nodes of a component that is not done, so the rounds grow with the logarithm
-    of the longest chain.  Each round is checkpointed.
+    of the longest chain.  Each round is written to the shared folder and read
+    again: a checkpoint would carry its size estimate along, and the estimates of
+    chained joins multiply.
     """
+    spark, path, written = edges.sparkSession, scratch_path(edges.sparkSession, "components"), 0
+
+    def table(df: DataFrame) -> DataFrame:
+        nonlocal written
+        written += 1
+        df.write.parquet(f"{path}/{written}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{written}")
+
     both = edges.select("a", "b").where("a <> b")
-    live = keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    moves = keep(live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+    live = table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    moves = table(live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
     label = moves.select(F.col("a").alias("node"), F.col("to").alias("component"))
     while True:
         one = live.join(moves.withColumnRenamed("to", "a2"), "a")
         two = one.join(moves.select(F.col("a").alias("b"), F.col("to").alias("b2")), "b")
-        live = keep(two.where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        live = table(two.where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
         if live.isEmpty():
+            label = keep(label)
+            remove_path(spark, path)
             return label
-        moves = keep(live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        moves = table(live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         step = moves.select(F.col("a").alias("component"), "to")
-        label = keep(label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        label = table(label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 def tiles(df: DataFrame, member: str, size: Column, limit: int) -> DataFrame:
