@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 from . import words as W
@@ -117,12 +118,14 @@ def split(texts: list[str], pattern: str = "gpt", table: np.ndarray | None = Non
     total[0] = 0
     np.cumsum((cp.astype(np.uint64) + np.uint64(0x632BE5AB)) * np.uint64(0x9FB21C651E98DF25) * pw[:n], out=total[1:])
     value = (total[end] - total[start]) * inv[start]
-    _, place, which = np.unique(value, return_index=True, return_inverse=True)
+    which, distinct = pd.factorize(value)
+    place = np.empty(len(distinct), np.int64)
+    place[which[::-1]] = np.arange(len(value) - 1, -1, -1)
     words = [whole[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())]
-    return Split(words, which.reshape(-1), np.searchsorted(start, at))
+    return Split(words, which, np.searchsorted(start, at))
 
 
-def runs(texts: list[str | None], limit: int = W.CHUNK_BYTES // 2) -> Iterator[list[str]]:
+def runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Texts in runs of about ``limit`` characters; null is empty."""
     run, size = [], 0
     for t in texts:

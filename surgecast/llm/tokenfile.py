@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,17 @@ JOINED = 100  # words handed to the library in one string
 ROW_IDS = 1 << 20  # ids in a row of blocks, about; a longer document makes a longer row
 
 
+_encoders: dict[str, object] = {}
+
+
+def worker_encoder(spec: str):
+    """The encoder of a worker process: its tables and words serve one task after another."""
+    if spec not in _encoders:
+        _encoders.clear()
+        _encoders[spec] = word_encoder(spec)
+    return _encoders[spec]
+
+
 def word_encoder(spec: str):
     """``encode(texts) -> (ids, ids per text)`` equal to the library's on a
     lower-casing word tokenizer: pre-tokens are cut for many texts at once, and
@@ -55,8 +66,6 @@ def word_encoder(spec: str):
 
     def learn(words: list[str]) -> None:
         nonlocal flat, size
-        if not words:
-            return
         joined = ["\n".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
         found = model.encode_batch_fast(joined, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
@@ -73,8 +82,10 @@ def word_encoder(spec: str):
         if len(number) > tokens.MEMO_WORDS:
             number.clear()
             flat, size = flat[:0], size[:0]
-        learn([w for w in s.words if w not in number])
-        known = np.array([number[w] for w in s.words], np.int64)
+        known = np.array(list(map(number.get, s.words, repeat(-1))), np.int64)
+        if len(fresh := np.flatnonzero(known < 0)):
+            known[fresh] = np.arange(len(number), len(number) + len(fresh))
+            learn([s.words[i] for i in fresh])
         begin = np.cumsum(size) - size
         which = known[s.which] if len(known) else np.zeros(0, np.int64)
         ids, per = tokens.take(flat, begin[which], size[which])
@@ -99,7 +110,7 @@ def encoded(docs: DataFrame, spec: str, end_id: int, id_col: str = "doc_id", tex
     table = spark.sparkContext.broadcast(spec)
 
     def run(batches):
-        encode = word_encoder(table.value)
+        encode = worker_encoder(table.value)
         part, seq, start, ids, lengths, held, size = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
 
         def flush():

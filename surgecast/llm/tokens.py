@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, types as T
 from . import blocks, bpe, pretok
 from .common import partitions
 
-MEMO_WORDS = 1_000_000  # merged words that a counting task remembers
+MEMO_WORDS = 500_000  # words that a task remembers
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
