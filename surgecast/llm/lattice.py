@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -157,12 +158,14 @@ def is_training(ids: list, folds: int = 7, held: int = 2) -> np.ndarray:
 
 
 def _word_chunks(texts):
-    for _, run in W.chunks(texts):
+    for _, run in W.chunks(texts, 1 << 21):  # long runs share more words
         w = W.scan(run)
-        _, place, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        which, distinct = pd.factorize(w.hash)
+        place = np.empty(len(distinct), np.int64)
+        place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         raw = w.data.tobytes()
         found = [raw[a:b].lower() for a, b in zip(w.start[place].tolist(), w.end[place].tolist())]  # bytes.lower is A-Z alone
-        yield found, which.reshape(-1), w.first
+        yield found, which, w.first
 
 
 def score_documents(docs: DataFrame, pieces: list[bytes], weight: np.ndarray, id_col: str = "doc_id",

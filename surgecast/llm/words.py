@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21  # text bytes scanned together; a longer document is a chunk of its own
+CHUNK_BYTES = 1 << 19  # text bytes scanned together (in cache); a longer document is a chunk of its own
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
