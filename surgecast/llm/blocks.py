@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep, partitions
+from .common import keep, partitions, released
 
 BLOCK_CHARS = 32_000_000
 BLOCK_WORDS = 1_000_000
@@ -113,7 +113,7 @@ def build(docs: DataFrame, id_col: str, text_col: str, chunks: Callable[[list[st
             if not state["ids"]:
                 return
             lengths = np.concatenate(state["lengths"])
-            stream = np.concatenate(state["stream"]) if state["stream"] else np.zeros(0, np.int64)
+            stream = np.concatenate(state["stream"]) if state["stream"] else np.zeros(0, np.uint32)
             words = list(state["words"])
             count, met = np.bincount(stream, minlength=len(words)), np.empty(len(words), np.int64)
             met[stream[::-1]] = np.arange(len(stream) - 1, -1, -1)
@@ -151,8 +151,8 @@ def build(docs: DataFrame, id_col: str, text_col: str, chunks: Callable[[list[st
             ids, done = batch.column(0).to_pylist(), 0
             for words, which, first in chunks(batch.column(1).to_pylist()):
                 known = state["words"]
-                number = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-                state["stream"].append(number[which] if len(words) else np.zeros(0, np.int64))
+                number = np.array([known.setdefault(w, len(known)) for w in words], np.uint32)
+                state["stream"].append(number[which] if len(words) else np.zeros(0, np.uint32))
                 lengths = np.diff(first)
                 state["ids"].extend(ids[done : done + len(lengths)])
                 done += len(lengths)
@@ -164,7 +164,7 @@ def build(docs: DataFrame, id_col: str, text_col: str, chunks: Callable[[list[st
 
     kind = docs.schema[id_col].dataType.simpleString()
     return keep(docs.select(id_col, text_col).mapInArrow(
-        run, f"block long, bucket int, ids array<{kind}>, numbers binary, data binary, weights binary"))
+        released(run), f"block long, bucket int, ids array<{kind}>, numbers binary, data binary, weights binary"))
 
 
 def answer(blocks: DataFrame, reply: Callable[[int, list[dict]], Iterator[dict]], schema: str) -> DataFrame:
@@ -191,7 +191,7 @@ def answer(blocks: DataFrame, reply: Callable[[int, list[dict]], Iterator[dict]]
     target = _arrow(schema)
     assert names
     dealt = blocks.where("bucket >= 0").select("block", "bucket", "numbers", "data", "weights")
-    return dealt.repartition(partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
+    return dealt.repartition(partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(released(run), schema)
 
 
 def gather(blocks: DataFrame, answers: DataFrame, assemble: Callable[[dict, list[dict]], Iterator[pa.RecordBatch]],
@@ -216,7 +216,7 @@ def gather(blocks: DataFrame, answers: DataFrame, assemble: Callable[[dict, list
     home = answers.select("block", F.lit(0).alias("bucket"), F.lit(None).cast(blocks.schema["ids"].dataType).alias("ids"),
                           "numbers", "data", "more")
     return (streams.unionByName(home).repartition(partitions(blocks.sparkSession), "block")
-            .sortWithinPartitions("block", "bucket").mapInArrow(run, schema))
+            .sortWithinPartitions("block", "bucket").mapInArrow(released(run), schema))
 
 
 def _arrow(schema: str) -> pa.Schema:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
-from .common import text_bytes
+from .common import released, text_bytes
 
 MASKS = ("110010101", "101100011", "111000101", "100110110")
 SPAN = len(MASKS[0])
@@ -127,7 +127,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).orderBy("i", "t").collect()
         table = spark.sparkContext.broadcast(Index([r["i"] for r in part], [bytes(r["t"]) for r in part]))
-        out = out.mapInArrow(_search(table, out.columns.index(text_col)), out.schema)
+        out = out.mapInArrow(released(_search(table, out.columns.index(text_col))), out.schema)
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
 from ..sources.sinks import remove_path
-from .common import keep
+from .common import keep, released
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def star_edges(df: DataFrame, keys: list[str], member: str, payload: str,
         yield _pairs(out)
 
     dealt = df.select(*keys, member, payload).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(released(run), "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:

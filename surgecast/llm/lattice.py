@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks, words as W
-from .common import keep, partitions
+from .common import keep, partitions, released
 
 ROUNDS = 4  # of expectation maximisation
 DISCOUNT = 0.75  # of a training word's count, left to the pieces
@@ -202,8 +202,8 @@ def score_documents(docs: DataFrame, pieces: list[bytes], weight: np.ndarray, id
             counts = [blocks.unpack(d, np.uint64) for d in batch.column(0).to_pylist()]
             yield pa.record_batch({"v": pa.array([len(c) for c in counts], pa.int64()), "n": pa.array([int(c.sum()) for c in counts], pa.int64())})
 
-    seen = table.mapInArrow(sums, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
-    train_docs = made.where("bucket < 0").select("ids").mapInArrow(_train_docs, "n long").agg(F.sum("n")).first()[0] or 0
+    seen = table.mapInArrow(released(sums), "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    train_docs = made.where("bucket < 0").select("ids").mapInArrow(released(_train_docs), "n long").agg(F.sum("n")).first()[0] or 0
     train_tokens = (seen["n"] or 0) + train_docs
     distinct = (seen["v"] or 0) + (train_docs > 0)
 
@@ -220,7 +220,7 @@ def score_documents(docs: DataFrame, pieces: list[bytes], weight: np.ndarray, id
             yield pa.record_batch({"piece": pa.array(used.astype(np.int32)), "n": pa.array(out[used])})
 
         uses = np.full(len(pieces), PRIOR)  # as many rows as pieces at most
-        for r in table.mapInArrow(expected, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        for r in table.mapInArrow(released(expected), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
             uses[r["piece"]] += r["n"]
         weight = np.log(uses) - np.log(uses.sum())
     final = spark.sparkContext.broadcast(weight)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import keep, text_bytes
+from .common import keep, released, text_bytes
 from .graph import components, star_edges, tiles
 
 COORDINATES = 48
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.xxhash64(text_col).alias("key"), text_bytes(text_col).alias("_b")).mapInArrow(
-        run, f"`{id_col}` {kind}, key long, n_shingles long, set_id long, sig binary")
+        released(run), f"`{id_col}` {kind}, key long, n_shingles long, set_id long, sig binary")
 
 
 def _agree(loads: list[bytes]):
@@ -122,7 +122,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
                 "set_id": pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), COORDINATES)),
                 "post": pa.array(np.tile(np.arange(COORDINATES, dtype=np.int64), m) << 32 | sig.astype(np.int64) & 0xFFFFFFFF)})
 
-    posts = classes.select("set_id", "sig").mapInArrow(coordinates, "set_id long, post long")
+    posts = classes.select("set_id", "sig").mapInArrow(released(coordinates), "set_id long, post long")
     common = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
     shared = posts.join(common, "post")
     prefix = COORDINATES - MATCHES + 1
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
             # a repeated id may bring another text: it counts only for its own class
             yield out.filter(pa.array(np.array(ids, np.int64) == batch.column(0).to_numpy(zero_copy_only=False)))
 
-    full = found.mapInArrow(as_sets, "set_id long, component long, total long, payload binary").dropDuplicates(["set_id"])
+    full = found.mapInArrow(released(as_sets), "set_id long, component long, total long, payload binary").dropDuplicates(["set_id"])
     tiled = tiles(full, "set_id", F.col("total"), CLUSTER_LIMIT)
     links = star_edges(tiled, ["component", "tile_a", "tile_b"], "set_id", "payload", similar(percent)).distinct()
     group = components(keep(links)).select(F.col("node").alias("set_id"), F.col("component").alias("_group"))

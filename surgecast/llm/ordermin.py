@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import keep, partitions
+from .common import keep, partitions, released
 
 WIDTH, TUPLE, COORDINATES = 8, 2, 32
 _rng = np.random.default_rng(31337)
@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                           ["part", "edge", "text", id_col, *names])
 
-    done = keep(ordered.mapInArrow(run, f"part int, edge int, text string, `{id_col}` {kind}, {_FIELDS}"))
+    done = keep(ordered.mapInArrow(released(run), f"part int, edge int, text string, `{id_col}` {kind}, {_FIELDS}"))
     parts = sorted(r["part"] for r in done.where("edge = 1").select("part").collect())  # one per partition
     turn = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, after int")
     heads = done.where("edge = 1").select(F.col("part").alias("after"), F.col("text").alias("next_text"), F.col("sign").alias("next_sign"))
@@ -160,7 +160,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [id_col, *names])
 
-    closed = ends.select(id_col, "text", "sign", "next_text", "next_sign").mapInArrow(finish, f"`{id_col}` {kind}, {_FIELDS}")
+    closed = ends.select(id_col, "text", "sign", "next_text", "next_sign").mapInArrow(released(finish), f"`{id_col}` {kind}, {_FIELDS}")
     both = done.where("edge = 0").select(id_col, *names).unionByName(closed)
     return both.select(id_col, "n_chars", F.lower(F.hex("edited")).alias("edited_sha256"), F.lower(F.hex("sign")).alias("fingerprint"),
                        F.lower(F.hex("edited_sign")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep, partitions
+from .common import keep, partitions, released
 
 
 def ring_points(shards: int, virtual: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def shard(docs: DataFrame, shards: int = 8, virtual: int = 64, slack: float = 0.
             k += n
 
     # checkpointed: ranks and counts come from the same numbering
-    numbered = keep(ordered.mapInArrow(number, f"`{id_col}` {kind}, size long, text_crc32 long, _part int, _k long, _arc int"))
+    numbered = keep(ordered.mapInArrow(released(number), f"`{id_col}` {kind}, size long, text_crc32 long, _part int, _k long, _arc int"))
     arc_rows = np.zeros(len(place) + 1, np.int64)  # the last arc wraps around to the first point
     for r in numbered.groupBy("_arc").count().collect():
         arc_rows[r["_arc"]] = r["count"]
@@ -106,4 +106,4 @@ def shard(docs: DataFrame, shards: int = 8, virtual: int = 64, slack: float = 0.
                  pa.nulls(n, pa.int32())], [id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
 
     return numbered.mapInArrow(
-        locate, f"`{id_col}` {kind}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
+        released(locate), f"`{id_col}` {kind}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")

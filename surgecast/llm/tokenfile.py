@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import blocks, pretok, rans, tokens
-from .common import keep, partitions, prepare
+from .common import keep, partitions, prepare, released
 
 JOINED = 100  # words handed to the library in one string
 ROW_IDS = 1 << 20  # ids in a row of blocks, about; a longer document makes a longer row
@@ -141,7 +141,7 @@ def encoded(docs: DataFrame, spec: str, end_id: int, id_col: str = "doc_id", tex
     tie = F.xxhash64(F.col(text_col)).alias("_tie")
     ordered = (docs.select(id_col, text_col, tie).repartitionByRange(partitions(spark), id_col, "_tie")
                .sortWithinPartitions(id_col, "_tie").select(id_col, text_col))
-    return keep(ordered.mapInArrow(run, f"part int, seq long, start long, ids array<{kind}>, lengths binary, n_ids long, data binary"))
+    return keep(ordered.mapInArrow(released(run), f"part int, seq long, start long, ids array<{kind}>, lengths binary, n_ids long, data binary"))
 
 
 def write(rows: DataFrame, path: str, vocabulary: int) -> str:
@@ -156,7 +156,7 @@ def write(rows: DataFrame, path: str, vocabulary: int) -> str:
         used = np.flatnonzero(count)
         yield pa.record_batch({"id": pa.array(used.astype(np.int32)), "n": pa.array(count[used])})
 
-    counted = rows.select("data").mapInArrow(histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = rows.select("data").mapInArrow(released(histogram), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)  # one row per vocabulary entry at most
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -177,7 +177,7 @@ def write(rows: DataFrame, path: str, vocabulary: int) -> str:
                 [batch.column("part"), batch.column("seq"), pa.array(start, pa.int64()), batch.column("ids"), batch.column("lengths"),
                  batch.column("n_ids"), pa.array(out, pa.binary())], batch.schema.names)
 
-    rows.mapInArrow(run, rows.schema).write.parquet(f"{path}/blocks")
+    rows.mapInArrow(released(run), rows.schema).write.parquet(f"{path}/blocks")
     return path
 
 
@@ -204,4 +204,4 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                     "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(place[:-1].tolist(), place[1:].tolist())], pa.binary())})
 
     kind = rows.schema["ids"].dataType.elementType.simpleString()
-    return rows.select("start", "ids", "lengths", "data").mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
+    return rows.select("start", "ids", "lengths", "data").mapInArrow(released(run), f"`{id_col}` {kind}, start long, n_tokens long, ids binary")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from . import blocks, bpe, pretok
-from .common import partitions
+from .common import partitions, released
 
 MEMO_WORDS = 500_000  # words that a task remembers
 
@@ -126,7 +126,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
                 out.extend(raw[x:y] for x, y in zip(place[:-1], place[1:]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bytes"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
+    return encoded.mapInArrow(released(run), T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
 
 
 def read_merges(path: str) -> tuple[list[str], dict[tuple[bytes, bytes], int], list[str]]:
@@ -210,4 +210,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                                    "n_tokens": pa.array(count), "over_limit": pa.array(count > limit)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -22,9 +22,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .common import keep, text_bytes
+from .common import keep, released, text_bytes
 
 SAMPLE = 40_000  # labelled rows to learn from, about
+SAMPLE_PARTS = 6  # partitions of the sample's features
 TREES, DEPTH = 20, 4
 LEXICON_WORDS = 1000  # learned words at most
 LEXICON_ROWS = 5  # toxic training texts a learned word stands in, at least
@@ -86,7 +87,7 @@ def features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], id_cols: l
 
     head = docs.select(*id_cols, text_bytes(text_col).alias("_b"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema.fields[:-1]] + [f"{f} double" for f in FEATURES])
-    return head.mapInArrow(run, schema)
+    return head.mapInArrow(released(run), schema)
 
 
 def _features(texts: list[bytes], fixed, address, learned, weight) -> np.ndarray:
@@ -155,7 +156,7 @@ def learn_lexicon(rows: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
 
     total = rows.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
     bad_rows, rows_n = total["bad"] or 0, total["n"]
-    seen = (rows.select(text_bytes(text_col), "toxic").mapInArrow(run, "h long, bad long, good long")
+    seen = (rows.select(text_bytes(text_col), "toxic").mapInArrow(released(run), "h long, bad long, good long")
             .groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEXICON_ROWS))
     gain = F.log((F.col("bad") + 0.5) / (bad_rows + 1.0)) - F.log((F.col("good") + 0.5) / (rows_n - bad_rows + 1.0))
     doubt = 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
@@ -201,6 +202,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: st
         made = keep(features(train.where("fold >= 3"), lexicon, ["toxic", "fold"], text_col))
         if made.select("toxic").distinct().count() < 2:  # few rows: all of them teach the trees too
             made = keep(features(train, lexicon, ["toxic", "fold"], text_col))
+        made = made.coalesce(SAMPLE_PARTS)  # a bounded table, passed over once per tree level
         halves = [made.where("fold < 7"), made.where("fold >= 7")]
         trees = GBTClassifier(featuresCol="_x", labelCol="toxic", predictionCol="_p", maxIter=TREES, maxDepth=DEPTH,
                               stepSize=0.2, seed=7, minInstancesPerNode=5, checkpointInterval=-1)
