@@ -18,6 +18,8 @@ CHUNK_BYTES = 1 << 19  # text bytes scanned together (in cache); a longer docume
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_EXACT = _BYTE.copy()
+_EXACT[ord("A") : ord("Z") + 1] = _rng.integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 _SEP = np.zeros(256, bool)
@@ -60,8 +62,8 @@ class Words:
     first: np.ndarray
 
 
-def scan(texts: list[bytes]) -> Words:
-    """Words of all texts, one chunk."""
+def scan(texts: list[bytes], fold: bool = True) -> Words:
+    """Words of all texts, one chunk; without ``fold``, hashes tell A-Z from a-z."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=at[1:])
@@ -73,7 +75,7 @@ def scan(texts: list[bytes]) -> Words:
     pw, inv = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[data] * pw[:-1], out=total[1:])
+    np.cumsum((_BYTE if fold else _EXACT)[data] * pw[:-1], out=total[1:])
     h = mix((total[end] - total[start]) * inv[start])
     return Words(data, at, start, end, h, np.searchsorted(start, at))
 

@@ -129,3 +129,60 @@ def test_repeated_rows_are_one_document(spark):
     rows = linededup.dedup(frame(spark, [(1, t), (1, t), (None, t), (2, t), (0, None)])).collect()
     by = {(r.doc_id, r.text) for r in rows}
     assert by == {(1, t), (2, ""), (None, ""), (0, None)} and sum(r.doc_id == 1 for r in rows) == 2
+
+
+def own_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
+
+
+def planted(seed, lengths, width=None, trials=12):
+    """Pairs of documents that share a passage, inline or in lines of ``width`` words."""
+    rng, rows, left = random.Random(seed), [], {}
+    for n in lengths:
+        for _ in range(trials):
+            w = own_words(rng, n)
+            shared = " ".join(w) if width is None else "\n".join(" ".join(w[k : k + width]) for k in range(0, n, width))
+            glue = " " if width is None else "\n"
+            for _ in range(2):
+                a, b = own_words(rng, rng.randint(3, 80)), own_words(rng, rng.randint(3, 80))
+                left[len(rows)] = (n, a + b)
+                rows.append((len(rows), glue.join([" ".join(a), shared, " ".join(b)])))
+    return rows, left
+
+
+@pytest.mark.parametrize("width", [None, 9, 11, 12])
+def test_passages_of_two_documents_are_found(spark, width):
+    rows, left = planted(width or 1, (30, 33, 40, 51, 55, 60, 66), width)
+    got = {r.doc_id: r for r in linededup.dedup(frame(spark, rows)).collect()}
+    for i, t in rows:
+        n, own = left[i]
+        assert (got[i].removed_words, got[i].text.split()) == ((n, own) if i % 2 else (0, t.split()))
+
+
+def gone_by_brute_force(rows, least=30):
+    """Words left of each text: a word goes if it lies in a window that stands at an earlier place."""
+    seen, left = set(), {}
+    for i, t in sorted(rows):
+        w, gone = t.split(), set()
+        for k in range(len(w) - least + 1):
+            x = tuple(w[k : k + least])
+            if x in seen:
+                gone.update(range(k, k + least))
+            seen.add(x)
+        left[i] = [x for k, x in enumerate(w) if k not in gone]
+    return left
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dedup_as_brute_force(spark, seed):
+    """Passages cut out of one another, held by many documents between different neighbours."""
+    rng, rows = random.Random(seed), []
+    pool = own_words(rng, 600)
+    for i in range(150):
+        w = []
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(560)
+            w += own_words(rng, rng.randint(0, 40)) + pool[at : at + rng.randint(10, 120)]
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.text.split() for r in linededup.dedup(frame(spark, rows)).collect()}
+    assert got == gone_by_brute_force(rows)
