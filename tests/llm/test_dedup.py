@@ -186,3 +186,16 @@ def test_dedup_as_brute_force(spark, seed):
         rows.append((i, " ".join(w)))
     got = {r.doc_id: r.text.split() for r in linededup.dedup(frame(spark, rows)).collect()}
     assert got == gone_by_brute_force(rows)
+
+
+def test_blocks_of_short_lines_are_found(spark):
+    """Lines of one word, and lines without blanks, of two documents."""
+    rng, rows, left = random.Random(4), [], []
+    blocks = [own_words(rng, n) for n in (30, 60, 120)] + [["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(20)) for _ in range(40)]]
+    for block in blocks:
+        for _ in range(2):
+            a, b = own_words(rng, 20), own_words(rng, 20)
+            left.append(a + b)
+            rows.append((len(rows), "\n".join([" ".join(a), *block, " ".join(b)])))
+    got = {r.doc_id: r.text.split() for r in linededup.dedup(frame(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == [left[i] if i % 2 else t.split() for i, t in rows]
