@@ -199,3 +199,16 @@ def test_blocks_of_short_lines_are_found(spark):
             rows.append((len(rows), "\n".join([" ".join(a), *block, " ".join(b)])))
     got = {r.doc_id: r.text.split() for r in linededup.dedup(frame(spark, rows)).collect()}
     assert [got[i] for i, _ in rows] == [left[i] if i % 2 else t.split() for i, t in rows]
+
+
+def test_row_order_and_partitions_do_not_matter(spark):
+    rng, rows = random.Random(8), []
+    for n, width in [(30, 10), (33, 11), (40, 10), (44, 11), (33, 33)] * 6:
+        w = own_words(rng, n)
+        t = "\n".join(" ".join(w[k : k + width]) for k in range(0, n, width))
+        rows += [(len(rows), t), (len(rows) + 1, t), (len(rows) + 2, " ".join(own_words(rng, 25)))]
+    expected = [(i, "" if i % 3 == 1 else t) for i, t in rows]
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        got = linededup.dedup(frame(spark, rows).repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == expected
