@@ -212,3 +212,10 @@ def test_row_order_and_partitions_do_not_matter(spark):
         rng.shuffle(rows)
         got = linededup.dedup(frame(spark, rows).repartition(parts)).collect()
         assert sorted((r.doc_id, r.text) for r in got) == expected
+
+
+@pytest.mark.parametrize("width", [None, 11])
+def test_long_passages_leave_no_word(spark, width):
+    rows, left = planted(21, (80, 88, 120, 121), width)
+    got = {r.doc_id: r.text.split() for r in linededup.dedup(frame(spark, rows)).collect()}
+    assert all(got[i] == left[i][1] for i, _ in rows if i % 2)
