@@ -219,3 +219,11 @@ def test_long_passages_leave_no_word(spark, width):
     rows, left = planted(21, (80, 88, 120, 121), width)
     got = {r.doc_id: r.text.split() for r in linededup.dedup(frame(spark, rows)).collect()}
     assert all(got[i] == left[i][1] for i, _ in rows if i % 2)
+
+
+def test_floor_is_a_parameter(spark):
+    rng = random.Random(3)
+    line = " ".join(own_words(rng, 12))
+    rows = [(i, " ".join(own_words(rng, 20)) + "\n" + line) for i in range(3)]
+    for least, gone in ((30, 0), (10, 12)):
+        assert [r.removed_words for r in linededup.dedup(frame(spark, rows), least=least).orderBy("doc_id").collect()] == [0, gone, gone]
