@@ -45,22 +45,26 @@ def unpack(data: bytes, dtype=None):
 
 
 _DIRECT, _ONCE = 230, 255
+_PLAIN = 2**64 - 1  # instead of the number of repeated words
 
 
 def pack_stream(stream: np.ndarray, count: np.ndarray) -> bytes:
     """Word numbers (frequent words low, words met once last and in text order): a
     byte for each, two more for numbers past ``_DIRECT``.  A word met once needs its
-    mark alone: the next such mark is the next such word."""
+    mark alone: the next such mark is the next such word.  With more repeated words than
+    two bytes reach (one very long text) the numbers stand as they are."""
     repeated = int((count > 1).sum())
     once, far = stream >= repeated, (stream >= _DIRECT) & (stream < repeated)
     if repeated >= (_ONCE - _DIRECT) << 16:
-        raise ValueError("a block has too many words")
+        return _PLAIN.to_bytes(8, "little") + pack(stream.astype(np.uint32))
     first = np.where(once, _ONCE, np.where(far, _DIRECT + (stream >> 16), stream)).astype(np.uint8)
     a = pack(first)
     return repeated.to_bytes(8, "little") + len(a).to_bytes(8, "little") + a + pack(stream[far].astype(np.uint16))
 
 
 def unpack_stream(data: bytes) -> np.ndarray:
+    if int.from_bytes(data[:8], "little") == _PLAIN:
+        return unpack(data[8:], np.uint32)
     repeated, cut = int.from_bytes(data[:8], "little"), 16 + int.from_bytes(data[8:16], "little")
     first = unpack(data[16:cut], np.uint8)
     out = first.astype(np.uint32)

@@ -123,3 +123,12 @@ def test_stream_round_trip():
         assert (blocks.unpack_stream(blocks.pack_stream(stream, count)) == stream).all()
         words = [bytes([65 + i % 26]) * (i % 5) for i in range(n % 1000)]
         assert blocks.unpack_words(blocks.pack_words(words)) == words
+
+
+def test_streams_of_very_many_repeated_words():
+    from surgecast.llm import blocks
+
+    n = (blocks._ONCE - blocks._DIRECT) << 16
+    for repeated in (n - 1, n, n + 5):
+        stream = np.concatenate((np.arange(repeated), np.arange(repeated), [repeated])).astype(np.uint32)
+        assert (blocks.unpack_stream(blocks.pack_stream(stream, np.bincount(stream))) == stream).all()
