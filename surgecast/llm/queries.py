@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontam, lattice, linededup, minhash, ordermin, ring, tokenfile, tokens, toxic
+from . import decontam, lattice, linededup, merkle, minhash, ordermin, ring, tokenfile, tokens, toxic
 from .common import documents
+from .oracles import merkle_sql
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(documents(spark, sf_dir), pieces, weight)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = merkle.manifest(documents(spark, sf_dir))
+    return merkle.proofs(tree).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_subword_lattice": op10_subword_lattice,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_merkle_manifest": merkle_sql()}
