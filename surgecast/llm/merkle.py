@@ -16,10 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.common import join_on
 from .common import keep
+from .order import ranked
 
 FAN = 16
 INNER = 3  # levels made within a block
@@ -39,23 +40,6 @@ def framed(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
-def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``at`` (gapless from 0 within the group, nulls first) and ``n`` (the
-    group's rows).  Rows are dealt by ranges of (group, order), so one large group is
-    split; only counts of (partition, group) are added up.  Rows that are alike in all
-    of ``order`` are interchangeable."""
-    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
-    dealt = keep(rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, F.col("_tie"))
-                 .withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(group, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
-                           F.sum("_c").over(Window.partitionBy(group)).alias("n"))
-    here = Window.partitionBy(group, "_part").orderBy(*[F.col(c).asc_nulls_first() for c in order], "_tie")
-    out = join_on(dealt.withColumn("_row", F.row_number().over(here)), counts, [group, "_part"])
-    return out.select(*rows.columns, (F.col("_before") + F.col("_row") - 1).alias("at"), "n")
-
-
 def _above(nodes: Column) -> Column:
     """Digests of the runs of ``FAN`` in an array of digests."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FAN).cast("int")),

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontam, lattice, linededup, merkle, minhash, ordermin, ring, tokenfile, tokens, toxic
-from .common import documents
+from . import conversations, decontam, lattice, linededup, merkle, minhash, ordermin, ring, tokenfile, tokens, toxic
+from .common import documents, prepare
 from .oracles import merkle_sql
 
 
@@ -68,6 +68,11 @@ def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(documents(spark, sf_dir), pieces, weight)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(rows, here=F.col("here"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = merkle.manifest(documents(spark, sf_dir))
     return merkle.proofs(tree).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_subword_lattice": op10_subword_lattice,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
