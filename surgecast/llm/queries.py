@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import conversations, decontam, lattice, linededup, merkle, minhash, ordermin, ring, tokenfile, tokens, toxic
+from . import conversations, decontam, lattice, linededup, merkle, minhash, ordermin, quality, ring, tokenfile, tokens, toxic
 from .common import documents, prepare
 from .oracles import merkle_sql
 
@@ -68,6 +68,11 @@ def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(documents(spark, sf_dir), pieces, weight)
 
 
+def op11_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damage(prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
     return conversations.repair(rows, here=F.col("here"))
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_subword_lattice": op10_subword_lattice,
+    "op11_quality_discriminant": op11_quality_discriminant,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
