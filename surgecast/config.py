@@ -81,8 +81,12 @@ FEATURE_VIEW_FIELDS = {
 GBT_TREES = 300
 GBT_NOWCAST_TREES = 100
 GBT_STEP = 0.05
+GBT_LEAVES = 31
 GBT_MIN_INSTANCES = 15
-GBT_DEPTH = 5
+GBT_NOWCAST_MIN_INSTANCES = 20
+# A holdout of fewer rows than this (train and test) has trees of fewer leaves.
+GBT_SMALL_ROWS = 200
+GBT_SMALL_LEAVES = 15
 
 # Inputs of the forecast model, by granularity.
 FORECAST_FIELDS = {

@@ -1,11 +1,13 @@
 """Forecast models and backtests (M1-M4, M8, F16).
 
 Two models share one interface (a ``prediction`` column on a feature frame):
-* seasonal-naive, ``max(0, LagS)``: a closed-form baseline, fully SQL-checkable;
-* one gradient-boosted tree regressor (MLlib) per granularity, trained on the
+* seasonal-naive, ``max(0, LagS)``: a closed-form baseline;
+* leaf-wise boosted trees (``boosting``), one model per granularity, trained on the
   whole panel, never a fit per series. A series enters as numbers (level and
   spread of its training rows), not as a category, so a panel may have any number
   of series and a new one is served from the panel's own level.
+
+Both follow from integer sums and rounded inputs, so SQL can retrace them exactly.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import GBT_DEPTH, GBT_MIN_INSTANCES, GBT_STEP, GBT_TREES
+from ..config import GBT_LEAVES, GBT_MIN_INSTANCES, GBT_SMALL_LEAVES, GBT_SMALL_ROWS, GBT_STEP, GBT_TREES
 from ..functions.risk import clip0, var_expr
+from . import boosting
 from .common import attach
 from .risk import garch_sigma, residual_sigma
 
@@ -26,40 +29,52 @@ def seasonal_naive(frame: DataFrame, col: str = "LagS") -> DataFrame:
     return frame.withColumn("prediction", F.col(col).cast("double"))
 
 
+#: Decimals of the trees' inputs: the last bits of a mean or a sine are no information.
+INPUT_DP = 9
+
+
 @dataclass
 class PanelModel:
     """Fitted trees and, with series, the level and spread of each (one row a series)."""
 
-    trees: object
+    trees: boosting.Boosted | None
     stats: DataFrame | None
     features: list[str]
     series_cols: list[str]
 
-    def _encoded(self, frame: DataFrame) -> DataFrame:
-        if self.stats is None:
-            return frame
-        whole = self.stats.agg(*[F.avg(c).alias(f"{c}_all") for c in SERIES_STATS])
-        known = attach(attach(frame, self.stats, self.series_cols, how="left"), whole)
-        return known.select(*frame.columns, *[F.coalesce(c, f"{c}_all", F.lit(0.0)).alias(c) for c in SERIES_STATS])
+    @property
+    def inputs(self) -> list[str]:
+        return [f"_in{i}" for i in range(len(self.features) + (len(SERIES_STATS) if self.series_cols else 0))]
+
+    def encoded(self, frame: DataFrame) -> DataFrame:
+        """``frame`` with the trees' inputs: the features and the series' numbers, rounded."""
+        known = frame
+        if self.stats is not None:
+            whole = self.stats.agg(*[F.avg(c).alias(f"{c}_all") for c in SERIES_STATS])
+            known = attach(attach(frame, self.stats, self.series_cols, how="left"), whole)
+        values = [F.col(f).cast("double") for f in self.features]
+        if self.stats is not None:
+            values += [F.coalesce(c, f"{c}_all", F.lit(0.0)) for c in SERIES_STATS]
+        return known.select(*frame.columns, *[(F.round(v, INPUT_DP) + F.lit(0.0)).alias(n) for v, n in zip(values, self.inputs)])
 
     def predict(self, frame: DataFrame) -> DataFrame:
         """``frame`` with ``prediction``; null where an input is missing (a series too
         short for its lags), an error where the trees give no finite number (F16)."""
         whole = _all_present(self.features)
-        out = self.trees.transform(self._encoded(frame.where(whole))).select(*frame.columns, finite("prediction").alias("prediction"))
+        out = self.trees.predict(self.encoded(frame.where(whole))).select(*frame.columns, finite("prediction").alias("prediction"))
         return out.unionByName(frame.where(~whole).withColumn("prediction", F.lit(None).cast("double")))
 
     def save(self, path: str) -> None:
-        self.trees.write().overwrite().save(f"{path}/trees")
+        self.trees.save(f"{path}/trees")
         if self.stats is not None:
             self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, features, series_cols=()) -> "PanelModel":
-        from pyspark.ml import PipelineModel
-
         stats = spark.read.parquet(f"{path}/stats") if series_cols else None
-        return cls(PipelineModel.load(f"{path}/trees"), stats, list(features), list(series_cols))
+        out = cls(None, stats, list(features), list(series_cols))
+        out.trees = boosting.Boosted.load(spark, f"{path}/trees", out.inputs)
+        return out
 
 
 def _all_present(cols) -> Column:
@@ -76,35 +91,26 @@ def finite(col: str) -> Column:
     return F.when(bad, F.raise_error(F.lit("a prediction is not a finite number")).cast("double")).otherwise(c)
 
 
-def fit_gbt(frame: DataFrame, feature_cols, series_cols=(), trees: int = GBT_TREES, depth: int = GBT_DEPTH,
-            step: float = GBT_STEP, min_instances: int = GBT_MIN_INSTANCES, seed: int = 42) -> PanelModel:
-    """Fit the panel model on rows with all inputs and a target ``y``. The training
-    rows are held for the fit, which passes over them once per tree level; a lost
-    block is recomputed from lineage."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+def fit_gbt(frame: DataFrame, feature_cols, series_cols=(), trees: int = GBT_TREES, leaves: int = GBT_LEAVES,
+            step: float = GBT_STEP, min_instances: int = GBT_MIN_INSTANCES) -> PanelModel:
+    """Fit the panel model on rows with all inputs and a target ``y``."""
     features, keys = list(feature_cols), list(series_cols)
     rows = frame.where(_all_present([*features, "y"]))
     stats = None
     if keys:
         stats = rows.groupBy(*keys).agg(F.avg("y").alias("_level"), F.coalesce(F.stddev_pop("y"), F.lit(0.0)).alias("_spread"))
     fitted = PanelModel(None, stats, features, keys)
-    data = fitted._encoded(rows).persist()
-    try:
-        inputs = features + (list(SERIES_STATS) if keys else [])
-        learner = GBTRegressor(featuresCol="_features", labelCol="y", predictionCol="prediction", maxIter=trees, maxDepth=depth,
-                               stepSize=step, minInstancesPerNode=min_instances, seed=seed, maxBins=64)
-        fitted.trees = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_features"), learner]).fit(data)
-    finally:
-        data.unpersist()
+    data = fitted.encoded(rows).select(*fitted.inputs, F.col("y").cast("double").alias("y"))
+    fitted.trees = boosting.fit(data, fitted.inputs, "y", trees, leaves, min_instances, step)
     return fitted
 
 
-def gbt_holdout(split: DataFrame, feature_cols, series_cols=(), **kw) -> DataFrame:
-    """Fit on every series' 'train' rows, predict the 'test' rows (M3)."""
-    model = fit_gbt(split.filter(F.col("role") == "train"), feature_cols, series_cols, **kw)
+def gbt_holdout(split: DataFrame, feature_cols, series_cols=(), leaves: int = GBT_LEAVES, **kw) -> DataFrame:
+    """Fit on every series' 'train' rows, predict the 'test' rows (M3). With few rows
+    in all, trees are kept small."""
+    if split.limit(GBT_SMALL_ROWS).count() < GBT_SMALL_ROWS:
+        leaves = min(leaves, GBT_SMALL_LEAVES)
+    model = fit_gbt(split.filter(F.col("role") == "train"), feature_cols, series_cols, leaves=leaves, **kw)
     return model.predict(split.filter(F.col("role") == "test"))
 
 

@@ -1,18 +1,14 @@
-"""Residual risk: sigmas, GARCH(1,1) volatility and the VaR band."""
+"""Residual risk: sigmas and the VaR band (A6, A7, M6, M7, J3, C9); see ``garch`` for M5."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import (DEFAULT_FALLBACK_SIGMA, FALLBACK_SIGMA, GARCH_MIN_RESIDUALS, HOUR_SIGMA_FLOOR,
-                      HOUR_SIGMA_MIN_COUNT, granularity)
+from ..config import DEFAULT_FALLBACK_SIGMA, FALLBACK_SIGMA, HOUR_SIGMA_FLOOR, HOUR_SIGMA_MIN_COUNT, granularity
 from ..functions.calendar import hour_of_day
 from ..functions.risk import band_columns
 from .common import attach, join_on
-
-
-def _finite(c):
-    return ~F.isnan(c) & ~c.isin(float("inf"), float("-inf"))
+from .garch import _finite, garch_sigma  # noqa: F401 - part of this module's surface
 
 
 def residual_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid") -> DataFrame:
@@ -63,107 +59,6 @@ def var_band(forecasts: DataFrame, point_col: str = "point", sigma_col: str = "s
     return forecasts.select(*keep, *band_columns(F.col(point_col), F.col(sigma_col), confidence))
 
 
-# ------------------------------------------------------------------ GARCH(1,1)
-
-GRID_CHUNKS = 16  # tasks that share the first grid of a series
-MAX_RESIDUALS = 2_000_000  # of a series: 200 years of hours
-
-GRID_SIDE, GRID_STEP = 20, 0.05  # of alpha and of beta: the whole region alpha + beta < 1
-#: Steps around the best point so far: in alpha and beta, and in the variance factor.
-REFINEMENTS = ((0.05, 2.0), (0.02, 1.25), (0.008, 1.1), (0.003, 1.04), (0.001, 1.015))
-LIMIT = 0.9999  # of alpha + beta
-
-
-def _point(a: F.Column, b: F.Column, f: F.Column) -> F.Column:
-    return F.struct(a.alias("a"), b.alias("b"), f.alias("f"))
-
-
-def _loglik(e: F.Column, v0: F.Column, g) -> F.Column:
-    """Gaussian GARCH(1,1) recursion over the residuals from the sample variance on;
-    omega = f * variance * (1 - alpha - beta). Returns the last (s2, ll, pe2)."""
-    omega = v0 * g["f"] * (F.lit(1.0) - g["a"] - g["b"])
-
-    def step(acc, x):
-        s2 = omega + g["a"] * acc["pe2"] + g["b"] * acc["s2"]
-        return F.struct(s2.alias("s2"), (acc["ll"] - F.lit(0.5) * (F.log(s2) + x * x / s2)).alias("ll"),
-                        (x * x).alias("pe2"))
-
-    init = F.struct(v0.alias("s2"), F.lit(0.0).alias("ll"), v0.alias("pe2"))
-    return F.aggregate(e, init, step)
-
-
-def _rank(x):
-    """Highest likelihood; near-ties to the smaller beta, alpha, then factor."""
-    return F.struct(F.round(x["st"]["ll"], 8).alias("ll"), (-x["g"]["b"]).alias("nb"), (-x["g"]["a"]).alias("na"), (-x["g"]["f"]).alias("nf"))
-
-
-def _best(grid: F.Column, e: F.Column, v0: F.Column) -> F.Column:
-    scored = F.transform(grid, lambda g: F.struct(g.alias("g"), _loglik(e, v0, g).alias("st")))
-    # a start below every likelihood, so that the scores are read (and made) once
-    none = F.struct(_point(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("g"),
-                    F.struct(F.lit(0.0).alias("s2"), F.lit(-1e300).alias("ll"), F.lit(0.0).alias("pe2")).alias("st"))
-    return F.aggregate(scored, none, lambda acc, x: F.when(_rank(x) > _rank(acc), x).otherwise(acc))
-
-
-def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", order_col: str = "TimePeriod",
-                fallback: DataFrame | None = None, fallback_col: str = "resid_sigma",
-                min_resid: int = GARCH_MIN_RESIDUALS) -> DataFrame:
-    """One-step GARCH(1,1) volatility of each series' residuals (M5).
-
-    De-meaned residuals, Gaussian likelihood, maximised over alpha, beta and omega:
-    a grid over all alpha + beta < 1, then ``REFINEMENTS`` around the best point.
-    Each series' grid is cut into ``GRID_CHUNKS`` rows, so its search is shared by
-    as many tasks; a chunk keeps its best point, ``max_by`` the best of the series.
-    A series is one row with its residuals in order (the holdout tail: periods, not
-    events), which may not exceed ``MAX_RESIDUALS``. Series with fewer than
-    ``min_resid``, non-finite or all-equal residuals get the fallback sigma.
-    """
-    keys = list(series_cols)
-    r = F.col(resid_col).cast("double")
-    arrays = (resid.groupBy(*keys)
-                   .agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("t"), r.alias("r")))).alias("_rs"),
-                        F.count(F.lit(1)).alias("n_resid"),
-                        F.count_if(~F.coalesce(_finite(r), F.lit(False))).alias("_bad"),
-                        F.avg(r).alias("_mu")))
-    x = arrays.select(*keys, F.when(F.col("n_resid") > MAX_RESIDUALS, F.raise_error(F.lit("a series has too many residuals")).cast("long"))
-                      .otherwise(F.col("n_resid")).alias("n_resid"), "_bad",
-                      F.transform(F.col("_rs"), lambda s: s["r"] - F.col("_mu")).alias("e"))
-    x = x.withColumn("v0", F.aggregate("e", F.lit(0.0), lambda acc, v: acc + v * v) / F.col("n_resid"))
-    ok = (F.col("n_resid") >= min_resid) & (F.col("_bad") == 0) & (F.col("v0") > 0)
-    e, v0 = F.col("e"), F.col("v0")
-    # the grids are built by the query, so that the plan stays small
-    whole = F.sequence(F.lit(0), F.lit(GRID_SIDE * GRID_SIDE - 1))
-    i, j = (lambda n: F.floor(n / F.lit(GRID_SIDE))), (lambda n: n % F.lit(GRID_SIDE))
-    own = F.filter(whole, lambda n: (i(n) + j(n) < GRID_SIDE) & (n % F.lit(GRID_CHUNKS) == F.col("_k")))
-    first = F.transform(own, lambda n: _point(i(n).cast("double") * F.lit(GRID_STEP), j(n).cast("double") * F.lit(GRID_STEP), F.lit(1.0)))
-    chunked = (x.where(ok).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(GRID_CHUNKS - 1))))
-                .repartition(int(resid.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_k").withColumn("_c", _best(first, e, v0)))
-    fitted = chunked.groupBy(*keys).agg(F.max_by(F.struct("e", "v0", "_c"), _rank(F.col("_c"))).alias("_w")).select(*keys, "_w.*")
-    for h, q in REFINEMENTS:
-        g = F.col("_c.g")
-        steps = F.sequence(F.lit(0), F.lit(74))  # 5 x 5 x 3
-        factors = F.array(F.lit(1 / q), F.lit(1.0), F.lit(q))
-        shift = lambda c, k: F.greatest(c + (k - 2).cast("double") * F.lit(h), F.lit(0.0))
-        around = F.transform(steps, lambda n: _point(shift(g["a"], F.floor(n / F.lit(15))), shift(g["b"], F.floor(n / F.lit(3)) % F.lit(5)),
-                                                     g["f"] * F.element_at(factors, (n % F.lit(3)) + 1)))
-        around = F.filter(around, lambda p: (p["a"] + p["b"]) < F.lit(LIMIT))
-        fitted = fitted.withColumn("_c", _best(around, e, v0))
-    b = F.col("_c")
-    omega = v0 * b["g"]["f"] * (1 - b["g"]["a"] - b["g"]["b"])
-    nxt = omega + b["g"]["a"] * b["st"]["pe2"] + b["g"]["b"] * b["st"]["s2"]
-    found = fitted.select(*keys, b["g"]["a"].alias("alpha"), b["g"]["b"].alias("beta"), omega.alias("omega"),
-                          b["st"]["ll"].alias("loglik"), F.sqrt(nxt).alias("_gs"))
-    out = attach(x.select(*keys, "n_resid"), found, keys, how="left")
-    if fallback is not None:
-        out = attach(out, fallback.select(*keys, F.col(fallback_col).alias("_fb")), keys, how="left")
-    else:
-        out = out.withColumn("_fb", F.lit(None).cast("double"))
-    good = F.col("_gs").isNotNull() & _finite(F.col("_gs")) & (F.col("_gs") > 0)
-    return out.select(*keys, "n_resid", "alpha", "beta", "omega", "loglik",
-                      F.when(good, F.col("_gs")).otherwise(F.col("_fb")).alias("garch_sigma"),
-                      F.when(good, F.lit("garch")).otherwise(F.lit("fallback")).alias("sigma_source"))
-
-
 def sigma_or_fixed(sigma: str, gran: str) -> F.Column:
     """The sigma; a missing or zero one (too few, or perfectly met periods) becomes
     the fixed one of the granularity."""

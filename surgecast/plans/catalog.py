@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import FEATURE_VIEW_FIELDS, GBT_NOWCAST_TREES, granularity
+from ..config import FEATURE_VIEW_FIELDS, GBT_NOWCAST_MIN_INSTANCES, GBT_NOWCAST_TREES, granularity
 from ..functions.risk import band_columns, clip0
 from ..operators import audit, features as feat, ingest, model, monitoring, pii, promotion, quality, risk
 from ..operators.common import attach
@@ -263,7 +263,7 @@ def q_backtest_metrics_garch(spark, sf_dir):
     residuals (residual std as the fallback)."""
     ensure_checkpoint_dir(spark)
     tail = naive_split(spark, sf_dir, EVENTS_PANEL).filter(F.col("role") == "test").checkpoint()
-    return tidy(model.backtest_metrics(tail, ["event_type"], sigma="garch"))
+    return tidy(found(model.backtest_metrics(tail, ["event_type"], sigma="garch"), "sigma"))
 
 
 def all_residuals(spark, sf_dir, spec, demand=None):
@@ -284,11 +284,16 @@ def q_var_buffer(spark, sf_dir):
     return tidy(x.select("TimePeriod", *band_columns(F.col("pred"), F.col("resid_sigma"), 0.99)))
 
 
+def found(df: DataFrame, *cols: str) -> DataFrame:
+    """What a search for a maximum finds, to 4 places."""
+    return df.withColumns({c: F.round(c, 4) for c in cols})
+
+
 def q_garch_sigma(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     res = naive_test_residuals(spark, sf_dir, EVENTS_PANEL).checkpoint()
     fb = risk.residual_sigma(res, ["event_type"])
-    return tidy(risk.garch_sigma(res, ["event_type"], fallback=fb))
+    return tidy(found(risk.garch_sigma(res, ["event_type"], fallback=fb), "alpha", "beta", "omega", "loglik", "garch_sigma"))
 
 
 def _versions(spark, sf_dir, demand=None):
@@ -303,7 +308,8 @@ def _versions(spark, sf_dir, demand=None):
     return attach(g, hs, keys, "left").checkpoint()
 
 
-#: The held-out tail of 30 days has 6 values an hour; 5 lets hours have their own sigma.
+#: The reference's floor is 20 values an hour, which ``conditional_sigmas`` keeps; the held-out
+#: tail of these 30 days has five or six, so here six let an hour have its own sigma.
 HOUR_MIN = 6
 
 
@@ -314,7 +320,7 @@ def _next_naive(spark, sf_dir):
 
 
 def q_hour_sigma_lookup(spark, sf_dir):
-    return tidy(_next_naive(spark, sf_dir).select("event_type", "TimePeriod", "sigma"))
+    return tidy(found(_next_naive(spark, sf_dir).select("event_type", "TimePeriod", "sigma"), "sigma"))
 
 
 def q_next_forecast_naive(spark, sf_dir):
@@ -330,10 +336,12 @@ def _panel_split(spark, sf_dir):
 
 
 def q_gbt_forecast(spark, sf_dir):
-    """The trees against the seasonal-naive forecast on the same held-out tail."""
+    """The trees against the seasonal-naive forecast on the same held-out tail: every
+    prediction, and both errors per series."""
     keys = ["event_type"]
-    tail = model.gbt_holdout(_panel_split(spark, sf_dir), feat.feature_columns("H"), keys)
-    return tidy(model.versus_naive(tail, keys).select(*keys, "n", "naive_mae", "beats_naive"))
+    tail = model.gbt_holdout(_panel_split(spark, sf_dir), feat.feature_columns("H"), keys).checkpoint()
+    both = attach(tail, model.versus_naive(tail, keys).drop("n"), keys)
+    return tidy(both.select(*keys, "TimePeriod", "y", "prediction", F.col("LagS").alias("naive"), "model_mae", "naive_mae", "beats_naive"))
 
 
 def q_gbt_nowcast(spark, sf_dir):
@@ -341,20 +349,20 @@ def q_gbt_nowcast(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     f = feat.nowcast_features(series(spark, sf_dir, ORDERS_DAILY), "D").withColumn("y", F.col("Volume").cast("double"))
     split = feat.holdout_split(f, "D").checkpoint()
-    cols = list(FEATURE_VIEW_FIELDS["D"])
-    res = model.residuals(model.gbt_holdout(split, cols, trees=GBT_NOWCAST_TREES), clip=False).checkpoint()
+    cols, kw = list(FEATURE_VIEW_FIELDS["D"]), {"trees": GBT_NOWCAST_TREES, "min_instances": GBT_NOWCAST_MIN_INSTANCES}
+    res = model.residuals(model.gbt_holdout(split, cols, **kw), clip=False).checkpoint()
     sig = risk.garch_sigma(res, fallback=risk.residual_sigma(res)).select(risk.sigma_or_fixed("garch_sigma", "D").alias("sigma"))
-    now = model.fit_gbt(split, cols, trees=GBT_NOWCAST_TREES).predict(feat.latest_row(split))
+    now = model.fit_gbt(split, cols, **kw).predict(feat.latest_row(split))
     return tidy(risk.var_band(attach(now.select("TimePeriod", F.col("prediction").alias("point")), sig), "point", "sigma"))
 
 
 def q_next_forecast(spark, sf_dir):
     """Next hour by the trees, with the sigmas of their own held-out tail."""
     keys = ["event_type"]
-    split = _panel_split(spark, sf_dir)
+    d = ingested(spark, sf_dir, EVENTS_PANEL)
+    split = naive_split(spark, sf_dir, EVENTS_PANEL, d).drop("prediction").checkpoint()
     versions = jobs.evaluate(split, "H", keys).select(*keys, "garch_sigma", "hour_sigmas").checkpoint()
-    nxt = feat.next_step_features(series(spark, sf_dir, EVENTS_PANEL), "H", keys)
-    pred = model.fit_gbt(split, feat.feature_columns("H"), keys).predict(nxt)
+    pred = model.fit_gbt(split, feat.feature_columns("H"), keys).predict(feat.next_step_features(d, "H", keys))
     x = risk.hour_sigma_lookup(pred.select(*keys, "TimePeriod", F.col("prediction").alias("point")), versions, keys)
     return tidy(risk.var_band(x, "point", "sigma"))
 

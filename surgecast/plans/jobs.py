@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import GBT_TREES, MIN_ROWS_GATE, RECENT_WINDOW
+from ..config import GBT_LEAVES, GBT_TREES, MIN_ROWS_GATE, RECENT_WINDOW
 from ..functions.risk import band_columns
 from ..functions.timestamps import resolve_ts_column
 from ..operators import features as feat, ingest, model, monitoring, pii, promotion, quality, risk
@@ -49,13 +49,12 @@ def validate_job(spark: SparkSession, agg_path: str, min_rows: int = MIN_ROWS_GA
     return quality.assert_quality(spark.read.parquet(agg_path), min_rows, series_cols)
 
 
-def evaluate(split: DataFrame, gran: str, series_cols=(), trees: int = GBT_TREES, depth: int | None = None) -> DataFrame:
+def evaluate(split: DataFrame, gran: str, series_cols=(), trees: int = GBT_TREES, leaves: int = GBT_LEAVES) -> DataFrame:
     """Per series, from the model's own residuals on the held-out tail: error,
     GARCH sigma, hour sigmas (hourly series), status. A series too short to hold a
     tail out keeps the fixed sigma and an infinite error, so it is never promoted."""
     keys = list(series_cols)
-    kw = {} if depth is None else {"depth": depth}
-    tail = model.gbt_holdout(split, feat.feature_columns(gran), keys, trees=trees, **kw)
+    tail = model.gbt_holdout(split, feat.feature_columns(gran), keys, trees=trees, leaves=leaves)
     res = model.residuals(tail, keys, clip=False).checkpoint()
     mae = res.groupBy(*keys).agg(F.avg(F.abs("resid")).alias("holdout_mae"))
     sig = risk.garch_sigma(res, keys, fallback=risk.residual_sigma(res, keys)).select(*keys, "garch_sigma")
@@ -77,23 +76,22 @@ def champions(versions: DataFrame, series_cols=()) -> DataFrame:
 
 
 def train_job(spark: SparkSession, agg_path: str, gran: str, as_of, root: str, series_cols=(),
-              trees: int = GBT_TREES, depth: int | None = None, min_improvement: float = 0.0, only: DataFrame | None = None) -> DataFrame:
+              trees: int = GBT_TREES, leaves: int = GBT_LEAVES, min_improvement: float = 0.0, only: DataFrame | None = None) -> DataFrame:
     """Train the panel model on data up to ``as_of``; evaluate, decide on promotion
     per series, save the model under ``root`` and rewrite the version table there.
     ``only`` (rows of series keys, as ``monitor_job`` leaves them) limits which series
     get a new version. Returns the version table; running it again changes nothing."""
     keys = list(series_cols)
     gran = gran.upper()
-    kw = {} if depth is None else {"depth": depth}
     d = ingest.bound_as_of(spark.read.parquet(agg_path), as_of)
     quality.assert_quality(d, 1, keys)
     split = feat.holdout_split(feat.training_frame(d, gran, keys), gran, keys).checkpoint()
     version = f"{gran}-{str(as_of).replace(' ', 'T').replace(':', '')}"
     path = f"{root}/models/{version}"
-    found = evaluate(split, gran, keys, trees, depth)
+    found = evaluate(split, gran, keys, trees, leaves)
     if only is not None:
         found = join_on(found, only.select(*keys), keys, "left_semi") if keys else found
-    model.fit_gbt(split, feat.feature_columns(gran), keys, trees=trees, **kw).save(path)
+    model.fit_gbt(split, feat.feature_columns(gran), keys, trees=trees, leaves=leaves).save(path)
     found = found.select(*keys, F.lit(gran).alias("granularity"), F.lit(version).alias("version"), "n_rows", "holdout_mae",
                          "garch_sigma", "hour_sigmas", "status", F.lit(str(as_of)).cast("timestamp").alias("trained_as_of"),
                          F.lit(path).alias("path")).checkpoint()
@@ -200,7 +198,7 @@ def _steps(gran: str, word: str) -> dict[str, Task]:
         return validate_job(spark, _table(s, gran), **_given(s, "min_rows", "series_cols"))
 
     def train(spark, s):
-        return train_job(spark, _table(s, gran), gran, s["as_of"], s["root"], **_given(s, "series_cols", "trees", "depth", "only"))
+        return train_job(spark, _table(s, gran), gran, s["as_of"], s["root"], **_given(s, "series_cols", "trees", "leaves", "only"))
 
     def infer(spark, s):
         return infer_job(spark, _table(s, gran), gran, s["as_of"], s["root"], s["log_path"], **_given(s, "series_cols", "confidence"))

@@ -3,6 +3,8 @@ that mirror the same table mapping as ``catalog``."""
 
 from __future__ import annotations
 
+from .oracle_trees import model_rows, trees_ctes
+
 DP = 6
 
 
@@ -11,6 +13,11 @@ def r(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE), {DP}) + 0.0)"
 
 
+def r4(expr: str) -> str:
+    """What a search for a maximum finds is compared at 4 places."""
+    return f"(round(CAST({expr} AS DOUBLE), 4) + 0.0)"
+
+
 # Values of their own, not read from the code under test.
 SEASON = {"H": 24, "D": 7}
 Z99 = "2.3558409670159173"
@@ -316,30 +323,39 @@ def histogram_sql():
   CAST(count_if(latency_s <= le) AS BIGINT) AS n_cumulative FROM val CROSS JOIN (VALUES {les}) t(le) GROUP BY ALL"""
 
 
-GARCH_STEPS = ((0.05, 2.0), (0.02, 1.25), (0.008, 1.1), (0.003, 1.04), (0.001, 1.015))
+#: A search by ever finer patterns, several rounds of each: no gradient, no blocks.
+GARCH_STEPS = [(h, 1 + (20 if h > 1e-4 else 4) * h) for h in (0.02, 0.008, 0.003, 0.001, 4e-4, 1.5e-4, 5e-5, 2e-5, 7e-6, 2e-6, 7e-7, 2e-7, 7e-8)
+               for _ in range(8)]
+
 
+def garch_ctes(before=None):
+    """GARCH(1,1) of ``res (event_type, TimePeriod, resid)`` with ``sig`` as fallback, which
+    ``before`` makes (the residuals of the seasonal-naive forecast if none)."""
+    before = split_ctes("events_panel") + resid_ctes(["event_type"], "role = 'test'") if before is None else before
+    return before + _garch()
 
-def garch_ctes():
+
+def _garch():
     """GARCH(1,1) search as recursive CTEs (one row per series x grid point x step):
-    another formulation of the same likelihood, over the whole alpha + beta < 1."""
+    another way to the greatest likelihood, over the whole alpha + beta < 1."""
     def rec(name, grid):
         om = "ok.v0 * r.f * (1 - r.a - r.b)"
         return f"""{name} AS (
-  SELECT g.event_type, g.a, g.b, g.f, 0 AS t, ok.v0 AS s2, CAST(0.0 AS DOUBLE) AS ll, ok.v0 AS pe2
+  SELECT g.event_type, g.sb, g.a, g.b, g.f, 0 AS t, ok.v0 AS s2, CAST(0.0 AS DOUBLE) AS ll, ok.v0 AS pe2
   FROM {grid} g JOIN ok USING (event_type)
   UNION ALL
-  SELECT r.event_type, r.a, r.b, r.f, r.t + 1, {om} + r.a * r.pe2 + r.b * r.s2,
+  SELECT r.event_type, r.sb, r.a, r.b, r.f, r.t + 1, {om} + r.a * r.pe2 + r.b * r.s2,
     r.ll - 0.5 * (ln({om} + r.a * r.pe2 + r.b * r.s2) + e.e * e.e / ({om} + r.a * r.pe2 + r.b * r.s2)), e.e * e.e
   FROM {name} r JOIN e ON e.event_type = r.event_type AND e.t = r.t + 1 JOIN ok ON ok.event_type = r.event_type)"""
 
-    rank = "[round(ll, 8), -b, -a, -f]"
+    rank = "[ll, -b, -a, -f]"
 
     def best(name, run):
         cols = ", ".join(f"arg_max({c}, {rank}) AS {c}" for c in ("a", "b", "f", "s2", "pe2"))
-        return (f"{name} AS (SELECT event_type, {cols}, max(ll) AS top, arg_max(ll, {rank}) AS ll "
+        return (f"{name} AS (SELECT event_type, sb, {cols}, max(ll) AS top, arg_max(ll, {rank}) AS ll "
                 f"FROM {run} JOIN (SELECT event_type, n_resid FROM ok) n USING (event_type) WHERE t = n_resid GROUP BY ALL)")
 
-    ctes = split_ctes("events_panel") + resid_ctes(["event_type"], "role = 'test'") + [
+    ctes = [
         """st AS (SELECT event_type, count(*) AS n_resid, avg(resid) AS mu,
               count_if(NOT isfinite(resid)) AS bad FROM res GROUP BY ALL)""",
         """e AS (SELECT r.event_type, CAST(row_number() OVER (PARTITION BY r.event_type ORDER BY r.TimePeriod) AS INTEGER) AS t,
@@ -348,18 +364,21 @@ def garch_ctes():
               / count(*) AS v0 FROM e GROUP BY ALL)""",
         """ok AS (SELECT st.event_type, n_resid, v0 FROM st JOIN v USING (event_type)
               WHERE n_resid >= 30 AND bad = 0 AND v0 > 0)""",
-        """g0 AS (SELECT ok.event_type, CAST(i AS DOUBLE) * CAST(0.05 AS DOUBLE) AS a, CAST(j AS DOUBLE) * CAST(0.05 AS DOUBLE) AS b, f
-              FROM ok, range(20) ta(i), range(20) tb(j), (VALUES (CAST(1.0 AS DOUBLE))) tf(f) WHERE i + j < 20)""",
+        # the best start of each third of beta goes its own way
+        """g0 AS (SELECT ok.event_type, CASE WHEN b < 0.3 THEN 0 WHEN b < 0.7 THEN 1 ELSE 2 END + CASE WHEN a < 0.01 THEN 3 ELSE 0 END AS sb, a, b, CAST(1.0 AS DOUBLE) AS f FROM ok,
+              unnest([0.006::DOUBLE, 0.02, 0.06, 0.12, 0.25, 0.5, 0.8]) ta(a), unnest([0.0::DOUBLE, 0.2, 0.4, 0.6, 0.75, 0.85, 0.92, 0.97]) tb(b) WHERE a + b < 1)""",
         rec("r0", "g0"), best("b0", "r0")]
     for k, (h, q) in enumerate(GARCH_STEPS, 1):
         das = ", ".join(f"(CAST({i * h!r} AS DOUBLE))" for i in (-2, -1, 0, 1, 2))
         fs = ", ".join(f"(CAST({m!r} AS DOUBLE))" for m in (1 / q, 1.0, q))
-        ctes += [f"""g{k} AS (SELECT DISTINCT event_type, greatest(a + da, 0.0) AS a, greatest(b + db, 0.0) AS b, f * m AS f
+        ctes += [f"""g{k} AS (SELECT DISTINCT event_type, sb, greatest(a + da, 0.0) AS a, greatest(b + db, 0.0) AS b, f * m AS f
               FROM b{k - 1}, (VALUES {das}) x(da), (VALUES {das}) y(db), (VALUES {fs}) z(m)
               WHERE greatest(a + da, 0.0) + greatest(b + db, 0.0) < 0.9999)""", rec(f"r{k}", f"g{k}"), best(f"b{k}", f"r{k}")]
-    last = f"b{len(GARCH_STEPS)}"
-    ctes.append(f"""fit AS (SELECT w.event_type, a AS alpha, b AS beta, ok.v0 * f * (1 - a - b) AS omega, ll AS loglik,
-              sqrt(ok.v0 * f * (1 - a - b) + a * pe2 + b * s2) AS gs FROM {last} w JOIN ok USING (event_type))""")
+    ctes.append(f"bw AS (SELECT * FROM b{len(GARCH_STEPS)} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ll DESC, sb) = 1)")
+    last = "bw"
+    ctes.append(f"""fit AS (SELECT w.event_type, a AS alpha, CASE WHEN a > 0 THEN b ELSE 0 END AS beta,
+              CASE WHEN a > 0 THEN ok.v0 * f * (1 - a - b) ELSE ok.v0 END AS omega, CASE WHEN a > 0 THEN ll ELSE -0.5 * ok.n_resid * (ln(ok.v0) + 1) END AS loglik,
+              CASE WHEN a > 0 THEN sqrt(ok.v0 * f * (1 - a - b) + a * pe2 + b * s2) ELSE sqrt(ok.v0) END AS gs FROM {last} w JOIN ok USING (event_type))""")
     good = "fit.gs IS NOT NULL AND isfinite(fit.gs) AND fit.gs > 0"
     ctes.append(f"""gsig AS (SELECT st.event_type, st.n_resid, fit.alpha, fit.beta, fit.omega, fit.loglik,
   CASE WHEN {good} THEN fit.gs ELSE sig.resid_sigma END AS garch_sigma,
@@ -370,17 +389,68 @@ def garch_ctes():
 
 def garch_sql():
     return "WITH RECURSIVE " + _with(*garch_ctes())[len("WITH "):] + f"""SELECT event_type, n_resid,
-  {r('alpha')} AS alpha, {r('beta')} AS beta, {r('omega')} AS omega, {r('loglik')} AS loglik,
-  {r('garch_sigma')} AS garch_sigma, sigma_source FROM gsig"""
+  {r4('alpha')} AS alpha, {r4('beta')} AS beta, {r4('omega')} AS omega, {r4('loglik')} AS loglik,
+  {r4('garch_sigma')} AS garch_sigma, sigma_source FROM gsig"""
 
 
 def backtest_garch_sql():
     return "WITH RECURSIVE " + _with(*garch_ctes())[len("WITH "):] + f"""
 SELECT event_type, count(*) AS n, {r('avg(abs(resid))')} AS mae, {r('avg(abs(resid) / greatest(y, 1.0)) * 100')} AS mape,
-  {r(f"avg(CAST(y <= {var_sql('pred', 'garch_sigma')} AS DOUBLE)) * 100")} AS coverage, {r('first(garch_sigma)')} AS sigma
+  {r(f"avg(CAST(y <= {var_sql('pred', 'garch_sigma')} AS DOUBLE)) * 100")} AS coverage, {r4('first(garch_sigma)')} AS sigma
 FROM res JOIN gsig USING (event_type) GROUP BY event_type"""
 
 
+PANEL_FEATURES = FEATS + CAL["H"]
+HELD = "(SELECT * FROM sp WHERE role <> 'insufficient_data')"
+SMALL = "CASE WHEN m = 0 AND (SELECT count(*) FROM sp) < 200 THEN 15 ELSE 31 END"
+
+
+def _recursive(*ctes):
+    return "WITH RECURSIVE " + _with(*ctes)[len("WITH "):]
+
+
+def trees_forecast_sql():
+    """The trees, fitted in SQL, against the seasonal-naive forecast on the same tail."""
+    return _recursive(*split_ctes("events_panel"), *model_rows("mr", [(0, HELD, "role = 'train'")], ["event_type"], PANEL_FEATURES),
+                      *trees_ctes("mr", "tp", 300, 15, SMALL),
+                      "t AS (SELECT event_type, TimePeriod, y, tp.prediction AS p, LagS AS naive FROM tp JOIN mr USING (m, id))") + f"""
+SELECT event_type, TimePeriod, {r('y')} AS y, {r('p')} AS prediction, {r('naive')} AS naive,
+  {r('avg(abs(y - greatest(0, p))) OVER w')} AS model_mae, {r('avg(abs(y - greatest(0, naive))) OVER w')} AS naive_mae,
+  avg(abs(y - greatest(0, p))) OVER w < avg(abs(y - greatest(0, naive))) OVER w AS beats_naive
+FROM t WINDOW w AS (PARTITION BY event_type)"""
+
+
+def trees_next_sql():
+    """Two fits: on the training rows for the sigmas of the tail, on all for the forecast."""
+    ctes = split_ctes("events_panel") + next_step_ctes(["event_type"], "H") + model_rows(
+        "mr", [(0, HELD, "role = 'train'"), (1, "sp", "true"), (1, "(SELECT *, CAST(NULL AS DOUBLE) AS y FROM ns)", "false")], ["event_type"], PANEL_FEATURES)
+    ctes += trees_ctes("mr", "tp", 300, 15, SMALL) + [
+        "res AS (SELECT event_type, TimePeriod, y, y - tp.prediction AS resid FROM tp JOIN mr USING (m, id) WHERE m = 0)",
+        "sig AS (SELECT event_type, stddev_pop(resid) AS resid_sigma FROM res GROUP BY ALL)"]
+    return _recursive(*garch_ctes(ctes), "vs AS (SELECT event_type, CASE WHEN garch_sigma > 0 THEN garch_sigma ELSE 0.21 END AS g FROM gsig)",
+                      """vh AS (SELECT res.event_type, CAST(hour(TimePeriod) AS INTEGER) AS hour,
+              CASE WHEN count(*) >= 20 AND count_if(NOT isfinite(resid)) = 0 THEN greatest(stddev_pop(resid), 0.5) ELSE any_value(g) END AS s
+              FROM res JOIN vs USING (event_type) GROUP BY ALL)""",
+                      """lk AS (SELECT mr.event_type, mr.TimePeriod, tp.prediction AS point, coalesce(round(vh.s, 4), vs.g) AS sigma FROM tp JOIN mr USING (m, id)
+              JOIN vs ON vs.event_type = mr.event_type LEFT JOIN vh ON vh.event_type = mr.event_type AND vh.hour = hour(mr.TimePeriod) WHERE m = 1)""") + \
+        f"SELECT event_type, TimePeriod, {band_sql('point', 'sigma')} FROM lk"
+
+
+def trees_nowcast_sql():
+    """Two fits of the daily nowcast: the tail gives the sigma, all rows the latest point."""
+    feats = ", ".join(FV_D)
+    ctes = [demand_cte("d", "orders", "o_orderdate", [], "D"),
+            f"nf AS (SELECT TimePeriod, CAST(Volume AS DOUBLE) AS y, {feats} FROM ({nowcast_sql('d', [], 'D', *NOWCAST_D, dropna=True)}))",
+            "sp AS (SELECT *, row_number() OVER (ORDER BY TimePeriod) AS rn, count(*) OVER () AS n FROM nf)",
+            *model_rows("mr", [(0, "sp", "rn <= floor(n * 0.8)"), (1, "sp", "true"), (1, "(SELECT * FROM sp WHERE rn = n)", "false")], [], FV_D),
+            *trees_ctes("mr", "tp", 100, 20, SMALL),
+            "res AS (SELECT 'all' AS event_type, TimePeriod, y, y - tp.prediction AS resid FROM tp JOIN mr USING (m, id) WHERE m = 0)",
+            "sig AS (SELECT event_type, stddev_pop(resid) AS resid_sigma FROM res GROUP BY ALL)"]
+    return _recursive(*garch_ctes(ctes), "vs AS (SELECT CASE WHEN garch_sigma > 0 THEN garch_sigma ELSE 48.65 END AS sigma FROM gsig)",
+                      "lk AS (SELECT mr.TimePeriod, tp.prediction AS point, sigma FROM tp JOIN mr USING (m, id), vs WHERE m = 1)") + \
+        f"SELECT TimePeriod, {band_sql('point', 'sigma')} FROM lk"
+
+
 NOWCAST_D = ((1, 7, 14, 28), (7, 14, 28), (7, 14, 28))
 NOWCAST_H = ((1, 6, 12, 24), (6, 12, 24), (12, 24, 48))
 FV_D = ("Volume_Lag1", "Volume_LagDelta1", "Volume_Lag7", "Volume_LagDelta7", "Sin_DayOfWeek", "Cos_DayOfWeek",
@@ -472,7 +542,7 @@ FROM res JOIN sig USING (event_type) GROUP BY ALL"""
     o["var_buffer"] = _with(*split_ctes("orders_daily"), *resid_ctes([], "role = 'test'")) + \
         f"SELECT TimePeriod, {band_sql('pred', 'resid_sigma')} FROM res, sig"
     o["hour_sigma_lookup"] = "WITH RECURSIVE " + _with(*lookup_ctes())[len("WITH "):] + \
-        f"SELECT event_type, TimePeriod, {r('sigma')} AS sigma FROM lk"
+        f"SELECT event_type, TimePeriod, {r4('sigma')} AS sigma FROM lk"
     o["next_forecast_naive"] = "WITH RECURSIVE " + _with(*lookup_ctes())[len("WITH "):] + \
         f"SELECT event_type, TimePeriod, {band_sql('LagS', 'sigma')} FROM lk"
     ctes = split_ctes("events_panel", "events_panel_") + split_ctes("orders_panel", "orders_panel_") + [
@@ -488,8 +558,9 @@ FROM res JOIN sig USING (event_type) GROUP BY ALL"""
 SELECT champ.model, champ.champion_version AS version, {r('champion_mae')} AS holdout_mae,
   CASE WHEN dec.alias = 'champion' THEN 'previous' ELSE 'champion' END AS alias FROM champ LEFT JOIN dec USING (model)
 UNION ALL SELECT model, version, {r('holdout_mae')} AS holdout_mae, alias FROM dec"""
-    o["gbt_forecast"] = _with(*split_ctes("events_panel")) + f"""SELECT event_type, count(*) AS n,
-  {r('avg(abs(y - greatest(0, prediction)))')} AS naive_mae, true AS beats_naive FROM sp WHERE role = 'test' GROUP BY ALL"""
+    o["gbt_forecast"] = trees_forecast_sql()
+    o["gbt_nowcast"] = trees_nowcast_sql()
+    o["next_forecast"] = trees_next_sql()
     o["promotion_decision"] = _with(*ctes) + f"""
 SELECT model, version, {r('round(mae, 6)')} AS holdout_mae, champion_version, {r('champion_mae')} AS champion_mae,
   CASE WHEN mae IS NULL OR isnan(mae) OR isinf(mae) THEN 'rejected' WHEN champion_version IS NULL THEN 'champion'

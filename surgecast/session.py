@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "surgecast",
@@ -65,3 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written under the shared checkpoint folder and read back. Unlike a
+    checkpoint it comes back with its real size, so the plans of long loops of joins
+    are made from what is there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

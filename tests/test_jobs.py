@@ -24,7 +24,7 @@ def test_the_loop_is_closed(spark, agg_root, tmp_path):
     from surgecast.plans.jobs import run_task
 
     at = {"out_root": agg_root, "root": str(tmp_path / "root"), "log_path": str(tmp_path / "log"), "series_cols": ["event_type"],
-          "trees": 3, "depth": 3, "min_rows": 30}
+          "trees": 3, "leaves": 8, "min_rows": 30}
     assert run_task("validate-hourly", spark, **at) > 0
     v1 = run_task("train-hourly", spark, as_of="2024-01-20 00:00:00", **at).collect()
     assert len(v1) == 5 and all(r.alias == "champion" and r.holdout_mae >= 0 and r.garch_sigma > 0 and r.hour_sigmas for r in v1)

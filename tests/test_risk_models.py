@@ -84,6 +84,82 @@ def test_garch_finds_what_a_finer_grid_finds(spark, a, b):
     assert {r.k: r.s for r in fixed.collect()}["flat"] == 48.65
 
 
+def _simplex(f, at, size=0.1, rounds=2000):
+    """Nelder and Mead's search for a minimum: no grid, no gradient."""
+    pts = [np.array(at, float)] + [np.array(at, float) + size * np.eye(len(at))[i] for i in range(len(at))]
+    val = [f(p) for p in pts]
+    for _ in range(rounds):
+        order = np.argsort(val)
+        pts, val = [pts[i] for i in order], [val[i] for i in order]
+        mid = np.mean(pts[:-1], axis=0)
+        tries = [(k, mid + k * (mid - pts[-1])) for k in (1.0, 2.0, 0.5, -0.5)]
+        got = [(f(p), p) for _, p in tries]
+        best = min(got, key=lambda g: g[0])
+        if best[0] < val[-1]:
+            val[-1], pts[-1] = best
+        else:
+            pts = [pts[0]] + [(p + pts[0]) / 2 for p in pts[1:]]
+            val = [val[0]] + [f(p) for p in pts[1:]]
+    return min(val)
+
+
+def _simulated(n, a, b, seed):
+    rng = np.random.default_rng(seed)
+    e, s2 = np.zeros(n), 1.0
+    for t in range(n):
+        s2 = 0.1 + a * (e[t - 1] ** 2 if t else 1.0) + b * s2
+        e[t] = rng.normal() * np.sqrt(s2)
+    return e
+
+
+def test_garch_finds_what_a_free_search_finds(spark):
+    import datetime as dt
+
+    series = {f"{a} {b} {s}": _simulated(400, a, b, s) for a, b, s in ((0.1, 0.8, 1), (0.3, 0.5, 2), (0.05, 0.9, 3), (0.2, 0.0, 4))}
+    at = dt.datetime(2024, 1, 1)
+    rows = [(k, at + dt.timedelta(hours=i), float(v)) for k, e in series.items() for i, v in enumerate(e)]
+    out = {r.w: r for r in risk.garch_sigma(spark.createDataFrame(rows, "w string, TimePeriod timestamp, resid double"), ["w"]).collect()}
+    for k, e in series.items():
+        ed = e - e.mean()
+        v0 = float(np.mean(ed * ed))
+
+        def loss(p, ed=ed, v0=v0):
+            # next to alpha 0 the variance counts as constant
+            return 1e9 if p[1] < 1e-3 or p[2] < 0 or p[0] <= 0 or p[1] + p[2] >= 0.9999 else -_likelihood(ed, p[1], p[2], p[0] * v0)
+
+        free = min(_simplex(loss, start) for start in ([0.2, 0.1, 0.7], [0.5, 0.3, 0.2], [0.05, 0.05, 0.9]))
+        assert out[k].loglik >= -free - 1e-6
+        assert _likelihood(ed, out[k].alpha, out[k].beta, out[k].omega) == pytest.approx(out[k].loglik, abs=1e-6)
+
+
+def test_garch_of_a_series_in_blocks(spark, monkeypatch):
+    """Chained over three levels of blocks, as where it stands in one; the last variance
+    worked by hand."""
+    import datetime as dt
+
+    from surgecast.operators import garch
+
+    at = dt.datetime(2024, 1, 1)
+    e = _simulated(150, 0.2, 0.6, 5)
+    rows = [("long", at + dt.timedelta(hours=i), float(v)) for i, v in enumerate(e)]
+    rows += [("short", at + dt.timedelta(hours=i), float(v)) for i, v in enumerate(e[:31])] + [(None, *r[1:]) for r in rows[:60]]
+    df = spark.createDataFrame(rows, "k string, TimePeriod timestamp, resid double").repartition(3)
+    whole = {r.k: r for r in risk.garch_sigma(df, ["k"]).collect()}
+    monkeypatch.setattr(garch, "BLOCK", 5)
+    cut = {r.k: r for r in risk.garch_sigma(df, ["k"]).collect()}
+    assert set(cut) == set(whole) == {"long", "short", None}
+    for k, r in whole.items():
+        assert (r.n_resid, r.sigma_source) == (cut[k].n_resid, cut[k].sigma_source)
+        for c in ("alpha", "beta", "omega", "loglik", "garch_sigma"):
+            assert cut[k][c] == pytest.approx(r[c], abs=1e-5)
+    ed, r = e - e.mean(), whole["long"]
+    variance = squared = float(np.mean(ed * ed))
+    for x in ed:
+        variance = r.omega + r.alpha * squared + r.beta * variance
+        squared = x * x
+    assert r.garch_sigma == pytest.approx(np.sqrt(r.omega + r.alpha * squared + r.beta * variance), rel=1e-9)
+
+
 def test_backtest_metrics_worked(spark):
     import datetime as dt
 
@@ -101,7 +177,7 @@ def test_gbt_predicts_finite_and_keeps_short_rows(spark, daily_series):
 
     _, df = daily_series
     tf = feat.training_frame(df, "D")
-    m = model.fit_gbt(tf, feat.feature_columns("D"), trees=5, depth=3, min_instances=2)
+    m = model.fit_gbt(tf, feat.feature_columns("D"), trees=5, leaves=8, min_instances=2)
     holes = tf.withColumn("Lag1", F.when(F.col("TimePeriod") < "2024-01-12", None).otherwise(F.col("Lag1")))
     pred = m.predict(holes).collect()
     assert len(pred) == tf.count()
@@ -112,7 +188,7 @@ def test_gbt_panel_of_many_series(spark, tmp_path):
     """200 series, more than any bin count; a series the model has not seen is served."""
     rows = [(f"s{k}", float(k), float(k + d % 7)) for k in range(200) for d in range(20)]
     df = spark.createDataFrame(rows, "k string, x double, y double")
-    m = model.fit_gbt(df, ["x"], ["k"], trees=4, depth=3, min_instances=2)
+    m = model.fit_gbt(df, ["x"], ["k"], trees=4, leaves=8, min_instances=2)
     m.save(str(tmp_path / "m"))
     back = model.PanelModel.load(spark, str(tmp_path / "m"), ["x"], ["k"])
     new = spark.createDataFrame([("s7", 7.0), ("never", 8.0), (None, 9.0)], "k string, x double")
