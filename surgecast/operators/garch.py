@@ -27,8 +27,9 @@ ALPHAS = ((0.005, 0.02), (0.05, 0.12, 0.3, 0.7))
 BETAS = ((0.0, 0.2), (0.4, 0.6), (0.75, 0.85), (0.92, 0.97))
 SPAN = 256  # numbers of points that a start may use
 LIMIT = 0.9999  # of alpha + beta
+TRACE = 1e-3  # an alpha below it is none: the variance is constant
 LEAST = 1e-6  # of omega, in units of the sample variance
-STEPS = 40  # at most; most series need fewer than ten
+STEPS = 25  # at most; most series need fewer than ten
 LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.005)  # of a step, tried together
 NEAR = 1e-5  # distance of the gradients that give the curvature
 DONE = 1e-7  # a step this small ends the search: what is left is far smaller
@@ -91,11 +92,10 @@ def _directed() -> str:
 
 
 def _tried() -> str:
-    """Points of a step from a state ``o``: one of every length, within the bounds. Alpha
-    nears 0 by tenths, so that the gradient on the way there can turn it back."""
+    """Points of a step from a state ``o``: one of every length, within the bounds."""
     at = {c: f"o.{c} + l * d.{c}" for c in PARAMS}
     one = _let(_struct(w=f"greatest({at['w']}, {LEAST}D)", a="na", b=f"least(greatest({at['b']}, 0D), {LIMIT}D - na)"),
-               na=f"least(greatest({at['a']}, IF(o.a < 1e-6D, 0D, o.a / 10)), {LIMIT}D)")
+               na=f"least(greatest({at['a']}, 0D), {LIMIT}D)")
     return _let(f"transform(array({', '.join(f'{x}D' for x in LENGTHS)}), l -> {one})", d=_directed())
 
 
@@ -122,11 +122,10 @@ def _met() -> str:
 
 
 def _stepped(old: str, new: str) -> str:
-    """The better of two states with ``done``: the search is over once nothing is better or
-    moves, or where shocks leave no trace, the variance being constant whatever beta."""
+    """The better of two states with ``done``: the search is over once nothing is better or moves."""
     moved = "greatest(" + ", ".join(f"abs({new}.{c} - {old}.{c})" for c in PARAMS) + ")"
     fields = lambda of, done: "named_struct(" + ", ".join(f"'{c}', {of}.{c}" for c in _FIELDS) + f", 'done', {done})"
-    return f"IF(coalesce({new}.ll > {old}.ll, false), {fields(new, f'{moved} < {DONE}D OR ({new}.a <= 0 AND {new}.ga <= 0)')}, {fields(old, 'true')})"
+    return f"IF(coalesce({new}.ll > {old}.ll, false), {fields(new, f'{moved} < {DONE}D')}, {fields(old, 'true')})"
 
 
 _FIELDS = ("ll", *PARAMS, "gw", "ga", "gb", "s", "x", *_CURVED)
@@ -136,11 +135,17 @@ _BEST = "array_max(transform({points}, p -> {met}))"
 _OPEN = "named_struct(" + ", ".join(f"'{c}', n.{c}" for c in _FIELDS) + ", 'done', false)"
 
 
+#: What a state counts in the choice between starts: where shocks leave no trace it counts
+#: as the constant variance that it then stands for.
+_WORTH = f"IF(o.a < {TRACE}, -n_resid / 2D, o.ll)"
+
+
 def _searched() -> str:
     """The whole search over a series of one block, which needs no other row."""
     begin = _let(_OPEN, n=_BEST.format(points="band", met=_met()))
     step = _let(_stepped("o", "n"), n=_BEST.format(points=_tried(), met=_met()))
-    return f"array_max(transform({_grid()}, band -> aggregate(sequence(1, {STEPS}), {begin}, (o, i) -> IF(o.done, o, {step}))))"
+    ends = f"transform({_grid()}, band -> aggregate(sequence(1, {STEPS}), {begin}, (o, i) -> IF(o.done, o, {step})))"
+    return f"array_max(transform({ends}, o -> named_struct('worth', {_WORTH}, 'o', o))).o"
 
 
 def _starts(maps: DataFrame, keys: list[str], blocks: int) -> DataFrame:
@@ -199,7 +204,8 @@ def _chained_search(series: DataFrame, keys: list[str], blocks: int) -> DataFram
         state = written(join_on(state, nxt, each, "left").select(*each, F.expr(f"{step} AS o")), "garch")
         if state.where("NOT o.done").isEmpty():
             break
-    return state.groupBy(*keys).agg(F.max("o").alias("o"))  # of the greatest likelihood
+    sizes = series.select(*keys, "n_resid").distinct()
+    return join_on(state, sizes, keys).groupBy(*keys).agg(F.expr(f"max_by(o, struct({_WORTH} AS worth, o)) AS o"))
 
 
 def fitted(series: DataFrame, keys: list[str], longest: int) -> DataFrame:
@@ -217,7 +223,7 @@ def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", orde
     """One-step GARCH(1,1) volatility of each series' residuals, in ``order_col`` order.
 
     De-meaned residuals, Gaussian likelihood, started at the sample variance. Where the
-    best alpha is 0, shocks leave no trace and the variance is taken as constant. Series
+    best alpha is under ``TRACE``, the variance is taken as constant. Series
     with fewer than ``min_resid``, non-finite or all-equal residuals get the fallback
     sigma."""
     # keys get names of their own, which no parameter has
@@ -246,7 +252,7 @@ def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", orde
         else:
             series = cut.withColumn("before", F.lit(1.0))
         best = join_on(fitted(series, keys, longest), good.select(*keys, "n_resid", "_v0"), keys).checkpoint()
-        v0, flat = F.col("_v0"), F.col("o.a") <= 0
+        v0, flat = F.col("_v0"), F.col("o.a") < TRACE
         ahead = F.expr("o.w + o.a * o.x + o.b * o.s")
         shift = 0.5 * F.col("n_resid") * F.log(v0)  # of the likelihood, by the unit
         found = best.select(*keys, F.when(flat, 0.0).otherwise(F.col("o.a")).alias("alpha"), F.when(flat, 0.0).otherwise(F.col("o.b")).alias("beta"),

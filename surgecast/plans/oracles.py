@@ -374,11 +374,12 @@ def _garch():
         ctes += [f"""g{k} AS (SELECT DISTINCT event_type, sb, greatest(a + da, 0.0) AS a, greatest(b + db, 0.0) AS b, f * m AS f
               FROM b{k - 1}, (VALUES {das}) x(da), (VALUES {das}) y(db), (VALUES {fs}) z(m)
               WHERE greatest(a + da, 0.0) + greatest(b + db, 0.0) < 0.9999)""", rec(f"r{k}", f"g{k}"), best(f"b{k}", f"r{k}")]
-    ctes.append(f"bw AS (SELECT * FROM b{len(GARCH_STEPS)} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ll DESC, sb) = 1)")
+    ctes.append(f"bw AS (SELECT w.* FROM b{len(GARCH_STEPS)} w JOIN ok USING (event_type) QUALIFY row_number() OVER (PARTITION BY event_type "
+                "ORDER BY CASE WHEN a < 0.001 THEN -0.5 * ok.n_resid * (ln(ok.v0) + 1) ELSE ll END DESC, sb) = 1)")
     last = "bw"
-    ctes.append(f"""fit AS (SELECT w.event_type, a AS alpha, CASE WHEN a > 0 THEN b ELSE 0 END AS beta,
-              CASE WHEN a > 0 THEN ok.v0 * f * (1 - a - b) ELSE ok.v0 END AS omega, CASE WHEN a > 0 THEN ll ELSE -0.5 * ok.n_resid * (ln(ok.v0) + 1) END AS loglik,
-              CASE WHEN a > 0 THEN sqrt(ok.v0 * f * (1 - a - b) + a * pe2 + b * s2) ELSE sqrt(ok.v0) END AS gs FROM {last} w JOIN ok USING (event_type))""")
+    ctes.append(f"""fit AS (SELECT w.event_type, CASE WHEN a >= 0.001 THEN a ELSE 0 END AS alpha, CASE WHEN a >= 0.001 THEN b ELSE 0 END AS beta,
+              CASE WHEN a >= 0.001 THEN ok.v0 * f * (1 - a - b) ELSE ok.v0 END AS omega, CASE WHEN a >= 0.001 THEN ll ELSE -0.5 * ok.n_resid * (ln(ok.v0) + 1) END AS loglik,
+              CASE WHEN a >= 0.001 THEN sqrt(ok.v0 * f * (1 - a - b) + a * pe2 + b * s2) ELSE sqrt(ok.v0) END AS gs FROM {last} w JOIN ok USING (event_type))""")
     good = "fit.gs IS NOT NULL AND isfinite(fit.gs) AND fit.gs > 0"
     ctes.append(f"""gsig AS (SELECT st.event_type, st.n_resid, fit.alpha, fit.beta, fit.omega, fit.loglik,
   CASE WHEN {good} THEN fit.gs ELSE sig.resid_sigma END AS garch_sigma,
