@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.common import join_on
+from ..operators.ranking import dealt, numbered
 from .common import keep, partitions, prepare, released
-from .order import dealt, numbered
 
 BLOCK = 4096  # rows of a block of a conversation that is cut
 
@@ -377,7 +377,7 @@ def _cut_conversations(rows: DataFrame, conv: str) -> DataFrame:
     """Results of the conversations of ``rows`` (all their rows), block by block."""
     spark = rows.sparkSession
     parts = partitions(spark)
-    placed = numbered(rows.where("here"), conv, ["turn", "role", "_key"])
+    placed = numbered(rows.where("here"), [conv], ["turn", "role", "_key"])
     first = placed.groupBy(conv, "role", "_key").agg(F.min("at").alias("at")).select(conv, "at", F.lit(True).alias("_first"))
     placed = keep(join_on(placed, first, [conv, "at"], "left")
                   .select(conv, F.floor(F.col("at") / BLOCK).alias("block"), "at", "turn", "role", "text",
@@ -415,7 +415,7 @@ def repair(rows: DataFrame, conv: str = "conv_id", here: Column | None = None) -
     if conv in ("turn", "role", "text", "here"):
         raise ValueError("the conversation needs a column of its own name")
     order = ["turn", "role", "_key"]
-    laid = dealt(given.withColumn("_key", F.sha2("text", 256)), conv, order)
+    laid = dealt(given.withColumn("_key", F.sha2("text", 256)), [conv], order)
     # conversations of several partitions: fewer than there are partitions
     split = keep(laid.groupBy(conv).agg(F.count_distinct("_part").alias("_c")).where("_c > 1").select(conv))
     shape = split.withColumn("_split", F.lit(True))

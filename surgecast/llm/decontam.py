@@ -55,6 +55,7 @@ class Index:
     def __init__(self, ids: list, texts: list[bytes]):
         w = W.scan([_plain(t) for t in texts]) if texts else W.scan([b""])
         self.ids, self.first, self.hash = ids, w.first, w.hash
+        self.data, self.start, self.end = W.lowered(w.data), w.start, w.end
         self.length = np.diff(w.first)
         self.masks: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for mask in [*MASKS, *("1" * int(n) for n in np.unique(self.length) if 0 < n < SPAN)]:
@@ -91,10 +92,13 @@ class Index:
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         if not pairs:
             return out
+        data = W.lowered(w.data)
         for d, i, shift in np.unique(np.concatenate(pairs), axis=0).tolist():
             a = max(self.first[i], w.first[d] - shift)
             b = min(self.first[i + 1], w.first[d + 1] - shift)
             same = self.hash[a:b] == w.hash[a + shift : b + shift]
+            like = np.flatnonzero(same)  # of one hash: are they of one spelling?
+            same[like] = W.equal(self.data, self.start[a + like], self.end[a + like], data, w.start[a + shift + like], w.end[a + shift + like])
             total = np.concatenate(([0], np.cumsum(np.where(same, 1, -1))))
             best = int((total - np.minimum.accumulate(total)).max())
             if best >= convicting(int(self.length[i])) and best > out[d].get(i, (0, 0))[0]:

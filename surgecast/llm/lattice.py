@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -160,11 +159,9 @@ def is_training(ids: list, folds: int = 7, held: int = 2) -> np.ndarray:
 def _word_chunks(texts):
     for _, run in W.chunks(texts, 1 << 21):  # long runs share more words
         w = W.scan(run)
-        which, distinct = pd.factorize(w.hash)
-        place = np.empty(len(distinct), np.int64)
-        place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-        raw = w.data.tobytes()
-        found = [raw[a:b].lower() for a, b in zip(w.start[place].tolist(), w.end[place].tolist())]  # bytes.lower is A-Z alone
+        raw = w.data.tobytes().lower()  # bytes.lower is A-Z alone
+        which, place = W.distinct(np.frombuffer(raw, np.uint8), w.start, w.end, w.hash)
+        found = [raw[a:b] for a, b in zip(w.start[place].tolist(), w.end[place].tolist())]
         yield found, which, w.first
 
 
@@ -259,15 +256,15 @@ def score_documents(docs: DataFrame, pieces: list[bytes], weight: np.ndarray, id
     return blocks.gather(made, answers.where("block >= 0"), assemble, schema)
 
 
-_lattices: dict[int, Lattice] = {}
+_held: list[tuple[list[bytes], Lattice]] = []
 
 
 def cached(pieces: list[bytes]) -> Lattice:
-    """The lattice of a broadcast vocabulary, built once in a worker."""
-    if id(pieces) not in _lattices:
-        _lattices.clear()
-        _lattices[id(pieces)] = Lattice(pieces)
-    return _lattices[id(pieces)]
+    """The lattice of a broadcast vocabulary, built once in a worker; the vocabulary is
+    held with it, and compared."""
+    if not _held or (_held[0][0] is not pieces and _held[0][0] != pieces):
+        _held[:] = [(pieces, Lattice(pieces))]
+    return _held[0][1]
 
 
 def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:

@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.common import join_on
+from ..operators.ranking import ranked
 from .common import keep
-from .order import ranked
 
 FAN = 16
 INNER = 3  # levels made within a block
@@ -140,7 +140,7 @@ def build(leaves: DataFrame, group: str, order: list[str]) -> Tree:
     """The tree over ``leaves``, which hold ``group``, ``leaf`` (a digest) and what else
     shall come back with them (``changed``, the digest of a version)."""
     names = [c for c in leaves.columns if c != group]
-    placed = ranked(leaves, group, [*order, "leaf"])
+    placed = ranked(leaves, [group], [*order, "leaf"])
     blocks = (placed.groupBy(group, F.floor(F.col("at") / BLOCK).alias("block"))
               .agg(F.array_sort(F.collect_list(F.struct("at", *names))).alias("items"), F.max("n").alias("n")))
     # each array is a column that the next one reads twice, so none is made anew per element
@@ -154,7 +154,7 @@ def build(leaves: DataFrame, group: str, order: list[str]) -> Tree:
     paths, upper = _climb(tops, group)
     paths = keep(paths.select(group, F.col("at").alias("block"), "path", F.col("top").alias("subroot")))
     subroots = paths.where("block = 0").select(F.lit(0).alias("_all"), group, F.col("subroot").alias("digest"))
-    subroots = keep(ranked(subroots, "_all", [group]))
+    subroots = keep(ranked(subroots, ["_all"], [group]))
     high, top = _climb(subroots, "_all")
     ends = subroots.select(group, "at").join(high, "at").select(group, F.col("path").alias("_high"), F.col("top").alias("root"))
     paths = keep(join_on(paths, ends, [group]).select(group, "block", F.concat("path", "_high").alias("path"), "subroot", "root"))

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import regex
 
 from . import words as W
@@ -118,9 +117,7 @@ def split(texts: list[str], pattern: str = "gpt", table: np.ndarray | None = Non
     total[0] = 0
     np.cumsum((cp.astype(np.uint64) + np.uint64(0x632BE5AB)) * np.uint64(0x9FB21C651E98DF25) * pw[:n], out=total[1:])
     value = (total[end] - total[start]) * inv[start]
-    which, distinct = pd.factorize(value)
-    place = np.empty(len(distinct), np.int64)
-    place[which[::-1]] = np.arange(len(value) - 1, -1, -1)
+    which, place = W.distinct(cp, start, end, value)
     words = [whole[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())]
     return Split(words, which, np.searchsorted(start, at))
 

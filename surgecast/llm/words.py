@@ -3,7 +3,9 @@
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]`` of the UTF-8 text,
 with A-Z lowered.  A whole chunk of documents is scanned at once in numpy; every
 word gets a 64-bit hash that depends on its bytes alone, so equal words hash
-alike in every task.
+alike in every task.  A byte counts by a random number of its own for every place in
+a word, so no pattern of bytes makes unequal words alike (as powers of one base do);
+``distinct`` tells words apart by their bytes.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 CHUNK_BYTES = 1 << 19  # text bytes scanned together (in cache); a longer document is a chunk of its own
 
@@ -24,6 +27,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+_places = np.zeros(0, np.uint64)
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
@@ -39,6 +43,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[:n], _inv[:n]
 
 
+def _place_keys(n: int) -> np.ndarray:
+    """A random number for each of the first ``n`` places of a word."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(_BASE))
+    return _places[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -72,12 +84,58 @@ def scan(texts: list[bytes], fold: bool = True) -> Words:
     if inside[0]:
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]
-    pw, inv = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_BYTE if fold else _EXACT)[data] * pw[:-1], out=total[1:])
-    h = mix((total[end] - total[start]) * inv[start])
-    return Words(data, at, start, end, h, np.searchsorted(start, at))
+    return Words(data, at, start, end, hashes(data, start, end, fold), np.searchsorted(start, at))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hashes of the words at ``start:end``, which rise and do not overlap."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = end - start
+    first = np.cumsum(length) - length
+    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+    term = (_BYTE if fold else _EXACT)[data[place + np.repeat(start, length)]] ^ _place_keys(int(length.max()))[place]
+    return mix(np.add.reduceat(term, first) + length.astype(np.uint64))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return np.frombuffer(data.tobytes().lower(), np.uint8)
+
+
+def equal(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether each word of ``a`` and the word of ``b`` beside it hold the same bytes."""
+    size = a_end - a_start
+    out = size == b_end - b_start
+    some = np.flatnonzero(out)
+    if len(some):
+        size = size[some]
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(first, size)
+        out[some] = np.logical_and.reduceat(a[at + np.repeat(a_start[some], size)] == b[at + np.repeat(b_start[some], size)], first)
+    return out
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the distinct words every word is, and the place of each one's first
+    occurrence: grouped by hash, then compared item by item of ``data``."""
+    which, found = pd.factorize(hash_)
+    place = np.empty(len(found), np.int64)
+    place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    length, model = end - start, place[which]
+    same = bool((length == length[model]).all())
+    if same and len(which):
+        again = np.flatnonzero(model != np.arange(len(which)))  # first occurrences are themselves
+        size = length[again]
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(first, size)
+        same = bool((data[at + np.repeat(start[again], size)] == data[at + np.repeat(start[model[again]], size)]).all())
+    if not same:  # two words of one hash: by the words themselves
+        raw, width = data.tobytes(), data.itemsize
+        which, found = pd.factorize(np.array([raw[a * width : b * width] for a, b in zip(start.tolist(), end.tolist())], dtype=object))
+        place = np.empty(len(found), np.int64)
+        place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return which, place
 
 
 def chunks(texts: list[bytes | str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
