@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import (LATENCY_BUCKETS, MAX_REASONABLE_VOLUME, REQUEST_CONFIDENCE_RANGE,
                       REQUEST_GRANULARITIES, REQUEST_PERIOD_MAX_LEN, REQUEST_PERIOD_PATTERN)
 from .common import join_on
+from .quantiles import exact_quantile
 
 
 def request_validation(requests: DataFrame, period_col="time_period", gran_col="granularity",
@@ -52,10 +53,38 @@ def latency_histogram(df: DataFrame, latency_col: str = "latency_s", group_cols=
 
 
 def latency_quantile(df: DataFrame, q: float = 0.99, latency_col: str = "latency_s", group_cols=()) -> DataFrame:
-    """Exact quantile of the latency per group (A13), by linear interpolation between
+    """Exact quantile of the latency per group (A13, A8), by linear interpolation between
     the two nearest; rows without a latency do not count."""
-    lat = F.col(latency_col).cast("double")
-    return df.groupBy(*group_cols).agg(F.count(lat).alias("n"), F.percentile(lat, q).alias(f"p{int(round(q * 100))}"))
+    return exact_quantile(df, latency_col, q, group_cols).withColumnRenamed("value", f"p{int(round(q * 100))}")
+
+
+def windowed_quantile(df: DataFrame, q: float = 0.99, latency_col: str = "latency_s", ts_col: str = "ts", group_cols=(),
+                      buckets=LATENCY_BUCKETS, span: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+    """The quantile that a dashboard shows (A13): at the end of every ``step``, from the
+    rates of the cumulative latency buckets over the ``span`` before it.
+
+    ``(group..., until, rate, value)``: requests a second, and the quantile by interpolation
+    inside the bucket that holds it, from 0 for the first one; what lies beyond the last
+    bound counts as that bound. Steps without a request in their span have no row, rows
+    without a latency or a time do not count. Requests are counted per step and bucket
+    first, so what is spread over the spans is counts, not requests."""
+    lat, keys = F.col(latency_col).cast("double"), list(group_cols)
+    ups = [float(b) for b in buckets]
+    bucket = F.size(F.filter(F.array(*map(F.lit, ups)), lambda b: b < lat))
+    known = df.where(lat.isNotNull() & ~F.isnan(lat) & F.col(ts_col).isNotNull())
+    t = F.col(ts_col).cast("timestamp")
+    small = known.groupBy(*keys, F.window(t, step).start.alias("_step"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    spans = small.select(*keys, F.window("_step", span, step).alias("_w"), "_b", "_n")
+    upto = [F.sum(F.when(F.col("_b") <= i, F.col("_n")).otherwise(0)).cast("double").alias(f"_c{i}") for i in range(len(ups) + 1)]
+    wide = spans.groupBy(*keys, "_w").agg(*upto)
+    rank = F.lit(float(q)) * F.col(f"_c{len(ups)}")
+    value = F.lit(ups[-1])
+    for i in reversed(range(len(ups))):
+        low, before = (ups[i - 1], F.col(f"_c{i - 1}")) if i else (0.0, F.lit(0.0))
+        inside = F.lit(low) + F.lit(ups[i] - low) * F.try_divide(rank - before, F.col(f"_c{i}") - before)
+        value = F.when(F.col(f"_c{i}") >= rank, inside).otherwise(value)
+    seconds = F.unix_micros(F.col("_w.end")) - F.unix_micros(F.col("_w.start"))
+    return wide.select(*keys, F.col("_w.end").alias("until"), (F.col(f"_c{len(ups)}") * 1e6 / seconds).alias("rate"), value.alias("value"))
 
 
 def artifact_hashes(spark, path_glob: str) -> DataFrame:

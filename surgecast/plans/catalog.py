@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import FEATURE_VIEW_FIELDS, GBT_NOWCAST_MIN_INSTANCES, GBT_NOWCAST_TREES, granularity
 from ..functions.risk import band_columns, clip0
 from ..operators import audit, features as feat, ingest, model, monitoring, pii, promotion, quality, risk
-from ..operators.common import attach
-from ..sources import files, sinks
+from ..operators.common import attach, join_on
+from ..sources import files, online, sinks
 from ..streaming import incremental
 from ..session import ensure_checkpoint_dir, scratch_path
 from . import jobs
@@ -210,6 +210,17 @@ def q_null_key_features(spark, sf_dir):
 ONLINE_AS_OF = "2024-01-25 00:00:00"
 
 
+def q_online_two_loads(spark, sf_dir):
+    """The online table after two loads: at the first, the features of all entities but
+    one end ten days before that one's."""
+    f = feat.nowcast_features(ingested(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"]).checkpoint()
+    path = scratch_path(spark, "online")
+    ahead = (F.col("event_type") == "click") | (F.col("TimePeriod") <= F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    online.materialize_incremental(spark, f.where(ahead), path, ["event_type"], "2024-01-20 00:00:00")
+    online.materialize_incremental(spark, f, path, ["event_type"], ONLINE_AS_OF)
+    return tidy(online.read_online(spark, path, ONLINE_AS_OF, granularity("H").ttl_us))
+
+
 def q_online_latest(spark, sf_dir):
     f = feat.nowcast_features(series(spark, sf_dir, EVENTS_PANEL), "H", ["event_type"])
     return tidy(feat.online_latest(f, ONLINE_AS_OF, granularity("H").ttl_us, ["event_type"]))
@@ -525,6 +536,12 @@ def q_latency_p99(spark, sf_dir):
     return tidy(audit.latency_quantile(v, 0.99, "latency_s", ["granularity"]))
 
 
+def q_latency_p99_windowed(spark, sf_dir):
+    v = audit.request_validation(requests(spark, sf_dir)).withColumn(
+        "granularity", F.coalesce(F.col("granularity_norm"), F.lit("invalid")))
+    return tidy(audit.windowed_quantile(v, 0.99, "latency_s", "ts", ["granularity"]).withColumnRenamed("value", "p99"))
+
+
 def q_latency_histogram(spark, sf_dir):
     v = audit.request_validation(requests(spark, sf_dir)).withColumn(
         "granularity", F.coalesce(F.col("granularity_norm"), F.lit("invalid")))
@@ -550,26 +567,52 @@ def q_artifact_check(spark, sf_dir):
 STREAM_SLICES = 4
 
 
-def _arrivals(spark, sf_dir) -> str:
-    """The events as a folder that was written in several goes, each of its own
-    stretch of time: the stream reads it in as many micro-batches or more."""
+def _sliced(spark, sf_dir) -> DataFrame:
+    """The events with ``slice``: which quarter of their time they lie in."""
     ev = table(spark, sf_dir, "events")
-    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    lo, hi = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    step = (hi - lo) // STREAM_SLICES + 1 if hi is not None else 1
+    return ev.withColumn("slice", F.coalesce(F.floor((at - F.lit(lo)) / F.lit(step)), F.lit(0)).cast("int"))
+
+
+def _arrivals(spark, sf_dir) -> str:
+    """The events as a folder of files of one stretch of time each: the stream reads it
+    in several micro-batches."""
     path = scratch_path(spark, "arrivals")
-    step = (hi - lo) / STREAM_SLICES
-    for i in range(STREAM_SLICES):
-        late = F.col("ts") >= F.lit(lo + step * i)
-        ahead = F.col("ts") < F.lit(lo + step * (i + 1)) if i < STREAM_SLICES - 1 else F.lit(True)
-        ev.where(late & ahead).write.mode("append").parquet(path)
+    _sliced(spark, sf_dir).repartition("slice").write.partitionBy("slice").parquet(path)
     return path
 
+
+def _in_turn(spark, sf_dir, run) -> None:
+    """``run(path)`` after each slice of events has arrived in the folder ``path``; every
+    tenth event comes a slice late."""
+    path, stage = scratch_path(spark, "arrivals"), scratch_path(spark, "arriving")
+    come = F.least(F.col("slice") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0), F.lit(STREAM_SLICES - 1))
+    _sliced(spark, sf_dir).withColumn("come", come).drop("slice").write.partitionBy("come").parquet(stage)
+    for i in range(STREAM_SLICES):
+        if files.path_exists(spark, f"{stage}/come={i}"):
+            spark.read.parquet(f"{stage}/come={i}").write.mode("append").parquet(path)
+            run(path)
+
+
+def q_stream_late(spark, sf_dir):
+    """Hourly counts with late events, and how many came behind the watermark."""
+    root = scratch_path(spark, "counted")
+    _in_turn(spark, sf_dir, lambda path: incremental.run_counted_stream(spark, path, "ts", ["event_type"], root))
+    keys = ["event_type", "TimePeriod"]
+    late = spark.read.parquet(f"{root}/contributions").groupBy(*keys).agg(F.sum("n_late").alias("n_late"))
+    return tidy(join_on(spark.read.parquet(f"{root}/hourly").drop("month"), late, keys, "left"))
+
+
 def q_stream_hourly(spark, sf_dir):
     out = incremental.run_hourly_stream(spark, _arrivals(spark, sf_dir), "ts", ["event_type"], watermark="30 days", max_files=1)
     return tidy(spark.read.parquet(out).drop("month"))
 
 
 def _latest_event(batch):
-    agg = batch.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_type", "value"), F.col("ts")).alias("r"))
+    # of events of one time the one of the highest id
+    agg = batch.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_type", "value"), F.struct("ts", "event_id")).alias("r"))
     return agg.select("user_id", F.col("r.ts").cast("timestamp").alias("TimePeriod"),
                       F.col("r.event_type").alias("event_type"), F.col("r.value").alias("value"))
 
@@ -632,6 +675,7 @@ QUERIES = {
     "feature_view_hourly": q_feature_view_hourly,
     "null_key_features": q_null_key_features,
     "online_latest": q_online_latest,
+    "online_two_loads": q_online_two_loads,
     "quality_violations": q_quality_violations,
     "pii_scan": q_pii_scan,
     "pii_gate": q_pii_gate,
@@ -658,10 +702,12 @@ QUERIES = {
     "request_validation": q_request_validation,
     "request_audit": q_request_audit,
     "latency_p99": q_latency_p99,
+    "latency_p99_windowed": q_latency_p99_windowed,
     "latency_histogram": q_latency_histogram,
     "artifact_manifest": q_artifact_manifest,
     "artifact_check": q_artifact_check,
     "stream_hourly": q_stream_hourly,
+    "stream_late": q_stream_late,
     "stream_upsert": q_stream_upsert,
     "rate_breaches": q_rate_breaches,
     "stream_rate_breaches": q_stream_rate_breaches,

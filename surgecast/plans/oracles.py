@@ -317,6 +317,31 @@ def latency_sql():
                                     f"{r('quantile_cont(latency_s, 0.99)')} AS p99 FROM val GROUP BY ALL")
 
 
+def windowed_sql():
+    """Every minute's P99 of the five minutes before it, from the cumulative buckets."""
+    les = ", ".join(f"({b!r}::DOUBLE)" for b in BUCKETS)
+    return _with(requests_cte(), """w AS (SELECT coalesce(granularity_norm, 'invalid') AS granularity, latency_s AS l,
+  unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 5 MINUTE, INTERVAL 1 MINUTE)) AS until
+  FROM val WHERE latency_s IS NOT NULL AND ts IS NOT NULL)""",
+                 "t AS (SELECT granularity, until, count(*) AS n FROM w GROUP BY ALL)",
+                 f"b AS (SELECT granularity, until, le, count_if(l <= le) AS c FROM w CROSS JOIN (VALUES {les}) x(le) GROUP BY ALL)",
+                 "f AS (SELECT *, lag(c, 1, 0) OVER p AS pc, lag(le, 1, 0.0) OVER p AS pl FROM b WINDOW p AS (PARTITION BY granularity, until ORDER BY le))",
+                 """hit AS (SELECT f.granularity, f.until, pl + (le - pl) * (0.99 * n - pc) / (c - pc) AS v FROM f JOIN t ON t.granularity = f.granularity AND t.until = f.until
+  WHERE c >= 0.99 * n QUALIFY row_number() OVER (PARTITION BY f.granularity, f.until ORDER BY le) = 1)""") + \
+        f"SELECT granularity, until, {r('n / 300.0')} AS rate, {r(f'coalesce(v, {BUCKETS[-1]})')} AS p99 FROM t LEFT JOIN hit USING (granularity, until)"
+
+
+def late_sql():
+    """Events by quarter of their time, every tenth a quarter late; late is what is older
+    than the furthest event of the quarters before, less an hour."""
+    return _with("x AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 + 1 AS step FROM events)",
+                 """a AS (SELECT event_type, ts, least((epoch_us(ts) - lo) // step + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, 3) AS come FROM events, x)""",
+                 "m AS (SELECT come, max(ts) AS reach FROM a GROUP BY come)",
+                 "k AS (SELECT come, max(reach) OVER (ORDER BY come ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m)") + """
+SELECT event_type, date_trunc('hour', ts) AS TimePeriod, count(*) AS Volume, CAST(count_if(coalesce(ts < seen - INTERVAL 1 HOUR, false)) AS BIGINT) AS n_late
+FROM a JOIN k USING (come) GROUP BY ALL"""
+
+
 def histogram_sql():
     les = ", ".join(f"({b!r})" for b in BUCKETS) + ", ('inf'::DOUBLE)"
     return _with(requests_cte()) + f"""SELECT coalesce(granularity_norm, 'invalid') AS granularity, CAST(le AS DOUBLE) AS le,
@@ -608,8 +633,11 @@ SELECT TimePeriod, Inferred_At, {r('Point_Forecast')} AS Point_Forecast FROM (
   UNION ALL SELECT 'gone.parquet' AS file, 'missing' AS status"""
     o["stream_hourly"] = ("SELECT event_type, date_trunc('hour', ts) AS TimePeriod, count(*) AS Volume FROM events "
                           "GROUP BY ALL")
-    o["stream_upsert"] = (f"SELECT user_id, max(ts) AS TimePeriod, arg_max(event_type, ts) AS event_type, "
-                          f"{r('arg_max(value, ts)')} AS value FROM events GROUP BY user_id")
+    o["stream_upsert"] = (f"SELECT user_id, max(ts) AS TimePeriod, arg_max(event_type, [epoch_us(ts), event_id]) AS event_type, "
+                          f"{r('arg_max(value, [epoch_us(ts), event_id])')} AS value FROM events GROUP BY user_id")
+    o["stream_late"] = late_sql()
+    o["latency_p99_windowed"] = windowed_sql()
+    o["online_two_loads"] = o["online_latest"]
     o["rate_breaches"] = ("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events "
                           "GROUP BY ALL HAVING count(*) > 1")
     o["stream_rate_breaches"] = o["rate_breaches"]

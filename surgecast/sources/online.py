@@ -4,31 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.common import join_on
 from ..operators.features import latest_row
+from ..session import written
 from .sinks import read_table_or_none, upsert_log
 
 
 def materialize_incremental(spark: SparkSession, features: DataFrame, online_path: str, entity_cols,
-                            as_of, ts_col: str = "TimePeriod") -> int:
-    """Load feature rows newer than the table's watermark (its latest time) and up
-    to ``as_of`` into the online table, keeping the latest row per entity.
-
-    Only the new slice is aggregated (``max_by`` per entity, a partial
-    aggregate); entities are upserted into hash-bucket partitions, so only
-    touched buckets are rewritten. Returns the number of entities updated.
-    Re-running with the same ``as_of`` changes nothing.
+                            as_of, ts_col: str = "TimePeriod", since=None) -> int:
+    """Load what is newer than an entity's own row in the online table, and up to
+    ``as_of``, keeping the latest row per entity.
+
+    Every entity has its own watermark, the time of its row, so one whose features come
+    late is loaded whatever others have reached. The features are first reduced to the
+    latest row per entity (``max_by``, a partial aggregate) and only then meet the
+    watermarks; what is newer is upserted into hash-bucket partitions, so only touched
+    buckets are rewritten. ``since`` leaves out features that are older (for a caller who
+    knows that none such can be new). Returns the number of entities updated; running
+    again with the same ``as_of`` changes nothing.
     """
-    hi = F.lit(str(as_of)).cast("timestamp")
+    t, keys = F.col(ts_col).cast("timestamp"), list(entity_cols)
+    new = features.filter(t <= F.lit(str(as_of)).cast("timestamp"))
+    if since is not None:
+        new = new.filter(t >= F.lit(str(since)).cast("timestamp"))
+    latest = latest_row(new, keys, ts_col)
     existing = read_table_or_none(spark, online_path)
-    new = features.filter(F.col(ts_col).cast("timestamp") <= hi)
     if existing is not None:
-        watermark = existing.agg(F.max(ts_col)).first()[0]  # one scalar
-        if watermark is not None:
-            new = new.filter(F.col(ts_col).cast("timestamp") > F.lit(watermark).cast("timestamp"))
-    latest = latest_row(new, list(entity_cols), ts_col)
+        marks = existing.select(*keys, F.col(ts_col).alias("_mark"))
+        known = join_on(latest, marks, keys, "left") if keys else latest.crossJoin(F.broadcast(marks))  # without a key, one row
+        latest = known.where(F.col("_mark").isNull() | (F.col(ts_col) > F.col("_mark"))).drop("_mark")
+    latest = written(latest, "online-batch")
     n = latest.count()
     if n:
-        upsert_log(spark, latest, online_path, list(entity_cols), ts_col, partition_col=None)
+        upsert_log(spark, latest, online_path, keys, ts_col, partition_col=None, order_col=ts_col)
     return n
 
 

@@ -1,6 +1,6 @@
 """Structured Streaming jobs.
 
-* hourly demand with a watermark for late events (T1);
+* hourly demand with a watermark for late events, or with late events as corrections (T1);
 * keyed upsert of each micro-batch into a log/online table (T2);
 * per-client requests per minute above a limit (T3).
 
@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import RATE_LIMIT_PER_MINUTE
-from ..session import scratch_path
-from ..sources.sinks import upsert_log
+from ..operators.common import join_on
+from ..session import scratch_path, written
+from ..sources.sinks import read_table_or_none, upsert_log
 
 
 def hourly_counts(events: DataFrame, ts_col: str = "ts", series_cols=(), watermark: str = "1 hour") -> DataFrame:
@@ -77,6 +78,49 @@ def run_hourly_stream(spark: SparkSession, source_path: str, ts_col: str = "ts",
     return out_path
 
 
+def run_counted_stream(spark: SparkSession, source_path: str, ts_col: str = "ts", series_cols=(), root: str | None = None,
+                       watermark: str = "1 hour") -> tuple[str, str]:
+    """Hourly counts that late events correct (T1): returns the paths of the hourly table
+    ``(series..., TimePeriod, Volume)`` and of the contributions ``(series..., TimePeriod,
+    n, n_late, batch, month)``, where ``n_late`` of ``n`` came behind the watermark.
+
+    Every micro-batch writes what it adds to each hour, as its own partitions of the
+    contributions, and how far its events reach. An event is late if it is older than
+    the furthest event of earlier batches less ``watermark``; it is counted like others,
+    in an hour that may have been reported. The hours that a batch touches are then added
+    up from all contributions and upserted. Both writes replace what an interrupted run
+    of the same batch left, so a batch counts once. There is no state beyond the tables,
+    and what is read again is the contributions of the months that a batch touches."""
+    root = root or scratch_path(spark, "counted")
+    hourly, parts, marks = f"{root}/hourly", f"{root}/contributions", f"{root}/marks"
+    schema = spark.read.parquet(source_path).schema
+    src = _stream(spark, source_path, schema).select(F.col(ts_col).cast("timestamp").alias("_t"), *series_cols).where("_t IS NOT NULL")
+    hour = F.date_trunc("hour", "_t").alias("TimePeriod")
+    keys = [*series_cols, "TimePeriod"]
+
+    def sink(batch: DataFrame, number: int) -> None:
+        before = read_table_or_none(spark, marks)
+        seen = None if before is None else before.where(F.col("batch") < number).agg(F.max("reach")).first()[0]
+        late = F.lit(False) if seen is None else F.col("_t") < F.lit(seen) - F.expr(f"INTERVAL {watermark}")
+        counts = (batch.groupBy(*series_cols, hour).agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("n_late"), F.max("_t").alias("_reach"))
+                  .withColumn("batch", F.lit(number).cast("long")).withColumn("month", F.date_format("TimePeriod", "yyyy-MM")))
+        counts = written(counts, "counted-batch")
+        reach = counts.agg(F.max("_reach").alias("reach")).withColumn("batch", F.lit(number).cast("long")).where("reach IS NOT NULL")
+        months = [r[0] for r in counts.select("month").distinct().collect()]  # as many as the batch touches
+        if not months:
+            return
+        replace = {"partitionOverwriteMode": "dynamic"}
+        counts.drop("_reach").write.mode("overwrite").options(**replace).partitionBy("month", "batch").parquet(parts)
+        whole = spark.read.schema(counts.drop("_reach").schema).parquet(parts).where(F.col("month").isin(months))
+        touched = join_on(whole, counts.select(*keys).distinct(), keys, "left_semi")
+        upsert_log(spark, touched.groupBy(*keys).agg(F.sum("n").alias("Volume")), hourly, keys, "TimePeriod", "month")
+        reach.write.mode("overwrite").options(**replace).partitionBy("batch").parquet(marks)
+
+    q = src.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return hourly, parts
+
+
 def run_upsert_stream(spark: SparkSession, source_path: str, transform, key_cols, target_path: str | None = None,
                       checkpoint: str | None = None, ts_col: str = "TimePeriod",
                       partition_col: str | None = "month", max_files: int | None = None) -> str:
