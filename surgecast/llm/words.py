@@ -3,13 +3,14 @@
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]`` of the UTF-8 text,
 with A-Z lowered.  A whole chunk of documents is scanned at once in numpy; every
 word gets a 64-bit hash that depends on its bytes alone, so equal words hash
-alike in every task.  A byte counts by a random number of its own for every place in
-a word, so no pattern of bytes makes unequal words alike (as powers of one base do);
-``distinct`` tells words apart by their bytes.
+alike in every task.  Eight bytes at a time are mixed into it, so no pattern of bytes
+makes unequal words alike (as sums of powers of a base do); ``distinct`` tells words
+apart by their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +22,12 @@ CHUNK_BYTES = 1 << 19  # text bytes scanned together (in cache); a longer docume
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
-_EXACT = _BYTE.copy()
-_EXACT[ord("A") : ord("Z") + 1] = _rng.integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_places = np.zeros(0, np.uint64)
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
+_LONG = 512  # bytes from which a word is hashed by itself
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
@@ -43,14 +43,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[:n], _inv[:n]
 
 
-def _place_keys(n: int) -> np.ndarray:
-    """A random number for each of the first ``n`` places of a word."""
-    global _places
-    if len(_places) < n:
-        _places = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(_BASE))
-    return _places[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -88,14 +80,24 @@ def scan(texts: list[bytes], fold: bool = True) -> Words:
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
-    """Hashes of the words at ``start:end``, which rise and do not overlap."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    """Hashes of the words at ``start:end``."""
+    raw = data.tobytes()
+    if fold:
+        raw = raw.lower()  # bytes.lower is A-Z alone
+    raw += bytes(8)
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from every place on
     length = end - start
-    first = np.cumsum(length) - length
-    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-    term = (_BYTE if fold else _EXACT)[data[place + np.repeat(start, length)]] ^ _place_keys(int(length.max()))[place]
-    return mix(np.add.reduceat(term, first) + length.astype(np.uint64))
+    out = mix((eights[start] & _LANE[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(_BASE))
+    more = np.flatnonzero((length > 8) & (length < _LONG))
+    at = 8
+    while len(more):
+        lane = eights[start[more] + at] & _LANE[np.minimum(length[more] - at, 8)]
+        out[more] = mix((out[more] ^ lane) * np.uint64(_BASE) + np.uint64(at))
+        at += 8
+        more = more[length[more] > at]
+    for i in np.flatnonzero(length >= _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
