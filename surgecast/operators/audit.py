@@ -87,11 +87,40 @@ def windowed_quantile(df: DataFrame, q: float = 0.99, latency_col: str = "latenc
     return wide.select(*keys, F.col("_w.end").alias("until"), (F.col(f"_c{len(ups)}") * 1e6 / seconds).alias("rate"), value.alias("value"))
 
 
-def artifact_hashes(spark, path_glob: str) -> DataFrame:
-    """SHA-256 and size of every file matching ``path_glob``."""
-    files = spark.read.format("binaryFile").load(path_glob)
-    return files.select(F.col("path"), F.element_at(F.split(F.col("path"), "/"), -1).alias("file"),
-                        F.col("length"), F.sha2(F.col("content"), 256).alias("sha256"))
+PIECE = 8 << 20  # bytes of a file in memory at a time
+
+
+def artifact_hashes(spark, path_glob: str, piece: int = PIECE) -> DataFrame:
+    """SHA-256 and size of every file matching ``path_glob``.
+
+    Spark lists the files and deals them to tasks; a task opens each on its own file
+    system and feeds the digest piece by piece, so a file may be of any size."""
+    listed = spark.read.format("binaryFile").load(path_glob).select("path", "length")  # no content is read
+
+    def run(batches):
+        import hashlib
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                if path.startswith("file:") or path.startswith("/"):  # the listed path is not quoted
+                    system, place = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+                else:
+                    system, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as stream:
+                    while data := stream.read(piece):
+                        digest.update(data)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], ["path", "length", "sha256"])
+
+    dealt = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hashed = dealt.mapInArrow(run, "path string, length long, sha256 string")
+    return hashed.select("path", F.element_at(F.split(F.col("path"), "/"), -1).alias("file"), "length", "sha256")
 
 
 def verify_artifacts(hashes: DataFrame, manifest: DataFrame, name_col: str = "file") -> DataFrame:

@@ -89,15 +89,16 @@ def _series_bounds(agg: DataFrame, series_cols, bounds: str) -> DataFrame:
 
 
 def gap_fill(agg: DataFrame, series_cols, gran: str, value_cols=("Volume",), bounds: str = "series",
-             chunk: int = DEFAULT_BLOCK) -> DataFrame:
+             chunk: int = DEFAULT_BLOCK, extent: DataFrame | None = None) -> DataFrame:
     """Emit every period between each series' first and last period; missing
-    periods get 0 (J6). Expects ``_idx`` on ``agg``.
+    periods get 0 (J6). Expects ``_idx`` on ``agg``. ``extent (series..., _lo, _hi)``
+    gives other ends, where ``agg`` is a slice of its series.
 
     The calendar is generated in two levels (chunks of ``chunk`` periods, then
     periods), so no single array holds a whole series, and joined back on the
     (series, period) key.
     """
-    b = _series_bounds(agg, series_cols, bounds)
+    b = _series_bounds(agg, series_cols, bounds) if extent is None else extent
     C = F.lit(int(chunk))
     chunks = b.select(*series_cols, "_lo", "_hi",
                       F.explode(F.sequence(F.floor(F.col("_lo") / C), F.floor(F.col("_hi") / C))).alias("_c"))

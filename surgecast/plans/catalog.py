@@ -18,7 +18,7 @@ from ..operators.common import attach, join_on
 from ..sources import files, online, sinks
 from ..streaming import incremental
 from ..session import ensure_checkpoint_dir, scratch_path
-from . import jobs
+from . import jobs, refresh
 from .tidy import tidy
 
 
@@ -210,6 +210,18 @@ def q_null_key_features(spark, sf_dir):
 ONLINE_AS_OF = "2024-01-25 00:00:00"
 
 
+def q_interval_refresh(spark, sf_dir):
+    """Hourly features, built while a third of one day's events had not come, after that
+    day was brought up to date."""
+    ev, root = table(spark, sf_dir, "events"), scratch_path(spark, "refresh")
+    day = ["2024-01-20 00:00:00", "2024-01-21 00:00:00"]
+    missing = (F.col("ts") >= F.lit(day[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(day[1]).cast("timestamp_ntz")) & (F.col("event_id") % 3 == 0)
+    kw = {"gran": "H", "ts_col": "ts", "series_cols": ["event_type"], "as_of": AS_OF}
+    refresh.refresh(spark, ev.where(~missing), root, **kw)
+    refresh.refresh(spark, ev, root, start=day[0], end=day[1], **kw)
+    return tidy(spark.read.parquet(f"{root}/features").drop("month"))
+
+
 def q_online_two_loads(spark, sf_dir):
     """The online table after two loads: at the first, the features of all entities but
     one end ten days before that one's."""
@@ -476,6 +488,15 @@ def q_data_drift(spark, sf_dir):
     return tidy(monitoring.data_drift(ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut), DRIFT_COLUMNS))
 
 
+def q_drift_by_size(spark, sf_dir):
+    """The tests for samples of this size, and those for small ones on the same columns."""
+    ev = table(spark, sf_dir, "events")
+    cut = F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
+    sides = ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)
+    large = monitoring.drift_by_size(*sides, DRIFT_COLUMNS, small=0)
+    return tidy(large.unionByName(monitoring.drift_by_size(*sides, DRIFT_COLUMNS, small=2**62)))
+
+
 def q_drift_summary(spark, sf_dir):
     """Data drift and error growth in one row, as a monitoring run stores it."""
     sp = naive_split(spark, sf_dir, EVENTS_PANEL).filter(F.col("role") != "insufficient_data")
@@ -676,6 +697,7 @@ QUERIES = {
     "null_key_features": q_null_key_features,
     "online_latest": q_online_latest,
     "online_two_loads": q_online_two_loads,
+    "interval_refresh": q_interval_refresh,
     "quality_violations": q_quality_violations,
     "pii_scan": q_pii_scan,
     "pii_gate": q_pii_gate,
@@ -697,6 +719,7 @@ QUERIES = {
     "retrain_set": q_retrain_set,
     "mae_degradation": q_mae_degradation,
     "data_drift": q_data_drift,
+    "drift_by_size": q_drift_by_size,
     "drift_summary": q_drift_summary,
     "shadow_upsert": q_shadow_upsert,
     "request_validation": q_request_validation,

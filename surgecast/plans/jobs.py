@@ -96,7 +96,7 @@ def train_job(spark: SparkSession, agg_path: str, gran: str, as_of, root: str, s
                          "garch_sigma", "hour_sigmas", "status", F.lit(str(as_of)).cast("timestamp").alias("trained_as_of"),
                          F.lit(path).alias("path")).checkpoint()
     table = f"{root}/versions"
-    old = sinks.read_table_or_none(spark, table)
+    old = sinks.read_snapshot(spark, table)
     key = [*keys, "granularity"]
     if old is None:
         old = spark.createDataFrame([], found.withColumn("alias", F.lit("")).schema)
@@ -104,8 +104,7 @@ def train_job(spark: SparkSession, agg_path: str, gran: str, as_of, root: str, s
     incumbent = old.where("alias = 'champion'").select(*key, F.col("version").alias("champion_version"), F.col("holdout_mae").alias("champion_mae"))
     decided = promotion.promotion_decision(found, incumbent, key, min_improvement)
     merged = promotion.next_model_versions(old, decided, key).checkpoint()
-    sinks.write_aggregate(merged, table)
-    return spark.read.parquet(table)
+    return sinks.write_snapshot(spark, merged, table)
 
 
 def infer_job(spark: SparkSession, agg_path: str, gran: str, as_of, root: str, log_path: str,
@@ -118,7 +117,7 @@ def infer_job(spark: SparkSession, agg_path: str, gran: str, as_of, root: str, l
     d = feat.latest_periods(ingest.bound_as_of(spark.read.parquet(agg_path), as_of), RECENT_WINDOW, keys)
     quality.assert_quality(d, 1, keys)
     nxt = feat.next_step_features(d, gran, keys)
-    versions = sinks.read_table_or_none(spark, f"{root}/versions")
+    versions = sinks.read_snapshot(spark, f"{root}/versions")
     inputs = feat.feature_columns(gran)
     if versions is None:
         pred = nxt.withColumn("prediction", F.lit(None).cast("double")).withColumn("version", F.lit(None).cast("string"))
@@ -150,7 +149,7 @@ def monitor_job(spark: SparkSession, log_path: str, agg_path: str, root: str, gr
     drift per series; the flagged ones are what ``train_job(only=...)`` takes."""
     keys = list(series_cols)
     empty = ", ".join([*(f"{k} string" for k in keys), "n_matured long", "drift_detected boolean"])
-    versions = sinks.read_table_or_none(spark, f"{root}/versions")
+    versions = sinks.read_snapshot(spark, f"{root}/versions")
     if versions is None or not files.path_exists(spark, log_path) or not files.path_exists(spark, agg_path):
         return spark.createDataFrame([], empty)
     top = champions(versions).where(F.col("granularity") == gran.upper())

@@ -302,6 +302,26 @@ def drift_sql():
   avg(CAST(drifted AS DOUBLE)) OVER () >= 0.1 AS dataset_drift FROM dd"""
 
 
+def drift_by_size_sql():
+    """Earth-mover and Jensen-Shannon distance, Kolmogorov-Smirnov and chi-square."""
+    z = "1.6448536269514722"
+    free = "(2.0 / (9 * (count(*) - 1)))"
+    return _with(*drift_ctes(), """full_cum AS (SELECT feature, value, c_ref, sum(c_ref) OVER (PARTITION BY feature) AS N, sum(c_cur) OVER (PARTITION BY feature) AS M,
+        sum(c_ref) OVER w AS cr, sum(c_cur) OVER w AS cc, lead(value) OVER (PARTITION BY feature ORDER BY value) - value AS width FROM cnt
+        WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+                 """em AS (SELECT feature, 'numeric' AS kind, CAST(max(N) AS BIGINT) AS n_reference, CAST(max(M) AS BIGINT) AS n_current, 'earth-mover' AS test,
+        sum(abs(cr / N - cc / M) * coalesce(width, 0)) / sqrt(greatest(sum(value * value * c_ref) / max(N) - pow(sum(value * c_ref) / max(N), 2), 0)) AS statistic,
+        0.1 AS threshold FROM full_cum GROUP BY feature)""",
+                 f"""ch AS (SELECT 'event_type' AS feature, 'categorical' AS kind, CAST(sum(a) AS BIGINT) AS n_reference, CAST(sum(b) AS BIGINT) AS n_current, 'chi-square' AS test,
+        sum(pow(a - e * ta, 2) / (e * ta) + pow(b - e * tb, 2) / (e * tb)) AS statistic, (count(*) - 1) * pow(1 - {free} + {z} * sqrt({free}), 3) AS threshold
+        FROM (SELECT a, b, sum(a) OVER () AS ta, sum(b) OVER () AS tb, (a + b) / (sum(a) OVER () + sum(b) OVER ()) AS e FROM (SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM tc)))""",
+                 """two AS (SELECT 0 AS g, * FROM em UNION ALL BY NAME SELECT 0 AS g, feature, kind, n_reference, n_current, 'jensen-shannon' AS test, statistic, threshold FROM js
+        UNION ALL BY NAME SELECT 1 AS g, feature, kind, n_reference, n_current, 'ks' AS test, statistic, threshold FROM ks UNION ALL BY NAME SELECT 1 AS g, * FROM ch)""",
+                 "dz AS (SELECT *, statistic > threshold AS drifted FROM two)") + f"""
+SELECT feature, kind, n_reference, n_current, test, {r('statistic')} AS statistic, {r('threshold')} AS threshold, drifted, CAST(NULL AS VARCHAR) AS reason,
+  {r('avg(CAST(drifted AS DOUBLE)) OVER (PARTITION BY g)')} AS drift_share, avg(CAST(drifted AS DOUBLE)) OVER (PARTITION BY g) >= 0.1 AS dataset_drift FROM dz"""
+
+
 def drift_summary_sql():
     return _with(*drift_ctes(), *split_ctes("events_panel")) + f"""SELECT {r('round(share, 4)')} AS drift_share, share >= 0.1 AS data_drift_detected,
   {r('round(deg, 4)')} AS mae_degradation, deg > 0.15 AS concept_drift_detected, share >= 0.1 OR deg > 0.15 AS drift_detected,
@@ -608,6 +628,7 @@ FROM (SELECT event_type, avg(CASE WHEN role = 'train' THEN abs(y - greatest(0, p
       FROM sp WHERE role <> 'insufficient_data' GROUP BY ALL)"""
     o["data_drift"] = drift_sql()
     o["drift_summary"] = drift_summary_sql()
+    o["drift_by_size"] = drift_by_size_sql()
     o["garch_sigma"] = garch_sql()
     o["backtest_metrics_garch"] = backtest_garch_sql()
     o["shadow_upsert"] = _with(*split_ctes("orders_daily"),
@@ -638,6 +659,7 @@ SELECT TimePeriod, Inferred_At, {r('Point_Forecast')} AS Point_Forecast FROM (
     o["stream_late"] = late_sql()
     o["latency_p99_windowed"] = windowed_sql()
     o["online_two_loads"] = o["online_latest"]
+    o["interval_refresh"] = _with(ev_p) + nowcast_sql("d", ["event_type"], "H", *NOWCAST_H, dropna=True)
     o["rate_breaches"] = ("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events "
                           "GROUP BY ALL HAVING count(*) > 1")
     o["stream_rate_breaches"] = o["rate_breaches"]

@@ -119,3 +119,33 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def write_summary(df: DataFrame, path: str) -> None:
     """Append a run summary (drift report) to a Parquet table."""
     df.write.mode("append").parquet(path)
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete snapshots under ``path``, in order."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    folders = [s.getPath() for s in system.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("snapshot-")]
+    whole = [f for f in folders if system.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().rsplit("-", 1)[1]) for f in whole)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest complete snapshot of a small table, or None."""
+    known = _snapshots(spark, path)
+    return spark.read.parquet(f"{path}/snapshot-{known[-1]:09d}") if known else None
+
+
+def write_snapshot(spark: SparkSession, df: DataFrame, path: str, keep: int = 2) -> DataFrame:
+    """Replace a small table as a whole: the new state is written beside the old one and
+    counts from the moment it is complete, so a crash leaves the old state. The last
+    ``keep`` snapshots stay."""
+    known = _snapshots(spark, path)
+    number = known[-1] + 1 if known else 0
+    df.write.mode("overwrite").parquet(f"{path}/snapshot-{number:09d}")  # what a crash left half done is replaced
+    for old in known[: max(0, len(known) + 1 - keep)]:
+        remove_path(spark, f"{path}/snapshot-{old:09d}")
+    return read_snapshot(spark, path)

@@ -188,3 +188,77 @@ def test_missing_columns_rejected(spark):
     df = spark.createDataFrame([(1.0,)], "Volume double")
     with pytest.raises(quality.DataQualityError):
         quality.validate_demand(df)
+
+
+def _counts_drift(ref, cur):
+    """Measures by hand, from whole columns."""
+    values = sorted(set(ref) | set(cur))
+    area = gap = 0.0
+    for v, nxt in zip(values, values[1:] + [values[-1]]):
+        d = abs(np.mean([x <= v for x in ref]) - np.mean([x <= v for x in cur]))
+        gap, area = max(gap, d), area + d * (nxt - v)
+    return gap, area / np.std(ref)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_drift_measures_by_hand(spark, parts):
+    """Whatever the number of ranges that a column is cut into."""
+    rng = np.random.default_rng(11)
+    ref, cur = np.round(rng.normal(size=300), 2), np.round(rng.normal(0.4, 1.3, 250), 2)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        a = spark.createDataFrame([(float(v), "abc"[i % 3]) for i, v in enumerate(ref)] + [(None, None)], "x double, s string")
+        b = spark.createDataFrame([(float(v), "ab"[i % 2]) for i, v in enumerate(cur)] + [(float("nan"), None)], "x double, s string")
+        few = {r.feature: r for r in monitoring.drift_by_size(a, b, ["x", "s", ]).collect()}
+        many = {r.feature: r for r in monitoring.drift_by_size(a, b, ["x", "s"], small=10).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    gap, area = _counts_drift(ref.tolist(), cur.tolist())
+    assert few["x"].test == "ks" and few["x"].statistic == pytest.approx(gap)
+    assert many["x"].test == "earth-mover" and many["x"].statistic == pytest.approx(area) and many["x"].drifted
+    seen = np.array([[100, 100, 100], [125, 125, 0]], float)
+    want = seen.sum(axis=0, keepdims=True) * seen.sum(axis=1, keepdims=True) / seen.sum()
+    assert few["s"].test == "chi-square" and few["s"].statistic == pytest.approx(((seen - want) ** 2 / want).sum())
+    assert few["s"].threshold == pytest.approx(5.991, rel=0.02) and few["s"].drifted
+    assert many["s"].test == "jensen-shannon"
+
+
+def test_drift_by_size_of_odd_columns(spark):
+    one = spark.createDataFrame([(1.0, "k")] * 3, "x double, s string")
+    rows = {r.feature: r for r in monitoring.drift_by_size(one, one, ["x", "s"]).collect()}
+    assert not rows["x"].drifted and rows["s"].threshold is None and not rows["s"].drifted
+    none = {r.feature: r.reason for r in monitoring.drift_by_size(one, one.limit(0), ["x", "s"]).collect()}
+    assert none == {"x": "no current data", "s": "no current data"}
+
+
+def test_digest_is_fed_piece_by_piece(spark, tmp_path):
+    import hashlib
+
+    files = {"a b.bin": b"x" * 100_000, "empty": b"", "ü%20.bin": bytes(range(256)) * 40}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.file: (r.length, r.sha256) for r in audit.artifact_hashes(spark, f"{tmp_path}/*", piece=777).collect()}
+    assert sorted(got.values()) == sorted((len(d), hashlib.sha256(d).hexdigest()) for d in files.values())
+
+
+def test_snapshots_switch_as_a_whole(spark, tmp_path):
+    """A half written snapshot is not seen, and the next one takes its place."""
+    from surgecast.sources import sinks
+
+    path = str(tmp_path / "versions")
+    assert sinks.read_snapshot(spark, path) is None
+    for i in range(4):
+        assert sinks.write_snapshot(spark, spark.range(i + 1), path).count() == i + 1
+        broken = tmp_path / "versions" / f"snapshot-{i + 1:09d}"
+        broken.mkdir()
+        (broken / "part-0.parquet").write_bytes(b"half")
+        assert sinks.read_snapshot(spark, path).count() == i + 1
+    assert len([p for p in (tmp_path / "versions").iterdir() if (p / "_SUCCESS").exists()]) == 2
+
+
+def test_scan_of_columns_with_odd_names(spark):
+    from surgecast.operators import pii
+
+    df = spark.createDataFrame([("me@example.com", "x")], "`it's a.b` string, `back``tick` string")
+    assert [(r.column, r.pattern, r.n) for r in pii.pii_scan(df).collect()] == [("it's a.b", "email", 1)]
