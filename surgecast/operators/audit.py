@@ -94,7 +94,8 @@ def artifact_hashes(spark, path_glob: str, piece: int = PIECE) -> DataFrame:
     """SHA-256 and size of every file matching ``path_glob``.
 
     Spark lists the files and deals them to tasks; a task opens each on its own file
-    system and feeds the digest piece by piece, so a file may be of any size."""
+    system and feeds the digest piece by piece, so a file may be of any size. Files without
+    a byte are not listed."""
     listed = spark.read.format("binaryFile").load(path_glob).select("path", "length")  # no content is read
 
     def run(batches):
