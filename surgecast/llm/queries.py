@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from . import conversations, decontam, lattice, linededup, merkle, minhash, ordermin, quality, ring, tokenfile, tokens, toxic
 from .common import documents, prepare
-from .oracles import merkle_sql
+from .oracles import merkle_sql, repair_sql
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +99,4 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op13_merkle_manifest": merkle_sql()}
+ORACLES: dict[str, str] = {"op12_conversation_repair": repair_sql(), "op13_merkle_manifest": merkle_sql()}
