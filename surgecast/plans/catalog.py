@@ -100,12 +100,14 @@ def q_scan_raw(spark, sf_dir):
     return tidy(files.scan_raw(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type"))
 
 
-# The tables' names carry no month: their first month bounds them, the end is open.
-MONTHLY_SOURCES = (("orders", "o_orderdate", "1995-01"), ("lineitem", "l_shipdate", "1995-01"))
+# The tables' names carry no month. The orders are read as two runs of months that meet
+# (each a half-open range), the end of the line items is open.
+MONTHLY_SOURCES = (("orders", "o_orderdate", "1995-01", "1997-12"), ("orders", "o_orderdate", "1998-01", "2001-12"),
+                   ("lineitem", "l_shipdate", "1995-01", None))
 
 
 def q_monthly_union(spark, sf_dir):
-    srcs = [(f"{sf_dir}/{t}.parquet", c, a, None) for t, c, a in MONTHLY_SOURCES]
+    srcs = [(f"{sf_dir}/{t}.parquet", c, *months) for t, c, *months in MONTHLY_SOURCES]
     return tidy(files.monthly_union(spark, srcs))
 
 
