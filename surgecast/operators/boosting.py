@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import ensure_checkpoint_dir
+
 BINS = 255  # of an input, at most
 ROWS_PER_TASK = 2_000_000  # of a training partition
 BLOCK_ROWS = 1 << 18
@@ -366,6 +368,7 @@ def fit(frame: DataFrame, inputs: list[str], target: str = "y", trees: int = 300
     blocks, which a lost executor's successor reads from the checkpoint folder.  No
     rows give a model of no trees that predicts 0."""
     spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
     settings = Settings(trees, leaves, min_rows, step)
     rows_per_task = rows_per_task or ROWS_PER_TASK
     y = F.col(target).cast("double")
@@ -408,6 +411,7 @@ def walk(frame: DataFrame, nodes: DataFrame, inputs: list[str], base: float, nam
     Every row meets every tree (as many as the model has); a level is a map-side join
     with the table of nodes, which is bounded by trees x leaves.  Leaf values are whole
     units, so their sum is exact and the same in any order."""
+    ensure_checkpoint_dir(frame.sparkSession)
     levels = depth(nodes)
     trees = nodes.agg(F.max("tree")).first()[0]
     if trees is None:

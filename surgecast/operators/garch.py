@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import GARCH_MIN_RESIDUALS
-from ..session import written
+from ..session import ensure_checkpoint_dir, written
 from .common import attach, join_on
 from .ranking import ALL, ranked
 
@@ -226,6 +226,7 @@ def garch_sigma(resid: DataFrame, series_cols=(), resid_col: str = "resid", orde
     best alpha is under ``TRACE``, the variance is taken as constant. Series
     with fewer than ``min_resid``, non-finite or all-equal residuals get the fallback
     sigma."""
+    ensure_checkpoint_dir(resid.sparkSession)
     # keys get names of their own, which no parameter has
     keys = [f"_key{i}" for i in range(len(series_cols))] or [ALL]
     own = [F.col(c).alias(k) for c, k in zip(series_cols, keys)] or [F.lit(0).alias(ALL)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import ensure_checkpoint_dir
 from .common import join_on
 
 ALL = "_all"  # the group of a table that has no group columns
@@ -13,6 +14,7 @@ def dealt(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``rows``, written, dealt by ranges of (group, order), nulls first, with the
     partition ``_part``. A large group stands in several partitions, in order; ``_tie``
     splits rows that are alike in all of ``order``."""
+    ensure_checkpoint_dir(rows.sparkSession)
     keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]
     return (rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, F.col("_tie"))
                 .withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
