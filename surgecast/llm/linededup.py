@@ -122,24 +122,30 @@ class Segments:
 
 class Chunks:
     """Chunks of two and more lines with words, of all texts: ``name`` (of the lines),
-    ``first`` word, ``size`` in words, ``owner`` (text)."""
+    ``whole`` (of the words), ``first`` word, ``size`` in words, ``owner`` (text)."""
 
-    def __init__(self, w: W.Words, words: Runs):
+    def __init__(self, w: W.Words):
         n = len(w.start)
-        self.name, self.first, self.size, self.owner = np.zeros(0, np.uint64), *np.zeros((3, 0), np.int64)
+        self.name, self.whole = np.zeros((2, 0), np.uint64)
+        self.first, self.size, self.owner = np.zeros((3, 0), np.int64)
         begin = np.unique(np.concatenate(([0], np.searchsorted(w.start, np.flatnonzero(w.data == ord("\n"))))))
         begin = begin[begin < n]  # first word of every line; texts end in a line end
         if not len(begin):
             return
         text = np.searchsorted(w.first, begin, "right") - 1
-        line = words.at(begin, np.diff(np.append(begin, n)))
+        edge = np.append(begin, n)
+        place = np.arange(n) - np.repeat(begin, np.diff(edge))  # of each word in its line
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(W.mix(w.hash + place.astype(np.uint64) * np.uint64(W._BASE)), out=total[1:])
+        line = W.mix(total[edge[1:]] - total[begin])
         first = np.flatnonzero(chunk_ends(line, text)) + 1
         first, end = np.concatenate(([0], first[:-1])), first
         some = end - first > 1
         first, end = first[some], end[some]
         self.name = Runs(line).at(first, end - first)
         self.first, self.owner = begin[first], text[first]
-        self.size = np.append(begin, n)[end] - self.first
+        self.size = edge[end] - self.first
+        self.whole = total[edge[end]] - total[self.first]
 
 
 def chunk_ends(line: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -186,13 +192,16 @@ def _gone(matched: DataFrame, least: int) -> DataFrame:
 
 
 def _merged(gone: DataFrame) -> DataFrame:
-    """Ranges that meet, of one text and one earlier place, as one."""
-    of = ["id", "key", "lines", "fid", "fkey", "shift"]
+    """Ranges that meet, of one text and one earlier place, as one.  A chunk that meets a
+    stretch there is part of a stretch, as are equal lines around it; not so within a
+    text, where of stretches only what is past the first occurrence goes."""
+    of = ["id", "key", "fid", "fkey", "shift", "kind"]
+    gone = gone.withColumn("kind", F.col("lines") & F.col("id").eqNullSafe(F.col("fid")) & (F.col("key") == F.col("fkey")))
     order = Window.partitionBy(*of).orderBy("lo", "hi")
     apart = F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (gone.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
             .withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*of, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run"))
+            .groupBy(*of, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and("lines").alias("lines")).drop("run", "kind"))
 
 
 def _earlier_bytes(source: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
@@ -246,8 +255,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             h = []
             for _, texts in W.chunks(batch.column(0).to_pylist()):
                 w = W.scan(texts, fold=False)
-                words = Runs(w.hash)
-                h += [Segments(w, words, least).name, Chunks(w, words).name]
+                h += [Segments(w, Runs(w.hash), least).name, Chunks(w).name]
             value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
             yield pa.record_batch({"h": pa.array(value.view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
@@ -266,14 +274,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                     s = Segments(w, words, least)
                     rows = np.flatnonzero(_passes(known.value, s.name))
                     name, own, first, n = s.name[rows], s.owner[rows], s.first[rows], s.count[rows] + (least - 1)
+                    whole = words.at(first, n)
                     if not windows:
-                        c = Chunks(w, words)
+                        c = Chunks(w)
                         more = np.flatnonzero(_passes(known.value, c.name))
-                        name, own, first, n = (np.concatenate((x, y[more])) for x, y in
-                                               ((name, c.name), (own, c.owner), (first, c.first), (n, c.size)))
+                        name, whole, own, first, n = (np.concatenate((x, y[more])) for x, y in
+                                                      ((name, c.name), (whole, c.whole), (own, c.owner), (first, c.first), (n, c.size)))
                     if not len(name):
                         continue
-                    out = {"name": pa.array(name.view(np.int64)), "whole": pa.array(words.at(first, n).view(np.int64)),
+                    out = {"name": pa.array(name.view(np.int64)), "whole": pa.array(whole.view(np.int64)),
                            "id": ids.take(pa.array(own + begin)), "key": pa.array(keys[own + begin]),
                            "word": pa.array((first - w.first[own]).astype(np.int32)), "n": pa.array(n.astype(np.int32)),
                            "lines": pa.array(np.arange(len(name)) >= len(rows))}

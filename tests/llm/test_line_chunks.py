@@ -19,7 +19,7 @@ def chunks_of(text):
     """(first line, line behind) of the chunks of a text, by its lines alone."""
     lines = lines_of(text)
     w = W.scan([text.encode()], fold=False)
-    c = linededup.Chunks(w, linededup.Runs(w.hash))
+    c = linededup.Chunks(w)
     before = np.cumsum([0, *map(len, lines)]).tolist()
     return [(before.index(a), before.index(a + n)) for a, n in zip(c.first.tolist(), c.size.tolist())]
 
