@@ -130,3 +130,19 @@ def test_bytes_decide_what_goes():
     assert spans(text, 1, 4, b"x\na b c\nd\ny", True, 1) == (text, 0)
     assert spans(text, 1, 4, b"x\na b\nC\nd\ny", True, 1) == (text, 0)
     assert spans(text, 1, 4, b"\nown\na b\nc\nd\nmo", True, 1) == ("\nmore", 5)
+
+
+def test_pipeline_stage_takes_chunks_out(spark):
+    """A text that is a repeated chunk goes, one with more keeps the rest; one that differs in a byte stays."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(15)
+    block = "\n".join(" ".join(own_words(rng, 3)) for _ in range(6))
+    other = block[:-1] + block[-1].upper()
+    rows = [(0, block), (1, block), (2, block + "\nmore"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, docs, "").collect()}
+    assert got[0] == (block, len(block)) and 1 not in got and got[3] == (None, 0)
+    assert got[2][0].split() == ["more"] and got[2][1] == len(got[2][0])
+    assert spans(other, 0, 18, f"\n{block}\n".encode(), True, 0)[0].split() == other.split()[15:]
+    assert spans(other.lower().upper(), 0, 18, f"\n{block}\n".encode(), True, 0) == (other.upper(), 0)
