@@ -103,7 +103,7 @@ def test_chunk_ends_depend_on_the_lines_nearby():
 def test_texts_of_one_hash_keep_what_differs(spark):
     """1,024 words in the Thue-Morse order of two, and the same with the two changed over: sums
     of powers modulo 2**64 take them for one."""
-    rng = random.Random(6)
+    rng = random.Random(0)  # words that shared a name as well when windows were hashed so
     order = [bin(i).count("1") % 2 for i in range(1024)]
     a, b = own_words(rng, 2)
     one, other = (" ".join((x, y)[k] for k in order) for x, y in ((a, b), (b, a)))
