@@ -15,13 +15,13 @@ depends on the window's words alone, so equal windows have one name whatever sta
 around them, and no window is left out.  Neighbouring windows mostly share their name
 and travel as one segment:
 
-* only names are counted over the corpus (partial counts first).  Chunks and segments
+* only names are counted over the corpus, by ranges of hashes.  Chunks and segments
   move whose name passes a filter of repeated names; the filter has a fixed size and
   lets too much pass when it is full, never too little;
 * chunks and segments of one name and one hash of all their words match as a whole;
 * where a name has several such hashes (near the ends of a repeated stretch), the
-  first segment of each is taken apart, and those of its windows that pass a second
-  such filter are matched one by one.
+  first segment of each is taken apart and its windows are matched, all of a name
+  together; a name of very many such segments has its windows dealt out one by one.
 
 *Bytes.*  Hashes only say where to look.  The bytes of each earlier place are fetched
 from its text and compared, word by word, with those that would go; what differs stays.
@@ -35,16 +35,19 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
 from ..sources.sinks import remove_path
 from . import words as W
-from .common import keep, prepare, released
+from .common import keep, partitions, prepare, released
 
 LEAST_WORDS = 30  # words of a repeated stretch that goes
 FILTER_BITS = 26  # log2 of the bits of the filter of repeated names: 8 MB
 SALTS = 64  # a place that many texts repeat is handed out in as many rows
+SEND_NAMES = 1 << 18  # names that a task sorts and sends at once
+MANY = 1000  # segments of one name from which their windows are dealt out over tasks
 
 
 def _sliding_least(value: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +90,12 @@ class Runs:
 
 
 def _pair(left: np.ndarray, right: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    return W.mix((left ^ (left >> np.uint64(29))) * np.uint64(W._BASE) + right + (size if isinstance(size, np.ndarray) else np.uint64(size)))
+    x = left >> np.uint64(29)
+    x ^= left
+    x *= np.uint64(W._BASE)
+    x += right
+    x += size if isinstance(size, np.ndarray) else np.uint64(size)
+    return W.mix(x)
 
 
 class Segments:
@@ -134,9 +142,12 @@ class Chunks:
             return
         text = np.searchsorted(w.first, begin, "right") - 1
         edge = np.append(begin, n)
-        place = np.arange(n) - np.repeat(begin, np.diff(edge))  # of each word in its line
+        place = np.arange(n, dtype=np.uint64)  # of each word in its line
+        place -= np.repeat(begin.astype(np.uint64), np.diff(edge))
+        place *= np.uint64(W._BASE)
+        place += w.hash
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(W.mix(w.hash + place.astype(np.uint64) * np.uint64(W._BASE)), out=total[1:])
+        np.cumsum(W.mix(place), out=total[1:])
         line = W.mix(total[edge[1:]] - total[begin])
         first = np.flatnonzero(chunk_ends(line, text)) + 1
         first, end = np.concatenate(([0], first[:-1])), first
@@ -164,13 +175,38 @@ def chunk_ends(line: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _filter(repeated: DataFrame) -> np.ndarray:
     """Bits of the hashes ``h``, as bytes; as many rows as it has 64-bit words come here."""
     slot = f"shiftrightunsigned(h, {64 - FILTER_BITS})"
-    rows = (repeated.select(F.expr(f"shiftright({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit"))
-            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    rows = repeated.select(F.expr(f"shiftright({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit"))
+    return _bits(rows.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+
+
+def _bits(words: DataFrame) -> np.ndarray:
+    rows = words.toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    np.bitwise_or.at(out, rows["word"].to_numpy(), rows["bits"].to_numpy())
     return out
 
 
+def _sent(h: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Sorted hashes by ranges, as bytes; those that stand there more than once, twice."""
+    value, n = np.unique(h, return_counts=True)
+    value = np.repeat(value, np.minimum(n, 2))
+    part = ((value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    edge = np.append(at, len(value)).tolist()
+    return pa.record_batch({"part": pa.array(part[at]), "h": pa.array([value[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary())})
+
+
+def _repeated(batches):
+    """The words of the filter of all hashes that came twice and more, of some ranges."""
+    h = [np.frombuffer(x, np.uint64) for batch in batches for x in batch.column(1).to_pylist()]
+    value = np.sort(np.concatenate([np.zeros(0, np.uint64), *h]))
+    slot = (value[1:][value[1:] == value[:-1]] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    word = slot >> 6
+    at = np.flatnonzero(np.diff(word, prepend=-1))
+    bits = np.bitwise_or.reduceat(np.int64(1) << (slot & 63), at) if len(at) else np.zeros(0, np.int64)
+    yield pa.record_batch({"word": pa.array(word[at]), "bits": pa.array(bits)})
+
+
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
     return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
@@ -191,17 +227,87 @@ def _gone(matched: DataFrame, least: int) -> DataFrame:
                     (F.col("word") + F.col("n")).alias("hi")).where("lo < hi"))
 
 
-def _merged(gone: DataFrame) -> DataFrame:
+def _by_runs(batches, by: int):
+    """The rows of sorted batches, cut where the column ``by`` changes."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        h = batch.column(by).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(h[1:] != h[:-1]) + 1
+        if left and len(h) and h[0] != left[-1].column(by)[-1].as_py():
+            new = np.append(0, new)
+        if not len(new):
+            left += [batch] if len(h) else []
+            continue
+        yield _as_one([*left, batch.slice(0, new[-1])])
+        left = [batch.slice(new[-1])]
+    if left:
+        yield _as_one(left)
+
+
+def _as_one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) for c in table.columns], schema=table.schema)
+
+
+def _merged(gone: DataFrame, kind: str) -> DataFrame:
     """Ranges that meet, of one text and one earlier place, as one.  A chunk that meets a
     stretch there is part of a stretch, as are equal lines around it; not so within a
     text, where of stretches only what is past the first occurrence goes."""
-    of = ["id", "key", "fid", "fkey", "shift", "kind"]
-    gone = gone.withColumn("kind", F.col("lines") & F.col("id").eqNullSafe(F.col("fid")) & (F.col("key") == F.col("fkey")))
-    order = Window.partitionBy(*of).orderBy("lo", "hi")
-    apart = F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return (gone.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
-            .withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*of, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and("lines").alias("lines")).drop("run", "kind"))
+    def run(batches):
+        for batch in _by_runs(batches, 8):
+            key, lines, fkey, shift, lo, hi = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 4, 5, 6, 7))
+            codes = pa.chunked_array([batch.column(0), batch.column(3)]).combine_chunks().dictionary_encode().indices
+            id_, fid = np.split(codes.fill_null(-1).to_numpy(zero_copy_only=False), 2)
+            of = (lines & (id_ == fid) & (key == fkey), shift, fkey, fid, key, id_)
+            order = np.lexsort((hi, lo, *of))
+            lo, hi = lo[order].astype(np.int64), hi[order].astype(np.int64)
+            new = np.zeros(len(order), bool)
+            for x in of:
+                new |= np.diff(x[order].astype(np.int64), prepend=0) != 0
+            new[0] = True
+            base = np.cumsum(new) << 32
+            new[1:] |= lo[1:] + base[1:] > np.maximum.accumulate(hi + base)[:-1]
+            at = np.flatnonzero(new)
+            rows = pa.array(order[at])
+            yield pa.record_batch({c: batch.column(i).take(rows) for c, i in (("id", 0), ("key", 1), ("fid", 3), ("fkey", 4), ("shift", 5))}
+                                  | {"lo": pa.array(lo[at].astype(np.int32)), "hi": pa.array(np.maximum.reduceat(hi, at).astype(np.int32)),
+                                     "lines": pa.array(np.logical_and.reduceat(lines[order], at))})
+
+    return (gone.select("id", "key", "lines", "fid", "fkey", "shift", "lo", "hi").repartition("id", "key")
+            .withColumn("h", F.xxhash64("id", "key")).sortWithinPartitions("h")
+            .mapInArrow(released(run), f"id {kind}, key long, fid {kind}, fkey long, shift int, lo int, hi int, lines boolean"))
+
+
+def _window_runs(kinds: DataFrame, least: int, kind: str) -> DataFrame:
+    """Runs of windows that stand at an earlier place of the segments of their name."""
+    def run(batches):
+        for batch in _by_runs(batches, 0):
+            name, word = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            offset = batch.column(5).offsets.to_numpy()
+            window = batch.column(5).values.to_numpy()[offset[0] : offset[-1]]
+            if not len(window):
+                continue
+            row = np.repeat(np.arange(len(name)), np.diff(offset))
+            at = np.arange(len(row)) - (offset - offset[0])[row] + word[row]
+            which = pd.factorize(window)[0] * len(name) + np.cumsum(np.diff(name, prepend=name[0]) != 0)[row]
+            _, first, inverse = np.unique(which, return_index=True, return_inverse=True)
+            f = first[inverse]  # rows come by their places
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (f[1:] != f[:-1] + 1) | (row[f[1:]] != row[f[:-1]]) | (f[:-1] == np.arange(len(f) - 1))
+            begin = np.flatnonzero(new)
+            n = np.diff(np.append(begin, len(row))) + (least - 1)
+            some = f[begin] != begin
+            begin, n = begin[some], n[some]
+            mine, other = pa.array(row[begin]), pa.array(row[f[begin]])
+            yield pa.record_batch({"id": batch.column(2).take(mine), "key": batch.column(3).take(mine), "word": pa.array(at[begin].astype(np.int32)),
+                                   "n": pa.array(n.astype(np.int32)), "fid": batch.column(2).take(other), "fkey": batch.column(3).take(other),
+                                   "fword": pa.array(at[f[begin]].astype(np.int32))})
+
+    rows = (kinds.select("name", "p.late", "p.id", "p.key", "p.word", "windows").repartition("name")
+            .sortWithinPartitions("name", "late", "id", "key", "word"))
+    found = rows.mapInArrow(released(run), f"id {kind}, key long, word int, n int, fid {kind}, fkey long, fword int")
+    return found.select("id", "key", "word", "n", F.lit(False).alias("lines"),
+                        F.struct(F.col("fid").alias("id"), F.col("fkey").alias("key"), F.col("fword").alias("word")).alias("f"))
 
 
 def _earlier_bytes(source: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
@@ -250,19 +356,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     key = F.xxhash64(F.col(text_col))
     source = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).cast("binary").alias("b")).where("b is not null")
 
-    def count(batches):
+    parts = partitions(spark)
+
+    def names(batches):
+        h: list[np.ndarray] = []
         for batch in batches:
-            h = []
             for _, texts in W.chunks(batch.column(0).to_pylist()):
                 w = W.scan(texts, fold=False)
                 h += [Segments(w, Runs(w.hash), least).name, Chunks(w).name]
-            value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
-            yield pa.record_batch({"h": pa.array(value.view(np.int64)), "n": pa.array(n.astype(np.int32))})
+            if sum(map(len, h)) >= SEND_NAMES:
+                yield _sent(np.concatenate(h), parts)
+                h = []
+        yield _sent(np.concatenate([np.zeros(0, np.uint64), *h]), parts)
 
-    repeated = source.select("b").mapInArrow(released(count), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    bits = spark.sparkContext.broadcast(_filter(repeated))
+    sent = source.select("b").mapInArrow(released(names), "part int, h binary").repartitionById(parts, F.col("part"))
+    bits = spark.sparkContext.broadcast(_bits(sent.mapInArrow(released(_repeated), "word long, bits long")))
 
-    def found(known, windows: bool):
+    def one_of(keys: DataFrame):
+        """A test that the keys of ``h`` pass, and few others."""
+        marks = spark.sparkContext.broadcast(_filter(keys))
+
+        @F.pandas_udf("boolean")
+        def maybe(k: pd.Series) -> pd.Series:
+            return pd.Series(_passes(marks.value, k.to_numpy().view(np.uint64)))
+
+        return maybe
+
+    def found(source, known, windows: bool):
         """Segments whose name passes the filter ``known``: with the hashes of their
         windows, or without and then chunks as well."""
         def run(batches):
@@ -291,44 +411,35 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         return source.mapInArrow(released(run), f"name long, whole long, id {kind}, key long, word int, n int, lines boolean" + ", windows array<long>" * windows)
 
     path = scratch_path(spark, "line-segments")  # written, as it is read several times; gone once the ranges are kept
-    found(bits, False).write.parquet(path)
+    found(source, bits, False).write.parquet(path)
     segments = spark.read.parquet(path)
     firsts = segments.groupBy("name", "whole").agg(F.min(_place("word")).alias("f"), F.count("*").alias("copies")).where("copies > 1")
     as_whole = _gone(segments.join(firsts, ["name", "whole"]), least)
 
     several = segments.where("not lines").groupBy("name").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
     apart = spark.sparkContext.broadcast(_filter(several.select(F.col("name").alias("h"))))
-    kinds = keep(found(apart, True).groupBy("name", "whole").agg(F.min(_place("word")).alias("p"), F.first("windows").alias("windows"))
-                 .select("name", "p", "windows"))
-    met = kinds.select("name", F.explode("windows").alias("window")).select(F.xxhash64("name", "window").alias("h"))
-    again = spark.sparkContext.broadcast(_filter(met.groupBy("h").count().where("count > 1")))
 
-    @F.pandas_udf("boolean")
-    def repeats(h: pd.Series) -> pd.Series:
-        return pd.Series(_passes(again.value, h.to_numpy().view(np.uint64)))
+    def owners(batches):
+        for batch in batches:
+            yield pa.record_batch({"h": pc.unique(batch.column(1).filter(pa.array(_passes(apart.value, batch.column(0).to_numpy().view(np.uint64)))))})
 
-    single = (kinds.select("name", "p.id", "p.key", F.col("p.word").alias("at"), F.posexplode("windows").alias("j", "window"))
-              .where(repeats(F.xxhash64("name", "window"))).select("name", "window", "id", "key", (F.col("at") + F.col("j")).alias("word")))
+    has_some = one_of(segments.where("not lines").select("name", "key").mapInArrow(released(owners), "h long"))
+    kinds = keep(found(source.where(has_some("key")), apart, True).groupBy("name", "whole").agg(F.min(_place("word")).alias("p"), F.first("windows").alias("windows"))
+                 .select("name", "p", "windows"))
+    crowded = one_of(kinds.groupBy(F.col("name").alias("h")).count().where(F.col("count") >= MANY))
+    by_name = _gone(_window_runs(kinds.where(~crowded("name")), least, kind), least)
+    single = (kinds.where(crowded("name")).select("name", "p.id", "p.key", F.col("p.word").alias("at"), F.posexplode("windows").alias("j", "window"))
+              .select("name", "window", "id", "key", (F.col("at") + F.col("j")).alias("word")))
     earliest = single.groupBy("name", "window").agg(F.min(_place("word")).alias("f"), F.count("*").alias("copies")).where("copies > 1")
     one_by_one = _gone(single.join(earliest, ["name", "window"]).select("*", F.lit(least).alias("n"), F.lit(False).alias("lines")), least)
 
     # chunks ask for the lines around as well: where more than these are equal, there is a stretch of ``least`` words
     around = F.when(F.col("lines"), least - 1).otherwise(0)
-    asked = keep(_merged(as_whole.unionByName(one_by_one))
+    asked = keep(_merged(as_whole.unionByName(by_name).unionByName(one_by_one), kind)
                  .select("*", F.greatest(F.col("lo") - F.col("shift") - around, F.lit(0)).alias("from"), (F.col("hi") - F.col("shift") + around).alias("to"),
                          F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int").alias("salt")))
     remove_path(spark, path)
 
-    def one_of(keys: DataFrame):
-        """A test that the keys of ``h`` pass, and few others."""
-        marks = spark.sparkContext.broadcast(_filter(keys))
-
-        @F.pandas_udf("boolean")
-        def maybe(k: pd.Series) -> pd.Series:
-            return pd.Series(_passes(marks.value, k.to_numpy().view(np.uint64)))
-
-        return maybe
-
     first_texts = source.where(one_of(asked.select(F.col("fkey").alias("h")))("key"))
     earlier = _earlier_bytes(first_texts, asked, kind)
     ranges = (asked.join(earlier, F.col("fid").eqNullSafe(F.col("pid")) & (F.col("fkey") == F.col("pkey")) & (F.col("from") == F.col("pfrom"))
@@ -348,7 +459,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     def remove(batches):
         for batch in batches:
-            texts, spans = batch.column(text_at).to_pylist(), batch.column(len(columns)).to_pylist()
+            texts, ranges_ = batch.column(text_at).to_pylist(), batch.column(len(columns))
+            at, flat = ranges_.offsets.to_pylist(), ranges_.values
+            fields = [flat.field(i).slice(at[0], at[-1] - at[0]).to_pylist() for i in range(flat.type.num_fields)]
+            rows = [dict(zip(flat.type.names, x)) for x in zip(*fields)]
+            spans = [rows[i - at[0] : j - at[0]] for i, j in zip(at, at[1:])]
             out, gone = list(texts), np.zeros(len(texts), np.int32)
             some = [i for i, s in enumerate(spans) if s]
             for begin, raw in W.chunks([texts[i] for i in some]):
@@ -411,7 +526,11 @@ def without(text: str, raw: bytes, start: np.ndarray, end: np.ndarray, spans: li
         if hi > n:  # another text of the same id and hash
             continue
         if not s["lines"]:
-            stretches += [(lo + a, lo + b) for a, b in equal_words(raw[start[lo] : end[hi - 1]], s["piece"], least)]
+            mine = raw[start[lo] : end[hi - 1]]
+            if mine == s["piece"].strip():
+                stretches.append((lo, hi))
+            else:
+                stretches += [(lo + a, lo + b) for a, b in equal_words(mine, s["piece"], least)]
             continue
         if lines is None:
             lines = [words for line in raw.split(b"\n") if (words := line.split())]
